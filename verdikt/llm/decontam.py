@@ -163,7 +163,7 @@ wc as (select st.doc_id, st.item_id, st.n, st.st, dk.s, count(*) c from st join
 ic as (select item_id, s, count(*) c from bk group by all),
 j as (select wc.doc_id, wc.item_id, wc.n, wc.st, sum(wc.c) total, coalesce(sum(least(wc.c, ic.c)), 0) shared
       from wc left join ic on ic.item_id = wc.item_id and ic.s = wc.s group by all),
-sim as (select doc_id, item_id, st, cast(shared as double) / (total + n - 4 - shared) similarity from j)
-select doc_id, item_id, max(similarity) similarity, cast(arg_min(st, struct_pack(a := -similarity, b := st)) as bigint) word
-from sim where similarity >= 0.75 group by doc_id, item_id
+sim as (select doc_id, item_id, st, cast(shared as double) / (total + n - 4 - shared) similarity from j),
+best as (select *, row_number() over (partition by doc_id, item_id order by similarity desc, st) r from sim where similarity >= 0.75)
+select doc_id, item_id, similarity, cast(st as bigint) word from best where r = 1
 """
