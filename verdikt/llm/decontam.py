@@ -158,12 +158,14 @@ bk as (select item_id, n, o, array_to_string(ws[o + 1 : o + 5], ' ') s from bs),
 dx as (select doc_id, len(ws) m, unnest(range(0, len(ws) - 4)) i, ws from d where len(ws) >= 5),
 dk as (select doc_id, m, i, array_to_string(ws[i + 1 : i + 5], ' ') s from dx),
 seeds as (select distinct doc_id, item_id, n, m, i - o a from dk join bk using (s)),
-st as (select distinct doc_id, item_id, n, least(greatest(a + unnest(range(-(cast(ceil((n - 4) / 7.0) as bigint)), cast(ceil((n - 4) / 7.0) as bigint) + 1)), 0), greatest(m - n, 0)) st from seeds),
-wc as (select st.doc_id, st.item_id, st.n, st.st, dk.s, count(*) c from st join dk on dk.doc_id = st.doc_id and dk.i >= st.st and dk.i <= st.st + st.n - 5 group by all),
-ic as (select item_id, s, count(*) c from bk group by all),
-j as (select wc.doc_id, wc.item_id, wc.n, wc.st, sum(wc.c) total, coalesce(sum(least(wc.c, ic.c)), 0) shared
-      from wc left join ic on ic.item_id = wc.item_id and ic.s = wc.s group by all),
-sim as (select doc_id, item_id, st, cast(shared as double) / (total + n - 4 - shared) similarity from j),
-best as (select *, row_number() over (partition by doc_id, item_id order by similarity desc, st) r from sim where similarity >= 0.75)
-select doc_id, item_id, similarity, cast(st as bigint) word from best where r = 1
+slid as (select distinct doc_id, item_id, n, m, a + unnest(range(-(cast(ceil((n - 4) / 7.0) as bigint)), cast(ceil((n - 4) / 7.0) as bigint) + 1)) x from seeds),
+cand as (select distinct doc_id, item_id, n, least(greatest(x, 0), greatest(m - n, 0)) p from slid),
+wk as (select cand.doc_id, cand.item_id, cand.n, cand.p, dk.s from cand join dk on dk.doc_id = cand.doc_id where dk.i >= cand.p and dk.i <= cand.p + cand.n - 5),
+wc as (select doc_id, item_id, n, p, s, count(*) c from wk group by doc_id, item_id, n, p, s),
+ic as (select item_id, s, count(*) c from bk group by item_id, s),
+j as (select wc.doc_id, wc.item_id, wc.n, wc.p, sum(wc.c) total, sum(least(wc.c, coalesce(ic.c, 0))) shared
+      from wc left join ic on ic.item_id = wc.item_id and ic.s = wc.s group by wc.doc_id, wc.item_id, wc.n, wc.p),
+sim as (select doc_id, item_id, p, cast(shared as double) / (total + n - 4 - shared) similarity from j),
+best as (select *, row_number() over (partition by doc_id, item_id order by similarity desc, p) r from sim where similarity >= 0.75)
+select doc_id, item_id, similarity, cast(p as bigint) word from best where r = 1
 """
