@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embedding_dup, langid, line_windows, near_dup, packing, quality, repeated_spans
+from . import decontam, embedding_dup, langid, licenses, line_windows, near_dup, packing, quality, repeated_spans, warc
 from .common import crc_mod, cut
 
 
@@ -29,6 +29,10 @@ def op3_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans.digest(repeated_spans.remove_repeated(_table(spark, sf_dir, "documents")))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(_table(spark, sf_dir, "documents")))
+
+
 def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,10 @@ def op6_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_windows.digest(line_windows.drop_repeated_lines(_table(spark, sf_dir, "documents")))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     described = cut(quality.describe(_table(spark, sf_dir, "documents")), "described")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -56,10 +64,16 @@ def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dup.embedding_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_decontamination, op3_repeated_spans, op5_minhash_near_dup, op6_line_windows, op8_quality, op9_packing, op10_embedding_near_dup)
+    found = (op1_language_id, op2_decontamination, op3_repeated_spans, op4_license_scan, op5_minhash_near_dup, op6_line_windows, op7_warc, op8_quality, op9_packing, op10_embedding_near_dup, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.SQL, "op6_line_windows": line_windows.SQL}
+    return {"op2_decontamination": decontam.SQL, "op6_line_windows": line_windows.SQL, "op7_warc": warc.SQL}
