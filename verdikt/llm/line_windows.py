@@ -20,13 +20,17 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut
 
 LINES = 3
 
 
-@F.pandas_udf("struct<text:string,removed:long,spans:long>")
+_CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.LongType()), T.StructField("spans", T.LongType())])
+
+
+@F.pandas_udf(_CUT)
 def _without(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, starts in parts:
         out = []
