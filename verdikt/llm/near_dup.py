@@ -1,10 +1,11 @@
 """MinHash near-duplicate groups with odd sketches.
 
-128 MinHash samples of a document's 5-word shingles give 32 bands of 4 for candidates. The same samples are folded into
-a parity bitmap of 1024 bits (an odd sketch): a sample flips the bit that its number and value hash to, so the bits in
-which two bitmaps differ count the samples in which they differ, less collisions. Band candidates whose bitmaps differ in
-more bits than 0.55 of equal samples could explain are dropped (at a similarity of 0.75 that is five standard
-deviations); the rest are confirmed on the full shingle sets of their whole texts.
+128 MinHash samples of a document's 5-word shingles give 32 bands of 4 for candidates. The 1,024 least shingle hashes
+(a bottom-k MinHash sample) are folded into a parity bitmap of 2,048 bits (an odd sketch): each sample flips the bit that
+it hashes to, so two bitmaps differ in as many bits as the samples differ in members, less collisions. For sets of at most
+1,024 shingles the sample is the set, and more differing bits than a similarity of 0.75 allows prove a smaller one; for
+larger sets the limit is five standard deviations beyond the expected difference. The rest of the band candidates are
+confirmed on the full shingle sets of their whole texts.
 
 Equal shingle sets are one class from the start. A band bucket of n classes gives n - 1 candidates at first, each member
 with the bucket's smallest one. After the components of their confirmed links, only pairs between different components
@@ -31,15 +32,11 @@ from pyspark.sql import functions as F
 from .common import U, blocks, cut, drop_cut, mix, shingle_sets, sorted_groups, utf8
 from .components import connected_components
 
-SAMPLES, ROWS, BITS = 128, 4, 1024
-#: Equal samples under which a candidate is dropped, and the bits that so many unequal samples can set.
-LEAST_SAMPLES = 0.55
-MOST_BITS = int(2 * SAMPLES * (1 - LEAST_SAMPLES))
+SAMPLES, ROWS, LEAST, BITS = 128, 4, 1024, 2048
 SMALL, BLOCK = 16, 512
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**63, SAMPLES, dtype=np.int64).astype(U) * U(2) + U(1)
 _B = _rng.integers(0, 2**63, SAMPLES, dtype=np.int64).astype(U)
-_J = (np.arange(SAMPLES).astype(U) + U(1)) * U(0x9FB21C651E98DF25)
 
 SIGNATURE = "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch binary"
 
@@ -56,14 +53,23 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmaps of the samples, 128 bytes a row."""
-    at = (mix(samples + _J) >> U(64 - 10)).astype(np.int64)
-    bits = np.zeros((len(samples), BITS), np.uint8)
-    rows = np.arange(len(samples))
-    for j in range(SAMPLES):
-        bits[rows, at[:, j]] ^= 1
-    return np.packbits(bits, axis=1)
+def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity bitmaps of the least members of sorted sets, 256 bytes a row."""
+    least = [s[:LEAST] for s in sets]
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in least])
+    at = (mix(np.concatenate(least)) >> U(64 - 11)).astype(np.int64)
+    bits = np.bincount(row * BITS + at, minlength=len(sets) * BITS) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(-1, BITS), axis=1)
+
+
+def most_bits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Differing bits that bitmaps of sets of n and m members with a similarity of 0.75 can have."""
+    both = n + m
+    large = np.maximum(n, m)
+    share = np.minimum(1.0, 0.75 / 1.75 * both / large)
+    common = LEAST * share - 5 * np.sqrt(LEAST * share * (1 - share))
+    sampled = np.minimum(n, LEAST) + np.minimum(m, LEAST) - 2 * common
+    return np.where(large <= LEAST, both / 7, sampled)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -84,7 +90,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketches: list[bytes | None] = [None] * len(sets)
         if full:
             m = minhashes([sets[i] for i in full])
-            keys, odd = band_keys(m), odd_sketches(m)
+            keys, odd = band_keys(m), odd_sketches([sets[i] for i in full])
             for r, i in enumerate(full):
                 hashes[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                 bands[i], sketches[i] = keys[r], odd[r].tobytes()
@@ -104,7 +110,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
             differ = np.bitwise_count(_matrix(b.column(2)) ^ _matrix(b.column(3))).sum(1, dtype=np.int64)
-            yield b.select([0, 1]).filter(pa.array(differ <= MOST_BITS))
+            yield b.select([0, 1]).filter(pa.array(differ <= most_bits(b.column(4).to_numpy(), b.column(5).to_numpy())))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +135,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    side = lambda c, s: sketches.select(F.col("node").alias(c), F.col("sketch").alias(s))
-    near = pairs.distinct().join(side("a", "sa"), "a").join(side("b", "sb"), "b").select("a", "b", "sa", "sb")
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}"))
+    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
     near = cut(near.mapInArrow(_near, "a long, b long"), "near-pairs")
     ids = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
     some = texts.join(ids, F.col("doc_id") == F.col("node"), "left_semi")
@@ -146,12 +152,12 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataF
 def _blocks_of_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different components with near bitmaps, for each pair of blocks of a large bucket."""
     for t in sorted_groups(batches, ["key", "i", "j", "within"]):
-        node, comp, left = (t.column(c).to_numpy() for c in ("node", "comp", "left"))
+        node, comp, left, n = (t.column(c).to_numpy() for c in ("node", "comp", "left", "n_shingles"))
         m, within = _matrix(t.column("sketch")), t.column("within")[0].as_py()
         ls = np.flatnonzero(left)
         rs = ls if within else np.flatnonzero(~left)
         for x in ls:
-            at = rs[(np.bitwise_count(m[rs] ^ m[x]).sum(1, dtype=np.int64) <= MOST_BITS) & (comp[rs] != comp[x])]
+            at = rs[(np.bitwise_count(m[rs] ^ m[x]).sum(1, dtype=np.int64) <= most_bits(n[rs], n[x])) & (comp[rs] != comp[x])]
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[at])), pa.array(np.maximum(node[x], node[at]))], ["a", "b"])
 
@@ -162,8 +168,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = cut(sig.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("node")), "classes")
     reps = sig.join(classes.where("node is not null"), "set_hash").where("doc_id = node")
-    reps = cut(reps.select("node", "bands", "sketch"), "class-signatures")
-    sketches = reps.select("node", "sketch")
+    reps = cut(reps.select("node", "bands", "sketch", "n_shingles"), "class-signatures")
+    sketches = reps.select("node", "sketch", "n_shingles")
     banded = reps.select("node", F.explode("bands").alias("key"))
     buckets = cut(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1"), "buckets")
     members = cut(banded.join(buckets, "key"), "members")
@@ -191,7 +197,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     inner = rest.withColumn("other", upto("go")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     inner = inner.withColumns({"within": F.col("own") == F.col("other"), "left": F.col("own") <= F.col("other")})
     tasks = tasks.union(inner.withColumn("i", F.col("i") + F.col("gm")).withColumn("j", F.col("j")).select(cols))
-    tasks = tasks.join(sketches, "node").select(*cols, "sketch").repartition("key", "i", "j", "within").sortWithinPartitions("key", "i", "j", "within")
+    tasks = tasks.join(sketches, "node").select(*cols, "sketch", "n_shingles").repartition("key", "i", "j", "within").sortWithinPartitions("key", "i", "j", "within")
     pairs = pairs.union(tasks.mapInArrow(_blocks_of_bucket, "a long, b long"))
     more = _confirmed(pairs, sketches, texts)
     comps = cut(connected_components(links.union(more)), "components")
