@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import scoring
+
+MODULES = [scoring]
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in MODULES for name, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql is not None}
