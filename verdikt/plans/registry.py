@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import scoring
+from . import policies, scoring
 
-MODULES = [scoring]
+MODULES = [scoring, policies]
 
 
 def queries() -> dict:
