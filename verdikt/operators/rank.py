@@ -80,20 +80,22 @@ def loss_diagnosis(gold_rank: Column, k: int, won_group: Column, correct: Column
     return F.when(correct, "correct").when(gold_rank > k, "not_shortlisted").when(~won_group, "lost_in_group").otherwise("lost_in_final")
 
 
-def bigrams(text: Column) -> Column:
-    """Character bigrams of a text without white space."""
-    t = F.regexp_replace(text, r"\s", "")
-    return F.when(F.length(t) > 1, F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, 2))).otherwise(F.array().cast("array<string>"))
+def bigrams(texts: DataFrame, row_id: str, text: str = "text") -> DataFrame:
+    """row_id and grams: the character bigrams of each text without white space. The stripped text goes through a
+    generator, so that it isn't stripped again for each of its characters."""
+    x = texts.select(row_id, F.explode(F.array(F.regexp_replace(text, r"\s", ""))).alias("t"))
+    grams = F.when(F.length("t") > 1, F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring(F.col("t"), i, 2)))
+    return x.select(row_id, F.coalesce(grams, F.array().cast("array<string>")).alias("grams"))
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """qid, pid, score of the pairs that share a bigram. queries: qid, text; corpus: pid, text. A query's bigrams are a set."""
-    grams = corpus.select("pid", F.explode(bigrams(F.col("text"))).alias("g"))
-    tf = grams.groupBy("pid", "g").agg(F.count("*").alias("tf"))
-    length = corpus.select("pid", F.size(bigrams(F.col("text"))).alias("len"))
+    grams = bigrams(corpus, "pid")
+    tf = grams.select("pid", F.explode("grams").alias("g")).groupBy("pid", "g").agg(F.count("*").alias("tf"))
+    length = grams.select("pid", F.size("grams").alias("len"))
     stats = length.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     df = tf.groupBy("g").agg(F.count("*").alias("df"))
-    q = queries.select("qid", F.explode(F.array_distinct(bigrams(F.col("text")))).alias("g"))
+    q = bigrams(queries, "qid").select("qid", F.explode(F.array_distinct("grams")).alias("g"))
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = q.join(df, "g").crossJoin(F.broadcast(stats)).select("qid", "g", idf.alias("idf"), "avg_len")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))

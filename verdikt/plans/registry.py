@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import policies, scoring
+from . import ordered, policies, ranking, scoring
 
-MODULES = [scoring, policies]
+MODULES = [scoring, policies, ranking, ordered]
 
 
 def queries() -> dict:
