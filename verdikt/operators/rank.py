@@ -81,10 +81,11 @@ def loss_diagnosis(gold_rank: Column, k: int, won_group: Column, correct: Column
 
 
 def bigrams(texts: DataFrame, row_id: str, text: str = "text") -> DataFrame:
-    """row_id and grams: the character bigrams of each text without white space. The stripped text goes through a
-    generator, so that it isn't stripped again for each of its characters."""
-    x = texts.select(row_id, F.explode(F.array(F.regexp_replace(text, r"\s", ""))).alias("t"))
-    grams = F.when(F.length("t") > 1, F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring(F.col("t"), i, 2)))
+    """row_id and grams: the character bigrams of each text without white space. Its characters go through a
+    generator as an array, so that the text isn't stripped and split again for each of them."""
+    chars = F.array_remove(F.split(F.regexp_replace(text, r"\s", ""), ""), "")
+    x = texts.select(row_id, F.explode(F.array(chars)).alias("t"))
+    grams = F.when(F.size("t") > 1, F.transform(F.slice("t", 1, F.size("t") - 1), lambda c, i: F.concat(c, F.get("t", i + 1))))
     return x.select(row_id, F.coalesce(grams, F.array().cast("array<string>")).alias("grams"))
 
 
