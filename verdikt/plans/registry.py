@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ordered, policies, ranking, scoring
+from . import ordered, policies, ranking, relational, scoring, textual
 
-MODULES = [scoring, policies, ranking, ordered]
+MODULES = [scoring, policies, ranking, ordered, relational, textual]
 
 
 def queries() -> dict:
