@@ -34,15 +34,20 @@ from .common import ascii_lower, cut
 
 K, RADIUS, LEAST = 5, 11, 0.75
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLOCK_SHINGLES, BLOCK_ITEMS = 500_000, 2_000
+BLOCK_SHINGLES, BLOCK_ITEMS = 200_000, 2_000
 _LANES = 0x0001000100010001
 _SPREAD = 1 + (1 << 15) + (1 << 30) + (1 << 45)
 
 
 def words(col):
     """The words of a text as an array; a null text has none."""
-    text = F.trim(F.regexp_replace(ascii_lower(F.coalesce(col, F.lit(""))), NOT_WORD, " "))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(col, F.lit(""))), NOT_WORD), "")
+
+
+def computed_once(df: DataFrame, column, name: str) -> DataFrame:
+    """``df`` with a column that later filters and projections can't repeat: the optimizer doesn't move expressions through
+    a generator. Repeated, the regex runs several times a row, and the stage's method is too long to be compiled."""
+    return df.select("*", F.explode(F.array(column)).alias(name))
 
 
 def _shingle(array: str, at, k: int):
@@ -78,15 +83,15 @@ def _masks() -> list[int]:
 
 
 def item_index(items: DataFrame) -> DataFrame:
-    """Items under every block value within two bits: n, b, value, item_id, fp, shingles."""
-    prints = items.select("item_id", F.size("ws").alias("n"), "fp", "shingles")
+    """Items under every block value within two bits: n, b, value, row, fp. Shingles are joined to what is found."""
+    prints = items.select("row", F.size("ws").alias("n"), "fp")
     blocks = F.explode(F.array(*(F.struct(F.lit(b).alias("b"), _block(b).alias("v")) for b in range(4)))).alias("block")
-    return prints.select("*", blocks).select("item_id", "n", "fp", "shingles", "block.b", F.explode(F.transform(F.array(*map(F.lit, _masks())), lambda m: F.col("block.v").bitwiseXOR(m))).alias("value"))
+    return prints.select("*", blocks).select("row", "n", "fp", "block.b", F.explode(F.transform(F.array(*map(F.lit, _masks())), lambda m: F.col("block.v").bitwiseXOR(m))).alias("value"))
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity and word (the first word of the best, then earliest window) of contaminated documents."""
-    items = benchmark.select("item_id", words(F.col("text")).alias("ws")).where(F.size("ws") > 0).dropDuplicates()
+    items = computed_once(benchmark.select("item_id", "text"), words(F.col("text")), "ws").drop("text").where(F.size("ws") > 0).dropDuplicates()
     items = items.withColumn("row", F.xxhash64("item_id", "ws"))
     items = items.join(_fingerprints(items, ["row"]), "row").withColumn("shingles", _shingles("ws"))
     items = cut(items, "items")
@@ -110,7 +115,7 @@ def _contaminations(docs: DataFrame, items: DataFrame, widths: list[int]) -> Dat
     known = reduce(DataFrame.union, known).distinct()
     slack = F.when(F.col("n") > K, F.ceil((F.col("n") - K + 1) / 7)).otherwise(0).cast("int")
     known = known.groupBy("h").agg(F.collect_set(F.struct("n", "o", slack.alias("slack"))).alias("at"))
-    text = docs.select("doc_id", words(F.col("text")).alias("ws"))
+    text = computed_once(docs.select("doc_id", "text"), words(F.col("text")), "ws").drop("text")
     places = []
     for k in widths:
         p = text.where(F.size("ws") >= k).select("doc_id", "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - k)).alias("i"))
@@ -137,8 +142,9 @@ def _contaminations(docs: DataFrame, items: DataFrame, widths: list[int]) -> Dat
     of_block = lambda b: F.bit_count(F.shiftrightunsigned(F.col("wfp").bitwiseXOR(F.col("fp")), 16 * b).bitwiseAND(F.lit(0xFFFF)))
     least = F.coalesce(*(F.when(of_block(b) <= 2, F.lit(b)) for b in range(4)))
     pairs = pairs.where((differ <= RADIUS) & (F.col("b") == least))  # each pair once, from its first near block
+    pairs = pairs.select("content", "n", "row", "ws").join(F.broadcast(items.select("row", "item_id", "shingles")), "row")
     both = F.size(F.array_intersect("own", "shingles"))
-    pairs = pairs.withColumn("own", _shingles("ws")).select("content", "n", "item_id", (both / (F.size("own") + F.size("shingles") - both)).alias("similarity"))
+    pairs = computed_once(pairs, _shingles("ws"), "own").select("content", "n", "item_id", (both / (F.size("own") + F.size("shingles") - both)).alias("similarity"))
     pairs = cut(pairs.where(F.col("similarity") >= LEAST), "contents")
     return windows.select("doc_id", "word", "n", "content").join(pairs, ["content", "n"]).select("doc_id", "item_id", "similarity", "word")
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .decontam import words
+from .decontam import computed_once, words
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -198,8 +198,8 @@ def scan(docs: DataFrame) -> DataFrame:
     frame = spark.createDataFrame([(k, *r) for k, r in enumerate(table)], "rule int, label string, keyword string, priority int, confidence double, regex string")
     grouped = F.broadcast(frame.groupBy("keyword").agg(F.collect_list(F.struct("rule", "label", "priority", "confidence", "regex")).alias("rules")))
 
-    ws = words(F.col("text"))
-    rows = docs.select("doc_id", ws.alias("ws")).withColumn("canon", F.array_join("ws", " "))
+    rows = computed_once(docs.select("doc_id", "text"), words(F.col("text")), "ws").drop("text")
+    rows = computed_once(rows, F.array_join("ws", " "), "canon")
     key = F.md5("canon").alias("td")
     some = rows.where(F.col("canon").rlike(GATE)).select("doc_id", key, "canon")
     found = F.array_distinct(F.regexp_extract_all("canon", F.lit(f"(?<![^ ])(?:{'|'.join(keywords)})(?![^ ])"), F.lit(0)))
