@@ -19,12 +19,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, recur
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
     held = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    r = spark.read.schema(held).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+    r = spark.read
     if recursive:
         r = r.option("recursiveFileLookup", "true")
     if pattern:
         r = r.option("pathGlobFilter", pattern)
-    return r.json(path).where("_corrupt is null").drop("_corrupt")
+    parsed = F.from_json("value", held, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")
+    return r.text(path).where("trim(value) <> ''").select(parsed).where("r._corrupt is null").select(*(F.col(f"r.`{f.name}`") for f in schema.fields))
 
 
 def with_key(df: DataFrame, column: str) -> DataFrame:
@@ -39,7 +40,7 @@ def last_by_id(df: DataFrame, row_id: str, order: str) -> DataFrame:
 
 
 def named_by_file(df: DataFrame, column: str = "task") -> DataFrame:
-    """Adds the base name of a row's file, without its extension."""
+    """Adds the base name of a row's file, without its extension. ``df`` is a file scan."""
     return df.withColumn(column, F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[A-Za-z0-9]+)*$", 1))
 
 
