@@ -69,7 +69,8 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     taken = docs.columns
     td, sid, std, st, cutted = (_free(taken, x) for x in ("td", "starts_id", "starts_td", "starts", "cutted"))
     starts = starts.toDF(sid, std, st)
-    out = docs.withColumn(td, digest(text)).join(starts, F.col("doc_id").eqNullSafe(F.col(sid)) & (F.col(td) == F.col(std)), "left")
+    # the same shuffle at every size: a broadcast of what was found would only help small tables
+    out = docs.withColumn(td, digest(text)).join(starts.hint("merge"), F.col("doc_id").eqNullSafe(F.col(sid)) & (F.col(td) == F.col(std)), "left")
     out = out.withColumn(cutted, _without("text", st))
     info = F.struct(F.size(F.split(text, "\n")).cast("long").alias("n"), F.col(f"{cutted}.removed").alias("removed"), F.col(f"{cutted}.spans").alias("spans"))
     same = [F.col(f"{cutted}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "lines"]
