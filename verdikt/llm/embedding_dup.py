@@ -110,11 +110,12 @@ def _forest(node: np.ndarray, x: np.ndarray, window: int, least: float, apart: i
 
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     n = len(a)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["a", "b", "border", "place", "unit"])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())], ["a", "b", "border", "place", "grp", "unit"])
 
 
-#: Edges (a, b), or vectors at a partition's ends: a, the border's number, place (negative before the border) and unit.
-PASS_OUT = "a long, b long, border long, place int, unit binary"
+#: Edges (a, b), or vectors at a partition's ends: a, the border's number, place (negative before the border), the pass,
+#: length and label that a vector is compared in, and unit.
+PASS_OUT = "a long, b long, border long, place int, grp string, unit binary"
 
 
 def _neighbours(window: int, least: float):
@@ -126,7 +127,8 @@ def _neighbours(window: int, least: float):
         def border(t: pa.Table, at: int) -> pa.RecordBatch:
             n = t.num_rows
             place = np.arange(n) - (n if at > part else 0)
-            return pa.RecordBatch.from_arrays([t.column("node").combine_chunks().cast(pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, at, np.int64)), pa.array(place, pa.int32()), t.column("unit").combine_chunks()], ["a", "b", "border", "place", "unit"])
+            grp = [repr(x) for x in zip(*(t.column(c).to_pylist() for c in ("pass", "n", "label")), strict=True)]
+            return pa.RecordBatch.from_arrays([t.column("node").combine_chunks().cast(pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, at, np.int64)), pa.array(place, pa.int32()), pa.array(grp), t.column("unit").combine_chunks()], ["a", "b", "border", "place", "grp", "unit"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -158,11 +160,12 @@ def _neighbours(window: int, least: float):
 def _borders(window: int, least: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_groups(batches, ["border"]):
-            units, place = t.column("unit").to_pylist(), t.column("place").to_numpy()
-            split = int((place < 0).sum())
-            if 0 < split < len(units) and len({len(u) for u in units}) == 1:
-                x = np.frombuffer(b"".join(units)).reshape(len(units), -1)
-                a, b = _forest(t.column("a").to_numpy(), x, window, least, apart=split)
+            units, place, node = t.column("unit").to_pylist(), t.column("place").to_numpy(), t.column("a").to_numpy()
+            grp = np.array(t.column("grp").to_pylist(), object)
+            for g in set(grp[place < 0].tolist()) & set(grp[place >= 0].tolist()):
+                rows = np.flatnonzero(grp == g)
+                x = np.frombuffer(b"".join(units[i] for i in rows)).reshape(len(rows), -1)
+                a, b = _forest(node[rows], x, window, least, apart=int((place[rows] < 0).sum()))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return compare
@@ -203,7 +206,7 @@ def embedding_duplicates(vectors: DataFrame, least: float = LEAST, passes: int =
     order = ["pass", "n", "label", "key", "node"]
     ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     out = cut(ranged.mapInArrow(_neighbours(window, least), PASS_OUT), "pass-edges")
-    borders = out.where("border is not null").select("a", "border", "place", "unit").repartition("border").sortWithinPartitions("border", "place")
+    borders = out.where("border is not null").select("a", "border", "place", "grp", "unit").repartition("border").sortWithinPartitions("border", "place")
     edges = out.where("border is null").select("a", "b").union(borders.mapInArrow(_borders(window, least), "a long, b long"))
     comps = cut(connected_components(edges), "vector-components")
     drop_cut(out)
