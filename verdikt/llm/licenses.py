@@ -2,7 +2,7 @@
 
 A text's words (runs of anything but ASCII non-alphanumerics, A-Z lower-cased), joined by single spaces, are searched with
 regexes. Each of ``NAMES`` is a hand-written pattern of a license's name, and gives one rule for each of ``FORMS`` (an SPDX
-tag, a grant, a name that a license word follows); ``NOTICES`` are patterns of their own. A rule runs only on texts that
+tag, a grant, a name that a license word follows, a title with a version); ``NOTICES`` are patterns of their own. A rule runs only on texts that
 have its keyword as a word and some word of ``GATE``; rules come as a broadcast table of a few hundred rows.
 
 Detections are resolved for each document: one that lies within another goes (of equal intervals the one of better
@@ -138,6 +138,7 @@ FORMS = (
     ("tag", 0, 1.0, "spdx licen[sc]e identifier @"),
     ("grant", 1, 0.95, "(?:licen[sc]ed|released|distributed|available|provided|published|redistributed|covered|governed)(?: only)? (?:under|by)(?: the)?(?: terms (?:and conditions )?of)?(?: the| an?)? @(?: licen[sc]es?)?(?: version [0-9](?: [0-9])?)?"),
     ("name", 2, 0.8, "@ licen[sc]es?(?: version [0-9](?: [0-9])?)?"),
+    ("title", 2, 0.8, "(?=@(?![^ ]))(?:[a-z0-9]+ ){1,4}licen[sc]e (?:v(?:ersion)? ?)?[0-9](?: [0-9])?"),
 )
 #: Label, keyword and pattern of notices that are no names.
 NOTICES = (

@@ -173,7 +173,9 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, part: FilePart) -> Iterator[pa.RecordBatch]:
+    def read(self, part: FilePart | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # a plan without partitions still has one task
+            return
         fs, root = filesystem(part.root)
         rows, size = [], 0
         with fs.open_input_file(f"{root}/{part.file}") as f:
