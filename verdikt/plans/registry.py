@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ordered, policies, ranking, relational, scoring, textual
+from . import ordered, policies, ranking, relational, reports, scoring, textual
 
-MODULES = [scoring, policies, ranking, ordered, relational, textual]
+MODULES = [scoring, policies, ranking, ordered, relational, textual, reports]
 
 
 def queries() -> dict:
