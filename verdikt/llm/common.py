@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that the numpy operators take at a time; it bounds a Python worker's memory.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 U = np.uint64
 
 
@@ -28,6 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, which a Python worker holds whole: rows may have long texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, None)
+    if held is None or not held.rstrip("b").isdigit() or int(held.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, so that losing an executor costs no recomputation."""
     spark = df.sparkSession
@@ -68,8 +79,25 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most ``size`` bytes of text, one row at least."""
+#: Caches that a worker process keeps between tasks of one operator.
+worker_caches: list = []
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on after its tasks, beside those of other operators."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int | None = None, keep_caches: bool = False) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most ``size`` bytes of text, one row at least. Caches of other operators are emptied
+    first, and what was used is given back in the end."""
+    size = BLOCK_BYTES if size is None else size
+    if not keep_caches:
+        for c in worker_caches:
+            c.clear()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -79,6 +107,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             end = max(at + 1, int(np.searchsorted(total, total[at] + size, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

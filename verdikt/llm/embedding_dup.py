@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, sorted_groups
+from .common import cut, drop_cut, small_batches, sorted_groups
 from .components import connected_components
 
 LEAST = 0.93
@@ -194,6 +194,7 @@ def _counts(least: float):
 def embedding_duplicates(vectors: DataFrame, least: float = LEAST, passes: int = PASSES, window: int = WINDOW, seed: int = 7) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors`` (vec_id, embedding, label)."""
     spark = vectors.sparkSession
+    small_batches(spark)
     kind = dict(vectors.dtypes)["label"]
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding").mapInArrow(_vectors, f"vec_id long, label {kind}, class binary, unit binary")
     rows = cut(rows, "vectors")

@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, blocks, mix
+from .common import blocks, mix, small_batches, U
 
-BINS, SEGMENT = 1 << 16, 256
+BINS, SEGMENT, BLOCK = 1 << 16, 256, 1 << 20
 SWITCH = 6.0
 FIT_DOCUMENTS = 4000
 UNKNOWN = "und"
@@ -77,7 +77,7 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text, lang -> lang, bin (negative: a script), n: counts of a partition."""
     held: dict[str, np.ndarray] = {}
-    for b in blocks(batches):
+    for b in blocks(batches, size=BLOCK):
         langs = b.column(1).to_pylist()
         bins, begins, rows, scripts, real = words(b.column(0).to_pylist())
         ends = np.concatenate([begins[1:], [len(bins)]]).astype(np.int64)
@@ -100,6 +100,7 @@ class Model:
 
 def fit(labelled: DataFrame, most: int = FIT_DOCUMENTS) -> Model:
     """Learn from (text, lang) rows: at most about ``most`` documents of each language, all of those with fewer."""
+    small_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null").select("text", "lang")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -200,7 +201,7 @@ def _labels(model: Model, switch: float):
     names = model.languages
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
+        for b in blocks(batches, size=BLOCK):
             bins, begins, rows, scripts, real = words(b.column(1).to_pylist())
             pred, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
             spans: list[list] = [[] for _ in pred]
@@ -224,5 +225,6 @@ def _labels(model: Model, switch: float):
 
 def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     """doc_id, lang_pred, score and spans (lang, first word, words) for every row of ``docs`` (doc_id, text)."""
+    small_batches(docs.sparkSession)
     shape = "doc_id long, lang_pred string, score double, spans array<struct<lang:string,word:long,words:long>>"
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_labels(model, switch), shape)

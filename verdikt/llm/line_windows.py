@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, small_batches
 
 LINES = 3
 
@@ -66,6 +66,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     starts = later.groupBy("doc_id", "td").agg(F.collect_set("i").alias("starts"))
     starts = cut(starts, "line-starts")
 
+    small_batches(docs.sparkSession)
     taken = docs.columns
     td, sid, std, st, cutted = (_free(taken, x) for x in ("td", "starts_id", "starts_td", "starts", "cutted"))
     starts = starts.toDF(sid, std, st)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, blocks, cut, drop_cut, mix, shingle_sets, sorted_groups, utf8
+from .common import blocks, cut, drop_cut, mix, shingle_sets, small_batches, sorted_groups, U, utf8
 from .components import connected_components
 
 SAMPLES, ROWS, LEAST, BITS = 128, 4, 1024, 2048
@@ -164,6 +164,7 @@ def _blocks_of_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
+    small_batches(docs.sparkSession)
     sig = cut(signatures(docs), "signatures")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = cut(sig.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("node")), "classes")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, runs, span_hashes, utf8, word_hashes
+from .common import blocks, cut, runs, small_batches, span_hashes, utf8, word_hashes
 
 FIT_ROWS = 20_000
 TO_POOLED, TO_IDENTITY = 0.2, 0.02
@@ -88,6 +88,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def describe(docs: DataFrame) -> DataFrame:
     """doc_id and the vector x of ``FEATURES`` for every row."""
+    small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_described, "doc_id long, x array<double>")
 
 

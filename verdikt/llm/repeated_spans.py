@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, U, blocks, cut, drop_cut, mix, sorted_groups, utf8
+from .common import BLOCK_BYTES, blocks, cut, drop_cut, mix, small_batches, sorted_groups, U, utf8
 
 LENGTH, WINDOW, WORD = 400, 320, 16
 COMMON = LENGTH - WINDOW + 1
@@ -270,6 +270,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs, from and to in bytes) and kept (the other bytes) for every row of ``docs``."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     anchors = cut(docs.select(text).mapInArrow(_anchors, ANCHORS), "anchors")
     place = F.struct("td", "p", "lo", "hi")
