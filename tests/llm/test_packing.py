@@ -85,3 +85,21 @@ def test_packer_fills_windows_and_balances_steps():
         load[g] += size
     assert max(load.values()) - min(load.values()) <= 2048
     assert {size for size, _, _ in done} >= {1024, 2048}
+
+
+def test_word_pieces_equal_the_tokenizer(data):
+    """Words of letters encoded apart, with accents and of other scripts, and words that must be left to the tokenizer."""
+    import pandas as pd
+    from tokenizers import Tokenizer
+
+    words = {w for t in pd.read_parquet(f"{data}/documents.parquet").text.dropna() for w in t.lower().split()}
+    words |= {"straße", "naïve", "привет", "你好", "\ufb01", "e\u0301", "a", "x" * 300, "don't", "x1", "\u00c9"}
+    pieces, t = packing.WordPieces(PATH), Tokenizer.from_file(PATH)
+    done = 0
+    for w in words:
+        ids = pieces.of(w.encode())
+        if ids is not None:
+            done += 1
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode(w, add_special_tokens=False).ids
+    assert done > 1000
+    assert [pieces.of(w.encode()) for w in ("don't", "x1", "\u00c9", "e\u0301")] == [None] * 4
