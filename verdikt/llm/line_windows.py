@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches
+from .common import cut, drop_cut, small_batches
 
 LINES = 3
 
@@ -65,6 +65,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     later = windows.join(first, "w").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "td", "i")
     starts = later.groupBy("doc_id", "td").agg(F.collect_set("i").alias("starts"))
     starts = cut(starts, "line-starts")
+    drop_cut(windows)
 
     small_batches(docs.sparkSession)
     taken = docs.columns

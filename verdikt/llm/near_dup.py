@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # Second round: pairs of different components in buckets that hold several of them.
     held = members.where("n > 2").join(comps, "node", "left").select("key", "node", "pivot", "n", F.coalesce("component", "node").alias("comp"))
-    held = cut(held, "bucket-components")
+    seen = held = cut(held, "bucket-components")
     open_ = held.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key")
     held = held.join(open_, "key")
     few = held.where(f"n <= {SMALL}")
@@ -202,6 +202,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = pairs.union(tasks.mapInArrow(_blocks_of_bucket, "a long, b long"))
     more = _confirmed(pairs, sketches, texts)
     comps = cut(connected_components(links.union(more)), "components")
+    for x in (reps, buckets, members, seen, links, more):
+        drop_cut(x)
 
     of = classes.join(comps, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     out = sig.select("doc_id", "n_shingles", "set_hash").join(of, "set_hash", "left")

@@ -300,15 +300,15 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     once = cut(once, "index-input")
     index = once.select(*shape).repartition("key").sortWithinPartitions("key").mapInArrow(_indexed, MARKS)
     equal = once.where("n > 1").select("key", "ctx", "r0", F.array(F.struct("a0", "a1")).alias("starts"))
-    found = cut(index.unionByName(equal), "marks")
-    found = ready.select("key0", "ctx0", "key", "ctx").join(found, ["key", "ctx"]).select(F.col("key0").alias("key"), F.col("ctx0").alias("ctx"), "r0", "starts")
+    held = cut(index.unionByName(equal), "marks")
+    found = ready.select("key0", "ctx0", "key", "ctx").join(held, ["key", "ctx"]).select(F.col("key0").alias("key"), F.col("ctx0").alias("ctx"), "r0", "starts")
     starts = F.explode_outer("starts")
     marks = cut(whole.unionByName(found).select("key", "ctx", starts.alias("s")), "starts")
 
     # a bytes left of the anchor p: the string starts at p - a; a null range stands for all starts of the segment.
     spans = anchors.join(marks, ["key", "ctx"]).select("td", F.struct(F.coalesce(F.col("p") - F.col("s.a1"), "lo").alias("from"), (F.coalesce(F.col("p") - F.col("s.a0"), "hi") + LENGTH).alias("to")).alias("span"))
     spans = cut(spans.groupBy("td").agg(F.collect_set("span").alias("spans")), "spans")
-    for x in (*spare, once, anchors, contexts, marks):
+    for x in (*spare, once, held, anchors, contexts, marks):
         drop_cut(x)
     joined = docs.select("doc_id", text, text_digest().alias("td")).join(spans, "td", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut_out, "doc_id long, n_bytes long, spans array<struct<from:long,to:long>>, kept binary")
