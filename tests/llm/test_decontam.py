@@ -59,6 +59,22 @@ def test_equals_brute_force(spark, monkeypatch):
     assert all(a[k][0] == pytest.approx(b[k][0]) and a[k][1] == b[k][1] for k in b)
 
 
+def test_passages_changed_at_the_end(spark):
+    """Edge-truncated passages at 0.75 to 0.8: all changed words at one end, so that many words differ."""
+    items, docs = [], []
+    for i in range(120):
+        n, lost = [(39, 5), (60, 8), (30, 3)][i % 3]
+        w = prose(3000 + i, n).split()
+        items.append((i, " ".join(w)))
+        cut = w[: n - lost] if i % 2 else w[lost:]
+        rest = prose(4000 + i, 12).split()
+        docs.append((i, " ".join(cut + rest if i % 2 else rest + cut)))
+    a, b = got(spark, docs, items), brute(docs, items)
+    assert len(b) == 120 and all(0.75 <= v[0] < 0.8 for v in b.values())
+    assert a.keys() == b.keys()
+    assert all(a[k][0] == pytest.approx(b[k][0]) and a[k][1] == b[k][1] for k in b)
+
+
 def test_empty_tables(spark):
     assert got(spark, [], [(1, "a b c d e f")]) == {}
     assert got(spark, [(1, "a b c d e f")], []) == {}

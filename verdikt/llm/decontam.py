@@ -1,16 +1,16 @@
-"""Benchmark decontamination by SimHash of item-sized windows, with DataFrame functions only.
+"""Benchmark decontamination by item-sized windows that share their rarest shingles with an item, with DataFrame functions
+only.
 
 A document is contaminated by an item if one of its windows of as many words as the item has reaches a similarity of
 0.75: the weighted Jaccard similarity of their 5-word shingles, each weighted by how often it stands there. Words are
 those of ``WORD`` after A-Z are lower-cased. An item of fewer than five words is one shingle, its whole sequence.
 
-Windows get a SimHash of 64 bits over their words. Of four blocks of 16 bits, one at least differs in two bits or fewer
-if fingerprints differ in 11 or fewer, so each item is listed under every block value within two bits (548 entries), each
-window looks up its four blocks, and all fingerprints within 11 bits are found; the exact similarity then decides. A pair
-at 0.75 shares all words but one in forty or so, which gives five differing bits on average; 11 are exceeded with a
-chance under 0.002, and a document has several windows around the passage.
+Pairs of window and item are found exactly: at 0.75 at least three quarters of either one's shingles are shared, so of
+both in one order, by how many items of that length have a shingle, the first quarters and one more have one in common.
+Items are listed under those shingles, each window looks up its own, and the exact similarity then decides. Nothing at
+0.75 or above is missed, wherever the passage is cut or changed.
 
-Only windows near a shingle that some item has are fingerprinted; the others' similarity is zero. Such a place proposes
+Only windows near a shingle that some item has are looked up; the others' similarity is zero. Such a place proposes
 the window that puts the shared shingle where the item has it, and all windows up to a seventh of the item's shingles
 before or after it: a window of similarity 0.75 lacks no more shingles than that.
 
@@ -32,11 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut
 
-K, RADIUS, LEAST = 5, 11, 0.75
+K, LEAST = 5, 0.75
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLOCK_SHINGLES, BLOCK_ITEMS = 200_000, 2_000
-_LANES = 0x0001000100010001
-_SPREAD = 1 + (1 << 15) + (1 << 30) + (1 << 45)
 
 
 def words(col):
@@ -63,37 +61,24 @@ def _shingles(array: str):
     return F.transform(s, lambda x, i: F.concat_ws("#", x, F.size(F.filter(F.slice(s, 1, i), lambda y: y == x)).cast("string")))
 
 
-def _fingerprints(frame: DataFrame, ids: list[str]) -> DataFrame:
-    """ids and fp, the SimHash of the array column ws: sums of +-1 a bit, kept in lanes of 16 bits while adding up."""
-    w = frame.select(*ids, F.size("ws").alias("n"), F.explode("ws").alias("w")).withColumn("h", F.xxhash64("w"))
-    nibble = lambda g: F.shiftrightunsigned("h", 4 * g).bitwiseAND(F.lit(15))
-    lane = lambda g: (nibble(g) * F.lit(_SPREAD)).bitwiseAND(F.lit(_LANES))
-    sums = w.groupBy(*ids).agg(F.max("n").alias("n"), *(F.sum(lane(g)).alias(f"s{g}") for g in range(16)))
-    bits = [F.when(F.shiftrightunsigned(f"s{g}", 16 * j).bitwiseAND(F.lit(0xFFFF)) * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), 4 * g + j)).otherwise(F.lit(0).cast("long")) for g in range(16) for j in range(4)]
-    return sums.select(*ids, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp"))
+def _firsts(size):
+    """How many shingles, in one order for all, can't all be missing from a partner at 0.75: a quarter, and one."""
+    return size - F.floor((size * 3 + 3) / 4) + 1
 
 
-def _block(b: int):
-    return F.shiftrightunsigned("fp", 16 * b).bitwiseAND(F.lit(0xFFFF))
-
-
-def _masks() -> list[int]:
-    """All values of 16 bits with at most two set."""
-    return [0, *(1 << i for i in range(16)), *(1 << i | 1 << j for i in range(16) for j in range(i))]
-
-
-def item_index(items: DataFrame) -> DataFrame:
-    """Items under every block value within two bits: n, b, value, row, fp. Shingles are joined to what is found."""
-    prints = items.select("row", F.size("ws").alias("n"), "fp")
-    blocks = F.explode(F.array(*(F.struct(F.lit(b).alias("b"), _block(b).alias("v")) for b in range(4)))).alias("block")
-    return prints.select("*", blocks).select("row", "n", "fp", "block.b", F.explode(F.transform(F.array(*map(F.lit, _masks())), lambda m: F.col("block.v").bitwiseXOR(m))).alias("value"))
+def item_index(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How many items of n words have a shingle, as n, h, items; and items under their rarest ones, as n, h, row."""
+    members = items.select("row", F.size("ws").alias("n"), F.size("shingles").alias("size"), F.explode("shingles").alias("s")).select("row", "n", "size", F.xxhash64("s").alias("h"))
+    common = members.groupBy("n", "h").agg(F.count("*").alias("items"))
+    rarest = members.join(common, ["n", "h"]).groupBy("row", "n").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("items", "h"))).alias("all"))
+    return common, rarest.select("n", F.explode(F.slice("all", F.lit(1), _firsts(F.col("size")).cast("int"))).alias("first"), "row").select("n", "first.h", "row").distinct()
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity and word (the first word of the best, then earliest window) of contaminated documents."""
     items = computed_once(benchmark.select("item_id", "text"), words(F.col("text")), "ws").drop("text").where(F.size("ws") > 0).dropDuplicates()
     items = items.withColumn("row", F.xxhash64("item_id", "ws"))
-    items = items.join(_fingerprints(items, ["row"]), "row").withColumn("shingles", _shingles("ws"))
+    items = items.withColumn("shingles", _shingles("ws"))
     items = cut(items, "items")
     total = items.agg(F.sum(F.size("shingles")), F.count("*")).first()
     if not total[1]:
@@ -129,22 +114,21 @@ def _contaminations(docs: DataFrame, items: DataFrame, widths: list[int]) -> Dat
     hits = hits.select("doc_id", "n", "lo", "hi", F.slice("ws", F.col("lo") + 1, F.col("hi") - F.col("lo") + F.col("n")).alias("part")).distinct()
     starts = hits.select("doc_id", "n", "lo", "part", F.explode(F.sequence("lo", "hi")).alias("word"))
     windows = starts.select("doc_id", "word", "n", F.slice("part", F.col("word") - F.col("lo") + 1, F.col("n")).alias("ws"))
-    # equal windows are one: a passage of many documents is fingerprinted and verified once
+    # equal windows are one: a passage of many documents is looked up and verified once
     windows = windows.withColumn("content", F.md5(F.array_join("ws", " ")))
     windows = cut(windows, "windows")
     contents = windows.groupBy("content", "n").agg(F.first("ws").alias("ws"))
-    sized = contents.select("content", F.col("n").alias("of"), "ws")
-    prints = sized.join(_fingerprints(sized, ["content", "of"]), ["content", "of"])
-    probes = F.explode(F.array(*(F.struct(F.lit(b).alias("b"), _block(b).alias("value")) for b in range(4)))).alias("p")
-    probes = prints.select("content", "of", F.col("fp").alias("wfp"), "ws", probes).select("content", F.col("of").alias("n"), "wfp", "ws", "p.*")
-    pairs = probes.join(F.broadcast(item_index(items)), ["n", "b", "value"])
-    differ = F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp")))
-    of_block = lambda b: F.bit_count(F.shiftrightunsigned(F.col("wfp").bitwiseXOR(F.col("fp")), 16 * b).bitwiseAND(F.lit(0xFFFF)))
-    least = F.coalesce(*(F.when(of_block(b) <= 2, F.lit(b)) for b in range(4)))
-    pairs = pairs.where((differ <= RADIUS) & (F.col("b") == least))  # each pair once, from its first near block
-    pairs = pairs.select("content", "n", "row", "ws").join(F.broadcast(items.select("row", "item_id", "shingles")), "row")
+    contents = computed_once(contents, _shingles("ws"), "own").drop("ws")
+    common, rarest = item_index(items)
+    # shingles that no item of that length has come first in the order, and take up places without a partner
+    own = contents.select("content", "n", F.size("own").alias("size"), F.explode("own").alias("s")).select("content", "n", "size", F.xxhash64("s").alias("h"))
+    own = own.join(F.broadcast(common), ["n", "h"]).groupBy("content", "n").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("items", "h"))).alias("all"))
+    left = _firsts(F.col("size")) - (F.col("size") - F.size("all"))
+    probes = own.select("content", "n", F.explode(F.slice("all", F.lit(1), F.greatest(left, F.lit(0)).cast("int"))).alias("first")).select("content", "n", "first.h")
+    pairs = probes.join(F.broadcast(rarest), ["n", "h"]).select("content", "n", "row").distinct()
+    pairs = pairs.join(contents, ["content", "n"]).join(F.broadcast(items.select("row", "item_id", "shingles")), "row")
     both = F.size(F.array_intersect("own", "shingles"))
-    pairs = computed_once(pairs, _shingles("ws"), "own").select("content", "n", "item_id", (both / (F.size("own") + F.size("shingles") - both)).alias("similarity"))
+    pairs = pairs.select("content", "n", "item_id", (both / (F.size("own") + F.size("shingles") - both)).alias("similarity"))
     pairs = cut(pairs.where(F.col("similarity") >= LEAST), "contents")
     return windows.select("doc_id", "word", "n", "content").join(pairs, ["content", "n"]).select("doc_id", "item_id", "similarity", "word")
 
@@ -155,7 +139,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("contaminated_id")), "left_anti")
 
 
-#: Without fingerprints: what a scan of all proposed windows finds.
+#: Without the index: what a scan of all proposed windows finds.
 SQL = """
 with d as (select doc_id, string_split(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), ' ') ws from documents),
 b as (select item_id, string_split(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), ' ') ws from benchmark),
