@@ -75,6 +75,21 @@ def test_passages_changed_at_the_end(spark):
     assert all(a[k][0] == pytest.approx(b[k][0]) and a[k][1] == b[k][1] for k in b)
 
 
+def test_passages_with_parts_swapped(spark):
+    items, docs = [], []
+    for i, (n, at) in enumerate([(100, 50), (59, 30), (59, 20), (200, 100)]):
+        w = prose(5000 + i, n).split()
+        items.append((i, " ".join(w)))
+        docs += [(10 * i, prose(5100 + i, 40) + " " + " ".join(w[at:] + w[:at]) + " " + prose(5200 + i, 300)), (10 * i + 1, " ".join(w[at:] + w[:at])), (10 * i + 2, " ".join(w[at + 3 :] + w[:at]))]
+    items += [(10, "again and " * 9), (11, "one two"), (12, "a")]
+    docs += [(90, "and again " * 40), (91, "two one two"), (92, None), (None, docs[0][1]), (93, items[0][1] + " " + items[0][1])]
+    docs.append((0, "another text of the same doc_id " + items[1][1]))
+    a, b = got(spark, docs, items), brute(docs, items)
+    assert {(10 * i, i) for i in range(4)} <= b.keys()
+    assert a.keys() == b.keys()
+    assert all(a[k][0] == pytest.approx(b[k][0]) and a[k][1] == b[k][1] for k in b)
+
+
 def test_empty_tables(spark):
     assert got(spark, [], [(1, "a b c d e f")]) == {}
     assert got(spark, [(1, "a b c d e f")], []) == {}

@@ -10,9 +10,10 @@ both in one order, by how many items of that length have a shingle, the first qu
 Items are listed under those shingles, each window looks up its own, and the exact similarity then decides. Nothing at
 0.75 or above is missed, wherever the passage is cut or changed.
 
-Only windows near a shingle that some item has are looked up; the others' similarity is zero. Such a place proposes
-the window that puts the shared shingle where the item has it, and all windows up to a seventh of the item's shingles
-before or after it: a window of similarity 0.75 lacks no more shingles than that.
+Only windows that hold enough shared shingles are looked up: a full window at 0.75 has at least six in seven of its places
+taken by shingles of items of its length, in whatever order, and a document shorter than the item three in seven of both
+together. Shared places are listed for each text and length; the windows that hold enough of them follow from the sorted
+list, and only texts that have such windows are read again for their words.
 
 Item tables are taken in blocks of at most ``BLOCK_SHINGLES`` shingles, by a hash of the item, so that what is broadcast
 is bounded; blocks run one after the other over all documents. Documents are exploded inside one code-generated stage,
@@ -52,13 +53,14 @@ def _shingle(array: str, at, k: int):
     return F.xxhash64(F.lit(k), *(F.get(array, at + j) for j in range(k)))
 
 
-def _shingles(array: str):
-    """Shingles of an array of words with the number of equal ones before, so that counts become distinct members."""
-    n = F.size(array)
-    one = F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join(array, " ")))
-    many = F.transform(F.sequence(F.lit(1), n - K + 1), lambda i: F.array_join(F.slice(array, i, K), " "))
-    s = F.when(n >= K, many).otherwise(one)
-    return F.transform(s, lambda x, i: F.concat_ws("#", x, F.size(F.filter(F.slice(s, 1, i), lambda y: y == x)).cast("string")))
+def with_shingles(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the shingles of ws, with the number of equal ones before, so that counts become distinct members."""
+    n = F.size("ws")
+    one = F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join("ws", " ")))
+    many = F.transform(F.sequence(F.lit(1), n - K + 1), lambda i: F.array_join(F.slice("ws", i, K), " "))
+    df = computed_once(df, F.when(n >= K, many).otherwise(one), "plain")
+    numbered = F.transform("plain", lambda x, i: F.concat_ws("#", x, F.size(F.filter(F.slice("plain", 1, i), lambda y: y == x)).cast("string")))
+    return computed_once(df, numbered, name).drop("plain")
 
 
 def _firsts(size):
@@ -66,6 +68,20 @@ def _firsts(size):
     return size - F.floor((size * 3 + 3) / 4) + 1
 
 
+def _starts(n, m):
+    """The starts of windows of n of m words that hold enough of the places in the sorted array ``at``. Of the windows whose
+    first place is at[j], those that start behind at[j - 1] and reach the last place needed."""
+    size = n - F.least(n, F.lit(K)) + 1
+    need = F.floor((size * 6 + 6) / 7).cast("int")
+    first = lambda j: F.greatest(F.get("at", j + need - 1) - size + 1, F.coalesce(F.get("at", j - 1) + 1, F.lit(0)), F.lit(0))
+    last = lambda j: F.least(F.get("at", j), m - n)
+    none = F.array().cast("array<int>")
+    ranges = F.transform(F.sequence(F.lit(0), F.size("at") - need), lambda j: F.when(first(j) <= last(j), F.sequence(first(j), last(j))).otherwise(none))
+    whole = F.size("at") * 7 >= (size + F.greatest(m - K + 1, F.lit(1))) * 3
+    short = F.when(whole, F.array(F.lit(0))).otherwise(none)
+    return F.when(m < n, short).when(F.size("at") >= need, F.flatten(ranges)).otherwise(none)
+
+
 def item_index(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """How many items of n words have a shingle, as n, h, items; and items under their rarest ones, as n, h, row."""
     members = items.select("row", F.size("ws").alias("n"), F.size("shingles").alias("size"), F.explode("shingles").alias("s")).select("row", "n", "size", F.xxhash64("s").alias("h"))
@@ -78,7 +94,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity and word (the first word of the best, then earliest window) of contaminated documents."""
     items = computed_once(benchmark.select("item_id", "text"), words(F.col("text")), "ws").drop("text").where(F.size("ws") > 0).dropDuplicates()
     items = items.withColumn("row", F.xxhash64("item_id", "ws"))
-    items = items.withColumn("shingles", _shingles("ws"))
+    items = with_shingles(items, "shingles")
     items = cut(items, "items")
     total = items.agg(F.sum(F.size("shingles")), F.count("*")).first()
     if not total[1]:
@@ -98,27 +114,27 @@ def _contaminations(docs: DataFrame, items: DataFrame, widths: list[int]) -> Dat
         at = one.select("ws", F.size("ws").alias("n"), F.explode(F.sequence(F.lit(0), F.size("ws") - k)).alias("o"))
         known.append(at.select(_shingle("ws", F.col("o"), k).alias("h"), "n", "o").withColumn("k", F.lit(k)))
     known = reduce(DataFrame.union, known).distinct()
-    slack = F.when(F.col("n") > K, F.ceil((F.col("n") - K + 1) / 7)).otherwise(0).cast("int")
-    known = known.groupBy("h").agg(F.collect_set(F.struct("n", "o", slack.alias("slack"))).alias("at"))
-    text = computed_once(docs.select("doc_id", "text"), words(F.col("text")), "ws").drop("text")
+    known = known.groupBy("h").agg(F.collect_set("n").alias("of"))
+    text = docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("digest"))
+    apart = computed_once(text.select("digest", "text"), words(F.col("text")), "ws").drop("text")
     places = []
     for k in widths:
-        p = text.where(F.size("ws") >= k).select("doc_id", "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - k)).alias("i"))
-        places.append(p.withColumn("h", _shingle("ws", F.col("i"), k)).join(F.broadcast(known), "h").select("doc_id", "i", "ws", F.explode("at").alias("at")).select("doc_id", "i", "ws", "at.*"))
-    hits = reduce(DataFrame.unionByName, places)
-    first, size = F.col("i") - F.col("o"), F.size("ws")
-    last = F.greatest(size - F.col("n"), F.lit(0))
-    inside = lambda x: F.least(F.greatest(x, F.lit(0)), last)
-    # the words that windows around this place can hold; one row for each aligned start
-    hits = hits.select("doc_id", "n", "slack", inside(first - F.col("slack")).alias("lo"), inside(first + F.col("slack")).alias("hi"), "ws")
-    hits = hits.select("doc_id", "n", "lo", "hi", F.slice("ws", F.col("lo") + 1, F.col("hi") - F.col("lo") + F.col("n")).alias("part")).distinct()
-    starts = hits.select("doc_id", "n", "lo", "part", F.explode(F.sequence("lo", "hi")).alias("word"))
-    windows = starts.select("doc_id", "word", "n", F.slice("part", F.col("word") - F.col("lo") + 1, F.col("n")).alias("ws"))
+        p = apart.where(F.size("ws") >= k).select("digest", F.size("ws").alias("m"), "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - k)).alias("i"))
+        p = p.select("digest", "m", "i", _shingle("ws", F.col("i"), k).alias("h"))
+        p = p.join(F.broadcast(known.where(F.exists("of", lambda n: F.least(n, F.lit(K)) == k))), "h").select("digest", "m", "i", F.explode("of").alias("n"))
+        places.append(p.where(F.least(F.col("n"), F.lit(K)) == k))
+    places = reduce(DataFrame.unionByName, places)
+    found = places.groupBy("digest", "m", "n").agg(F.array_sort(F.collect_set("i")).alias("at"))
+    starts = cut(found.select("digest", "n", F.explode(_starts(F.col("n"), F.col("m"))).alias("word")), "starts")
+    per_text = starts.groupBy("digest").agg(F.collect_list(F.struct("n", "word")).alias("starts"))
+    # always by shuffle: a text with many copies or windows is then no broadcast, and growth stays in proportion
+    texts = computed_once(text.join(per_text.hint("merge"), "digest"), words(F.col("text")), "ws").select("doc_id", "ws", F.explode("starts").alias("start"))
+    windows = texts.select("doc_id", "start.word", "start.n", F.slice("ws", F.col("start.word") + 1, F.col("start.n")).alias("ws"))
     # equal windows are one: a passage of many documents is looked up and verified once
     windows = windows.withColumn("content", F.md5(F.array_join("ws", " ")))
     windows = cut(windows, "windows")
     contents = windows.groupBy("content", "n").agg(F.first("ws").alias("ws"))
-    contents = computed_once(contents, _shingles("ws"), "own").drop("ws")
+    contents = with_shingles(contents, "own").drop("ws")
     common, rarest = item_index(items)
     # shingles that no item of that length has come first in the order, and take up places without a partner
     own = contents.select("content", "n", F.size("own").alias("size"), F.explode("own").alias("s")).select("content", "n", "size", F.xxhash64("s").alias("h"))
@@ -139,7 +155,8 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("contaminated_id")), "left_anti")
 
 
-#: Without the index: what a scan of all proposed windows finds.
+#: Without the index: what a scan of the windows near an aligned shingle finds. It leaves out windows whose shared shingles
+#: all lie elsewhere than in the item, which ``contaminations`` does find.
 SQL = """
 with d as (select doc_id, string_split(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), ' ') ws from documents),
 b as (select item_id, string_split(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), ' ') ws from benchmark),
