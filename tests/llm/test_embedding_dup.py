@@ -1,7 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from verdikt.llm.embedding_dup import embedding_duplicates
+from verdikt.llm.embedding_dup import embedding_duplicates, passes_for
 
 SHAPE = "vec_id long, embedding array<float>, label int"
 
@@ -67,6 +68,23 @@ def test_recall_against_brute_force(spark, noise):
     assert all(have[i][1] <= want[i][1] for i in want)
 
 
+def test_recall_in_a_large_label(spark):
+    """Lone pairs at the cosine limit in a label of 100,000 vectors: no third vector helps to find them."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(99_000, 64))
+    a = x[:1000] / np.linalg.norm(x[:1000], axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    x = np.vstack([x, 0.9302 * a + np.sqrt(1 - 0.9302**2) * b]).astype(np.float32)
+    n = len(x)
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * n + 1, 64, dtype=np.int32)), pa.array(x.ravel()))
+    t = pa.table({"vec_id": pa.array(np.arange(n)), "embedding": vectors, "label": pa.array(np.zeros(n, np.int32))})
+    found = embedding_duplicates(spark.createDataFrame(t)).where("n_links = 1").count()
+    assert 0.995 * 2000 <= found <= 2000
+    assert passes_for(10_000_000) > passes_for(1_000_000) > passes_for(100_000) > 12
+
+
 def test_group_beyond_the_window(spark):
     """A group of copies far larger than the window keeps every link."""
     rng = np.random.default_rng(1)

@@ -9,9 +9,12 @@ out, at most one edge a row. The union of all passes gives components.
 Links are counted inside components only, where all links between different vectors must lie: members are dealt into
 blocks of 512 and each pair of blocks is one matrix product, so no pair becomes a row. Copies count by class sizes.
 
-A pair at the cosine limit is a neighbour of a window in one pass with a chance of about a half at 5,000 vectors a label
-and in none of 12 passes with a chance under 0.001; closer pairs are missed less often. Members that any chain of found
-pairs joins are all counted exactly. ``tests/llm`` measures recall against brute force.
+Passes are as many as the largest label needs: where a label's vectors spread in direction, a pair at the cosine limit are
+neighbours of a window in one pass with a chance that falls with the label's rows (measured with windows of 64: 0.43 at
+5,000, 0.28 at 100,000, 0.20 at 500,000), and ``passes_for`` takes so many that none meets them with a chance under
+``MISSED``; closer pairs are missed less often. Vectors crowded about one direction share sign bits, which lowers the
+chance; nothing bounds it there. Members that any chain of found pairs joins are all counted exactly. ``tests/llm``
+measures recall against brute force, and on a label of 100,000 vectors.
 
 Defined results: rows whose label or vector is null, whose vector is empty or zero or holds null or non-finite
 components link with nothing: 0 links, own component, kept. Vectors of different length don't link. Rows that repeat a
@@ -23,6 +26,7 @@ are read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +39,19 @@ from .common import cut, drop_cut, small_batches, sorted_groups
 from .components import connected_components
 
 LEAST = 0.93
-PASSES, WINDOW, SIGNS, BLOCK = 12, 64, 64, 512
+WINDOW, SIGNS, BLOCK = 64, 64, 512
+MISSED = 0.001
+
+
+def passes_for(rows: int, window: int = WINDOW, least: float = LEAST) -> int:
+    """Passes after which a pair at the limit in a label of ``rows`` vectors is still unmet with a chance under ``MISSED``.
+
+    Neighbours of a window share about log2(rows / window) leading bits, each with the chance 1 - angle / pi; a twentieth is
+    taken off, as the measured chances lie up to that much below.
+    """
+    bits = math.log2(max(rows, 2 * window) / window)
+    met = 0.95 * (1 - math.acos(least) / math.pi) ** bits
+    return max(12, math.ceil(math.log(MISSED) / math.log(1 - met)))
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +207,7 @@ def _counts(least: float):
     return count
 
 
-def embedding_duplicates(vectors: DataFrame, least: float = LEAST, passes: int = PASSES, window: int = WINDOW, seed: int = 7) -> DataFrame:
+def embedding_duplicates(vectors: DataFrame, least: float = LEAST, passes: int | None = None, window: int = WINDOW, seed: int = 7) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors`` (vec_id, embedding, label)."""
     spark = vectors.sparkSession
     small_batches(spark)
@@ -202,6 +218,8 @@ def embedding_duplicates(vectors: DataFrame, least: float = LEAST, passes: int =
     reps = rows.join(classes.where("node is not null"), "class").where("vec_id = node")
     reps = cut(reps.groupBy("class").agg(F.first("label").alias("label"), F.first("node").alias("node"), F.first("unit").alias("unit"), F.first("size").alias("size")), "class-vectors")
 
+    if passes is None:
+        passes = passes_for(reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0, window, least)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keyed = reps.select("node", "label", "unit").mapInArrow(_projector(seed, passes), f"pass int, n int, label {kind}, key binary, node long, unit binary")
     order = ["pass", "n", "label", "key", "node"]
