@@ -3,8 +3,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from verdikt.llm import packing
+from verdikt.llm import packing, tokens
 
 from .fixtures import frame, prose
 
@@ -12,6 +14,11 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+@pytest.fixture(scope="module")
+def coder():
+    return tokens.Ids(PATH)
+
+
 def ids_of(texts):
     from tokenizers import Tokenizer
 
@@ -60,13 +67,29 @@ def test_edges(spark):
     assert sorted((r["doc_id"] or 0, r["doc_tokens"]) for r in twice if r["start"] == 0) == [(0, 2), (1, 2), (1, 2)]
 
 
-def test_small_cache_and_pool(spark, data, monkeypatch):
-    """A cache that overflows and several pools a partition."""
-    monkeypatch.setattr(packing, "CACHE_WORDS", 300)
-    coder = packing.Ids(PATH)
-    texts = [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").limit(30).collect()]
-    for t, ids in zip(texts, ids_of(texts), strict=True):
-        assert np.frombuffer(coder.of(t.encode()), "<u4").tolist() == ids[:-1]
+def test_small_slices(spark, data, monkeypatch):
+    """Texts in many slices give the whole text's ids."""
+    monkeypatch.setattr(tokens, "SLICE", 50)
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").limit(30).collect()]
+    for got, ids in zip(tokens.Ids(PATH).of(texts), ids_of(texts), strict=True):
+        assert got.tolist() == ids[:-1]
+
+
+@given(st.lists(st.text(st.one_of(st.sampled_from("aZ09'sStTreVElLmMdD \t\n.,-\u00c9\u00e9\u0301\u03a3\u0130\u4f60\u2019\u00a0\u0001"), st.characters(codec="utf-8")), max_size=30), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_any_text_has_the_tokenizers_ids(coder, texts):
+    for got, ids in zip(coder.of(texts), ids_of(texts), strict=True):
+        assert got.tolist() == ids[:-1]
+
+
+def test_few_texts_leave_the_shorter_way(coder, data):
+    import pandas as pd
+
+    slow = []
+    coder._slow, whole = lambda texts: slow.extend(texts) or whole(texts), coder._slow
+    texts = [*pd.read_parquet(f"{data}/documents.parquet").text.fillna(""), "na\u00efve don't \u4f60\u597d \u043f\u0440\u0438\u0432\u0435\u0442 \u2014 caf\u00c9 \U0001f600"]
+    coder.of(texts)
+    assert not [t for t in slow if t.isalpha()] and len(slow) <= 2
 
 
 def test_packer_fills_windows_and_balances_steps():
@@ -87,19 +110,11 @@ def test_packer_fills_windows_and_balances_steps():
     assert {size for size, _, _ in done} >= {1024, 2048}
 
 
-def test_word_pieces_equal_the_tokenizer(data):
-    """Words of letters encoded apart, with accents and of other scripts, and words that must be left to the tokenizer."""
-    import pandas as pd
+def test_other_tokenizers(spark):
+    """A file of another kind is encoded by the library alone."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
 
-    words = {w for t in pd.read_parquet(f"{data}/documents.parquet").text.dropna() for w in t.lower().split()}
-    words |= {"straße", "naïve", "привет", "你好", "\ufb01", "e\u0301", "a", "x" * 300, "don't", "x1", "\u00c9"}
-    pieces, t = packing.WordPieces(PATH), Tokenizer.from_file(PATH)
-    done = 0
-    for w in words:
-        ids = pieces.of(w.encode())
-        if ids is not None:
-            done += 1
-            assert np.frombuffer(ids, "<u4").tolist() == t.encode(w, add_special_tokens=False).ids
-    assert done > 1000
-    assert [pieces.of(w.encode()) for w in ("don't", "x1", "\u00c9", "e\u0301")] == [None] * 4
+    t, texts = Tokenizer.from_file(path), ["Two  words, x_y 3.14", "", "\u4f60"]
+    for got, e in zip(tokens.Ids(path).of(texts), t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert got.tolist() == e.ids

@@ -79,10 +79,6 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-#: Caches that a worker process keeps between tasks of one operator.
-worker_caches: list = []
-
-
 def give_back() -> None:
     """Return freed memory to the system: a Python worker lives on after its tasks, beside those of other operators."""
     pa.default_memory_pool().release_unused()
@@ -91,13 +87,9 @@ def give_back() -> None:
         trim(0)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int | None = None, keep_caches: bool = False) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most ``size`` bytes of text, one row at least. Caches of other operators are emptied
-    first, and what was used is given back in the end."""
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most ``size`` bytes of text, one row at least. What was used is given back in the end."""
     size = BLOCK_BYTES if size is None else size
-    if not keep_caches:
-        for c in worker_caches:
-            c.clear()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -9,8 +9,7 @@ no sequence needs padding. The windows of a pool are dealt to step groups of equ
 emptiest group.
 
 One pass without a shuffle: a partition needs its own documents only, a lost one is packed again alike. Memory holds a
-pool, one document and the tokenizer's cache. Tokens are looked up by pieces between ASCII white space, which this
-tokenizer never joins; the tests compare with whole texts.
+pool, a block of texts and the ids of one document. Ids come from ``tokens.Ids``.
 
 Defined results: a null or empty text has its end id alone; rows that repeat a doc_id are packed as documents of their
 own; null doc_ids are kept; an empty table gives no rows; only doc_id and text are read. ``sequence_id`` holds the
@@ -21,10 +20,8 @@ from __future__ import annotations
 
 import bisect
 import heapq
-import json
-import os
-import unicodedata
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,155 +29,22 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import blocks, small_batches, utf8, worker_caches
+from .common import blocks, small_batches
+from .tokens import Ids
 
 TIERS = (256, 512, 1024, 2048)
 END = 1
 POOL_TOKENS, STEP_TOKENS = 1 << 20, 16 * 2048
-CACHE_WORDS, SLICE = 250_000, 1 << 20
-#: Fixed value: punctuation that is looked up apart at the end of a piece.
-TAIL = b".,;:!?#$%&*)]}|\"+-=/"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids array<int>"
 
 
-def _byte_letters() -> dict[str, int]:
-    """The characters that byte-level vocabularies write bytes with."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
-
-
-class WordPieces:
-    """Byte pair encoding of single lower-case words of letters, from the tokenizer's own merges.
-
-    The merges are given to a faster encoder as ranked byte strings; 0xFF, which UTF-8 never holds, stands for the word's
-    end, and a last letter with its end is a symbol from the start. Ids are those of the tokenizer, as the tests check.
-    """
-
-    def __init__(self, path: str) -> None:
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        if model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>":
-            raise ValueError("words of this tokenizer can't be encoded apart")
-        letters = _byte_letters()
-
-        def raw(token: str) -> bytes:
-            word = token.removesuffix("</w>")
-            return bytes(letters[c] for c in word) + (b"\xff" if token != word else b"")
-
-        ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 255]): 256 + b for b in range(255)}
-        for pair in model["merges"]:
-            ranks.setdefault(raw("".join(pair.split(" ") if isinstance(pair, str) else pair)), len(ranks))
-        self.ids = np.zeros(512 + len(ranks), "<u4")
-        for token, i in model["vocab"].items():
-            if not token.startswith("<|") and (rank := ranks.get(raw(token))) is not None:
-                self.ids[rank] = i
-        self.encode = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-
-    def of(self, word: bytes) -> bytes | None:
-        """Ids of a word of letters; None if it may be normalised or split."""
-        if not (word.isalpha() and word.islower()):
-            text = word.decode()
-            if not text.isalpha() or text != text.lower() or not unicodedata.is_normalized("NFC", text):
-                return None
-        return self.ids[self.encode(word + b"\xff")].tobytes()
-
-
-class Ids:
-    """Token ids of a text as little-endian 32-bit bytes, with a bounded cache of pieces between white space.
-
-    The tokenizer lower-cases and parts letters from punctuation, so a piece is looked up in lower case, and a new one
-    without its trailing punctuation. The cache has two generations: when the younger is full the older is forgotten, and
-    what is used again moves to the younger, so frequent pieces stay.
-    """
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words = WordPieces(path)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def clear(self) -> None:
-        self.young, self.old = {}, {}
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Put the pieces into the young generation."""
-        young, old = self.young, self.old
-        parted: list[tuple[bytes, bytes, bytes]] = []
-        new: set[bytes] = set()
-        for w in words:
-            if (ids := old.get(w)) is not None:
-                young[w] = ids
-                continue
-            core = w.rstrip(TAIL)
-            # a letter or digit before the punctuation is a border of the tokenizer's own split
-            if core and core != w and core[-1] < 128 and core[-1:].isalnum() and b"<|" not in w:
-                tail = w[len(core) :]
-                parted.append((w, core, tail))
-                new.update((core, tail))
-            else:
-                new.add(w)
-        missing = []
-        for w in new:
-            if w in young:
-                continue
-            if (ids := old.get(w) or self.words.of(w)) is not None:
-                young[w] = ids
-            else:
-                missing.append(w)
-        if missing:
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False), strict=True):
-                young[w] = np.array(e.ids, "<u4").tobytes()
-        for w, core, tail in parted:
-            young[w] = young[core] + young[tail]
-
-    def _know(self, words: set[bytes]) -> None:
-        new = words.difference(self.young)
-        if new and len(self.young) + 2 * len(new) > CACHE_WORDS:
-            self.old, self.young, new = self.young, {}, words
-        if new:
-            self._learn(new)
-
-    @staticmethod
-    def _lower(raw: bytes) -> bytes:
-        # a special token is one in lower case only
-        return raw if b"<|" in raw else raw.lower()
-
-    def of(self, raw: bytes) -> bytes:
-        """The ids of one text of any length, in slices that end at white space."""
-        raw, out, at = self._lower(raw), [], 0
-        while at < len(raw):
-            end = at + SLICE
-            while end < len(raw) and raw[end] not in b" \t\n\r\x0b\x0c":
-                end += 1
-            words = raw[at:end].split()
-            at = end
-            self._know(set(words))
-            out.append(b"".join(map(self.young.__getitem__, words)))
-        return b"".join(out)
-
-    def of_many(self, raws: list[bytes]) -> list[bytes]:
-        """The ids of texts of a block; their words are looked up together."""
-        if sum(map(len, raws)) > 2 * SLICE:
-            return [self.of(r) for r in raws]
-        texts = [self._lower(r).split() for r in raws]
-        self._know(set().union(*texts))
-        return [b"".join(map(self.young.__getitem__, words)) for words in texts]
-
-
 _coders: dict[str, Ids] = {}
 
 
 def coder_of(path: str) -> Ids:
-    """One cache a worker process, so that it serves the tasks that come after."""
+    """One for each worker process, so that it serves the tasks that come after."""
     if path not in _coders:
         _coders[path] = Ids(path)
-        worker_caches.append(_coders[path])
     return _coders[path]
 
 
@@ -243,19 +107,19 @@ class Packer:
 
     def finish(self) -> None:
         """Cut what is left at powers of two."""
-        rest = [x for p in reversed(self.pool) for x in reversed(p)]
+        rest = deque(x for p in reversed(self.pool) for x in reversed(p))
         self.pool = [[] for _ in self.tiers]
         left = sum(x[0] for x in rest)
         while left:
             size = gap = min(self.tiers[-1], 1 << (left.bit_length() - 1))
             parts = []
             while gap:
-                length, k, start = rest.pop(0)
+                length, k, start = rest.popleft()
                 used = min(gap, length)
                 parts.append((k, start, used))
                 gap -= used
                 if used < length:
-                    rest.insert(0, (length - used, k, start + used))
+                    rest.appendleft((length - used, k, start + used))
             left -= size
             self.windows.append((size, parts))
 
@@ -300,11 +164,10 @@ def _packed(path: str, tiers: tuple[int, ...], with_ids: bool):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-        for b in blocks(batches, keep_caches=True):
-            data, offsets = utf8(b.column(1))
-            raws = [data[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
-            for doc_id, ids in zip(b.column(0).to_pylist(), coder.of_many(raws), strict=True):
-                packer.add(doc_id, ids + end)
+        for b in blocks(batches):
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for doc_id, ids in zip(b.column(0).to_pylist(), coder.of(texts), strict=True):
+                packer.add(doc_id, ids.tobytes() + end)
                 if packer.tokens >= POOL_TOKENS:
                     packer.pack()
                     yield from flush()
