@@ -80,6 +80,7 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    copies: dict[bytes, int] = {}
     for b in blocks(batches):
         data, offsets = utf8(b.column(0))
         rows: list[tuple] = []
@@ -89,6 +90,10 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             raw = text.tobytes()
             td = hashlib.md5(raw).digest()[:12]
+            # counts matter as one or more: a task's third copy of a text and those after it add nothing
+            copies[td] = copies.get(td, 0) + 1
+            if copies[td] > 2:
+                continue
             for base in range(0, len(raw) - LENGTH + 1, BLOCK_BYTES):
                 for p, lo, hi in zip(*(x.tolist() for x in segments(text[base : base + BLOCK_BYTES + LENGTH - 1])), strict=True):
                     p, lo, hi = p + base, lo + base, hi + base
@@ -154,7 +159,8 @@ def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class RunLengthIndex:
     """A Burrows-Wheeler transform as runs, with suffixes and common prefix lengths sampled at the runs' ends.
 
-    ``text`` holds symbols under 65,536, and each of its strings ends in a symbol of its own, so all suffixes differ.
+    ``text`` holds symbols under 65,536, and each of its strings ends in a symbol of its own, so all suffixes differ. Of
+    the transform only the runs' borders are kept: streaming reads nothing but the samples there.
     """
 
     def __init__(self, text: np.ndarray) -> None:
@@ -162,23 +168,26 @@ class RunLengthIndex:
         self.n = n
         padded = np.concatenate([text.astype(U), np.zeros(4, U)])
         key = padded[:n] << U(48) | padded[1 : n + 1] << U(32) | padded[2 : n + 2] << U(16) | padded[3 : n + 3]
-        levels = []  # ranks of the prefixes of 4, 8, 16 ... symbols
-        step = 4
+        order, rank = np.argsort(key), np.empty(n, np.int64)
+        place, key, step, levels = np.arange(n), key[order], 4, []  # levels: ranks of the prefixes of 4, 8, 16 ... symbols
+        # a group of suffixes that agree so far has its first place as rank; only groups of several are sorted on
         while True:
-            order = np.argsort(key)
-            new = np.concatenate([[False], key[order[1:]] != key[order[:-1]]])
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new)
+            first = np.flatnonzero(np.concatenate([[True] * min(n, 1), key[1:] != key[:-1]]))
+            size = np.diff(np.concatenate([first, [len(key)]]))
+            rank[order[place]] = np.repeat(place[first], size)
             levels.append(rank.astype(np.int32))
-            if not n or rank[order[-1]] == n - 1:
+            place = place[np.repeat(size > 1, size)]
+            if not len(place):
                 break
-            after = np.concatenate([rank[step:] + 1, np.zeros(min(step, n), np.int64)])
-            key = rank * (n + 1) + after
+            suffix = order[place]
+            after = np.where(suffix + step < n, rank[np.minimum(suffix + step, n - 1)] + 1, 0)
+            key = rank[suffix] * (n + 1) + after
+            by = np.argsort(key)
+            order[place], key = suffix[by], key[by]
             step *= 2
         before = text[order - 1] if n else text
         breaks = np.flatnonzero(before[1:] != before[:-1]) + 1
         self.heads, self.tails = np.concatenate([[0], breaks]).astype(np.int64), np.concatenate([breaks, [n]]).astype(np.int64) - 1
-        self.symbols = before[self.heads]
         self.head_suffix, self.tail_suffix = order[self.heads], order[self.tails]
         self.head_prefix = self._common(text, levels, self.head_suffix, order[self.heads - 1], self.heads > 0)
         self.tail_prefix = self._common(text, levels, self.tail_suffix, order[np.minimum(self.tails + 1, n - 1)], self.tails < n - 1)
@@ -215,22 +224,52 @@ class RunLengthIndex:
 MARKS = "key binary, ctx binary, r0 int, starts array<struct<a0:int,a1:int>>"
 
 
+def sharing(rows: list[tuple]) -> list[tuple]:
+    """Of the contexts of one key those that can repeat: the range of starts is parted in eight, and all strings that start in
+    a part hold the same bytes about the anchor, so a context stays, with the starts of the parts in question, where another
+    one has these bytes too. Rows are (key, ctx, r0, r1, a0, a1, left, right)."""
+    r0, r1 = rows[0][2], rows[0][3]
+    width = max(1, (r1 - r0 + 8) // 8)
+    seen: dict[tuple, list[int]] = {}
+    for i, (_, _, _, _, a0, a1, left, right) in enumerate(rows):
+        for q0 in range(r0 + (a0 - r0) // width * width, a1 + 1, width):
+            q1 = min(q0 + width - 1, r1)
+            seen.setdefault((q0, left[len(left) - (q0 - r0) :], right[: r1 - q1]), []).append(i)
+    hull: dict[int, list[int]] = {}
+    for (q0, _, _), own in seen.items():
+        if len(own) > 1:
+            for i in own:
+                h = hull.setdefault(i, [q0, q0])
+                h[0], h[1] = min(h[0], q0), max(h[1], q0)
+    out = []
+    for i, (low, high) in sorted(hull.items()):
+        key, ctx, _, _, a0, a1, left, right = rows[i]
+        a0, a1 = max(a0, low), min(a1, high + width - 1)
+        out.append((key, ctx, r0, r1, a0, a1, left[len(left) - (a1 - r0) :], right[: r1 - a0]))
+    return out
+
+
+def _index_text(groups: list[list[tuple]]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of the groups' contexts, each with its common part as one symbol, and where each context begins."""
+    rows = [r for g in groups for r in g]
+    text = np.frombuffer(b"".join(x for r in rows for x in (r[6], b"\0", r[7], b"\0")), np.uint8).astype(np.uint16) + np.uint16(1)
+    sizes = np.array([(len(r[6]), len(r[7])) for r in rows], np.int64) + 1
+    begins = np.concatenate([[0], np.cumsum(sizes.sum(1))])
+    text[begins[:-1] + sizes[:, 0] - 1] = 257 + np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    text[begins[1:] - 1] = 257 + len(groups) + np.arange(len(rows))
+    return text, begins[:-1]
+
+
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated starts, as ranges of a, of contexts that come sorted by key; several keys share an index."""
 
-    def flush(groups: list[pa.Table]) -> pa.RecordBatch:
-        parts, place, ends = [], 0, 256 + len(groups)
-        rows = []
-        for g, t in enumerate(groups):
-            for x in t.to_pylist():
-                s = np.concatenate([np.frombuffer(x["left"], np.uint8).astype(np.uint16) + 1, [257 + g], np.frombuffer(x["right"], np.uint8).astype(np.uint16) + 1, [ends + 1 + len(rows)]])
-                parts.append(s)
-                rows.append((x["key"], x["ctx"], x["r0"], x["r1"], x["a0"], x["a1"], place))
-                place += len(s)
-        found = RunLengthIndex(np.concatenate(parts)).matching_statistics()
+    def flush(groups: list[list[tuple]]) -> pa.RecordBatch:
+        text, begins = _index_text(groups)
+        found = RunLengthIndex(text).matching_statistics()
         out = []
-        for key, ctx, r0, r1, a0, a1, at in rows:
-            hit = np.concatenate([[False], found[at : at + a1 - a0 + 1] >= r1 - r0 + 1, [False]])
+        for (key, ctx, r0, r1, a0, a1, _, _), at in zip((r for g in groups for r in g), begins.tolist(), strict=True):
+            hit = np.zeros(a1 - a0 + 3, bool)
+            np.greater_equal(found[at : at + a1 - a0 + 1], r1 - r0 + 1, out=hit[1:-1])
             edge = np.flatnonzero(hit[1:] != hit[:-1]).tolist()
             if edge:
                 out.append((key, ctx, r0, [{"a0": a1 - j + 1, "a1": a1 - i} for i, j in zip(edge[::2], edge[1::2], strict=True)]))
@@ -240,9 +279,12 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     groups, symbols, rows = [], 0, 0
     for t in sorted_groups(batches, ["key"]):
-        groups.append(t)
-        symbols += t.nbytes
-        rows += t.num_rows
+        own = sharing(list(zip(*(t.column(c).to_pylist() for c in ("key", "ctx", "r0", "r1", "a0", "a1", "left", "right")), strict=True)))
+        if not own:
+            continue
+        groups.append(own)
+        symbols += sum(len(r[6]) + len(r[7]) + 2 for r in own)
+        rows += len(own)
         if symbols >= INDEX_SYMBOLS or rows + len(groups) >= 50_000:
             yield flush(groups)
             groups, symbols, rows = [], 0, 0
@@ -280,6 +322,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     whole = contexts.where("n > 1").select("key", "ctx", F.lit(0).alias("r0"), F.lit(None).cast("array<struct<a0:int,a1:int>>").alias("starts"))
 
     wanted = contexts.where("contexts > 1").select("at.td", F.struct("at.p", "at.lo", "at.hi", "key", "ctx").alias("place")).groupBy("td").agg(F.collect_list("place").alias("places"))
+    wanted = cut(wanted, "wanted")  # so that the join below can be split at a text with many copies
     sources = docs.select(text_digest().alias("td"), text).join(wanted, "td").select("text", "places")
     level = cut(sources.mapInArrow(_contexts, CONTEXT).dropDuplicates(["key", "ctx"]), "segments")
     sizes = level.groupBy("key").agg(F.count("*").alias("m"))
@@ -308,7 +351,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     # a bytes left of the anchor p: the string starts at p - a; a null range stands for all starts of the segment.
     spans = anchors.join(marks, ["key", "ctx"]).select("td", F.struct(F.coalesce(F.col("p") - F.col("s.a1"), "lo").alias("from"), (F.coalesce(F.col("p") - F.col("s.a0"), "hi") + LENGTH).alias("to")).alias("span"))
     spans = cut(spans.groupBy("td").agg(F.collect_set("span").alias("spans")), "spans")
-    for x in (*spare, once, held, anchors, contexts, marks):
+    for x in (*spare, once, held, anchors, contexts, wanted, marks):
         drop_cut(x)
     joined = docs.select("doc_id", text, text_digest().alias("td")).join(spans, "td", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut_out, "doc_id long, n_bytes long, spans array<struct<from:long,to:long>>, kept binary")
