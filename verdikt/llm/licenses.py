@@ -1,18 +1,21 @@
 """License scan by ordered signature rules, with DataFrame functions only.
 
 A text's words (runs of anything but ASCII non-alphanumerics, A-Z lower-cased), joined by single spaces, are searched with
-regexes. Each of ``NAMES`` is a hand-written pattern of a license's name, and gives one rule for each of ``FORMS`` (an SPDX
-tag, a grant, a name that a license word follows, a title with a version); ``NOTICES`` are patterns of their own. A rule runs only on texts that
-have its keyword as a word and some word of ``GATE``; rules come as a broadcast table of a few hundred rows.
+the ordered rules of ``license_rules``: hundreds of hand-written signatures of license texts, notices and links, and
+patterns of license names, each as an SPDX tag, in a grant, and before a license word.
 
-Detections are resolved for each document: one that lies within another goes (of equal intervals the one of better
-priority stays, then the earlier rule); then one that overlaps a neighbour of better priority goes.
+A rule runs only on texts that hold its keywords: sets of words, derived from its pattern, of each of which every match
+holds one. Rules come as a broadcast table of fixed size, dealt by their rarest keyword.
+
+Detections are resolved in order of priority, then length, then place, then rule: one stays if it overlaps none that
+stayed before. So what lies within a better one goes, and what has gone itself pushes nothing aside. Only detections that
+a chain of overlaps joins are compared, so the cost is quadratic in the longest such chain, not in the text.
 
 Base phrases are counted apart and always stay: every place where a phrase's words stand consecutively.
 
 Defined results: a null or empty text has no words and no labels, first and last word are null, score is 0. Rows that
 repeat a doc_id each get their row; null doc_ids are kept; an empty table gives no rows; only doc_id and text are read.
-The score is 1 for a tag, 0.95 for a grant, 0.8 for a name, 0.7 for a base phrase, 0.5 for a notice, the best counts.
+The score is 1 for a tag, 0.95 for a grant, 0.8 for a name, 0.7 for a base phrase, 0.5 for a signature; the best counts.
 """
 
 from __future__ import annotations
@@ -22,207 +25,66 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .decontam import computed_once, words
+from .license_rules import keywords, rules
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Label, keyword that a text must hold, pattern of the name.
-NAMES = (
-    ("0bsd", "0bsd", "(?:0bsd|bsd zero clause|zero clause bsd)"),
-    ("afl-3.0", "academic", "academic free(?: license)?(?: v(?:ersion)?)? ?3(?: 0)?"),
-    ("agpl-3.0", "affero", "(?:gnu )?affero general public(?: license)?(?: v(?:ersion)?)? ?3(?: 0)?(?: or later| only)?"),
-    ("agpl-3.0", "agpl", "(?:gnu )?agpl ?v? ?3(?: 0)?(?: or later| only)?"),
-    ("agpl", "agpl", "(?:gnu )?agpl"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: v(?:ersion)?)? 1 1"),
-    ("apache-2.0", "apache", "apache(?: software)?(?: license)?(?: v(?:ersion)?)? ?2(?: 0)?"),
-    ("apache", "apache", "apache(?: software)?"),
-    ("apsl", "apple", "apple public source"),
-    ("artistic-1.0", "artistic", "artistic(?: license)?(?: v(?:ersion)?)? ?1(?: 0)?"),
-    ("artistic-2.0", "artistic", "artistic(?: license)?(?: v(?:ersion)?)? ?2(?: 0)?"),
-    ("artistic", "artistic", "artistic"),
-    ("beerware", "beerware", "beerware"),
-    ("blueoak-1.0.0", "oak", "blue ?oak(?: model)?(?: 1 0 0)?"),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)"),
-    ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|revised bsd|modified bsd)"),
-    ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)"),
-    ("bsd", "bsd", "bsd(?: style)?"),
-    ("bsl-1.0", "boost", "boost(?: software)?(?: license)?(?: v(?:ersion)?)?(?: 1 0)?"),
-    ("busl-1.1", "business", "business source(?: license)?(?: 1 1)?"),
-    ("cc0-1.0", "cc0", "(?:cc0(?: 1 0)?|creative commons zero)"),
-    ("cc-by", "cc", "cc by(?: [1-4] [05])?"),
-    ("cc-by", "creative", "creative commons attribution(?: [1-4] [05])?(?: international| unported)?"),
-    ("cc-by-nc", "cc", "cc by nc(?: [1-4] [05])?"),
-    ("cc-by-nc", "creative", "creative commons attribution non ?commercial(?: [1-4] [05])?(?: international| unported)?"),
-    ("cc-by-nc-nd", "cc", "cc by nc nd(?: [1-4] [05])?"),
-    ("cc-by-nc-nd", "creative", "creative commons attribution non ?commercial no ?deriv(?:s|atives)(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "cc", "cc by nc sa(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "creative", "creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?"),
-    ("cc-by-nd", "cc", "cc by nd(?: [1-4] [05])?"),
-    ("cc-by-nd", "creative", "creative commons attribution no ?deriv(?:s|atives)(?: [1-4] [05])?"),
-    ("cc-by-sa", "cc", "cc by sa(?: [1-4] [05])?"),
-    ("cc-by-sa", "creative", "creative commons attribution share ?alike(?: [1-4] [05])?(?: international| unported)?"),
-    ("cddl-1.0", "cddl", "cddl(?: 1 0)?"),
-    ("cddl-1.0", "distribution", "common development and distribution(?: license)?(?: 1 0)?"),
-    ("cecill", "cecill", "cecill(?: [abc])?(?: [12](?: [01])?)?"),
-    ("cpal-1.0", "cpal", "cpal(?: 1 0)?"),
-    ("cpl-1.0", "common", "common public(?: license)?(?: v(?:ersion)?)?(?: 1 0)?"),
-    ("ecl-2.0", "educational", "educational community(?: license)?(?: v(?:ersion)?)?(?: 2 0)?"),
-    ("elastic-2.0", "elastic", "elastic(?: license)?(?: v?2(?: 0)?)?"),
-    ("epl-1.0", "eclipse", "eclipse public(?: license)?(?: v(?:ersion)?)? ?1(?: 0)?"),
-    ("epl-2.0", "eclipse", "eclipse public(?: license)?(?: v(?:ersion)?)? ?2(?: 0)?"),
-    ("epl", "eclipse", "eclipse public"),
-    ("epl-2.0", "epl", "epl 2 0"),
-    ("eupl-1.1", "eupl", "eupl(?: v)? ?1 1"),
-    ("eupl-1.2", "eupl", "eupl(?: v)? ?1 2"),
-    ("eupl", "union", "european union public"),
-    ("gfdl", "gfdl", "gfdl(?: 1 [123])?"),
-    ("gfdl", "documentation", "(?:gnu )?free documentation"),
-    ("gpl-1.0", "gpl", "(?:gnu )?gpl ?v? ?1(?: 0)?(?: or later| only)?"),
-    ("gpl-2.0", "gpl", "(?:gnu )?gpl ?v? ?2(?: 0)?(?: or later| only)?"),
-    ("gpl-2.0", "gplv2", "(?:gnu )?gplv2(?: or later| only)?"),
-    ("gpl-2.0", "general", "(?:gnu )?general public(?: license)?(?: as published by the free software foundation)?(?: v(?:ersion)?)? ?2(?: 0)?(?: or later| only)?"),
-    ("gpl-3.0", "gpl", "(?:gnu )?gpl ?v? ?3(?: 0)?(?: or later| only)?"),
-    ("gpl-3.0", "gplv3", "(?:gnu )?gplv3(?: or later| only)?"),
-    ("gpl-3.0", "general", "(?:gnu )?general public(?: license)?(?: as published by the free software foundation)?(?: v(?:ersion)?)? ?3(?: 0)?(?: or later| only)?"),
-    ("gpl", "general", "(?:gnu )?general public"),
-    ("gpl", "gpl", "(?:gnu )?gpl"),
-    ("hpnd", "historical", "historical permission notice and disclaimer"),
-    ("ijg", "jpeg", "independent jpeg group"),
-    ("ipl-1.0", "ibm", "ibm public(?: license)?(?: v(?:ersion)?)?(?: 1 0)?"),
-    ("isc", "isc", "isc"),
-    ("lgpl-2.1", "lgpl", "(?:gnu )?lgpl ?v? ?2(?: [01])?(?: or later| only)?"),
-    ("lgpl-2.1", "lesser", "(?:gnu )?lesser general public(?: license)?(?: v(?:ersion)?)? ?2(?: [01])?(?: or later| only)?"),
-    ("lgpl-2.0", "library", "(?:gnu )?library general public(?: license)?(?: v(?:ersion)?)?(?: ?2(?: 0)?)?"),
-    ("lgpl-3.0", "lgpl", "(?:gnu )?lgpl ?v? ?3(?: 0)?(?: or later| only)?"),
-    ("lgpl-3.0", "lesser", "(?:gnu )?lesser general public(?: license)?(?: v(?:ersion)?)? ?3(?: 0)?(?: or later| only)?"),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl"),
-    ("llama", "llama", "llama(?: [234](?: [0-9])?)?(?: community)?"),
-    ("lppl-1.3c", "latex", "latex project public(?: license)?(?: v(?:ersion)?)?(?: 1 3[abc]?)?"),
-    ("mit-0", "mit", "mit (?:0|no attribution)"),
-    ("mit", "mit", "(?:x11 )?mit(?: x11| expat)?"),
-    ("mit", "expat", "expat"),
-    ("mpl-1.1", "mozilla", "mozilla public(?: license)?(?: v(?:ersion)?)? ?1 1"),
-    ("mpl-2.0", "mozilla", "mozilla public(?: license)?(?: v(?:ersion)?)? ?2(?: 0)?"),
-    ("mpl-2.0", "mpl", "mpl ?v? ?2(?: 0)?"),
-    ("mpl", "mozilla", "mozilla public"),
-    ("ms-pl", "microsoft", "microsoft public"),
-    ("ms-rl", "reciprocal", "microsoft reciprocal"),
-    ("mulanpsl-2.0", "mulan", "mulan(?: permissive software)?(?: license)?(?: v?2(?: 0)?)?"),
-    ("ncsa", "ncsa", "(?:university of illinois )?(?:illinois )?ncsa(?: open source)?"),
-    ("odbl-1.0", "database", "open (?:data commons )?(?:open )?database(?: license)?(?: 1 0)?"),
-    ("odc-by-1.0", "commons", "open data commons attribution(?: license)?(?: 1 0)?"),
-    ("ofl-1.1", "font", "(?:sil )?open font(?: license)?(?: 1 1)?"),
-    ("openssl", "openssl", "openssl"),
-    ("osl-3.0", "osl", "osl 3 0"),
-    ("osl-3.0", "open", "open software(?: license)?(?: v(?:ersion)?)? ?3(?: 0)?"),
-    ("pddl-1.0", "dedication", "(?:odc )?public domain dedication(?: and license)?"),
-    ("php-3.01", "php", "php(?: license)?(?: v(?:ersion)?)?(?: 3 0?1)?"),
-    ("polyform", "polyform", "polyform(?: noncommercial| small business| shield| strict)?(?: 1 0 0)?"),
-    ("postgresql", "postgresql", "postgresql"),
-    ("psf-2.0", "python", "python(?: software foundation)?(?: license)?(?: v(?:ersion)?)?(?: 2(?: 0)?)?"),
-    ("qpl-1.0", "q", "q public(?: license)?(?: 1 0)?"),
-    ("rpl-1.5", "reciprocal", "reciprocal public(?: license)?(?: 1 5)?"),
-    ("ruby", "ruby", "ruby"),
-    ("sspl-1.0", "sspl", "sspl(?: 1 0)?"),
-    ("sspl-1.0", "server", "server side public(?: license)?(?: v(?:ersion)?)?(?: 1)?"),
-    ("unicode", "unicode", "unicode(?: inc)?(?: terms of use| dfs)?"),
-    ("unlicense", "unlicense", "(?:the )?unlicense"),
-    ("upl-1.0", "upl", "upl(?: 1 0)?"),
-    ("vim", "vim", "vim"),
-    ("w3c", "w3c", "w3c(?: software)?(?: notice and)?"),
-    ("wtfpl", "wtfpl", "wtfpl(?: v?2)?"),
-    ("zlib", "zlib", "zlib(?: libpng)?"),
-    ("zpl-2.1", "zope", "zope public(?: license)?(?: v(?:ersion)?)?(?: 2 1)?"),
-)
-#: Form, priority, confidence and pattern; @ stands for a name.
-FORMS = (
-    ("tag", 0, 1.0, "spdx licen[sc]e identifier @"),
-    ("grant", 1, 0.95, "(?:licen[sc]ed|released|distributed|available|provided|published|redistributed|covered|governed)(?: only)? (?:under|by)(?: the)?(?: terms (?:and conditions )?of)?(?: the| an?)? @(?: licen[sc]es?)?(?: version [0-9](?: [0-9])?)?"),
-    ("name", 2, 0.8, "@ licen[sc]es?(?: version [0-9](?: [0-9])?)?"),
-    ("title", 2, 0.8, "(?=@(?![^ ]))(?:[a-z0-9]+ ){1,4}licen[sc]e (?:v(?:ersion)? ?)?[0-9](?: [0-9])?"),
-)
-#: Label, keyword and pattern of notices that are no names.
-NOTICES = (
-    ("copyright", "copyright", "copyright(?: c)?(?: (?:19|20)[0-9]{2}){1,4}"),
-    ("copyright", "copyrighted", "copyrighted (?:material|work|by)"),
-    ("reserved", "reserved", "(?:all|some|no) rights reserved"),
-    ("public-domain", "domain", "(?:in|into|to) the public domain"),
-    ("public-domain", "copyright", "no (?:known )?copyright restrictions?"),
-    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose"),
-    ("hpnd", "permission", "permission to use copy modify and distribute this software and its documentation"),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms(?: with or without modification)?"),
-    ("bsd-3-clause", "endorse", "neither the name of .{1,120}? may be used to endorse or promote products"),
-    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software"),
-    ("apache-2.0", "apache", "apache org licenses license 2 0"),
-    ("gpl", "gnu", "gnu org licenses(?: gpl)?(?: [23] 0)?"),
-    ("mpl-2.0", "mozilla", "mozilla org mpl 2 0"),
-    ("cc", "creativecommons", "creativecommons org (?:licenses|publicdomain) (?:by|zero|mark)(?: nc)?(?: nd| sa)?(?: [1-4] [05])?"),
-    ("mit", "opensource", "opensource org licenses mit"),
-    ("bsd", "opensource", "opensource org licenses bsd [234] clause"),
-    ("warranty-disclaimer", "warranty", "without warrant(?:y|ies) of any kind"),
-    ("warranty-disclaimer", "as", "provided as is without(?: any)? (?:express or implied )?warranty"),
-    ("liability-disclaimer", "liable", "in no event shall .{1,120}? be liable"),
-    ("proprietary", "proprietary", "(?:confidential and proprietary|proprietary and confidential)"),
-    ("proprietary", "unauthorized", "unauthorized (?:copying|use|reproduction|distribution)"),
-    ("non-commercial", "commercial", "(?:for )?non ?commercial (?:use|purposes) only"),
-    ("patent-grant", "patent", "(?:perpetual )?worldwide .{0,60}?patent license"),
-    ("royalty-free", "royalty", "royalty free(?: perpetual| worldwide| irrevocable| non ?exclusive)* licen[sc]e"),
-    ("copyleft", "copyleft", "copyleft"),
-    ("trademark", "trademarks?", "registered trademarks? of"),
-    ("contributor-agreement", "contributor", "contributor licen[sc]e agreement"),
-    ("end-user-agreement", "end", "end user licen[sc]e agreement"),
-    ("dual-licensed", "dual", "dual licen[sc]ed"),
-)
-NOTICE_PRIORITY, NOTICE_CONFIDENCE, BASE_CONFIDENCE = 3, 0.5, 0.7
-#: One of these words stands in everything that a rule matches.
-GATE = "(?:^| )(?:licen[sc]e[ds]?|spdx|copyright(?:ed)?|reserved|released|distributed|redistributed|available|provided|published|covered|governed|domain|permission|redistribution|endorse|advertising|licenses|creativecommons|opensource|warrant(?:y|ies)|liable|proprietary|unauthorized|commercial|noncommercial|patent|copyleft|trademarks?|mozilla|hereby)(?: |$)"
-
-
-def rules() -> list[tuple[str, str, int, float, str]]:
-    """label, keyword pattern, priority, confidence, regex: hundreds of rules in order of priority."""
-    out = []
-    for _, priority, confidence, form in FORMS:
-        out += [(label, keyword, priority, confidence, form.replace("@", name)) for label, keyword, name in NAMES]
-    out += [(label, keyword, NOTICE_PRIORITY, NOTICE_CONFIDENCE, pattern) for label, keyword, pattern in NOTICES]
-    return [(label, keyword, p, c, f"(?<![^ ])(?:{x})(?![^ ])") for label, keyword, p, c, x in out]
+BASE_CONFIDENCE = 0.7
+_DETECTION = "array<struct<start:bigint,stop:bigint,label:string,priority:int,confidence:double>>"
 
 
 def _spaces(c):
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
+def whole(pattern: str) -> str:
+    """The pattern for whole words of a text with single spaces."""
+    return f"(?<![^ ])(?:{pattern})(?![^ ])"
+
+
+def gated(rows: DataFrame) -> DataFrame:
+    """doc_id, td, canon and r (a rule) of ``rows`` (doc_id, td, ws, canon), for the rules whose keywords the text holds."""
+    table = [(k, label, priority, confidence, whole(pattern), keywords(pattern)) for k, (label, priority, confidence, pattern) in enumerate(rules())]
+    frame = rows.sparkSession.createDataFrame(table, "rule int, label string, priority int, confidence double, regex string, needs array<array<string>>")
+    by_word = frame.select(F.explode(F.get("needs", F.lit(0))).alias("keyword"), F.struct("rule", "label", "priority", "confidence", "regex", "needs").alias("r"))
+    by_word = F.broadcast(by_word.groupBy("keyword").agg(F.collect_list("r").alias("rules")))  # some hundred words, by construction
+    all_ = F.array(*map(F.lit, sorted({w for r in table for s in r[5] for w in s})))
+    first = F.array(*map(F.lit, sorted({w for r in table for w in r[5][0]})))
+    some = computed_once(rows, F.array_intersect("ws", all_), "present")
+    some = some.select("doc_id", "td", "canon", "present", F.explode(F.array_intersect("present", first)).alias("keyword"))
+    some = some.join(by_word, "keyword").select("doc_id", "td", "canon", "present", F.explode("rules").alias("r"))
+    return some.where(F.forall("r.needs", lambda s: F.arrays_overlap(s, F.col("present")))).select("doc_id", "td", "canon", "r")
+
+
+def _resolved(found):
+    """Of detections in order of precedence those that overlap none kept before."""
+    clear = lambda kept, x: ~F.exists(kept, lambda y: (y["start"] < x["stop"]) & (x["start"] < y["stop"]))
+    one = lambda x: F.struct(*(x[c].alias(c) for c in ("start", "stop", "label", "priority", "confidence")))
+    return F.aggregate(found, F.array().cast(_DETECTION), lambda kept, x: F.when(clear(kept, x), F.concat(kept, F.array(one(x)))).otherwise(kept))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, base and detections (arrays of label, word, words; detections with priority and confidence)."""
-    spark = docs.sparkSession
-    table = rules()
-    keywords = sorted({r[1] for r in table})
-    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(table)], "rule int, label string, keyword string, priority int, confidence double, regex string")
-    grouped = F.broadcast(frame.groupBy("keyword").agg(F.collect_list(F.struct("rule", "label", "priority", "confidence", "regex")).alias("rules")))
-
     rows = computed_once(docs.select("doc_id", "text"), words(F.col("text")), "ws").drop("text")
     rows = computed_once(rows, F.array_join("ws", " "), "canon")
     key = F.md5("canon").alias("td")
-    some = rows.where(F.col("canon").rlike(GATE)).select("doc_id", key, "canon")
-    found = F.array_distinct(F.regexp_extract_all("canon", F.lit(f"(?<![^ ])(?:{'|'.join(keywords)})(?![^ ])"), F.lit(0)))
-    # a keyword that is a pattern of its own ("trademarks?") is looked up by the pattern
-    some = some.select("doc_id", "td", "canon", F.explode(found).alias("keyword")).withColumn("keyword", F.regexp_replace("keyword", "^trademarks?$", "trademarks?"))
-    hits = some.join(grouped, "keyword").select("doc_id", "td", "canon", F.explode("rules").alias("r")).where(F.regexp_like("canon", F.col("r.regex")))
+    hits = gated(rows.select("doc_id", key, "ws", "canon")).where(F.regexp_like("canon", F.col("r.regex")))
     matches = F.regexp_extract_all("canon", F.col("r.regex"), F.lit(0))
-    hits = hits.select("doc_id", "td", F.col("r.rule").alias("rule"), F.col("r.label").alias("label"), F.col("r.priority").alias("priority"), F.col("r.confidence").alias("confidence"), F.posexplode(F.arrays_zip(F.split("canon", F.col("r.regex"), -1).alias("piece"), matches.alias("match"))).alias("k", "m"))
-    hits = hits.where("m.match is not null").select("doc_id", "td", "rule", "label", "priority", "confidence", "k", _spaces(F.col("m.piece")).alias("before"), _spaces(F.col("m.match")).alias("inside")).distinct()
+    cuts = F.posexplode(F.arrays_zip(F.split("canon", F.col("r.regex"), -1).alias("piece"), matches.alias("match"))).alias("k", "m")
+    hits = hits.select("doc_id", "td", "r.rule", "r.label", "r.priority", "r.confidence", cuts).where("m.match is not null")
+    hits = hits.select("doc_id", "td", "rule", "label", "priority", "confidence", "k", _spaces(F.col("m.piece")).alias("before"), _spaces(F.col("m.match")).alias("inside")).distinct()
     hits = cut(hits, "license-hits")
     w = Window.partitionBy("doc_id", "td", "rule").orderBy("k")
     start = F.sum("before").over(w) + F.coalesce(F.sum("inside").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     hits = hits.withColumn("start", start).withColumn("stop", start + F.col("inside") + 1)
-    w = Window.partitionBy("doc_id", "td").orderBy("start", F.desc("stop"), "priority", "rule")
-    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    hits = hits.withColumn("reach", reach).where("reach is null or reach < stop")
-    before = lambda f: F.coalesce((f("stop", -1) > F.col("start")) & (f("priority", -1) < F.col("priority")), F.lit(False))
-    after = lambda f: F.coalesce((f("start", 1) < F.col("stop")) & (f("priority", 1) < F.col("priority")), F.lit(False))
-    side = lambda c, by: F.lag(c, 1).over(w) if by < 0 else F.lead(c, 1).over(w)
-    hits = hits.withColumn("lost", before(side) | after(side)).where(~F.col("lost"))
-    one = F.struct("start", "label", (F.col("stop") - F.col("start")).alias("words"), "priority", "confidence")
-    hits = hits.groupBy("doc_id", "td").agg(F.array_sort(F.collect_list(one)).alias("found"))
+    # detections that no chain of overlaps joins don't concern one another
+    w = Window.partitionBy("doc_id", "td").orderBy("start", F.desc("stop"), "rule")
+    apart = F.coalesce(F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("start"), F.lit(True))
+    hits = hits.withColumn("apart", apart.cast("long")).withColumn("island", F.sum("apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    precedence = F.struct("priority", (F.col("start") - F.col("stop")).alias("shortness"), "start", "rule", "stop", "label", "confidence")
+    islands = hits.groupBy("doc_id", "td", "island").agg(_resolved(F.array_sort(F.collect_list(precedence))).alias("kept"))
+    one = F.struct("x.start", "x.label", (F.col("x.stop") - F.col("x.start")).alias("words"), "x.priority", "x.confidence")
+    hits = islands.select("doc_id", "td", F.explode("kept").alias("x")).groupBy("doc_id", "td").agg(F.array_sort(F.collect_list(one)).alias("found"))
     hits = hits.toDF("hit_id", "hit_td", "found")
 
     def places(phrase: str):
