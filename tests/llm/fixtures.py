@@ -4,7 +4,7 @@ import random
 
 DOCS = "doc_id long, text string"
 #: Column names that the operators use inside.
-CLASH = ["node", "key", "td", "starts", "spans", "lines", "w", "component", "class", "ws", "lang_pred", "kept", "set_hash"]
+CLASH = ["node", "key", "td", "starts", "spans", "lines", "w", "component", "class", "ws", "lang_pred", "kept", "set_hash", "kept_id", "good_id", "contaminated", "contaminated_id", "digest", "score", "x", "item_id", "canon", "r"]
 
 
 def words(rng, n):

@@ -98,6 +98,15 @@ def test_empty_tables(spark):
     assert [(r["doc_id"], r["text"]) for r in decontam.clean(docs, b).collect()] == [(None, "q")]
 
 
+def test_long_item_with_many_equal_shingles(spark, monkeypatch):
+    """A block larger than what may be broadcast, and thousands of equal shingles in one item."""
+    monkeypatch.setattr(decontam, "BLOCK_SHINGLES", 1000)
+    item = "again and " * 3000 + prose(1, 200)
+    docs = [(1, prose(2, 20) + " " + item), (2, item.replace("and", "or")), (3, prose(3, 100))]
+    a = got(spark, docs, [(1, item)])
+    assert a == {(1, 1): (1.0, 20)}
+
+
 def test_no_python_in_the_plan(spark):
     df = decontam.contaminations(frame(spark, [(1, "a b c d e f")]), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string"))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()

@@ -27,9 +27,15 @@ def test_equals_brute_force(spark):
 
 
 def test_columns_pass_through(spark):
-    df = frame(spark, [(1, "a\nb\nc"), (2, "a\nb\nc\nd"), (3, None)], clash=True).drop("lines")
+    df = frame(spark, [(1, "a\nb\nc"), (2, "a\nb\nc\nd"), (3, None)], clash=True)
     out = line_windows.drop_repeated_lines(df)
-    assert out.drop("lines").columns == df.columns
+    assert out.columns == [*df.columns, "lines_"]
+    assert {r["lines"] for r in out.collect()} == {"x"}
     assert sorted((r["doc_id"], r["text"], r["starts"]) for r in out.collect() if r["text"] is not None) == [(1, "a\nb\nc", "x"), (2, "d", "x")]
     assert out.where("doc_id = 3").first()["text"] is None
     assert line_windows.drop_repeated_lines(frame(spark, [])).count() == 0
+
+
+def test_stays_in_the_jvm(spark):
+    plan = line_windows.drop_repeated_lines(frame(spark, [(1, "a\nb\nc")]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

@@ -21,10 +21,13 @@ U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, one of our own, in local mode
+    only: executors of a cluster don't see the driver's folders."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="verdikt-shared-")
         sc.setCheckpointDir(path)
         path = sc.getCheckpointDir()
@@ -59,6 +62,13 @@ def drop_cut(df: DataFrame) -> None:
         hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def free(taken: list[str], name: str) -> str:
+    """The name, with underscores where another column has it."""
+    while name.lower() in {x.lower() for x in taken}:
+        name += "_"
+    return name
+
+
 def ascii_lower(col):
     """Lower-case A-Z only, as the word definitions of the contracts ask."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

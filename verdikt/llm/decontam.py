@@ -15,8 +15,8 @@ taken by shingles of items of its length, in whatever order, and a document shor
 together. Shared places are listed for each text and length; the windows that hold enough of them follow from the sorted
 list, and only texts that have such windows are read again for their words.
 
-Item tables are taken in blocks of at most ``BLOCK_SHINGLES`` shingles, by a hash of the item, so that what is broadcast
-is bounded; blocks run one after the other over all documents. Documents are exploded inside one code-generated stage,
+Item tables are taken in blocks of about ``BLOCK_SHINGLES`` shingles, by a hash of the item; a block is broadcast if it
+holds at most twice that, else joined by shuffles; blocks run one after the other over all documents. Documents are exploded inside one code-generated stage,
 and only matches leave it, with the words around them.
 
 Defined results: null or empty texts and items match nothing; a document shorter than an item is compared whole; rows
@@ -31,11 +31,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, free
 
 K, LEAST = 5, 0.75
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLOCK_SHINGLES, BLOCK_ITEMS = 200_000, 2_000
+BLOCK_SHINGLES, BLOCK_ITEMS = 1_000_000, 10_000
 
 
 def words(col):
@@ -58,9 +58,13 @@ def with_shingles(df: DataFrame, name: str) -> DataFrame:
     n = F.size("ws")
     one = F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join("ws", " ")))
     many = F.transform(F.sequence(F.lit(1), n - K + 1), lambda i: F.array_join(F.slice("ws", i, K), " "))
-    df = computed_once(df, F.when(n >= K, many).otherwise(one), "plain")
-    numbered = F.transform("plain", lambda x, i: F.concat_ws("#", x, F.size(F.filter(F.slice("plain", 1, i), lambda y: y == x)).cast("string")))
-    return computed_once(df, numbered, name).drop("plain")
+    df = computed_once(df, F.array_sort(F.when(n >= K, many).otherwise(one)), "plain")
+    # in sorted order equal ones stand together: each run is numbered from 0, in time linear in the array
+    m = F.size("plain")
+    places = F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
+    df = computed_once(df, F.filter(places, lambda i: (i == 0) | (F.get("plain", i) != F.get("plain", i - 1))), "heads")
+    number = F.flatten(F.transform("heads", lambda h, j: F.sequence(F.lit(0), F.coalesce(F.get("heads", j + 1), m) - h - 1)))
+    return computed_once(df, F.zip_with("plain", number, lambda x, i: F.concat_ws("#", x, i.cast("string"))), name).drop("plain", "heads")
 
 
 def _firsts(size):
@@ -90,24 +94,34 @@ def item_index(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return common, rarest.select("n", F.explode(F.slice("all", F.lit(1), _firsts(F.col("size")).cast("int"))).alias("first"), "row").select("n", "first.h", "row").distinct()
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, similarity and word (the first word of the best, then earliest window) of contaminated documents."""
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """digest (of the text), doc_id, item_id, similarity and word of all windows that an item contaminates."""
     items = computed_once(benchmark.select("item_id", "text"), words(F.col("text")), "ws").drop("text").where(F.size("ws") > 0).dropDuplicates()
     items = items.withColumn("row", F.xxhash64("item_id", "ws"))
     items = with_shingles(items, "shingles")
     items = cut(items, "items")
     total = items.agg(F.sum(F.size("shingles")), F.count("*")).first()
     if not total[1]:
-        return docs.select("doc_id").crossJoin(benchmark.select("item_id").limit(0)).select("doc_id", "item_id", F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("word")).limit(0)
+        none = docs.where("false").select(F.md5(F.col("text").cast("binary")).alias("digest"), "doc_id")
+        kind = benchmark.schema["item_id"].dataType
+        return none.select("*", F.lit(None).cast(kind).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("word"))
     n_blocks = max(-(-total[0] // BLOCK_SHINGLES), -(-total[1] // BLOCK_ITEMS))
+    block = F.pmod("row", F.lit(n_blocks))
+    # the hash deals items evenly, but one may be long: what is broadcast is checked by its size
+    largest = items.groupBy(block.alias("b")).agg(F.sum(F.size("shingles")).alias("n")).agg(F.max("n")).first()[0]
+    put = F.broadcast if largest <= 2 * BLOCK_SHINGLES else lambda df: df
     widths = sorted({r[0] for r in items.select(F.least(F.size("ws"), F.lit(K)).alias("k")).distinct().collect()})  # 1 to 5
-    found = [_contaminations(docs, items.where(F.pmod("row", F.lit(n_blocks)) == i), widths) for i in range(n_blocks)]
-    out = reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, [_contaminations(docs, items.where(block == i), widths, put) for i in range(n_blocks)])
+
+
+def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, similarity and word (the first word of the best, then earliest window) of contaminated documents."""
     best = F.max(F.struct("similarity", (-F.col("word")).alias("word"))).alias("best")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.similarity", (-F.col("best.word")).cast("long").alias("word"))
+    out = _found(docs, benchmark).groupBy("doc_id", "item_id").agg(best)
+    return out.select("doc_id", "item_id", "best.similarity", (-F.col("best.word")).cast("long").alias("word"))
 
 
-def _contaminations(docs: DataFrame, items: DataFrame, widths: list[int]) -> DataFrame:
+def _contaminations(docs: DataFrame, items: DataFrame, widths: list[int], put) -> DataFrame:
     known = []
     for k in widths:
         one = items.where(F.least(F.size("ws"), F.lit(K)) == k)
@@ -121,15 +135,15 @@ def _contaminations(docs: DataFrame, items: DataFrame, widths: list[int]) -> Dat
     for k in widths:
         p = apart.where(F.size("ws") >= k).select("digest", F.size("ws").alias("m"), "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - k)).alias("i"))
         p = p.select("digest", "m", "i", _shingle("ws", F.col("i"), k).alias("h"))
-        p = p.join(F.broadcast(known.where(F.exists("of", lambda n: F.least(n, F.lit(K)) == k))), "h").select("digest", "m", "i", F.explode("of").alias("n"))
+        p = p.join(put(known.where(F.exists("of", lambda n: F.least(n, F.lit(K)) == k))), "h").select("digest", "m", "i", F.explode("of").alias("n"))
         places.append(p.where(F.least(F.col("n"), F.lit(K)) == k))
     places = reduce(DataFrame.unionByName, places)
     found = places.groupBy("digest", "m", "n").agg(F.array_sort(F.collect_set("i")).alias("at"))
     starts = cut(found.select("digest", "n", F.explode(_starts(F.col("n"), F.col("m"))).alias("word")), "starts")
     per_text = starts.groupBy("digest").agg(F.collect_list(F.struct("n", "word")).alias("starts"))
     # always by shuffle: a text with many copies or windows is then no broadcast, and growth stays in proportion
-    texts = computed_once(text.join(per_text.hint("merge"), "digest"), words(F.col("text")), "ws").select("doc_id", "ws", F.explode("starts").alias("start"))
-    windows = texts.select("doc_id", "start.word", "start.n", F.slice("ws", F.col("start.word") + 1, F.col("start.n")).alias("ws"))
+    texts = computed_once(text.join(per_text.hint("merge"), "digest"), words(F.col("text")), "ws").select("digest", "doc_id", "ws", F.explode("starts").alias("start"))
+    windows = texts.select("digest", "doc_id", "start.word", "start.n", F.slice("ws", F.col("start.word") + 1, F.col("start.n")).alias("ws"))
     # equal windows are one: a passage of many documents is looked up and verified once
     windows = windows.withColumn("content", F.md5(F.array_join("ws", " ")))
     windows = cut(windows, "windows")
@@ -138,21 +152,22 @@ def _contaminations(docs: DataFrame, items: DataFrame, widths: list[int]) -> Dat
     common, rarest = item_index(items)
     # shingles that no item of that length has come first in the order, and take up places without a partner
     own = contents.select("content", "n", F.size("own").alias("size"), F.explode("own").alias("s")).select("content", "n", "size", F.xxhash64("s").alias("h"))
-    own = own.join(F.broadcast(common), ["n", "h"]).groupBy("content", "n").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("items", "h"))).alias("all"))
+    own = own.join(put(common), ["n", "h"]).groupBy("content", "n").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("items", "h"))).alias("all"))
     left = _firsts(F.col("size")) - (F.col("size") - F.size("all"))
     probes = own.select("content", "n", F.explode(F.slice("all", F.lit(1), F.greatest(left, F.lit(0)).cast("int"))).alias("first")).select("content", "n", "first.h")
-    pairs = probes.join(F.broadcast(rarest), ["n", "h"]).select("content", "n", "row").distinct()
-    pairs = pairs.join(contents, ["content", "n"]).join(F.broadcast(items.select("row", "item_id", "shingles")), "row")
+    pairs = probes.join(put(rarest), ["n", "h"]).select("content", "n", "row").distinct()
+    pairs = pairs.join(contents, ["content", "n"]).join(put(items.select("row", "item_id", "shingles")), "row")
     both = F.size(F.array_intersect("own", "shingles"))
     pairs = pairs.select("content", "n", "item_id", (both / (F.size("own") + F.size("shingles") - both)).alias("similarity"))
     pairs = cut(pairs.where(F.col("similarity") >= LEAST), "contents")
-    return windows.select("doc_id", "word", "n", "content").join(pairs, ["content", "n"]).select("doc_id", "item_id", "similarity", "word")
+    return windows.select("digest", "doc_id", "word", "n", "content").join(pairs, ["content", "n"]).select("digest", "doc_id", "item_id", "similarity", "word")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that no item contaminates, with all columns."""
-    bad = contaminations(docs, benchmark).select(F.col("doc_id").alias("contaminated_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("contaminated_id")), "left_anti")
+    """The documents whose texts no item contaminates, with all columns, whatever their ids."""
+    name = free(docs.columns, "contaminated")
+    bad = _found(docs, benchmark).select(F.col("digest").alias(name)).distinct()
+    return docs.join(bad, F.md5(F.col("text").cast("binary")).eqNullSafe(F.col(name)), "left_anti")
 
 
 #: Without the index: what a scan of the windows near an aligned shingle finds. It leaves out windows whose shared shingles

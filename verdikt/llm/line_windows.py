@@ -10,49 +10,32 @@ a join whose hot keys can be split on the place side, as the other side has one
 
 Defined results: a null text is empty and stays null in ``text``; texts under three lines lose nothing; rows that repeat
 a doc_id and its text are one document, and each gets the document's result; null doc_ids order before others; an empty
-table gives no rows; further columns are passed through, whatever their names.
+table gives no rows; further columns are passed through, whatever their names. Everything stays in the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut, drop_cut, small_batches
+from .common import cut, drop_cut, free
 
 LINES = 3
 
 
-_CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.LongType()), T.StructField("spans", T.LongType())])
-
-
-@F.pandas_udf(_CUT)
-def _without(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for texts, starts in parts:
-        out = []
-        for text, at in zip(texts, starts, strict=True):
-            if at is None:
-                out.append((text, 0, 0))
-                continue
-            lines, covered = text.split("\n"), set()
-            for i in at:
-                covered.update(range(i, i + LINES))
-            out.append(("\n".join(x for i, x in enumerate(lines) if i not in covered), len(covered), sum(i - 1 not in covered for i in covered)))
-        yield pd.DataFrame(out, columns=["text", "removed", "spans"])
-
-
-def _free(taken: list[str], name: str) -> str:
-    while name.lower() in {x.lower() for x in taken}:
-        name += "_"
-    return name
+def _without(lines, starts):
+    """What is left of an array of lines without the windows at the sorted ``starts``, and the number of removed runs."""
+    at = lambda j: F.get(starts, j)
+    after = lambda j: F.when(j == 0, F.lit(0)).otherwise(at(j - 1) + LINES)
+    gap = lambda j: F.slice(lines, after(j) + 1, F.greatest(F.coalesce(at(j), F.size(lines)) - after(j), F.lit(0)))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(starts)), gap))
+    spans = F.size(F.filter(F.transform(starts, lambda x, j: (j == 0) | (x > after(j))), lambda x: x))
+    return kept, spans
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with ``text`` less its repeated lines, and a struct ``lines`` (n, removed, spans)."""
+    """All columns of ``docs`` with ``text`` less its repeated lines, and at the end a struct ``lines`` (n, removed, spans);
+    where ``docs`` has a column of that name, the struct's name gets underscores."""
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = lambda x: F.unhex(F.md5(x.cast("binary")))
     lines = docs.select("doc_id", digest(text).alias("td"), F.split(text, "\n").alias("ls")).where(F.size("ls") >= LINES)
@@ -63,25 +46,29 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "td", "i")
     first = windows.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("not first <=> last").drop("last")
     later = windows.join(first, "w").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "td", "i")
-    starts = later.groupBy("doc_id", "td").agg(F.collect_set("i").alias("starts"))
+    starts = later.groupBy("doc_id", "td").agg(F.array_sort(F.collect_set("i")).alias("starts"))
     starts = cut(starts, "line-starts")
     drop_cut(windows)
 
-    small_batches(docs.sparkSession)
     taken = docs.columns
-    td, sid, std, st, cutted = (_free(taken, x) for x in ("td", "starts_id", "starts_td", "starts", "cutted"))
+    td, sid, std, st, new, info = (free(taken, x) for x in ("td", "starts_id", "starts_td", "starts", "new_text", "lines"))
     starts = starts.toDF(sid, std, st)
     # the same shuffle at every size: a broadcast of what was found would only help small tables
     out = docs.withColumn(td, digest(text)).join(starts.hint("merge"), F.col("doc_id").eqNullSafe(F.col(sid)) & (F.col(td) == F.col(std)), "left")
-    out = out.withColumn(cutted, _without("text", st))
-    info = F.struct(F.size(F.split(text, "\n")).cast("long").alias("n"), F.col(f"{cutted}.removed").alias("removed"), F.col(f"{cutted}.spans").alias("spans"))
-    same = [F.col(f"{cutted}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "lines"]
-    return out.select(*same, info.alias("lines"))
+    ls = F.split(text, "\n")
+    kept, spans = _without(ls, F.col(st))
+    found = F.col(st).isNotNull()
+    n = F.size(ls)
+    facts = F.struct(n.cast("long").alias("n"), F.when(found, n - F.size(kept)).otherwise(0).cast("long").alias("removed"), F.when(found, spans).otherwise(0).cast("long").alias("spans"))
+    # under a name of its own first: in one select lambdas would read a new column "text" instead of the old one
+    out = out.select("*", F.when(found, F.array_join(kept, "\n")).otherwise(F.col("text")).alias(new), facts.alias(info))
+    return out.select(*(F.col(new).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), info)
 
 
 def digest(out: DataFrame) -> DataFrame:
-    kept = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    return out.select("doc_id", F.col("lines.n").alias("n_lines"), F.col("lines.removed").alias("n_removed"), F.col("lines.spans").alias("n_spans"), kept.alias("kept_sha256"))
+    """The contract's columns of ``drop_repeated_lines``'s result; the facts are its last column."""
+    kept, facts = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), out.columns[-1]
+    return out.select("doc_id", *(F.col(f"`{facts}`.{x}").alias(y) for x, y in (("n", "n_lines"), ("removed", "n_removed"), ("spans", "n_spans"))), kept.alias("kept_sha256"))
 
 
 SQL = """
