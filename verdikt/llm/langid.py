@@ -10,12 +10,13 @@ Viterbi runs over segments of 256 words of many texts at once: first every segme
 may be entered in, then the best chain of segments of each text, then the path inside each segment. The result is that of
 a run over the whole text.
 
-The model is learned from a sample of labelled texts, bounded by ``FIT_DOCUMENTS`` for each language (taken by a hash of
-the text, so that it doesn't depend on order). Its size is bounded by 65,536 trigram bins a language.
+The model is learned from a sample of labelled texts, about ``FIT_DOCUMENTS`` different ones for each of the
+``LANGUAGES`` commonest languages, taken by a hash of the text, so that it doesn't depend on order; copies of a text count
+once. Its size is bounded by 65,536 trigram bins a language.
 
 Defined results: ``und`` with score 0 for a null text, a text without letters, or when no language was learned; rows that
 repeat a doc_id each get their row; null doc_ids are kept; an empty table gives no rows; a null lang teaches nothing; only
-doc_id, text and (for learning) lang are read.
+doc_id (as a long), text and (for learning) lang are read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from .common import blocks, mix, small_batches, U
 
 BINS, SEGMENT, BLOCK = 1 << 16, 256, 1 << 20
 SWITCH = 6.0
-FIT_DOCUMENTS = 4000
+FIT_DOCUMENTS, LANGUAGES = 4000, 256
 UNKNOWN = "und"
 #: First and last code points of scripts; letters elsewhere are script 0.
 SCRIPTS = (
@@ -99,17 +100,19 @@ class Model:
 
 
 def fit(labelled: DataFrame, most: int = FIT_DOCUMENTS) -> Model:
-    """Learn from (text, lang) rows: at most about ``most`` documents of each language, all of those with fewer."""
-    small_batches(labelled.sparkSession)
-    labelled = labelled.where("lang is not null and text is not null").select("text", "lang")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """Learn from (text, lang) rows: about ``most`` different texts of each language, all of those with fewer."""
+    spark = labelled.sparkSession
+    small_batches(spark)
+    labelled = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text")
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return Model([], np.zeros((BINS, 0), np.float32), np.zeros((256, 0), bool))
-    share = F.lit(None).cast("double")
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, most / n))).otherwise(share)
+    share = F.broadcast(spark.createDataFrame([(r["lang"], min(1.0, most / r["n"]) if r["n"] > most else 1.0) for r in counts], "lang string, share double"))
     part = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    rows = labelled.where(part < share).mapInArrow(_grams, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
+    some = labelled.join(share, "lang").where(part < F.col("share"))
+    # copies are combined before the shuffle, and each text teaches once
+    some = some.groupBy("lang", F.md5(F.col("text").cast("binary")).alias("td")).agg(F.first("text").alias("text")).select("text", "lang")
+    rows = some.mapInArrow(_grams, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(rows["lang"]))
     n, seen = np.zeros((BINS, len(languages))), np.zeros((256, len(languages)))
     for k, lang in enumerate(languages):
@@ -228,3 +231,18 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     small_batches(docs.sparkSession)
     shape = "doc_id long, lang_pred string, score double, spans array<struct<lang:string,word:long,words:long>>"
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_labels(model, switch), shape)
+
+
+def in_language(docs: DataFrame, model: Model, least: float, switch: float = SWITCH) -> DataFrame:
+    """The rows of ``docs``, with all columns, that have a language and at least that score; no row is looked up by an id."""
+    small_batches(docs.sparkSession)
+    predicted, at = _labels(model, switch), docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, size=BLOCK):
+            ids = pa.nulls(b.num_rows, pa.int64())
+            out = pa.Table.from_batches(list(predicted(iter([pa.RecordBatch.from_arrays([ids, b.column(at)], ["doc_id", "text"])]))))
+            score, und = out.column("score").to_numpy(), np.array([x == UNKNOWN for x in out.column("lang_pred").to_pylist()])
+            yield b.filter(pa.array((score >= least) & ~und))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -7,7 +7,7 @@ and sent with the model; a score is the logistic function of the difference of t
 Mahalanobis distances, determinants and class shares), damped by a fitted temperature.
 
 All labelled rows count, with partial sums in each partition: the driver gets d + d^2 numbers a class. The temperature is
-fitted on a sample of at most about ``FIT_ROWS`` labelled rows, by a hash.
+fitted on a sample of about ``FIT_ROWS`` labelled rows by a hash, twice as many at most.
 
 Defined results: null and empty texts are scored like any text, from zero counts. Without labels every score is 0.5, with
 one class only it is that class. Labels with a null quality or of documents that don't exist are ignored; a document with
@@ -143,15 +143,19 @@ class Model:
 def fit(described: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """``labels``: doc_id and quality (0 or 1)."""
     labels = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    known = cut(described.join(labels, "doc_id").select("x", "quality"), "labelled")
+    known = cut(described.join(labels, "doc_id").select("x", "quality", "doc_id"), "labelled")
     sums: dict[int, np.ndarray] = {}
     d = len(FEATURES) + 1
-    for r in known.mapInArrow(_sums, "y int, at int, v double").groupBy("y", "at").agg(F.sum("v").alias("v")).collect():
+    for r in known.select("x", "quality").mapInArrow(_sums, "y int, at int, v double").groupBy("y", "at").agg(F.sum("v").alias("v")).collect():
         sums.setdefault(r["y"], np.zeros(d * d))[r["at"]] = r["v"]
     model = Model({k: v.reshape(d, d) for k, v in sums.items()})
     if model.classes:
         n = sum(v[0] for v in sums.values())
-        some = known.where(F.pmod(F.xxhash64("x"), F.lit(1 << 30)) < int(min(1.0, rows / n) * (1 << 30))).toPandas()
+        sampled = F.pmod(F.xxhash64("doc_id", "x"), F.lit(1 << 30)) < int(min(1.0, rows / n) * (1 << 30))
+        # equal rows fall into the sample together, so it is bounded once more; a sample without rows leaves 1
+        some = known.where(sampled).select("x", "quality").limit(2 * rows).toPandas()
+        if not len(some):
+            return model
         margin, y = model.margin(np.stack(some["x"])), some["quality"].to_numpy()
         grid = np.exp(np.linspace(0, np.log(50), 60))
         loss = [np.mean(np.logaddexp(0, np.where(y == 1, -margin, margin) / t)) for t in grid]
