@@ -52,6 +52,32 @@ def test_edges_equal_brute_force(spark):
     assert got(spark, []) == []
 
 
+def test_clashing_names_null_ids_and_doubles(spark):
+    from pyspark.sql import functions as F
+
+    from .fixtures import CLASH
+
+    rows = [(None, [1.0, 0.0], 0), (5, [1.0, 0.001], 0), (4, [1.0, 0.0], 0), (None, [0.0, 1.0], 0), (7, [1.0, 1e-9], 1), (8, [1.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for c in [*CLASH, "raw", "unit", "size", "pass", "part", "place", "grp", "border", "links"]:
+        df = df.withColumn(c, F.lit("x"))
+    out = [tuple(r) for r in embedding_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect()]
+    assert sorted(out, key=str) == sorted([(None, 2, 4, False), (5, 2, 4, False), (4, 2, 4, True), (None, 0, None, False), (7, 1, 7, True), (8, 1, 7, False)], key=str)
+
+
+@pytest.mark.parametrize("parts", [3, 50, 400])
+def test_short_and_empty_partitions_and_equal_keys(spark, parts):
+    """One pass whose window spans all rows finds every link, however few rows a partition holds."""
+    rows = clusters(5, 12, 0.1) + [(500 + i, [1.0] * 31 + [1.0 + i / 1000], 0) for i in range(20)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        have = got(spark, rows, passes=1, window=len(rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(have) == sorted(brute(rows))
+
+
 def test_repeated_ids(spark):
     rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0)]
     assert sorted(got(spark, rows)) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
