@@ -13,14 +13,15 @@ each index stays small, and no pair of equal strings is lost:
 3. Keys with more contexts than ``HOT`` are split: the range of starts is halved, which lets the common part, and so the
    key, grow by the bytes that all strings of a half hold. At a range of one start all contexts of a key are equal, so
    this ends after nine rounds; a key of the commonest passage is dealt over many groups, with one row a context and half.
-4. Index. The contexts of a few keys, each with its common part as one symbol, are one text. Its Burrows-Wheeler
-   transform is kept as runs, with the suffix and the common prefix length sampled at each run's two ends only. Matching
-   statistics of the text against itself are streamed from these samples: one symbol further on, a match with the
+4. Index. Of a key's contexts those are left out that share no bytes beyond the common part with another, as ``sharing``
+   says. The others of a few keys, each with its common part as one symbol, are one text. Its Burrows-Wheeler transform is
+   kept as runs, with the suffix and the common prefix length sampled at each run's two ends only. Matching statistics of the text against itself are streamed from these samples: one symbol further on, a match with the
    neighbouring suffix is one symbol shorter, until the next sample. Starts whose statistic reaches the string's length
    are repeated.
 5. The marked starts are joined back to all places of their contexts, merged by text, and cut from the bytes.
 
-Digests have 96 bits. Equal texts share one digest, so copies are one row until the last join.
+Digests have 96 bits. Equal texts share one digest; a task segments at most two of them, as counts matter as one or more,
+and spans are found once for each text. Joins of texts by digest can be split at a text with many copies.
 
 Defined results: a null text is empty; texts under 400 bytes lose nothing; rows that repeat a doc_id are documents of
 their own, so a text that stands twice goes from both; null doc_ids are kept; an empty table gives no rows; only doc_id
@@ -41,7 +42,7 @@ from .common import BLOCK_BYTES, blocks, cut, drop_cut, mix, small_batches, sort
 
 LENGTH, WINDOW, WORD = 400, 320, 16
 COMMON = LENGTH - WINDOW + 1
-HOT = 2048
+HOT = 512
 INDEX_SYMBOLS = 400_000
 _PLACE = U((1 << 24) - 1)
 
