@@ -1,9 +1,11 @@
 """Each stage against a plain version of itself, on its predecessor's output, and the packed result."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
+from .fixtures import CLASH, prose
 from .test_decontam import brute as brute_contaminations
 from .test_line_windows import brute as brute_lines
 from .test_near_dup import brute as brute_groups
@@ -68,6 +70,43 @@ def test_clean(spark, stages, data):
 def test_run_packs_what_is_left(spark, stages, data):
     out = corpus_pipeline.run(spark, data)
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == texts(stages[4]).keys()
-    from pyspark.sql import functions as F
-
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def tables(spark, folder, rows, items, clash=()):
+    docs = spark.createDataFrame([(*r, "s", len(r[1] or "")) for r in rows], SHAPE)
+    for c in clash:
+        docs = docs.withColumn(c, F.lit("x"))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_run_on_nulls_repeated_ids_and_clashing_names(spark, tmp_path):
+    item = prose(70, 40)
+    rows = [(i, prose(i, 40), "en") for i in range(8)]
+    rows += [(None, prose(50, 40), "en"), (None, "1 2 3", "en"), (None, item, "en"), (None, None, None)]  # good, no language, contaminated, null
+    rows += [(20, prose(60, 40), "en"), (20, "4 5 6", None), (20, prose(61, 9) + " " + item, "en")]  # an id with three texts
+    rows += [(30, rows[3][1], "en"), (31, "", None), rows[5]]
+    d = tables(spark, tmp_path, rows, [(1, item), (2, None)], CLASH)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    spoken = stage["language"](spark, docs, d)
+    assert spoken.columns == docs.columns and sorted(r["text"] for r in spoken.collect()) == sorted(t for _, t, _ in rows if t and t[0] not in "14")
+    clean = stage["clean"](spark, docs, d)
+    assert clean.columns == docs.columns and sorted(str(r["text"]) for r in clean.collect()) == sorted(str(t) for _, t, _ in rows if item not in (t or ""))
+    lines = stage["lines"](spark, docs, d)
+    assert lines.columns == docs.columns and lines.count() == len(rows) and {r["lines"] for r in lines.collect()} == {"x"}
+    near = stage["near"](spark, docs, d)
+    assert near.columns == docs.columns and {r["doc_id"] for r in near.collect()} == {d for d, _, _ in rows} - {30}
+    out = corpus_pipeline.run(spark, d)
+    assert {r["doc_id"] for r in out.collect()} == {*range(8), None, 20}
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path / "a", [], [(1, "a b c")])).count() == 0
+    rows = [(1, prose(1, 30), "en"), (2, prose(2, 30), "en")]
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, tables(spark, tmp_path / "b", rows, [])).collect()} == {1, 2}
