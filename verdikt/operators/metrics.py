@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from .running import average_ranks, running_totals, unit_bucket
+from .running import log_bucket, order_statistics, running_totals, unit_bucket
 
 
 def with_probs(df: DataFrame, temperature: Column | float = 1.0, k: int | None = None) -> DataFrame:
@@ -100,18 +100,41 @@ def percentiles(rows: DataFrame, by: list[str], value: str, qs: list[float]) ->
     return rows.groupBy(*by).agg(*(F.percentile(value, F.lit(q)).alias(f"p{round(q * 100)}") for q in qs))
 
 
-def upper_elements(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+def upper_elements(rows: DataFrame, by: list[str], value: str, bucket: Column | None = None) -> DataFrame:
     """The elements at n // 2 and int(0.95 n) in order, without interpolation."""
-    w = Window.partitionBy(*by)
-    x = rows.where(F.col(value).isNotNull()).withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1)
-    return x.groupBy(*by).agg(F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2), F.col(value))).alias("median"), F.max(F.when(F.col("_i") == F.floor(F.col("_n") * 0.95), F.col(value))).alias("p95"))
+    places = {"median": F.floor(F.col("n") / 2) + 1, "p95": F.floor(F.col("n") * 0.95) + 1}
+    return order_statistics(rows, by, value, places, log_bucket(value) if bucket is None else bucket)
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str, bx: Column | None = None, by_bucket: Column | None = None) -> DataFrame:
-    """Correlation of average ranks."""
-    rx = average_ranks(rows, by, x, bx).select(*by, x, F.col("rank").alias("rank_x"))
-    ry = average_ranks(rows, by, y, by_bucket).select(*by, y, F.col("rank").alias("rank_y"))
-    return rows.select(*by, x, y).join(rx, [*by, x]).join(ry, [*by, y]).groupBy(*by).agg(F.corr("rank_x", "rank_y").alias("spearman"))
+    """Correlation of average ranks. Rows with equal pairs are counted first, so frequent values are one row each in the joins
+    with their ranks, and the correlation is weighted by the counts."""
+    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("_n"))
+    rank = lambda c, bucket, name: _weighted_ranks(pairs, by, c, bucket).withColumnRenamed("rank", name)
+    p = pairs.join(rank(x, bx, "_rx"), [*by, x]).join(rank(y, by_bucket, "_ry"), [*by, y])
+    s = lambda c: F.sum(F.col("_n") * c)
+    mean = p.groupBy(*by).agg(F.sum("_n").alias("_all"), s(F.col("_rx")).alias("_mx"), s(F.col("_ry")).alias("_my"))
+    p = p.join(mean, by).withColumn("_dx", F.col("_rx") - F.col("_mx") / F.col("_all")).withColumn("_dy", F.col("_ry") - F.col("_my") / F.col("_all"))
+    sums = p.groupBy(*by).agg(s(F.col("_dx") * F.col("_dy")).alias("_xy"), s(F.col("_dx") * F.col("_dx")).alias("_xx"), s(F.col("_dy") * F.col("_dy")).alias("_yy"))
+    return sums.select(*by, F.when(F.col("_xx") * F.col("_yy") > 0, F.col("_xy") / F.sqrt(F.col("_xx") * F.col("_yy"))).alias("spearman"))
+
+
+def _weighted_ranks(pairs: DataFrame, by: list[str], value: str, bucket: Column | None) -> DataFrame:
+    run = running_totals(pairs.select(*by, value, F.col("_n").alias("n")), by, value, ["n"], unit_bucket(value) if bucket is None else bucket)
+    return run.select(*by, value, (F.col("run_n") - (F.col("n") - 1) / 2.0).alias("rank"))
+
+
+def asymmetric_errors(rows: DataFrame, by: list[str], low: int, high: int) -> DataFrame:
+    """Share of the rows of gold ``high`` that were said to be ``low``, and of gold ``low`` said to be ``high``."""
+    n = lambda g, c: F.sum(((F.col("gold") == g) & (F.col("chosen") == c)).cast("long"))
+    of = lambda g: F.greatest(F.sum((F.col("gold") == g).cast("long")), F.lit(1))
+    return rows.groupBy(*by).agg((n(high, low) / of(high)).alias("high_to_low"), (n(low, high) / of(low)).alias("low_to_high"))
+
+
+def bad_sums(rows: DataFrame, by: list[str], p: str = "p", slack: float = 1e-3) -> DataFrame:
+    """Rows whose probabilities don't add up to one."""
+    off = F.abs(E.total(p) - 1.0) > slack
+    return rows.groupBy(*by).agg(F.sum(F.coalesce(off, F.lit(True)).cast("long")).alias("bad_sum"))
 
 
 def ordinal_errors(rows: DataFrame, by: list[str], level: str = "chosen") -> DataFrame:

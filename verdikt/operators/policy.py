@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from . import metrics as M
 from .calibrate import GRID, fit_temperature
-from .running import running_totals, unit_bucket
+from .running import order_statistics, ordinal_ranks, running_totals, unit_bucket
 
 
 def infinity() -> Column:
@@ -27,10 +27,11 @@ def risk_cut(cal: DataFrame, eps: list[float], by: list[str]) -> DataFrame:
 
 def conformal_cut(cal: DataFrame, eps: list[float], by: list[str]) -> DataFrame:
     """The order statistic number ceil((n + 1) * (1 - eps)) of 1 - p(gold); 1 beyond the last."""
-    w = Window.partitionBy(*by)
-    x = cal.select(*by, (1.0 - F.get("p", F.col("gold"))).alias("s")).withColumn("n", F.count("*").over(w)).withColumn("i", F.row_number().over(w.orderBy("s")))
-    x = x.withColumn("eps", F.explode(F.array(*map(F.lit, eps)))).withColumn("k", F.ceil((F.col("n") + 1) * (1.0 - F.col("eps"))))
-    return x.groupBy(*by, "eps").agg(F.coalesce(F.max(F.when(F.col("i") == F.col("k"), F.col("s"))), F.lit(1.0)).alias("q"))
+    x = cal.select(*by, (1.0 - F.get("p", F.col("gold"))).alias("s"))
+    names = [f"q{i}" for i in range(len(eps))]
+    q = order_statistics(x, by, "s", {n: F.ceil((F.col("n") + 1) * (1.0 - e)) for n, e in zip(names, eps, strict=True)}, unit_bucket("s"))
+    each = F.explode(F.array(*(F.struct(F.lit(e).alias("eps"), F.coalesce(n, F.lit(1.0)).alias("q")) for n, e in zip(names, eps, strict=True))))
+    return q.select(*by, each.alias("x")).select(*by, "x.eps", "x.q")
 
 
 def apply_cut(rows: DataFrame, cuts: DataFrame, by: list[str], when_empty: float | None = 0.0) -> DataFrame:
@@ -90,8 +91,8 @@ def cascade(pairs: DataFrame, sent: Column) -> DataFrame:
     return pairs.withColumn("sent", sent).withColumn("final_correct", F.when(F.col("sent"), F.col("correct_b")).otherwise(F.col("correct_a")))
 
 
-def rank_fraction(by: list[str], score: str, tie: str = "id") -> Column:
-    """Ordinal rank scaled to [0, 1], ties by id. Needs a group's rows in one task: for tasks of test size."""
-    w = Window.partitionBy(*by)
-    n = F.count("*").over(w)
-    return F.when(n > 1, (F.row_number().over(w.orderBy(score, tie)) - 1) / (n - 1)).otherwise(F.lit(0.0))
+def rank_fraction(df: DataFrame, by: list[str], score: str, name: str, key: str = "id") -> DataFrame:
+    """``df`` with the ordinal rank by score scaled to [0, 1], ties by a hash of the key."""
+    n = df.groupBy(*by).agg(F.count("*").alias("_rows"))
+    x = ordinal_ranks(df, by, score, key, "_rank", unit_bucket(score)).join(F.broadcast(n), by)
+    return x.select(*df.columns, F.when(F.col("_rows") > 1, (F.col("_rank") - 1) / (F.col("_rows") - 1)).otherwise(0.0).alias(name))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import expr as E
 
@@ -53,20 +58,31 @@ def reciprocal_rank(df: DataFrame, by: list[str], relevant: Column, at: int = 3)
     return df.groupBy(*by).agg(F.coalesce(1.0 / first, F.lit(0.0)).alias("rr"), F.coalesce(first <= at, F.lit(False)).alias("recalled"))
 
 
-def tournament(df: DataFrame, by: list[str], group: int = 10, levels: int = 3) -> DataFrame:
-    """by, cand and level reached, by rounds of the best of each ``group`` neighbours in catalog order, until at most
-    ``group`` are left for the final. Rows: each query's winner with its path length and reads."""
-    alive = df.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy("cand")) - 1).withColumn("reads", F.lit(0))
-    for _ in range(levels):
-        w = Window.partitionBy(*by)
-        alive = alive.withColumn("n", F.count("*").over(w))
-        g = F.when(F.col("n") > group, F.floor(F.col("pos") / group)).otherwise(F.lit(0))
-        alive = alive.withColumn("g", g)
-        best = F.row_number().over(Window.partitionBy(*by, "g").orderBy(F.desc("score"), "cand"))
-        groups = F.when(F.col("n") > 1, F.ceil(F.col("n") / group)).otherwise(F.lit(0))
-        alive = alive.withColumn("reads", (F.col("reads") + groups).cast("int")).withColumn("best", best).where("best = 1")
-        alive = alive.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy("cand")) - 1).drop("g", "best", "n")
-    return alive.select(*by, F.col("cand").alias("winner"), "reads")
+def tournament(df: DataFrame, by: list[str], group: int = 10, read: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """by, winner, reads and gold_in_final of tournaments: the best of each ``group`` neighbours in catalog order goes up a
+    level until at most ``group`` are left, which a last read decides. ``df`` has cand, score and, for gold_in_final, gold.
+
+    A read scores its group anew: ``read`` gives the score from the level and the group's number (and the row's columns), as
+    a reader sees other candidates in each group; without it the row's score counts in every read. Rounds follow from the
+    largest query's number of candidates.
+    """
+    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    score = read or (lambda level, g: F.col("score"))
+    w = Window.partitionBy(*by).orderBy("cand")
+    alive, level = df.withColumn("pos", F.row_number().over(w) - 1).withColumn("reads", F.lit(0).cast("long")), 0
+    while largest > group:
+        alive = alive.withColumn("n", F.count("*").over(Window.partitionBy(*by)))
+        # a query with few candidates waits for the last read
+        waits = F.col("n") <= group
+        alive = alive.withColumn("g", F.when(waits, -F.col("pos") - 1).otherwise(F.floor(F.col("pos") / group)).cast("long"))
+        alive = alive.withColumn("now", score(F.lit(level), F.col("g"))).withColumn("reads", F.col("reads") + F.when(waits, 0).otherwise(F.ceil(F.col("n") / group)))
+        best = F.row_number().over(Window.partitionBy(*by, "g").orderBy(F.desc("now"), "cand"))
+        alive = alive.withColumn("best", best).where("best = 1").withColumn("pos", F.row_number().over(w) - 1).drop("n", "g", "now", "best")
+        largest, level = -(-largest // group), level + 1
+    last = alive.withColumn("now", score(F.lit(level), F.lit(0).cast("long")))
+    top = F.max_by("cand", F.struct("now", (-F.col("pos")).alias("first")))
+    gold = F.max((F.col("cand") == F.col("gold")).cast("int")) == 1 if "gold" in df.columns else F.lit(None).cast("boolean")
+    return last.groupBy(*by).agg(top.alias("winner"), (F.max("reads") + 1).alias("reads"), gold.alias("gold_in_final"))
 
 
 def dealt_groups(df: DataFrame, by: list[str], groups: int) -> DataFrame:
@@ -89,16 +105,73 @@ def bigrams(texts: DataFrame, row_id: str, text: str = "text") -> DataFrame:
     return x.select(row_id, F.coalesce(grams, F.array().cast("array<string>")).alias("grams"))
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """qid, pid, score of the pairs that share a bigram. queries: qid, text; corpus: pid, text. A query's bigrams are a set."""
-    grams = bigrams(corpus, "pid")
-    tf = grams.select("pid", F.explode("grams").alias("g")).groupBy("pid", "g").agg(F.count("*").alias("tf"))
-    length = grams.select("pid", F.size("grams").alias("len"))
-    stats = length.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    df = tf.groupBy("g").agg(F.count("*").alias("df"))
-    q = bigrams(queries, "qid").select("qid", F.explode(F.array_distinct("grams")).alias("g"))
-    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = q.join(df, "g").crossJoin(F.broadcast(stats)).select("qid", "g", idf.alias("idf"), "avg_len")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    hit = tf.join(weights, "g").join(length, "pid")
-    return hit.groupBy("qid", "pid").agg(F.sum(part).alias("score"))
+def gram_counts(texts: DataFrame, row_id: str) -> DataFrame:
+    """row_id, len (bigrams of the text) and counts (array of g, n for its different ones), counted inside the row: in sorted
+    order equal bigrams stand together."""
+    x = bigrams(texts, row_id).select(row_id, F.size("grams").alias("len"), F.explode(F.array(F.array_sort("grams"))).alias("s"))
+    places = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.size("s") - 1)).otherwise(F.array().cast("array<int>"))
+    x = x.select("*", F.explode(F.array(F.filter(places, lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1))))).alias("heads"))
+    one = lambda h, j: F.struct(F.get("s", h).alias("g"), (F.coalesce(F.get("heads", j + 1), F.size("s")) - h).alias("n"))
+    return x.select(row_id, "len", F.transform("heads", one).alias("counts"))
+
+
+def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, most: int = 2000) -> DataFrame:
+    """qid, pid, score of the ``k`` best texts of each query that share a bigram with it, ties by pid. queries: qid, text;
+    corpus: pid, text. A query's bigrams are a set.
+
+    The queries' bigrams with their weights are a matrix, sent in blocks of at most ``most`` queries; each batch of texts is
+    multiplied with it and gives its own best rows only, so pairs of query and text never become rows, however common a
+    bigram is. ``pid`` is a long.
+    """
+    tf = gram_counts(corpus, "pid")
+    stats = tf.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
+    if not stats["n"]:
+        return queries.where("false").select("qid", F.lit(0).cast("long").alias("pid"), F.lit(0.0).alias("score"))
+    df = tf.select(F.explode("counts.g").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
+    idf = F.log(1.0 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    grams = bigrams(queries, "qid").select("qid", F.explode(F.array_distinct("grams")).alias("g")).join(df, "g").select("qid", "g", idf.alias("idf"))
+    kind = dict(queries.dtypes)["qid"]
+    blocks = -(-queries.count() // most)
+    out = None
+    for i in range(blocks):
+        # bounded by the block: its queries' different bigrams
+        rows = grams.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).collect()
+        qids, names = sorted({r["qid"] for r in rows}), sorted({r["g"] for r in rows})
+        at_q, at_g = {q: j for j, q in enumerate(qids)}, {g: j for j, g in enumerate(names)}
+        weights = np.zeros((len(names) + 1, len(qids)))
+        for r in rows:
+            weights[at_g[r["g"]], at_q[r["qid"]]] = r["idf"]
+        one = tf.select(F.col("pid").cast("long").alias("pid"), "len", F.col("counts.g").alias("g"), F.col("counts.n").alias("n"))
+        one = one.mapInArrow(_best_of(weights, at_g, pa.array(qids, to_arrow_type(queries.schema["qid"].dataType)), stats["avg"], k, k1, b), f"qid {kind}, pid long, score double")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return queries.where("false").select("qid", F.lit(0).cast("long").alias("pid"), F.lit(0.0).alias("score"))
+    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "pid"))
+    return out.withColumn("best", best).where(F.col("best") <= k).drop("best")
+
+
+def _best_of(weights: np.ndarray, at_g: dict[str, int], qids: pa.Array, avg: float, k: int, k1: float, b: float):
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = len(at_g)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                part = whole.slice(at, 512)
+                pid, length = part.column(0).to_numpy(), part.column(1).to_numpy()
+                sizes = np.diff(part.column(2).offsets.to_numpy())
+                gram = np.array([at_g.get(g, none) for g in part.column(2).flatten().to_pylist()], np.int64)
+                n = part.column(3).flatten().to_numpy().astype(float)
+                row = np.repeat(np.arange(len(pid)), sizes)
+                value = n * (k1 + 1) / (n + k1 * (1 - b + b * length[row] / avg))
+                dense = np.zeros((len(pid), none + 1))
+                dense[row, gram] = value  # bigrams of no query share a column of zero weight
+                score = np.round(dense @ weights, 9)
+                rows, cols = [], []
+                for q in range(len(qids)):
+                    order = np.lexsort((pid, -score[:, q]))[:k]
+                    order = order[score[order, q] > 0]
+                    rows.append(order)
+                    cols.append(np.full(len(order), q))
+                r, c = np.concatenate(rows or [[]]).astype(int), np.concatenate(cols or [[]]).astype(int)
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(c)), pa.array(pid[r]), pa.array(score[r, c])], ["qid", "pid", "score"])
+
+    return best

@@ -53,3 +53,44 @@ def first_by_hash(df: DataFrame, by: list[str], key: str, digest: Column, share_
     part = joined.where("_left > 0 and _left < n")
     rank = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_digest", key))
     return whole.unionByName(part.withColumn("_rank", rank).where("_rank <= _left").select(*by, key))
+
+
+def log_bucket(value: Column | str) -> Column:
+    """Buckets for values of any size and sign, 64 for each factor of e."""
+    v = F.col(value) if isinstance(value, str) else value
+    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * 64.0)).cast("long")
+
+
+def order_statistics(df: DataFrame, by: list[str], value: str, places: dict[str, Column], bucket: Column) -> DataFrame:
+    """by and, for each name, the value at a place of the rows in order (from 1; a column over ``n``, the rows with a value);
+    null beyond the last. Rows with equal values are added up first, so no group is sorted whole."""
+    x = df.where(F.col(value).isNotNull()).select(*by, value, F.lit(1).cast("long").alias("n"))
+    run = running_totals(x, by, value, ["n"], bucket).select(*by, value, F.col("run_n").alias("_upto"))
+    run = run.join(x.groupBy(*by).agg(F.count("*").alias("n")), by)
+    return run.groupBy(*by).agg(*(F.min(F.when(F.col("_upto") >= place, F.col(value))).alias(name) for name, place in places.items()))
+
+
+def hash_ranks(df: DataFrame, by: list[str], key: str, digest: Column) -> DataFrame:
+    """by, key and rank (from 1) of the distinct keys of each group in the order of ``digest`` (hex text), then key. Keys are
+    ranked inside buckets of a digest's first three digits, and small totals give what lies before a bucket."""
+    keys = df.select(*by, key).distinct().withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, 3))
+    counts = keys.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*by, "_bucket", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_digest", key))
+    return keys.withColumn("_inner", inner).join(counts, [*by, "_bucket"]).select(*by, key, (F.col("_before") + F.col("_inner")).alias("rank"))
+
+
+def ordinal_ranks(df: DataFrame, by: list[str], value: str, key: str, name: str, bucket: Column) -> DataFrame:
+    """``df`` with the rank of each row (from 1) by value, and among equal values by the MD5 of ``key``, then key. Two levels of
+    totals lie before a row, those of smaller values and those of smaller digests, so neither a group nor a value that many
+    rows share is sorted whole."""
+    run = running_totals(df.select(*by, value, F.lit(1).cast("long").alias("n")), by, value, ["n"], bucket)
+    before = run.select(*by, value, (F.col("run_n") - F.col("n")).alias("_smaller"))
+    x = df.withColumn("_digest", F.md5(F.col(key).cast("string").cast("binary"))).withColumn("_slot", F.substring("_digest", 1, 3))
+    slots = x.groupBy(*by, value, "_slot").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*by, value).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select(*by, value, "_slot", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before")).join(before, [*by, value])
+    inner = F.row_number().over(Window.partitionBy(*by, value, "_slot").orderBy("_digest", key))
+    x = x.withColumn("_inner", inner).join(slots, [*by, value, "_slot"])
+    return x.select(*df.columns, (F.col("_smaller") + F.col("_before") + F.col("_inner")).alias(name))

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .running import first_by_hash
+from .running import first_by_hash, hash_ranks
 
 
 def group_split(df: DataFrame, seed: int = 0, by: str = "task", group: str = "group_id") -> DataFrame:
@@ -32,6 +32,13 @@ def grouped_folds(df: DataFrame, k: int, seed: int = 0, by: str = "task", group:
     return df.withColumn("fold", (h % k).cast("int"))
 
 
+def even_folds(df: DataFrame, k: int, seed: int = 0, by: str = "task", group: str = "group_id") -> DataFrame:
+    """Adds fold 0 to k - 1: each task's groups in the order of a hash, dealt in turn, so that folds differ by one group."""
+    digest = F.md5(F.concat(F.col(group), F.lit(f":{seed}")).cast("binary"))
+    ranks = hash_ranks(df, [by], group, digest)
+    return df.join(ranks.select(by, group, ((F.col("rank") - 1) % k).cast("int").alias("fold")), [by, group])
+
+
 def leave_one_out_folds(df: DataFrame, segment: str, segments: list[str]) -> DataFrame:
     """Every row once for each segment as fold, with is_train false in its own."""
     return df.withColumn("fold", F.explode(F.array(*map(F.lit, segments)))).withColumn("is_train", F.col(segment) != F.col("fold"))

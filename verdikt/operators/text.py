@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pattern of a word, number or single CJK character.
-TOKEN = r"[A-Za-z][A-Za-z0-9'\-]*|[0-9]+(?:\.[0-9]+)?|[一-鿿]"
+TOKEN = r"[A-Za-z][A-Za-z0-9'\-]*|\p{Nd}+(?:\.\p{Nd}+)?|[㐀-鿿]"
 CJK = r"[一-鿿]"
 
 
 def parse_letter(text: Column, letters: list[str]) -> Column:
-    """The letter of a JSON-like answer, else the first letter that stands as a word; null if it isn't an option."""
-    named = F.nullif(F.regexp_extract(text, r'"answer"\s*:\s*"([A-Z])"', 1), F.lit(""))
-    alone = F.nullif(F.regexp_extract(text, r"\b([A-Z])\b", 1), F.lit(""))
-    found = F.coalesce(named, alone)
-    return F.when(found.isin(letters), found)
+    """The letter A to J that a JSON-like answer begins with, if it is an option; else the first such letter that stands as a
+    word, null if that is no option. Words and white space are those of Unicode."""
+    named = F.regexp_extract(text, r'(?U)"answer"\s*:\s*"\s*([A-J])', 1)
+    alone = F.regexp_extract(text, r"(?U)\b([A-J])\b", 1)
+    return F.when(named.isin(letters), named).when(alone.isin(letters), alone)
 
 
 def best_by_letter(df: DataFrame, by: list[str], tokens: str, letters: list[str]) -> DataFrame:
@@ -40,7 +40,8 @@ def is_latin(token: Column) -> Column:
 
 
 def is_cjk(token: Column) -> Column:
-    return F.rlike(token, F.lit(CJK))
+    """Whether a token begins beyond ASCII."""
+    return F.rlike(token, F.lit(r"^[^\x00-\x7F]"))
 
 
 def join_tokens(toks: Column) -> Column:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import paired as P
 from ..operators import policy as Y
+from ..operators.running import ordinal_ranks, unit_bucket
+from ..sources.shared import settled
 from . import tables as T
-from .scoring import TEMPS, rows, split_rows
+from .scoring import TEMPS, rows, settled_rows, split_rows
 from .util import Query, tidy
 
 EPS = [0.02, 0.05, 0.1]
@@ -28,17 +30,17 @@ def _no_infinity(df):
 
 def threshold_run(spark, d):
     """The flagship: split, temperature, risk cut, and the test half's coverage and error. A null cut handles nothing."""
-    _, out = Y.threshold_run(split_rows(spark, d).drop("p", "conf", "chosen", "correct"), EPS, k=3)
+    _, out = Y.threshold_run(settled_rows(spark, d).drop("p", "conf", "chosen", "correct"), EPS, k=3)
     return tidy(_no_infinity(out))
 
 
 def lock_tasks(spark, d):
-    lock, _ = Y.threshold_run(split_rows(spark, d).drop("p", "conf", "chosen", "correct"), EPS, k=3)
+    lock, _ = Y.threshold_run(settled_rows(spark, d).drop("p", "conf", "chosen", "correct"), EPS, k=3)
     return tidy(lock)
 
 
 def auto_measure(spark, d):
-    lock, out = Y.threshold_run(split_rows(spark, d).drop("p", "conf", "chosen", "correct"), [0.05], measure="auto")
+    lock, out = Y.threshold_run(settled_rows(spark, d).drop("p", "conf", "chosen", "correct"), [0.05], measure="auto")
     return tidy(_no_infinity(out.join(lock.select("task", "measure"), "task")))
 
 
@@ -49,7 +51,7 @@ def conformal(spark, d):
 
 def lock_check(spark, d):
     """Cuts of arm A checked on arm B's test rows."""
-    x = split_rows(spark, d, "AB").drop("p", "conf", "chosen", "correct")
+    x = settled_rows(spark, d, "AB").drop("p", "conf", "chosen", "correct")
     lock, eps = Y.threshold_run(x.where("arm = 'A'"), EPS, k=3)
     return tidy(Y.check_lock(x.where("arm = 'B' and not cal"), lock, eps, k=3))
 
@@ -61,7 +63,7 @@ select task, eps, round(error, 6) error, round(new_error, 6) new_error, round(co
 
 def bands(spark, d):
     """Sizes and errors of the three bands on the test half, with raw confidences, and of the fixed bands."""
-    x = split_rows(spark, d).withColumn("conf", F.round("conf", 12))
+    x = settled_rows(spark, d).withColumn("conf", F.round("conf", 12))
     cuts = Y.human_cut(x.where("cal"), Y.risk_cut(x.where("cal"), [0.05], ["task"]).drop("eps"), ["task"])
     t = x.where("not cal").join(F.broadcast(cuts), "task")
     rule = F.explode(F.array(F.struct(F.lit("fitted").alias("rule"), Y.band(F.col("conf"), F.col("cut"), F.col("human")).alias("band")), F.struct(F.lit("fixed").alias("rule"), Y.fixed_band(F.col("conf")).alias("band"))))
@@ -130,17 +132,16 @@ select task, round(same / n, 6) agreement, round((same / n - chance / (n * n)) /
 def cascades(spark, d):
     """Arm A with the least confident rows sent to arm B: by a pooled quantile of calibration confidences, by the risk cut,
     and by a fixed threshold."""
-    x = split_rows(spark, d, "AB").withColumn("conf", F.round("conf", 12))
+    x = settled_rows(spark, d, "AB").withColumn("conf", F.round("conf", 12))
     cal = x.where("cal and arm = 'A'")
     tau = cal.agg(F.percentile("conf", F.lit(0.25)).alias("tau"))
     cut = Y.risk_cut(cal, [0.05], ["task"]).select("task", "cut")
     pairs = P.pair(x.where("not cal"), "A", "B", ["task", "id", "hard_type"], ["correct", "conf"]).join(F.broadcast(cut), "task").crossJoin(F.broadcast(tau))
     rules = {"quantile": F.col("conf_a") < F.col("tau"), "risk": F.col("conf_a") < F.col("cut"), "fixed": F.col("conf_a") < 0.9}
-    out = None
-    for name, sent in rules.items():
-        one = Y.cascade(pairs, sent).groupBy("task").agg(F.avg(F.col("sent").cast("double")).alias("sent"), F.avg(F.col("final_correct").cast("double")).alias("accuracy"), F.avg(F.col("correct_a").cast("double")).alias("accuracy_a"), F.avg(F.col("correct_b").cast("double")).alias("accuracy_b")).withColumn("rule", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return tidy(out)
+    rule = F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), c.alias("send")) for n, c in rules.items())))
+    x = Y.cascade(pairs.select("task", "correct_a", "correct_b", rule.alias("r")), F.col("r.send"))
+    share = lambda c: F.avg(F.col(c).cast("double"))
+    return tidy(x.groupBy("task", "r.rule").agg(share("sent").alias("sent"), share("final_correct").alias("accuracy"), share("correct_a").alias("accuracy_a"), share("correct_b").alias("accuracy_b")))
 
 
 CASCADES = f"""{_PAIR}, q as (select *, round(fa, 12) c from pr), tau as (select quantile_cont(c, 0.25) tau from q where cal),
@@ -154,7 +155,7 @@ def two_stage(spark, d):
     """Rows under 0.8 of calibrated confidence take arm B, tempered by a fit on the calibration rows sent there."""
     from ..operators.calibrate import fit_temperature
 
-    x = split_rows(spark, d, "AB").drop("p", "conf", "chosen", "correct")
+    x = settled_rows(spark, d, "AB").drop("p", "conf", "chosen", "correct")
     ta = fit_temperature(x.where("cal and arm = 'A'"))
     a = M.with_probs(x.where("arm = 'A'").join(F.broadcast(ta), "task"), F.col("temp"), 3).withColumn("conf", F.round("conf", 12))
     low = a.where("conf < 0.8").select("task", "id")
@@ -169,29 +170,34 @@ def two_stage(spark, d):
 
 def rank_fusion(spark, d):
     """AUROC for option 2 of arm A's score, of the mean of both arms' rank fractions, and of A with B's ranks spliced in
-    for the least confident 40 %. One sample of 2,000 rows a task by hash, as ordinal ranks need a task's rows together."""
-    x = rows(spark, d, "AB").withColumn("s", F.round(F.get("p", F.lit(2)), 12))
-    x = x.where(F.substring(F.md5(F.col("id").cast("binary")), 1, 1) == "0")
+    for the least confident 40 %. All rows are ranked, ties by a hash of the id."""
+    x = settled(rows(spark, d, "AB").withColumn("s", F.round(F.get("p", F.lit(2)), 12)).select("arm", "task", "id", "gold", "s", "conf"), "scores")
     pairs = P.pair(x, "A", "B", ["task", "id", "gold"], ["s", "conf"])
-    r = pairs.withColumn("ra", Y.rank_fraction(["task"], "s_a")).withColumn("rb", Y.rank_fraction(["task"], "s_b")).withColumn("fused", F.round((F.col("ra") + F.col("rb")) / 2.0, 12))
+    r = Y.rank_fraction(Y.rank_fraction(pairs, ["task"], "s_a", "ra"), ["task"], "s_b", "rb").withColumn("fused", F.round((F.col("ra") + F.col("rb")) / 2.0, 12))
     cut = r.groupBy("task").agg(F.percentile("conf_a", F.lit(0.4)).alias("q"))
-    r = r.join(F.broadcast(cut), "task").withColumn("low", F.round("conf_a", 12) <= F.round("q", 12))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("task", "low")
-    slot = F.row_number().over(w.orderBy("ra", "id"))
-    own = F.row_number().over(w.orderBy("rb", "id"))
-    slots = r.where("low").select("task", slot.alias("k"), F.col("ra").alias("slot_rank"))
-    spliced = r.where("low").withColumn("k", own).join(slots, ["task", "k"]).select("task", "id", F.col("slot_rank").alias("splice"))
+    r = settled(r.join(F.broadcast(cut), "task").withColumn("low", F.round("conf_a", 12) <= F.round("q", 12)), "ranks")
+    low = r.where("low").select("task", "id", "ra", "rb")
+    slots = ordinal_ranks(low, ["task"], "ra", "id", "k", unit_bucket("ra")).select("task", "k", F.col("ra").alias("splice"))
+    spliced = ordinal_ranks(low, ["task"], "rb", "id", "k", unit_bucket("rb")).join(slots, ["task", "k"]).select("task", "id", "splice")
     r = r.join(spliced, ["task", "id"], "left").withColumn("splice", F.coalesce("splice", "ra"))
     pos = F.col("gold") == 2
     out = M.auroc(r, ["task"], "s_a", pos).withColumnRenamed("auroc", "auroc_a")
     return tidy(out.join(M.auroc(r, ["task"], "fused", pos).withColumnRenamed("auroc", "auroc_fused"), "task").join(M.auroc(r, ["task"], "splice", pos).withColumnRenamed("auroc", "auroc_spliced"), "task"))
 
 
+_AUC = "select task, round((sum(case when gold = 2 then rk end) - sum((gold = 2)::int) * (sum((gold = 2)::int) + 1) / 2::double) / (sum((gold = 2)::int)::double * sum((gold <> 2)::int)), 6) {n} from (select task, gold, rank() over (partition by task order by {s}) + (count(*) over (partition by task, {s}) - 1) / 2::double rk from f) group by task"
+FUSION = f"""{T.SQL}, x as (select a.task, a.id, a.gold, round(a.p2, 12) sa, round(b.p2, 12) sb, a.conf ca from p a join p b on a.task = b.task and a.id = b.id and a.gold = b.gold where a.arm = 'A' and b.arm = 'B'),
+r as (select *, (row_number() over (partition by task order by sa, md5(id), id) - 1) / (count(*) over (partition by task) - 1) ra, (row_number() over (partition by task order by sb, md5(id), id) - 1) / (count(*) over (partition by task) - 1) rb from x),
+c as (select task, quantile_cont(ca, 0.4) q from r group by task), l as (select r.*, round(ca, 12) <= round(q, 12) low from r join c using (task)),
+k as (select *, row_number() over (partition by task, low order by ra, md5(id), id) ka, row_number() over (partition by task, low order by rb, md5(id), id) kb from l),
+f as (select k.task, k.id, k.gold, k.sa, round((k.ra + k.rb) / 2, 12) fused, case when k.low then s.ra else k.ra end splice from k left join k s on k.low and s.low and s.task = k.task and s.ka = k.kb),
+u1 as ({_AUC.format(n='auroc_a', s='sa')}), u2 as ({_AUC.format(n='auroc_fused', s='fused')}), u3 as ({_AUC.format(n='auroc_spliced', s='splice')})
+select task, auroc_a, auroc_fused, auroc_spliced from u1 join u2 using (task) join u3 using (task)"""
+
+
 def bootstrap(spark, d):
-    x = rows(spark, d).where("task = 'F'")
-    return P.poisson_bootstrap(x, ["task"], F.col("correct").cast("double"), draws=200)
+    """Intervals of each task's accuracy from 1,000 draws over all rows."""
+    return P.poisson_bootstrap(rows(spark, d), ["task"], F.col("correct").cast("double"))
 
 
 def slice_means(spark, d):
@@ -200,10 +206,32 @@ def slice_means(spark, d):
     return tidy(x.groupBy("arm", "hard_type").agg(F.avg("accuracy").alias("macro"), (F.sum(F.col("accuracy") * F.col("n")) / F.sum("n")).alias("pooled"), F.min("accuracy").alias("worst"), F.count("*").alias("tasks")))
 
 
+#: The measure of best calibration AUROC for each task, and the risk cut on it.
+AUTO = f"""{TEMPS}, ca as (select spl.*, exp((z0 - greatest(z0, z1, z2)) / temp) a0, exp((z1 - greatest(z0, z1, z2)) / temp) a1, exp((z2 - greatest(z0, z1, z2)) / temp) a2 from spl join fit using (task) where arm = 'A'),
+cb as (select *, a0 / (a0 + a1 + a2) q0, a1 / (a0 + a1 + a2) q1, a2 / (a0 + a1 + a2) q2 from ca),
+cc as (select *, greatest(q0, q1, q2) top, q0 + q1 + q2 - greatest(q0, q1, q2) - least(q0, q1, q2) mid from cb),
+m as (select task, id, hard_type, cal, correct, 0 i, 'top_prob' measure, top conf from cc union all select task, id, hard_type, cal, correct, 1, 'margin', top - mid from cc
+ union all select task, id, hard_type, cal, correct, 2, 'entropy', 1 + (greatest(q0, 1e-12::double) * ln(greatest(q0, 1e-12::double)) + greatest(q1, 1e-12::double) * ln(greatest(q1, 1e-12::double)) + greatest(q2, 1e-12::double) * ln(greatest(q2, 1e-12::double))) / ln(3::double) from cc),
+mr as (select task, i, measure, correct, rank() over (partition by task, i order by conf) + (count(*) over (partition by task, i, conf) - 1) / 2::double rk from m where cal),
+ma as (select task, i, measure, (sum(case when correct then rk end) - sum(correct::int) * (sum(correct::int) + 1) / 2::double) / (sum(correct::int)::double * sum((not correct)::int)) a from mr group by all),
+best as (select task, i, measure from (select *, row_number() over (partition by task order by a desc, i) r from ma) where r = 1),
+t as (select m.task, m.cal, m.correct, m.measure, round(m.conf, 12) c from m join best on m.task = best.task and m.i = best.i),
+rr as (select task, c, sum((not correct)::int) over w e, count(*) over w n from t where cal window w as (partition by task order by c desc range between unbounded preceding and current row)),
+cut as (select task, coalesce(min(case when (e + 1) / (n + 1) <= 0.05::double then c end), 'infinity'::double) cut from rr group by task),
+ev as (select task, max(measure) measure, max(cut) cut, count(*) n, sum((c >= cut)::int)::bigint handled, sum((c >= cut and not correct)::int)::bigint wrong from t join cut using (task) where not cal group by task)
+select task, 0.05::double eps, case when cut < 'infinity'::double then round(cut, 6) end cut, n, handled, round(handled / n, 6) coverage, round(case when handled > 0 then wrong / handled else 0 end, 6) error, case when handled > 0 then wrong / handled else 0 end <= 0.05::double held, measure from ev"""
+
+_NLL = "round(avg(-ln(greatest(case gold when 0 then exp((z0 - greatest(z0, z1, z2)) / temp) when 1 then exp((z1 - greatest(z0, z1, z2)) / temp) else exp((z2 - greatest(z0, z1, z2)) / temp) end / (exp((z0 - greatest(z0, z1, z2)) / temp) + exp((z1 - greatest(z0, z1, z2)) / temp) + exp((z2 - greatest(z0, z1, z2)) / temp)), 1e-12::double))), 10)"
+TWO_STAGE = f"""{TEMPS}, a1 as (select spl.*, 1 / (exp((z0 - greatest(z0, z1, z2)) / temp) + exp((z1 - greatest(z0, z1, z2)) / temp) + exp((z2 - greatest(z0, z1, z2)) / temp)) c0 from spl join fit using (task) where arm = 'A'),
+a as (select *, round(c0, 12) c from a1), low as (select distinct task, id from a where c < 0.8::double), b as (select spl.* from spl join low using (task, id) where arm = 'B'),
+lb as (select task, i, temp, {_NLL} l from b, grid where cal group by task, i, temp), fb as (select task, temp from (select *, row_number() over (partition by task order by l, i) r from lb) where r = 1),
+s as (select distinct on (b.task, b.id) b.task, b.id, b.correct correct_b, 1 / (exp((z0 - greatest(z0, z1, z2)) / temp) + exp((z1 - greatest(z0, z1, z2)) / temp) + exp((z2 - greatest(z0, z1, z2)) / temp)) conf_b from b join fb using (task) where not cal)
+select task, count(*) n, round(avg((correct_b is not null)::int), 6) sent, round(avg(correct::int), 6) "first", round(avg(coalesce(correct_b, correct)::int), 6) "final", round(avg(coalesce(conf_b, c)), 6) mean_conf from a left join s using (task, id) where not cal group by task"""
+
 QUERIES: dict[str, Query] = {
     "c09_threshold_run": (threshold_run, f"{CUTS} select task, eps, case when cut < 'infinity'::double then round(cut, 6) end cut, n, handled, round(handled / n, 6) coverage, round(case when handled > 0 then wrong / handled else 0 end, 6) error, case when handled > 0 then wrong / handled else 0 end <= eps held from ev"),
     "c09_lock_tasks": (lock_tasks, f"{CUTS} select task, round(max(temp), 6) temp, 'top_prob' measure, sum(cal::int)::bigint n_cal, sum((not cal)::int)::bigint n_test, round(avg(case when not cal then correct::int end), 6) acc_test from cq where arm = 'A' group by task"),
-    "c09_auto_measure": (auto_measure, None),
+    "c09_auto_measure": (auto_measure, AUTO),
     "c08_conformal": (conformal, f"{T.SQL}, {_EPS}, s as (select task, 1 - case gold when 0 then p0 when 1 then p1 else p2 end s from spl where cal and arm = 'A'), o as (select task, s, row_number() over (partition by task order by s) i, count(*) over (partition by task) n from s) select task, eps, round(coalesce(max(case when i = ceil((n + 1) * (1 - eps)) then s end), 1), 6) q from o, eps group by task, eps"),
     "c10_lock_check": (lock_check, LOCK_CHECK),
     "c11_bands": (bands, BANDS),
@@ -212,8 +240,8 @@ QUERIES: dict[str, Query] = {
     "a20_gap_intervals": (gaps, GAPS),
     "a22_kappa": (kappa, KAPPA),
     "c13_cascades": (cascades, CASCADES),
-    "c17_two_stage": (two_stage, None),
-    "c16_rank_fusion": (rank_fusion, None),
+    "c17_two_stage": (two_stage, TWO_STAGE),
+    "c16_rank_fusion": (rank_fusion, FUSION),
     "a19_bootstrap": (bootstrap, None),
     "a33_slice_means": (slice_means, f"{T.SQL}, c as (select arm, hard_type, task, count(*) n, avg((chosen = gold)::int) a from p group by arm, hard_type, task) select arm, hard_type, round(avg(a), 6) macro, round(sum(a * n) / sum(n), 6) pooled, round(min(a), 6) worst, count(*) tasks from c group by arm, hard_type"),
 }

@@ -46,17 +46,39 @@ def shortlists(spark, d):
     return s.select("vec_id", F.array_join(F.transform("shortlist", lambda x: x.cast("string")), ",").alias("shortlist"))
 
 
-def tournaments(spark, d):
-    """Winners of tournaments in groups of three over all candidates, and among the five best."""
-    x = T.emb_decisions(spark, d).withColumn("score", F.round("score", 9))
-    full = R.tournament(x, ["vec_id", "gold"], 3)
-    short = R.tournament(R.ranked(x, ["vec_id"]).where("rank <= 5").drop("rank"), ["vec_id", "gold"], 3)
-    both = full.withColumn("kind", F.lit("full")).unionByName(short.withColumn("kind", F.lit("short")))
-    return tidy(both.groupBy("kind").agg(F.count("*").alias("n"), F.avg((F.col("winner") == F.col("gold")).cast("double")).alias("accuracy"), F.avg("reads").alias("reads")))
+def _read(level, g):
+    """A read's score: the candidate's own with an error that depends on the level and the group it is read in."""
+    seen = F.concat_ws(":", F.col("vec_id").cast("string"), level.cast("string"), g.cast("string"), F.col("cand").cast("string"))
+    return F.round(F.col("score") + 6.0 * (E.hash_unit(seen, F.lit("r"), buckets=1000) - 0.5), 9)
 
 
-TOURNAMENTS = f"""{EMB} select kind, count(*) n, round(avg((cand = gold)::int), 6) accuracy, reads::double reads from
- (select 'full' kind, cand, gold, 7 reads from rk where r = 1 union all select 'short', cand, gold, 3 from rk where r = 1) group by kind, reads"""
+def tournaments(spark, d):
+    """Tournaments in groups of three over all candidates and over shortlists of seven and five, and one read of the three
+    best: accuracy, recall of the final, accuracy where it is recalled, and reads."""
+    x = T.emb_decisions(spark, d).withColumn("score", F.round("score", 9))
+    r = R.ranked(x, ["vec_id"])
+    arms = {"full": x, "seven": r.where("rank <= 7").drop("rank"), "five": r.where("rank <= 5").drop("rank"), "read": r.where("rank <= 3").drop("rank")}
+    out = None
+    for name, one in arms.items():
+        one = R.tournament(one, ["vec_id", "gold"], 3, _read).withColumn("kind", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    hit = (F.col("winner") == F.col("gold")).cast("double")
+    return tidy(out.groupBy("kind").agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"), F.avg(F.col("gold_in_final").cast("double")).alias("recall"), F.avg(F.when(F.col("gold_in_final"), hit)).alias("accuracy_recalled"), F.avg("reads").alias("reads")))
+
+
+_SEEN = "round(score + 6 * (" + T.sql_unit("vec_id || ':{l}:' || {g} || ':' || cand || ':r'", 1000) + " - 0.5::double), 9)"
+TOURNAMENTS = f"""{EMB}, al as (select 'full' kind, vec_id, gold, cand, round(score, 9) score from rk union all select 'seven', vec_id, gold, cand, round(score, 9) from rk where r <= 7
+  union all select 'five', vec_id, gold, cand, round(score, 9) from rk where r <= 5 union all select 'read', vec_id, gold, cand, round(score, 9) from rk where r <= 3),
+p0 as (select *, row_number() over (partition by kind, vec_id order by cand) - 1 pos, count(*) over (partition by kind, vec_id) n from al),
+n0 as (select *, case when n <= 3 then -pos - 1 else pos // 3 end g from p0), s0 as (select *, {_SEEN.format(l=0, g='g')} s from n0),
+w0 as (select *, case when n <= 3 then 0 else ceil(n / 3) end reads from (select *, row_number() over (partition by kind, vec_id, g order by s desc, cand) b from s0) where b = 1),
+p1 as (select kind, vec_id, gold, cand, score, reads, row_number() over (partition by kind, vec_id order by cand) - 1 pos, count(*) over (partition by kind, vec_id) n from w0),
+n1 as (select *, case when n <= 3 then -pos - 1 else pos // 3 end g from p1), s1 as (select *, {_SEEN.format(l=1, g='g')} s from n1),
+w1 as (select * replace (reads + case when n <= 3 then 0 else ceil(n / 3) end as reads) from (select *, row_number() over (partition by kind, vec_id, g order by s desc, cand) b from s1) where b = 1),
+lv as (select kind, max(n) m from p0 group by kind),
+f as (select w1.*, {_SEEN.replace("':{l}:'", "':' || (case when m > 9 then 2 when m > 3 then 1 else 0 end) || ':'").format(g=0)} fin from w1 join lv using (kind)),
+z as (select kind, vec_id, gold, arg_max(cand, (fin, -cand)) winner, max(reads) + 1 reads, max((cand = gold)::int) inside from f group by kind, vec_id, gold)
+select kind, count(*) n, round(avg((winner = gold)::int), 6) accuracy, round(avg(inside), 6) recall, round(avg(case when inside = 1 then (winner = gold)::int end), 6) accuracy_recalled, round(avg(reads), 6) reads from z group by kind"""
 
 
 def dealt(spark, d):
@@ -75,19 +97,19 @@ select case when gr = 1 then 'correct' when gr > 8 then 'not_shortlisted' when n
 
 
 def bm25_benchmark(spark, d):
-    """The five best documents for each benchmark item by character bigrams."""
-    q = T.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.lower(F.substring("text", 1, 60)).alias("text"))
-    c = T.table(spark, d, "documents").select(F.col("doc_id").alias("pid"), F.lower("text").alias("text"))
-    s = R.bm25(q, c).withColumn("score", F.round("score", 6))
-    return tidy(R.ranked(s, ["qid"], tie="pid").where("rank <= 5").select("qid", "rank", "score"))
+    """The five best documents for each benchmark item by character bigrams, of whole texts."""
+    q = T.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.lower("text").alias("text"))
+    c = T.table(spark, d, "documents").select(F.col("doc_id").alias("pid"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    s = R.bm25(q, c, 5)
+    return tidy(R.ranked(s.withColumn("score", F.round("score", 9)), ["qid"], tie="pid").select("qid", "rank", "score"))
 
 
 _BG = "regexp_replace({t}, '\\s', '', 'g')"
-BM25 = f"""with c as (select doc_id pid, {_BG.format(t="lower(text)")} t from documents), q as (select item_id qid, {_BG.format(t="lower(substr(text, 1, 60))")} t from benchmark),
+BM25 = f"""with c as (select doc_id pid, {_BG.format(t="lower(coalesce(text, ''))")} t from documents), q as (select item_id qid, {_BG.format(t="lower(text)")} t from benchmark),
 cg as (select pid, substr(t, i, 2) g from (select pid, t, unnest(range(1, length(t))) i from c)), qg as (select distinct qid, substr(t, i, 2) g from (select qid, t, unnest(range(1, length(t))) i from q)),
 tf as (select pid, g, count(*) tf from cg group by pid, g), ln as (select pid, greatest(length(t) - 1, 0) len from c), st as (select count(*) n, avg(len) al from ln), df as (select g, count(*) df from tf group by g),
-s as (select qid, pid, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * len / al))), 6) score from qg join df using (g) join tf using (g) join ln using (pid), st group by qid, pid),
-r as (select *, row_number() over (partition by qid order by score desc, pid) k from s) select qid, k "rank", score from r where k <= 5"""
+s as (select qid, pid, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * len / al))), 9) score from qg join df using (g) join tf using (g) join ln using (pid), st group by qid, pid),
+r as (select *, row_number() over (partition by qid order by score desc, pid) k from s) select qid, k "rank", round(score, 6) score from r where k <= 5"""
 
 
 def rank_correlation(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..operators import paired as P
 from ..operators import quality as Q
+from ..operators.running import running_totals
 from . import tables as T
 from .scoring import rows
 from .util import Query, tidy
@@ -57,11 +58,14 @@ def twins(spark, d):
 
 
 def source_ids(spark, d):
-    """Ids with a suffix traced to their source rows."""
+    """Ids with a suffix, which may stand twice, traced to their source rows: the sources' lengths."""
     from ..operators.text import source_id
 
-    x = T.table(spark, d, "documents").select(F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("doc_id").cast("string"), F.lit("-D1-x"))).otherwise(F.col("doc_id").cast("string")).alias("id"))
-    return x.select("id", source_id(F.col("id"), "-D1").alias("source_id"))
+    docs = T.table(spark, d, "documents")
+    mark = F.element_at(F.array(F.lit("-D1-x"), F.lit("-D1-D1-7"), F.lit("")), F.col("doc_id").cast("int") % 3 + 1)
+    x = docs.select(F.concat(F.col("doc_id").cast("string"), mark).alias("id")).withColumn("source_id", source_id(F.col("id"), "-D1"))
+    full = docs.select(F.col("doc_id").cast("string").alias("source_id"), "n_chars")
+    return tidy(x.join(full, "source_id", "left").select("id", "source_id", "n_chars"))
 
 
 def score_grid(spark, d):
@@ -99,9 +103,10 @@ def resume(spark, d):
 
 
 def strided(spark, d):
-    """Every seventh document of each source, by id."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return T.table(spark, d, "documents").withColumn("k", F.row_number().over(w) - 1).where("k % 7 = 0").select("source", "doc_id")
+    """Every seventh document of each source, by id: places come from totals of blocks of ids, no source is sorted whole."""
+    docs = T.table(spark, d, "documents").select("source", "doc_id", F.lit(1).cast("long").alias("n"))
+    run = running_totals(docs, ["source"], "doc_id", ["n"], F.floor(F.col("doc_id") / 4096))
+    return run.where((F.col("run_n") - 1) % 7 == 0).select("source", "doc_id")
 
 
 def hashed_sample(spark, d):
@@ -171,12 +176,28 @@ def rotations(spark, d):
     return tidy(best.groupBy("task").agg(F.count("*").alias("n"), *(F.avg((F.col(k) == F.col("gold")).cast("double")).alias(f"acc_{k}") for k in ("l", "p", "c")), F.sum((F.col("l") != F.col("p")).cast("long")).alias("flips")))
 
 
+#: pos: log-softmax by rotation r and position; al: by option; pr: the positions' mean probabilities.
+ROTATED = f"""{T.SQL}, x as (select id, task, group_id, gold, r, i, case (i - r + 3) % 3 when 0 then z0 when 1 then z1 else z2 end + case when i = 0 then 0.4::double else 0 end - 12 v from dec, (select unnest([0, 1, 2]) r), (select unnest([0, 1, 2]) i) where arm = 'A'),
+k as (select *, greatest(-30::double, least(0::double, v)) c from x), pos as (select *, c - ln(sum(exp(c)) over (partition by task, id, group_id, r)) lp from k),
+pr as (select task, i, ln(greatest(avg(exp(lp)), 1e-6::double)) prior from pos group by task, i),
+al as (select pos.task, id, group_id, gold, r, (pos.i - r + 3) % 3 o, lp, lp - prior clean from pos join pr on pos.task = pr.task and pos.i = pr.i),
+y as (select task, id, group_id, gold, o, round(avg(lp), 9) l, round(avg(exp(lp)), 9) p, round(avg(clean), 9) c from al group by task, id, group_id, gold, o),
+b as (select task, id, group_id, gold, arg_min(o, (-l, o)) l, arg_min(o, (-p, o)) p, arg_min(o, (-c, o)) c from y group by task, id, group_id, gold)
+select task, count(*) n, round(avg((l = gold)::int), 6) acc_l, round(avg((p = gold)::int), 6) acc_p, round(avg((c = gold)::int), 6) acc_c, sum((l <> p)::int)::bigint flips from b group by task"""
+
+
 def permutations(spark, d):
-    """Two orders of the options: aligned probabilities agree and no row is order-sensitive."""
+    """Options read in two orders, the second with a leaning to its first place: aligned probabilities, how far they lie
+    from the first order's, and how often the answer depends on the order."""
     x = rows(spark, d).withColumn("order", F.array(F.lit(2), F.lit(0), F.lit(1)))
-    seen = F.transform("order", lambda o: F.get("p", o))
-    x = x.withColumn("aligned", E.unpermute(seen, "order"))
-    return tidy(x.groupBy("task").agg(F.max(E.max_abs_difference("p", "aligned")).alias("max_diff"), F.sum((E.argmax("aligned") != F.col("chosen")).cast("long")).alias("sensitive")))
+    lean = F.transform("order", lambda o, i: F.get("logits", o) + F.when(i == 0, 1.5).otherwise(0.0))
+    x = x.withColumn("aligned", E.unpermute(E.softmax(lean), "order"))
+    return tidy(x.groupBy("task").agg(F.avg(E.max_abs_difference("p", "aligned")).alias("mean_diff"), F.avg((E.argmax("aligned") != F.col("chosen")).cast("double")).alias("sensitive"), F.avg((E.argmax("aligned") == F.col("gold")).cast("double")).alias("accuracy")))
+
+
+PERMUTED = f"""{T.SQL}, a as (select *, exp(z0 - greatest(z0, z1, z2 + 1.5::double)) e0_, exp(z1 - greatest(z0, z1, z2 + 1.5::double)) e1_, exp(z2 + 1.5::double - greatest(z0, z1, z2 + 1.5::double)) e2_ from p where arm = 'A'),
+b as (select *, e0_ / (e0_ + e1_ + e2_) q0, e1_ / (e0_ + e1_ + e2_) q1, e2_ / (e0_ + e1_ + e2_) q2 from a), c as (select *, case when q0 >= q1 and q0 >= q2 then 0 when q1 >= q2 then 1 else 2 end ch from b)
+select task, round(avg(greatest(abs(p0 - q0), abs(p1 - q1), abs(p2 - q2))), 6) mean_diff, round(avg((ch <> chosen)::int), 6) sensitive, round(avg((ch = gold)::int), 6) accuracy from c group by task"""
 
 
 def coherence(spark, d):
@@ -206,7 +227,7 @@ QUERIES: dict[str, Query] = {
     "j06_default_lookup": (default_lookup, "select d.doc_id, coalesce(quality, -1)::bigint quality from documents d left join labels l on d.doc_id = l.doc_id"),
     "j07_dimension_lookup": (dimension_lookup, "select r_name, n_name, round(sum(o_totalprice), 2) revenue, count(*) n from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by r_name, n_name"),
     "j08_twins": (twins, f"{_A}, t as (select task, group_id, count(*) n, min(gold) g1, max(gold) g2, min(chosen) c1, max(chosen) c2, sum(correct::int) r from a group by task, group_id) select task, count(*) pairs, round(avg((c1 <> c2)::int), 6) differ, round(avg((r = 2)::int), 6) both_right from t where n = 2 and g1 <> g2 group by task"),
-    "j09_source_ids": (source_ids, "select case when doc_id % 3 = 0 then doc_id::varchar || '-D1-x' else doc_id::varchar end id, doc_id::varchar source_id from documents"),
+    "j09_source_ids": (source_ids, "select doc_id || case doc_id % 3 when 0 then '-D1-x' when 1 then '-D1-D1-7' else '' end id, doc_id || case doc_id % 3 when 1 then '-D1' else '' end source_id, case when doc_id % 3 <> 1 then n_chars end n_chars from documents"),
     "j13_score_grid": (score_grid, f"{T.SQL}, k as (select unnest([0.5::double, 1::double, 2::double, 3::double, 4::double]) temp), x as (select task, gold, temp, z0, z1, z2, greatest(z0, z1, z2) m from dec, k where arm = 'A') select task, temp, round(avg(-ln(greatest(exp((case gold when 0 then z0 when 1 then z1 else z2 end - m) / temp) / (exp((z0 - m) / temp) + exp((z1 - m) / temp) + exp((z2 - m) / temp)), 1e-12::double))), 6) nll from x group by task, temp"),
     "u01_set_operations": (set_operations, "with a as (select doc_id from documents where lang = 'en'), b as (select doc_id from labels) select 'union' kind, count(*) n from (select * from a union select * from b) union all select 'intersect', count(*) from (select * from a intersect select * from b) union all select 'except', count(*) from (select * from a except select * from b) union all select 'union_all', count(*) from (select * from a union all select * from b)"),
     "u04_first_occurrence": (first_occurrence, "select md5(lower(coalesce(text, ''))) key, min(doc_id) doc_id, count(*) copies from documents group by 1"),
@@ -219,8 +240,8 @@ QUERIES: dict[str, Query] = {
     "a38_speed_gates": (speed_gates, f"{_A}, x as (select lang, count(*) n, sum(latency_ms) ms, quantile_cont(latency_ms, 0.5) p50 from a group by lang), b as (select arg_min(p50, lang) base from x) select lang, round(n / ms * 1000, 6) per_second, round(p50 / base, 6) ratio, p50 / base <= 1.1::double ok from x, b"),
     "p29_threshold_derives": (threshold_derives, "with x as (select l_returnflag, l_extendedprice / l_quantity u, l_quantity q from lineitem) select l_returnflag, sum((u > 1500)::int)::bigint \"over\", sum((q between 10 and 20)::int)::bigint inside, sum((abs(u - 1000) <= 100)::int)::bigint tolerated, count(*) n from x group by l_returnflag"),
     "p30_tool_gate": (tool_gate, "select case when c_custkey is null then 'unknown' when o_orderstatus <> 'F' then 'scope' when c_acctbal < 0 then 'role' when o_totalprice > 200000 then 'confirm' else 'allow' end gate, count(*) n from orders left join customer on o_custkey = c_custkey group by 1"),
-    "p18_rotations": (rotations, None),
-    "p19_permutations": (permutations, "select l_linestatus task, 0::double max_diff, 0::bigint sensitive from lineitem group by 1"),
+    "p18_rotations": (rotations, ROTATED),
+    "p19_permutations": (permutations, PERMUTED),
     "p23_coherence": (coherence, f"{T.SQL}, x as (select a.task, abs(a.p0 + b.p1 + b.p2 - 1) g from p a join p b on a.task = b.task and a.id = b.id and a.hard_type = b.hard_type where a.arm = 'A' and b.arm = 'B') select task, round(avg(g), 6) gap, round(avg((g > 0.1::double)::int), 6) \"over\" from x group by task"),
     "g08_validation": (validation, f"{T.SQL}, x as (select id, task, gold, group_id from dec where arm = 'A'), pr as (select group_id, count(*) n, min(gold) a, max(gold) b from x group by group_id), sh as (select task, max(c) m, sum(c) n from (select task, gold, count(*) c from x group by task, gold) group by task) select * from (select 'gold_not_an_option' rule, count(*) n from x where gold = 2 union all select 'id_repeats', count(*) from (select id from x group by id having count(*) > 1) union all select 'pair_size', count(*) from pr where n <> 2 union all select 'pair_same_gold', count(*) from pr where n = 2 and a = b union all select 'warning_unbalanced', count(*) from sh where m > 0.5::double * n) where n > 0"),
     "g10_stored_check": (stored_check, f"{_A} select task, count(*) n from a where {T.sql_unit('id || ' + chr(39) + ':s' + chr(39), 1000)} < 0.001::double group by task"),

@@ -12,8 +12,10 @@ from ..operators import metrics as M
 from ..operators import paired as P
 from ..operators import quality as Q
 from ..operators import split as S
+from ..sources.shared import settled
 from . import tables as T
 from .policies import _PAIR
+from .ranking import EMB
 from .scoring import _RAW, rows
 from .util import Query, tidy
 
@@ -103,7 +105,7 @@ select task, round(avg(m) filter (ok), 6) mass_correct, round(avg(m) filter (not
 
 
 def folds(spark, d):
-    x = S.grouped_folds(T.decisions(spark, d), 5)
+    x = S.even_folds(T.decisions(spark, d), 5)
     return tidy(x.groupBy("task", "fold").agg(F.count("*").alias("n"), F.count_distinct("group_id").alias("groups")))
 
 
@@ -121,27 +123,25 @@ def cosine_temperature(spark, d):
 
 
 def segment_fusion(spark, d):
-    """Logistic fusion of both arms' scores for option 2, fitted without each flag in turn, on a hashed sample: AUROC."""
-    x = _arms(spark, d, ("p",)).where(E.hash_unit("id", F.lit("fu")) < 0.05)
-    x = x.select("hard_type", "id", (F.col("gold") == 2).cast("int").alias("y"), F.get("p_a", F.lit(2)).alias("a"), F.get("p_b", F.lit(2)).alias("b"))
-    jobs = x.withColumn("held", F.explode(F.array(*map(F.lit, ["A", "N", "R"]))))
+    """Logistic fusion of both arms' scores for option 2, fitted without each flag in turn: AUROC on all rows of the flag. A
+    fit standardises and learns from about ``C.FIT_ROWS`` rows of the other flags; three numbers a flag go out again."""
+    x = _arms(spark, d, ("p",)).select("hard_type", "id", (F.col("gold") == 2).cast("int").alias("y"), F.get("p_a", F.lit(2)).alias("a"), F.get("p_b", F.lit(2)).alias("b"))
+    x = settled(x, "arms")
+    n = x.count()
+    some = x.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30) < min(1.0, C.FIT_ROWS / max(n, 1)))
+    jobs = some.withColumn("held", F.explode(F.array(*map(F.lit, ["A", "N", "R"])))).where("hard_type <> held")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        f = np.stack([pdf["a"], pdf["b"]], 1)
-        train = (pdf["hard_type"] != pdf["held"]).to_numpy()
-        f = (f - f[train].mean(0)) / np.maximum(f[train].std(0), 1e-9)
-        z, y = np.hstack([f, np.ones((len(f), 1))]), pdf["y"].to_numpy()
+        f = pdf.sort_values("id")[["a", "b"]].to_numpy()
+        mean, sd = f.mean(0), np.maximum(f.std(0), 1e-9)
+        _, w, b = C.logistic((f - mean) / sd, pdf.sort_values("id")["y"].to_numpy())
+        w, b = w[-1] - w[0], b[-1] - b[0]
+        return pd.DataFrame({"held": pdf["held"].iloc[:1], "wa": w[0] / sd[0], "wb": w[1] / sd[1], "w0": b - (w * mean / sd).sum()})
 
-        def loss(w):
-            s = 1 / (1 + np.exp(-z[train] @ w))
-            return -np.mean(np.log(np.where(y[train] == 1, s, 1 - s) + 1e-12)) + 0.5 * (w[:2] ** 2).sum() / train.sum(), z[train].T @ (s - y[train]) / train.sum() + np.append(w[:2], 0) / train.sum()
-
-        w = C.minimise(loss, np.zeros(3))
-        return pd.DataFrame({"held": pdf["held"][~train], "y": y[~train], "score": 1 / (1 + np.exp(-z[~train] @ w))})
-
-    out = jobs.groupBy("held").applyInPandas(fit, "held string, y int, score double")
-    return M.auroc(out, ["held"], "score", F.col("y") == 1)
+    fitted = jobs.groupBy("held").applyInPandas(fit, "held string, wa double, wb double, w0 double")
+    out = x.join(F.broadcast(fitted), x["hard_type"] == fitted["held"])
+    score = 1.0 / (1.0 + F.exp(-(F.col("wa") * F.col("a") + F.col("wb") * F.col("b") + F.col("w0"))))
+    return M.auroc(out.withColumn("score", F.round(score, 12)), ["held"], "score", F.col("y") == 1)
 
 
 def reconcile(spark, d):
@@ -177,6 +177,15 @@ def rendered(spark, d):
     return tidy(o.groupBy("o_orderpriority").agg(F.sum(F.length(j).cast("long")).alias("json_chars"), F.sum(F.length(t).cast("long")).alias("text_chars"), F.min(F.md5(j.cast("binary"))).alias("digest")))
 
 
+RULE_FILE = """with r as (select 't1' task, i ord, 'w' || i pattern, 'A' label, 'B' dl from (select unnest(range(0, 12)) i) union all select * from (values ('t2', 0, 'x', 'A', 'B'), ('t2', 1, 'x', 'Z', 'B'), ('t2', 2, ' ', 'A', 'Q'))),
+v as (select 'label_not_an_option' "rule", task id from r where label not in ('A', 'B') union all select 'default_not_an_option', task from r where dl not in ('A', 'B') union all select 'empty_pattern', task from r where trim(pattern) = ''
+ union all select 'pattern_repeats', task from (select task, pattern from r group by all having count(*) > 1) union all select 'rule_count', task from (select task from r group by task having count(*) not between 10 and 25))
+select "rule", id, count(*) n from v group by all"""
+COSINE = f"""{EMB}, t as (select vec_id, gold, cand, score / 10 s from sc where {T.sql_unit("cast(vec_id as varchar) || ':t'")} < 0.5::double),
+g as (select i, exp(ln(1e-3::double) + i * (ln(5::double) - ln(1e-3::double)) / 299::double) temp from (select unnest(range(0, 300)) i)),
+x as (select vec_id, gold, s, cand, max(s) over (partition by vec_id) m, row_number() over (partition by vec_id order by cand) - 1 k from t),
+l as (select vec_id, i, temp, -ln(greatest(sum(case when k = gold then exp((s - m) / temp) end) / sum(exp((s - m) / temp)), 1e-12::double)) l from x, g group by vec_id, i, temp),
+a as (select i, temp, round(avg(l), 10) l from l group by i, temp) select 'vectors' task, round(temp, 6) "temp" from (select temp from a order by l, i limit 1)"""
 QUERIES: dict[str, Query] = {
     "x02_ladder": (ladder, LADDER),
     "x11_usability": (usability, f"{_PAIR}, s as (select task, avg((ha = hb)::int) ag, avg(cb::int) - avg(ca::int) gap from pr group by task) select task, round(ag, 6) agreement, round(gap, 6) gap, ag >= 0.98::double and abs(gap) <= 0.01::double usable from s"),
@@ -184,12 +193,12 @@ QUERIES: dict[str, Query] = {
     "x26_content_free_prior": (content_free_prior, CF),
     "x28_insufficient": (insufficient, INSUFFICIENT),
     "x29_mass_report": (mass_report, MASS),
-    "c02_folds": (folds, f"{T.SQL}, f as (select task, group_id, cast('0x' || substr(md5(group_id || ':0'), 1, 8) as bigint) % 5 fold from dec where arm = 'A') select task, fold, count(*) n, count(distinct group_id) groups from f group by task, fold"),
+    "c02_folds": (folds, f"{T.SQL}, f as (select task, group_id, (dense_rank() over (partition by task order by md5(group_id || ':0'), group_id) - 1) % 5 fold from dec where arm = 'A') select task, fold, count(*) n, count(distinct group_id) groups from f group by task, fold"),
     "c03_left_out_segments": (left_out_segments, f"{T.SQL}, k as (select unnest(['A', 'N', 'R']) fold) select fold, hard_type <> fold is_train, count(*) n, round(avg((chosen = gold)::int), 6) accuracy from p, k where arm = 'A' group by 1, 2"),
-    "c05_cosine_temperature": (cosine_temperature, None),
+    "c05_cosine_temperature": (cosine_temperature, COSINE),
     "c26_segment_fusion": (segment_fusion, None),
     "c32_reconcile": (reconcile, "with x as (select doc_id, source, quality, case when regexp_matches(coalesce(text, ''), '[#$%&*]{3}|!!| \\| ') then 0 else 1 end r from documents join labels using (doc_id)) select case when r = quality then 'agreed' else 'disagreed' end status, quality::bigint quality, count(*) n, count(distinct source) sources from x group by 1, 2"),
-    "g09_rule_file": (rule_file, None),
+    "g09_rule_file": (rule_file, RULE_FILE),
     "u05_probability_keys": (probability_keys, f"{_RAW} select task, count(*) n, round(avg(case when r1 is null then 0 else exp(r1) / mass end), 6) gap, sum(letters)::bigint keys from fl where letters > 0 group by task"),
     "f09_rendered": (rendered, """select o_orderpriority, sum(length('{"id":' || o_orderkey || ',"status":"' || o_orderstatus || '","note":null}'))::bigint json_chars, sum(length('order ' || o_orderkey || ' is ' || o_orderstatus))::bigint text_chars, min(md5('{"id":' || o_orderkey || ',"status":"' || o_orderstatus || '","note":null}')) digest from orders group by o_orderpriority"""),
 }

@@ -9,6 +9,7 @@ from ..operators import calibrate as C
 from ..operators import metrics as M
 from ..operators import quality as Q
 from ..operators import split as S
+from ..sources.shared import settled
 from . import tables as T
 from .util import Query, tidy
 
@@ -27,6 +28,11 @@ def split_rows(spark, d, arms="A"):
     return S.group_split(rows(spark, d, arms))
 
 
+def settled_rows(spark, d, arms="A"):
+    """The split rows, written once: fits, cuts and evaluations all read them."""
+    return settled(split_rows(spark, d, arms), "split")
+
+
 def row_scores(spark, d):
     x = rows(spark, d)
     return tidy(x.select("id", "task", "gold", "chosen", "correct", "conf", E.margin("p").alias("margin"), E.entropy_confidence("p").alias("entropy"), E.expected_level("p").alias("level"), E.round_half_down_level("p").alias("r1"), E.median_level("p").alias("r2"), E.nll("p", "gold").alias("nll"), E.brier("p", "gold").alias("brier")))
@@ -169,7 +175,7 @@ POOLED = f"""{TEMPS}, raw as (select task, i, temp, sum(-ln(greatest(case gold w
 
 def calibrated_metrics(spark, d):
     """Test metrics before and after the temperature."""
-    x = split_rows(spark, d)
+    x = settled_rows(spark, d)
     temps = C.fit_temperature(x.where("cal"))
     x = x.where("not cal").join(F.broadcast(temps), "task")
     raw = M.ece(x, ["task"]).join(M.losses(x, ["task"]), "task").toDF("task", "ece_raw", "brier_raw", "nll_raw")
@@ -232,16 +238,31 @@ GUARD = f"""{T.SQL}, a as (select *, round(p2, 12) s, (gold = 2)::int y from spl
 
 
 def method_cv(spark, d):
-    """Calibration methods by grouped folds on a hashed sample of rows, as the fits are iterative."""
-    x = S.grouped_folds(rows(spark, d).where(E.hash_unit("id", F.lit("cv")) < 0.02), 3)
-    p = C.cross_validated(x).withColumns({"conf": E.top_prob("p"), "chosen": E.argmax("p")}).withColumn("correct", E.correct("chosen", "gold"))
+    """Calibration methods by grouped folds: every row is predicted; a fit takes a bounded sample of the other folds."""
+    x = settled(S.even_folds(T.decisions(spark, d), 3), "folds")
+    p = settled(C.cross_validated(x), "predicted").withColumns({"conf": E.top_prob("p"), "chosen": E.argmax("p")}).withColumn("correct", E.correct("chosen", "gold"))
     by = ["task", "method"]
     return M.accuracy(p, by).join(M.ece(p, by), by).join(M.classwise_ece(p, by), by).join(M.losses(p, by), by)
 
 
 def learning_curve(spark, d):
-    x = rows(spark, d).where(E.hash_unit("id", F.lit("cv")) < 0.02)
-    return C.learning_curve(x, [10, 20, 50, 100], 5).groupBy("task", "size").agg(F.avg("accuracy").alias("accuracy"), F.avg("loss").alias("loss"))
+    """Twenty repetitions of four methods on growing numbers of rows, each judged on 25 groups held out."""
+    x = C.learning_curve(T.decisions(spark, d), [10, 20, 50, 100], 20)
+    return x.groupBy("task", "method", "size").agg(F.count("*").alias("reps"), F.avg("accuracy").alias("accuracy"), F.avg("loss").alias("loss"))
+
+
+def data_gates(spark, d):
+    """Rows whose published probabilities don't add up to one (one letter's probability is lost in some), and the two
+    directions of the error between the lowest and the highest option."""
+    x = rows(spark, d)
+    lost = E.hash_unit("id", F.lit("lost"), buckets=1000) < 0.01
+    x = x.withColumn("published", F.when(lost, F.transform("p", lambda v, i: F.when(i == 1, 0.0).otherwise(v))).otherwise(F.col("p")))
+    return tidy(M.bad_sums(x, ["task"], "published").join(M.asymmetric_errors(x, ["task"], 0, 2), "task"))
+
+
+DATA_GATES = f"""{T.SQL}, a as (select *, {T.sql_unit("id || ':lost'", 1000)} < 0.01::double lost from p where arm = 'A')
+ select task, sum((abs(p0 + p2 + case when lost then 0 else p1 end - 1) > 0.001::double)::int)::bigint bad_sum,
+ round(sum((gold = 2 and chosen = 0)::int) / greatest(sum((gold = 2)::int), 1), 6) high_to_low, round(sum((gold = 0 and chosen = 2)::int) / greatest(sum((gold = 0)::int), 1), 6) low_to_high from a group by task"""
 
 
 _A = "from p where arm = 'A'"
@@ -264,6 +285,7 @@ QUERIES: dict[str, Query] = {
     "c04_temperature": (temperature, f"{TEMPS} select task, round(temp, 6) temp from fit"),
     "c06_pooled_temperature": (pooled_temperature, POOLED),
     "x01_calibrated_metrics": (calibrated_metrics, CALIBRATED),
+    "a14_data_gates": (data_gates, DATA_GATES),
     "x27_method_cv": (method_cv, None),
     "c23_learning_curve": (learning_curve, None),
 }

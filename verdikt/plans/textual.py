@@ -31,28 +31,49 @@ k as (select (same / n - (s1 * q1 + (n - s1) * (n - q1)) / (n * n)) / (1 - (s1 *
 select rule, count(*) n, round(avg((said = quality)::int), 6) agreement, round(max(kappa), 6) kappa from x, k group by rule"""
 
 
+#: Strings with what the documents lack: characters of the CJK extension, digits of other scripts, apostrophes.
+ODD = "㐀㐁漢字 ٣.٤ don't x-1 3.14 ４２ naïve"
+
+
 def token_counts(spark, d):
-    """Tokens of each document: how many, different ones, and Latin ones."""
-    x = T.table(spark, d, "documents").select("doc_id", F.explode(F.array(X.tokens(F.coalesce("text", F.lit(""))))).alias("t"))
-    return tidy(x.select("doc_id", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("different"), F.size(F.filter("t", X.is_latin)).alias("latin")))
+    """Tokens of each document, with a tail of rare characters: how many, different ones, Latin ones and others."""
+    x = T.table(spark, d, "documents").select("doc_id", F.explode(F.array(X.tokens(F.concat(F.coalesce("text", F.lit("")), F.lit(" " + ODD))))).alias("t"))
+    return tidy(x.select("doc_id", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("different"), F.size(F.filter("t", X.is_latin)).alias("latin"), F.size(F.filter("t", X.is_cjk)).alias("other")))
 
 
-TOKENS = """with x as (select doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z0-9''\\-]*|[0-9]+(?:\\.[0-9]+)?|[一-鿿]'), lambda v: lower(v)) t from documents)
-select doc_id, len(t)::bigint n, len(list_distinct(t))::bigint different, len(list_filter(t, lambda v: regexp_matches(v, '^[A-Za-z]')))::bigint latin from x"""
+TOKENS = """with x as (select doc_id, list_transform(regexp_extract_all(coalesce(text, '') || ' """ + ODD.replace("'", "''") + """', '[A-Za-z][A-Za-z0-9''\\-]*|\\p{Nd}+(?:\\.\\p{Nd}+)?|[㐀-鿿]'), lambda v: lower(v)) t from documents)
+select doc_id, len(t)::bigint n, len(list_distinct(t))::bigint different, len(list_filter(t, lambda v: regexp_matches(v, '^[A-Za-z]')))::bigint latin,
+ len(list_filter(t, lambda v: regexp_matches(v, '^[^\\x00-\\x7F]')))::bigint other from x"""
 
 
 def language_tags(spark, d):
-    x = T.table(spark, d, "documents")
-    tags = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), X.language_tag(F.coalesce("text", F.lit("")), r).alias("tag")) for r in ("any", "wide", "ratio"))))
+    """The three tags of each document's text, of every second one with a word of another script before it."""
+    x = T.table(spark, d, "documents").withColumn("t", F.concat(F.element_at(F.array(F.lit("漢字　"), F.lit("！"), F.lit("")), F.col("doc_id").cast("int") % 3 + 1), F.substring(F.coalesce("text", F.lit("")), 1, 12)))
+    tags = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), X.language_tag(F.col("t"), r).alias("tag")) for r in ("any", "wide", "ratio"))))
     return tidy(x.select("lang", tags.alias("t")).groupBy("lang", "t.rule", "t.tag").agg(F.count("*").alias("n")))
 
 
+TAGS = """with x as (select lang, case doc_id % 3 when 0 then '漢字　' when 1 then '！' else '' end || substr(coalesce(text, ''), 1, 12) t from documents),
+r as (select lang, t, unnest(['any', 'wide', 'ratio']) "rule" from x)
+select lang, "rule", case when ("rule" = 'any' and regexp_matches(t, '[一-鿿]')) or ("rule" = 'wide' and regexp_matches(t, '[　-￿]')) or ("rule" = 'ratio' and length(regexp_replace(t, '[^一-鿿]', '', 'g')) >= 0.3 * greatest(length(t), 1)) then 'zh' else 'en' end tag, count(*) n from r group by all"""
+
+
 def answer_letters(spark, d):
-    """Letters parsed from rendered answers of three forms."""
-    x = T.decisions(spark, d).select("id", "task", F.element_at(F.array(*map(F.lit, T.LETTERS)), F.col("gold") + 1).alias("letter"), F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(3)).alias("form"))
-    said = F.when(F.col("form") == 0, F.concat(F.lit('{"answer": "'), "letter", F.lit('"}'))).when(F.col("form") == 1, X.render("I choose {letter}.", letter=F.lower("letter"))).otherwise(X.render("It is {letter} then", letter=F.col("letter")))
+    """Letters parsed from answers of six forms: named, named without an end, named but no option, after an I, in lower
+    case, and beside characters of another script."""
+    x = T.decisions(spark, d).select("id", "task", F.element_at(F.array(*map(F.lit, T.LETTERS)), F.col("gold") + 1).alias("letter"), F.floor(E.hash_unit("id", F.lit("f"), buckets=6) * 6.0 + 0.5).alias("form"))
+    forms = ['{"answer": "{letter}"}', '{"answer" : " {letter}', '{"answer": "Z"} so {letter}', "I choose {letter}", "it is {lower} then", "選{letter}項"]
+    said = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        before, _, after = form.replace("{letter}", "@").replace("{lower}", "%").partition("@" if "{letter}" in form else "%")
+        said = F.when(F.col("form") == k, F.concat(F.lit(before), "letter" if "{letter}" in form else F.lower("letter"), F.lit(after))).otherwise(said)
     x = x.withColumn("parsed", X.parse_letter(said, T.LETTERS))
-    return tidy(x.groupBy("task", "form").agg(F.count("*").alias("n"), F.sum((F.col("parsed") == F.col("letter")).cast("long")).alias("right"), F.sum(F.col("parsed").isNull().cast("long")).alias("none")))
+    return tidy(x.groupBy("task", "form").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.col("parsed") == F.col("letter"), F.lit(False)).cast("long")).alias("right"), F.sum(F.col("parsed").isNull().cast("long")).alias("none")))
+
+
+#: Forms 0 to 2 give the letter. In the third I comes first, which is a letter but no option; then it is in lower case, and between
+#: letters of one word.
+ANSWERS = f"""{T.SQL}, x as (select task, floor({T.sql_unit("id || ':f'", 6)} * 6 + 0.5::double) form from dec where arm = 'A') select task, form::bigint form, count(*) n, sum((form < 3)::int)::bigint "right", sum((form >= 3)::int)::bigint "none" from x group by task, form"""
 
 
 def cue_terms(spark, d):
@@ -104,8 +125,8 @@ def alignments(spark, d):
 QUERIES: dict[str, Query] = {
     "c27_rules": (rules_baseline, RULES_SQL),
     "f03_tokens": (token_counts, TOKENS),
-    "f07_language_tags": (language_tags, None),
-    "f01_answer_letters": (answer_letters, None),
+    "f07_language_tags": (language_tags, TAGS),
+    "f01_answer_letters": (answer_letters, ANSWERS),
     "f13_cue_terms": (cue_terms, CUES),
     "c29_tfidf": (tfidf_weights, TFIDF),
     "f20_digests": (text_digests, "select page_id, sha256(coalesce(html, '')) sha256, length(coalesce(html, '')) n from pages"),

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.policy import check_lock
 
 
-def readouts(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stream over a folder of JSON lines, without repeated ids."""
-    return spark.readStream.schema(schema).json(path).dropDuplicates(["id"])
+def readouts(spark: SparkSession, path: str, schema: str, time: str | None = None, late: str = "1 hour") -> DataFrame:
+    """A stream over a folder of JSON lines, without repeated ids. With the name of a time column an id is remembered for as
+    long as repeats may be ``late``; without one it is remembered for ever, which suits runs that end."""
+    stream = spark.readStream.schema(schema).json(path)
+    if time is None:
+        return stream.dropDuplicates(["id"])
+    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(["id"])
 
 
 def append(stream: DataFrame, path: str, checkpoint: str):
