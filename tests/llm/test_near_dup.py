@@ -95,3 +95,32 @@ def test_components(spark, seed):
             parent[y] = x
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
+
+
+def test_recall_of_long_borderline_pairs(spark):
+    """Pairs of 2,000 to 20,000 shingles whose similarity lies just at or over the limit, edited at scattered places."""
+    rng, rows, want = random.Random(77), [], set()
+    for i in range(60):
+        n = rng.choice([2000, 5000, 20_000])
+        w = prose(9000 + i, n).split()
+        v, at = list(w), rng.randrange(n // 2)
+        # a changed word takes five shingles with it; a changed stretch of m words m + 4
+        lost = int((n - 4) / 7) - rng.randint(0, 40)
+        if i % 2:
+            v[at : at + lost - 4] = prose(9500 + i, lost - 4).split()
+        else:
+            for k in rng.sample(range(5, n - 5, 6), lost // 5):
+                v[k] = "zz%d" % k
+        a, b = shingles(" ".join(w)), shingles(" ".join(v))
+        assert 75 * len(a | b) <= 100 * len(a & b) <= 79 * len(a | b)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        want.add(2 * i)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert sum(got[i + 1] == i for i in want) == 60
+
+
+def test_repeated_rows_of_a_pivot(spark):
+    base = prose(1, 80)
+    rows = [(1, base)] * 5 + list(enumerate(copies(3, base, 6, 1), 2)) + [(1, base)]
+    got = near_dup.near_duplicates(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and {r["component_id"] for r in got} == {1}

@@ -16,7 +16,9 @@ shares a band is left untested unless it is in one component already.
 Defined results: a null or empty text, or one of white space only, has an empty set, links with nothing and is its own
 component. A text of fewer than five words has one shingle, its whole sequence. Rows that repeat a doc_id are one node
 and each gets the node's row. Rows without doc_id get a null component unless an equal text has an id; kept is then
-false. An empty table gives no rows. Only doc_id and text are read, so further columns can't clash.
+false. An empty table gives no rows. Only doc_id (as a long) and text are read, so further columns can't clash. Of sets
+larger than the sample the limit loses a pair at the similarity limit with a chance under one in a million; the tests
+measure it on sets of 2,000 to 20,000 shingles.
 """
 
 from __future__ import annotations
@@ -139,7 +141,7 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataF
     near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
     near = cut(near.mapInArrow(_near, "a long, b long"), "near-pairs")
     ids = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    some = texts.join(ids, F.col("doc_id") == F.col("node"), "left_semi")
+    some = texts.join(ids, F.col("doc_id") == F.col("node"), "left_semi").distinct()
     some = cut(some, "near-texts")
     side = lambda c, s: some.select(F.col("doc_id").alias(c), F.col("text").alias(s))
     out = near.join(side("b", "tb"), "b").join(side("a", "ta"), "a").select("a", "b", "ta", "tb")
@@ -169,7 +171,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = cut(sig.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("node")), "classes")
     reps = sig.join(classes.where("node is not null"), "set_hash").where("doc_id = node")
-    reps = cut(reps.select("node", "bands", "sketch", "n_shingles"), "class-signatures")
+    # one row a class, however often its first row is repeated
+    reps = reps.groupBy("set_hash").agg(F.first("node").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
+    reps = cut(reps.drop("set_hash"), "class-signatures")
     sketches = reps.select("node", "sketch", "n_shingles")
     banded = reps.select("node", F.explode("bands").alias("key"))
     buckets = cut(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1"), "buckets")
