@@ -1,6 +1,8 @@
 import gzip
 import hashlib
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from verdikt.llm import warc
@@ -63,3 +65,46 @@ def test_files_roll_and_lost_files_are_ignored(spark, tmp_path):
     (tmp_path / "w" / "part-lost.warc.gz").write_bytes(b"\x1f\x8bgarbage")
     assert len(list((tmp_path / "w").glob("*.warc.gz"))) > 3
     assert warc.read(spark, str(tmp_path / "w")).where("record_type = 'response'").count() == 50
+
+
+def read_bytes(raw, payload=True):
+    return [(h.get("x"), p) for _, h, p in warc.records(pa.BufferReader(raw), lambda h: True, payload)]
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_long_headers_and_blank_lines(compress):
+    """Headers far beyond a chunk, payloads beyond several, and blank lines between records."""
+    pack = gzip.compress if compress else lambda x: x
+    big = b"q" * 300_000
+    raw = b""
+    for i in range(3):
+        head, body = warc.record("response", big if i == 1 else b"hello", {"X": str(i) * (200_000 if i else 1)})
+        raw += pack(head + body) + b"\r\n"
+    for payload in (True, False):
+        got = read_bytes(raw, payload)
+        assert [len(x) for x, _ in got] == [1, 200_000, 200_000]
+        assert [p for _, p in got] == ([b"hello", big, b"hello"] if payload else [None] * 3)
+
+
+@pytest.mark.parametrize("make", [lambda h, b: h + b, lambda h, b: gzip.compress(h + b), warc.member])
+def test_truncated_records_are_errors(make):
+    one = make(*warc.record("response", bytes(range(256)) * 2000, {"X": "1"}))
+    assert len(read_bytes(one + one)) == 2
+    for cut in (10, len(one) // 2, len(one) - 9):
+        for payload in (True, False):
+            with pytest.raises(warc.Truncated):
+                list(read_bytes(one + one[:cut], payload))
+    with pytest.raises(warc.Truncated):
+        read_bytes(b"WARC/1.0\r\nWARC-Type: response\r\n\r\nhello")
+
+
+def test_overwrite_and_two_commits(spark, tmp_path):
+    path = str(tmp_path / "w")
+    rows = lambda n: warc.page_records(spark.range(n).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("x").alias("html")))
+    warc.write(rows(3), path)
+    warc.write(rows(4), path)
+    assert warc.read(spark, path).where("record_type = 'response'").count() == 7
+    rows(2).write.format("warc").mode("overwrite").option("path", path).save()
+    assert warc.read(spark, path).where("record_type = 'response'").count() == 2
+    named = {f.name for f in (tmp_path / "w").iterdir()}
+    assert sum(n.startswith("_manifest") for n in named) == 1

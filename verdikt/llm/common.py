@@ -53,13 +53,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete what ``cut`` wrote for ``df``; only for tables that no later plan reads."""
     path = getattr(df, "_cut_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+        drop_folder(df.sparkSession, path)
 
 
 def free(taken: list[str], name: str) -> str:

@@ -1,10 +1,11 @@
 """WARC archives as a Python data source named ``warc``.
 
-Writing: each task writes gzip-member-per-record files of at most ``roll`` bytes into the folder, under names of its own;
-the driver's commit writes a manifest of the files of the tasks that succeeded. What lost or repeated tasks left behind
-isn't in the manifest and is never read; an aborted job deletes its files.
+Writing: each task writes gzip-member-per-record files of about ``roll`` bytes into the folder, under names of its own; the
+driver's commit writes a manifest of its own with the files of the tasks that succeeded. What lost or repeated tasks left
+behind is in no manifest and is never read; an aborted job deletes its files; overwriting deletes those of former commits.
 
-Reading: one partition a file of the manifest (or of the folder, for foreign archives without one). Predicates on record
+Reading: one partition a file of the manifests (or of the folder, for foreign archives without one; a gzip file can't be
+parted, so a large one is one task, of bounded memory but for the payload at hand). Predicates on record
 type, record id, target URI, digest and reference are pushed down: equality, IN, prefix and null tests. A record's
 headers are inflated first; a record that a predicate rejects, or whose payload isn't asked for (option ``payload`` =
 false), is skipped by the compressed length in its gzip header, without inflating its payload. Plain ``.warc`` files and
@@ -14,7 +15,9 @@ The session setting spark.sql.python.filterPushdown.enabled is switched on by ``
 ``pyarrow.fs``, so file:, hdfs: and object store URIs work where pyarrow does.
 
 Defined results: a null payload is written as empty; a null id leaves the record id out and is read as null; an empty
-table gives a manifest without records; repeated rows are records of their own; further columns are not written.
+table gives a manifest without records; repeated rows are records of their own; further columns are not written; page_id
+is read as a long. Headers may have any length. A file that ends inside a record, or a record without a length, is an
+error, never a shorter result.
 """
 
 from __future__ import annotations
@@ -31,9 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
 
-from .common import cut, shared_dir
+from .common import cut, drop_folder, shared_dir
 
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 ROLL = 64 << 20
 LEAST_REVISIT = 100
 #: Columns that filters are pushed down for, and their headers.
@@ -100,13 +103,17 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(files)
 
     def commit(self, messages: list) -> None:
+        """A manifest for each commit, so that two writers never rewrite each other's; overwriting deletes what was before."""
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        files = sorted(f for m in messages if m is not None for f in m.files)
-        if not self.overwrite:
-            files = sorted({*files, *_manifest(fs, root)})
-        with fs.open_output_stream(f"{root}/{MANIFEST}", compression=None) as out:
-            out.write(json.dumps(files).encode())
+        before = _listed(fs, root) if self.overwrite else []
+        name = f"{MANIFEST}-{uuid.uuid4().hex}.json"
+        with fs.open_output_stream(f"{root}/{name}.tmp", compression=None) as out:
+            out.write(json.dumps(sorted(f for m in messages if m is not None for f in m.files)).encode())
+        fs.move(f"{root}/{name}.tmp", f"{root}/{name}")
+        # manifests first: a file that none names is read no more
+        for old in sorted(before, key=lambda f: not f.startswith(MANIFEST)):
+            fs.delete_file(f"{root}/{old}")
 
     def abort(self, messages: list) -> None:
         fs, root = filesystem(self.path)
@@ -118,12 +125,24 @@ class WarcWriter(DataSourceArrowWriter):
                     continue
 
 
-def _manifest(fs, root: str) -> list[str]:
-    try:
-        with fs.open_input_stream(f"{root}/{MANIFEST}", compression=None) as f:
-            return json.loads(f.read())
-    except FileNotFoundError:
-        return []
+def _listed(fs, root: str) -> list[str]:
+    """The folder's manifests and the files that they name."""
+    manifests = _named(fs, root, lambda x: x.startswith(MANIFEST) and x.endswith(".json"))
+    return [*manifests, *_files(fs, root, manifests)]
+
+
+def _named(fs, root: str, test) -> list[str]:
+    from pyarrow import fs as pafs
+
+    return sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if test(f.base_name))
+
+
+def _files(fs, root: str, manifests: list[str]) -> list[str]:
+    out: list[str] = []
+    for m in manifests:
+        with fs.open_input_stream(f"{root}/{m}", compression=None) as f:
+            out += json.loads(f.read())
+    return sorted(out)
 
 
 @dataclass
@@ -157,13 +176,9 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[FilePart]:
-        from pyarrow import fs as pafs
-
         fs, root = filesystem(self.path)
-        files = _manifest(fs, root)
-        if not files and fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.NotFound:
-            found = fs.get_file_info(pafs.FileSelector(root, recursive=False))
-            files = sorted(f.base_name for f in found if f.base_name.endswith((".warc", ".warc.gz")))
+        manifests = _named(fs, root, lambda x: x.startswith(MANIFEST) and x.endswith(".json"))
+        files = _files(fs, root, manifests) if manifests else _named(fs, root, lambda x: x.endswith((".warc", ".warc.gz")))
         return [FilePart(self.path, f) for f in files]
 
     def wanted(self, head: dict[str, str]) -> bool:
@@ -209,58 +224,91 @@ def parse_headers(block: bytes) -> dict[str, str]:
     return head
 
 
+class Truncated(ValueError):
+    """A file ends inside a record, or a record's headers can't be read."""
+
+
+def _plain(f, at: int, total: int, wanted, with_payload: bool, chunk: int) -> tuple[int, dict[str, str] | None, bytes | None]:
+    """Where the next record begins, and headers and payload of the record at ``at`` (headers None if it isn't wanted)."""
+    f.seek(at)
+    block = b""
+    while (end := block.find(b"\r\n\r\n")) < 0:
+        more = f.read(chunk)
+        if not more:
+            raise Truncated(f"the file ends in the headers of the record at {at}")
+        block += more
+    head = parse_headers(block[:end])
+    body = at + end + 4
+    if not head.get("content-length", "").isdigit():
+        raise Truncated(f"the record at {at} has no length")
+    length = int(head["content-length"])
+    if body + length > total:
+        raise Truncated(f"the file ends in the record at {at}")
+    keep, payload = wanted(head), None
+    if keep and with_payload:
+        f.seek(body)
+        payload = f.read(length)
+    return body + length, head if keep else None, payload
+
+
+def _member(f, at: int, total: int, start: bytes, wanted, with_payload: bool, chunk: int) -> tuple[int, dict[str, str] | None, bytes | None]:
+    """As ``_plain`` for a gzip member. Headers are inflated first; a known length skips the rest."""
+    known = struct.unpack("<I", start[16:20])[0] if start[3] & 4 and start[12:14] == b"sl" else 0
+    if at + known > total:
+        raise Truncated(f"the file ends in the record at {at}")
+    inflate, used = zlib.decompressobj(31), len(start)
+
+    def more(size: int) -> bytes:
+        nonlocal used
+        raw = inflate.unconsumed_tail
+        if not raw:
+            raw = f.read(chunk)
+            used += len(raw)
+        if not raw:
+            raise Truncated(f"the file ends in the record at {at}")
+        return inflate.decompress(raw, size)
+
+    out = inflate.decompress(start, 1 << 16)
+    while b"\r\n\r\n" not in out and not inflate.eof:
+        out += more(1 << 16)
+    end = out.find(b"\r\n\r\n")
+    if end < 0 and out.strip():
+        raise Truncated(f"the record at {at} has no end of headers")
+    head = parse_headers(out[:end].lstrip()) if end >= 0 else {}
+    keep = end >= 0 and wanted(head)
+    need = keep and with_payload
+    if known and not need:
+        return at + known, head if keep else None, None
+    parts = [out[end + 4 :]]
+    while not inflate.eof:
+        got = more(1 << 20)
+        if need:
+            parts.append(got)
+    payload = None
+    if need:
+        length = int(head.get("content-length", 0))
+        payload = b"".join(parts)[:length]
+        if len(payload) < length:
+            raise Truncated(f"the record at {at} is shorter than its length")
+    return at + used - len(inflate.unused_data), head if keep else None, payload
+
+
 def records(f, wanted, with_payload: bool, chunk: int = 1 << 16) -> Iterator[tuple[int, dict[str, str], bytes | None]]:
     """position, headers and payload (None if not asked for) of the records that are wanted, for either kind of file."""
     at, total = 0, f.size()
     while at < total:
         f.seek(at)
         start = f.read(chunk)
-        if start[:2] != b"\x1f\x8b":
-            if (end := start.find(b"\r\n\r\n")) < 0:
-                return
-            head = parse_headers(start[:end].lstrip())
-            body = at + end + 4
-            length = int(head.get("content-length", 0))
-            if wanted(head):
-                payload = None
-                if with_payload:
-                    f.seek(body)
-                    payload = f.read(length)
-                yield at, head, payload
-            at = body + length + 4
-            continue
-        known, flags = 0, start[3]
-        if flags & 4 and start[12:14] == b"sl":
-            known = struct.unpack("<I", start[16:20])[0]
-        inflate = zlib.decompressobj(31)
-        out, used = inflate.decompress(start, 1 << 16), len(start)
-        while b"\r\n\r\n" not in out and not inflate.eof:
-            more = inflate.unconsumed_tail or f.read(chunk)
-            if not more:
-                break
-            used += 0 if inflate.unconsumed_tail else len(more)
-            out += inflate.decompress(more, 1 << 16)
-        end = out.find(b"\r\n\r\n")
-        head = parse_headers(out[: max(end, 0)])
-        keep = end >= 0 and wanted(head)
-        need = keep and with_payload
-        if known and not need:
-            if keep:
-                yield at, head, None
-            at += known
+        if blank := len(start) - len(start.lstrip(b"\r\n")):
+            at += blank
             continue
-        parts = [out[end + 4 :]]
-        while not inflate.eof:
-            more = inflate.unconsumed_tail or f.read(chunk)
-            if not more:
-                break
-            used += 0 if inflate.unconsumed_tail else len(more)
-            got = inflate.decompress(more, 1 << 20)
-            if need:
-                parts.append(got)
-        if keep:
-            yield at, head, b"".join(parts)[: int(head.get("content-length", 0))] if need else None
-        at += used - len(inflate.unused_data)
+        if start[:2] == b"\x1f\x8b":
+            after, head, payload = _member(f, at, total, start, wanted, with_payload, chunk)
+        else:
+            after, head, payload = _plain(f, at, total, wanted, with_payload, chunk)
+        if head is not None:
+            yield at, head, payload
+        at = after
 
 
 class WarcSource(DataSource):
@@ -311,7 +359,8 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the pages' archives into the shared folder and read them back: responses with payloads, revisits by headers."""
+    """Write the pages' archives into the shared folder and read them back: responses with payloads, revisits by headers.
+    The archives are deleted once the result is written."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(page_records(pages), path)
@@ -320,7 +369,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     full = full.select(F.when(F.col("record_id").isNotNull(), number("record_id")).alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
     seen = read(spark, path, payload=False).where("record_type = 'revisit'")
     seen = seen.select(F.when(F.col("record_id").isNotNull(), number("record_id")).alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
-    return full.unionByName(seen)
+    out = cut(full.unionByName(seen), "warc-records")
+    drop_folder(spark, path)
+    return out
 
 
 SQL = """
