@@ -291,3 +291,117 @@ def test_stream_forgets_ids_that_can_no_longer_repeat(spark, tmp_path):
     q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "2"]
+
+
+# ------------------------------------------------------------------ windows, scores and arms
+def turns(data):
+    import pandas as pd
+
+    token = re.compile(r"[A-Za-z][A-Za-z0-9'\-]*|\d+(?:\.\d+)?|[㐀-鿿]")
+    c = pd.read_parquet(f"{data}/conversations.parquet")
+    c = c[(c.role == "user") & c.text.notna()].sort_values("turn")
+    return {conv: tuple([x.lower() for x in token.findall(own.text.iloc[i])] for i in (0, -1)) for conv, own in c.groupby("conv_id")}
+
+
+def labels(ref, hyp, lo, hi):
+    latin, cjk = (lambda t: t[0].isascii() and t[0].isalpha()), (lambda t: not t[0].isascii())
+    kinds, e, c, strong = [], False, False, False
+    for op, i1, i2, j1, j2 in SequenceMatcher(None, ref, hyp, autojunk=False).get_opcodes():
+        if op == "equal" or not (lo <= j1 < hi if j1 == j2 else j1 < hi and j2 > lo):
+            continue
+        r, h = ref[i1:i2], hyp[j1:j2]
+        if any(map(latin, r)):
+            e = True
+            kinds.append("F4" if not h else "F2" if any(map(latin, h)) else "F1")
+        elif op == "replace":
+            n = max(sum(map(cjk, r)), sum(map(cjk, h)))
+            c, strong = c or n >= 2, strong or n >= 3
+            kinds.append("C" if n >= 2 else "c1")
+        else:
+            kinds.append(op[:3])
+    return e, c, strong, not kinds, ",".join(kinds)
+
+
+def test_window_labels_query(spark, data):
+    want = {(conv, w): labels(a, b, 10 * w, 10 * w + 10) for conv, (a, b) in turns(data).items() for w in range(max(len(b) - 1, 0) // 10 + 1)}
+    got = {(r["conv_id"], r["w"]): (r["e"], r["c"], r["c_strong"], r["n"], r["kinds"]) for r in registry.queries()["p32_window_labels"](spark, data).collect()}
+    assert got == want
+
+
+def test_window_labels_of_mixed_scripts(spark):
+    from verdikt.operators import speech as S
+
+    for a, b in [("請 x 漢 字 好", "請 漢 字 好"), ("漢 字 好 吧", "文 句 壞 吧"), ("漢 好", "字 好"), ("api 好", "阿 好"), ("好", "好 3"), ("x y", "x z")]:
+        ref, hyp = a.split(), b.split()
+        df = spark.createDataFrame([(ref, hyp)], "ref array<string>, hyp array<string>").withColumn("ops", text.opcodes("ref", "hyp"))
+        r = df.select(S.window_labels(text.blocks_in_window(F.col("ops"), F.lit(0), F.lit(9)), F.col("ref"), F.col("hyp")).alias("l")).first()["l"]
+        assert (r["e"], r["c"], r["c_strong"], r["n"], ",".join(r["kinds"])) == labels(ref, hyp, 0, 9), (a, b)
+
+
+def test_term_recall_query(spark, data):
+    want = {}
+    for conv, (a, b) in turns(data).items():
+        term = next((t for t in a if len(t) >= 5), "none")
+        joined = ""
+        for t in b:
+            joined += (" " if joined and joined[-1].isascii() and t[0].isascii() else "") + t
+        variant = term[::-1]
+        want[conv] = (term, a.count(term), term in joined or variant.replace("-", " ") in joined or variant in joined)
+    got = {r["conv_id"]: (r["term"], r["n"], r["hit"]) for r in registry.queries()["a41_term_recall"](spark, data).collect()}
+    assert got == want
+
+
+def test_judged_scores(spark):
+    from verdikt.operators import speech as S
+
+    rows = [({"A": 0.2, "B": 0.5, "C": 0.3}, True, 0.2, 0.5), ({"A": 0.2, "B": 0.8}, False, 0.2, 0.8), ({}, True, 0.9, 0.1), (None, False, 0.9, 0.1), ({"A": 1.0}, False, 1.0, None)]
+    df = spark.createDataFrame(rows, "p map<string,double>, listed boolean, ok double, err double")
+    got = df.select(S.selected_mass(F.col("p"), ["B", "C"]).alias("m"), S.error_score(F.col("p"), F.col("listed"), F.col("ok"), F.col("err")).alias("s")).collect()
+    assert [r["s"] for r in got] == [0.8, 0.8, 0.0, 0.0, 0.0]
+    assert [r["m"] for r in got][:2] == [pytest.approx(0.8), 0.8] and [math.isnan(r["m"]) for r in got] == [False, False, True, True, False]
+
+
+def test_linear_arm(spark):
+    rng = np.random.default_rng(12)
+    c = rng.normal(size=(4, 6)) * 2
+    y = rng.integers(0, 4, 400)
+    x = c[y] + rng.normal(size=(400, 6))
+    df = spark.createDataFrame([(i, x[i].tolist(), int(y[i]), i % 2 == 0) for i in range(400)], "id long, x array<double>, gold int, train boolean")
+    out = {r["id"]: r["said"] for r in R.linear_arm(df, "id").collect()}
+    classes, w, b = C.logistic(x[::2], y[::2])
+    assert out == {i: int(classes[(x[i] @ w.T + b).argmax()]) for i in range(1, 400, 2)}
+
+
+def test_affine_transfer(spark):
+    from verdikt.operators.compare import affine_transfer
+
+    df, z, y, g = decisions(spark, 200)
+    x = df.withColumn("n", F.col("id").cast("int"))
+    out = {(r["variant"], int(r["id"])): r["p"] for r in affine_transfer(x, F.col("n") < 100, F.col("n") >= 100, F.col("n") < 150).collect()}
+    assert len(out) == 100 + 100 + 50
+    order = lambda ids: np.array(sorted(ids, key=str))
+    a, b = order(range(100)), order(range(100, 150))
+    assert np.array([out["transfer", i] for i in range(100, 200)]) == pytest.approx(C.calibrated("affine", z[a], y[a], g[a], z[100:]), abs=1e-9)
+    assert np.array([out["refit", i] for i in range(150, 200)]) == pytest.approx(C.calibrated("affine", z[b], y[b], g[b], z[150:]), abs=1e-9)
+
+
+def test_orders():
+    from itertools import permutations
+
+    from verdikt.operators.compare import orders_for
+
+    assert orders_for(3) == list(permutations(range(3))) == orders_for(3, 6)
+    some = orders_for(5, 8, "key")
+    assert len(set(some)) == 8 and some[0] == (0, 1, 2, 3, 4) and some == orders_for(5, 8, "key") != orders_for(5, 8, "other")
+
+
+def test_noise_sits_around_the_public_fields(spark):
+    import json
+
+    from verdikt.plans import construction
+
+    rows = registry.queries()["g03_renderings"](spark, "/root/testdata/sf0.001").limit(200).collect()
+    for r in rows:
+        plain, noisy = json.loads(r["J0"]), json.loads(r["JN"])
+        assert list(noisy)[r["noise"] // 2 : r["noise"] // 2 + 3] == list(plain) and len(noisy) == r["noise"] + 3 and 6 <= r["noise"] <= 10
+        assert set(noisy) - set(plain) <= set(construction.K.NOISE_KEYS) and json.loads(r["J1"])["over"] in (True, False)

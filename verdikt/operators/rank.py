@@ -175,3 +175,25 @@ def _best_of(weights: np.ndarray, at_g: dict[str, int], qids: pa.Array, avg: flo
                 yield pa.RecordBatch.from_arrays([qids.take(pa.array(c)), pa.array(pid[r]), pa.array(score[r, c])], ["qid", "pid", "score"])
 
     return best
+
+
+def linear_arm(rows: DataFrame, key: str, c: float = 1.0, most: int = 4000) -> DataFrame:
+    """key, gold and said of the rows that aren't ``train``: a logistic regression on the vectors ``x``, learned from about
+    ``most`` of the train rows by a hash of the key. Every other row is judged. rows: key, x, gold (int), train."""
+    from .calibrate import logistic
+
+    n = rows.where("train").count()
+    some = rows.where("train").where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30) < min(1.0, most / max(n, 1))).orderBy(key).select("x", "gold").collect()
+    test = rows.where("not train").select(key, "gold", "x")
+    if not some:
+        return test.select(key, "gold", F.lit(None).cast("int").alias("said"))
+    classes, w, b = logistic(np.array([r["x"] for r in some], float), np.array([r["gold"] for r in some]), c)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack(batch.column(2).to_pylist()).astype(float)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(classes[(x @ w.T + b).argmax(1)], pa.int32())], [key, "gold", "said"])
+
+    kind = dict(rows.dtypes)
+    return test.select(key, F.col("gold").cast("int").alias("gold"), "x").mapInArrow(judge, f"{key} {kind[key]}, gold int, said int")

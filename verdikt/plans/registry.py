@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import comparison, ordered, policies, ranking, relational, reports, scoring, textual
+from . import comparison, construction, ordered, policies, ranking, relational, reports, scoring, textual
 
-MODULES = [scoring, policies, ranking, ordered, relational, textual, reports, comparison]
+MODULES = [scoring, policies, ranking, ordered, relational, textual, reports, comparison, construction]
 
 
 def queries() -> dict:
