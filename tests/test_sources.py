@@ -72,3 +72,62 @@ def test_stream_keeps_one_row_an_id(spark, tmp_path):
     q = resume.append(resume.readouts(spark, str(tmp_path / "in"), SCHEMA), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def answer(path, body):
+    """What a server of each kind says: B is likeliest, C is missing from lists of likeliest tokens."""
+    listed = [(" B", -0.1, 11), ("B", -3.0, 12), ("A", -2.5, 10), ("x", -4.0, 1)]
+    if path == "/completion":
+        if body["prompt"] == "old":
+            return {"completion_probabilities": [{"probs": [{"tok_str": "A", "prob": 0.0}, {"tok_str": "B", "prob": 0.5}]}]}
+        return {"completion_probabilities": [{"top_logprobs": [{"token": t, "logprob": p} for t, p, _ in listed]}]}
+    if path == "/generate":
+        ids = body.get("token_ids_logprob")
+        one = lambda i: {"meta_info": {"output_top_logprobs": [[[p, n, t] for t, p, n in listed]], **({"output_token_ids_logprobs": [[[-float(n), n] for n in ids[i]]]} if ids else {})}}
+        return [one(i) for i in range(len(body.get("text") or body["input_ids"]))]
+    if path == "/v1/chat/completions":
+        return {"choices": [{"message": {"content": {"json": '{"answer": "B"}', "other": '{"answer": "Z"} so C'}.get(body["messages"][0]["content"], "I cannot say")}}]}
+    q = body["questions"]["q"]
+    return {"answers": {"q": {"noul": 0.25} if q["type"] == "noul" else {"probabilities": {"o1": 0.0, "o2": 1.0}}}}
+
+
+def test_clients_read_what_servers_say(spark):
+    import math
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            raw = json.dumps(answer(self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"]))))).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(raw)))
+            self.end_headers()
+            self.wfile.write(raw)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        options = {"url": f"http://127.0.0.1:{server.server_port}/", "letters": ["A", "B", "C"]}
+        rows = lambda *prompts: spark.createDataFrame([(str(i), p) for i, p in enumerate(prompts)], "id string, prompt string")
+        got = lambda df: [r["raw_logprobs"] for r in df.orderBy("id").collect()]
+        assert got(readers.acquire(rows("p", "old"), "completion", options)) == [{"A": -2.5, "B": -0.1}, {"A": math.log(1e-12), "B": math.log(0.5)}]
+        assert got(readers.acquire(rows("p", "q", "r"), "generate", options, batch=2)) == [{"A": -2.5, "B": -0.1}] * 3
+        assert got(readers.acquire(rows("p", "q"), "generate", {**options, "token_ids": {"A": 5, "B": 6, "C": 7}})) == [{"A": -5.0, "B": -6.0, "C": -7.0}] * 2
+        assert got(readers.acquire(rows("json", "other", "none"), "chat", options)) == [{"B": 0.0}, {"C": 0.0}, {}]
+        asked = [json.dumps({"state": "s", "question": {"type": t}}) for t in ("noul", "choice")]
+        assert got(readers.acquire(rows(*asked), "schema", options)) == [{"A": math.log(0.25), "B": math.log(0.75)}, {"A": math.log(1e-12), "B": 0.0}]
+        assert readers.acquire(rows("a", "bbb", "cc"), "uniform", {"letters": ["A"]}, budget=6).count() == 3
+    finally:
+        server.shutdown()
+    down = readers.acquire(spark.createDataFrame([("1", "p")], "id string, prompt string"), "completion", {"url": "http://127.0.0.1:1", "letters": ["A"]}, attempts=2).first()
+    assert down["raw_logprobs"] is None and down["error"]
+
+
+def test_budget_batches():
+    from verdikt.sources.clients import budget_batches
+
+    assert budget_batches([5, 1, 3, 2, 9], 6) == [[1, 3], [2], [0], [4]]
+    assert budget_batches([1] * 5, 100, 2) == [[0, 1], [2, 3], [4]] and budget_batches([], 5) == []

@@ -1,7 +1,7 @@
 """Model readers behind one interface: a reader turns prompts into readout rows, a partition at a time.
 
-Inference is outside the engine. ``TableReader`` serves stored readouts; a network client implements ``read`` and gets its
-rows in batches of the partition, sorted if asked, so that it can batch by length or keep a prefix cache warm.
+Inference is outside the engine. ``from_table`` serves stored readouts; a network client (``clients``) implements ``read``
+and gets its rows in batches of the partition, sorted or batched by length if asked, which also keeps a prefix cache warm.
 """
 
 from __future__ import annotations
@@ -43,17 +43,26 @@ class UniformReader:
 register("uniform", UniformReader)
 
 
-def acquire(rows: DataFrame, backend: str, options: dict | None = None, batch: int = 32, attempts: int = 3, sort_by: str | None = None) -> DataFrame:
-    """Readouts for rows of id and prompt. A batch that fails is tried again, then its rows carry the error."""
+def acquire(rows: DataFrame, backend: str, options: dict | None = None, batch: int = 32, attempts: int = 3, sort_by: str | None = None, budget: int | None = None) -> DataFrame:
+    """Readouts for rows of id and prompt. A batch that fails is tried again, then its rows carry the error. With ``budget``
+    rows are batched by length, so that a batch padded to its longest prompt holds at most so many characters."""
     options = options or {}
+    if backend not in REGISTRY:
+        from . import clients  # noqa: F401  registers the network clients
     make = REGISTRY[backend]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = make(**options)
         for pdf in parts:
             pairs = list(zip(pdf["id"], pdf["prompt"], strict=True))
-            for at in range(0, len(pairs), batch):
-                one, error = pairs[at : at + batch], "no attempt"
+            if budget is None:
+                groups = [pairs[at : at + batch] for at in range(0, len(pairs), batch)]
+            else:
+                from .clients import budget_batches
+
+                groups = [[pairs[i] for i in g] for g in budget_batches([len(p) for _, p in pairs], budget, batch)]
+            for one in groups:
+                error = "no attempt"
                 for _ in range(attempts):
                     try:
                         out = reader.read(one)
