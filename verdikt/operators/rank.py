@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -96,87 +97,93 @@ def loss_diagnosis(gold_rank: Column, k: int, won_group: Column, correct: Column
     return F.when(correct, "correct").when(gold_rank > k, "not_shortlisted").when(~won_group, "lost_in_group").otherwise("lost_in_final")
 
 
-def bigrams(texts: DataFrame, row_id: str, text: str = "text") -> DataFrame:
-    """row_id and grams: the character bigrams of each text without white space. Its characters go through a
-    generator as an array, so that the text isn't stripped and split again for each of them."""
-    chars = F.array_remove(F.split(F.regexp_replace(text, r"\s", ""), ""), "")
-    x = texts.select(row_id, F.explode(F.array(chars)).alias("t"))
-    grams = F.when(F.size("t") > 1, F.transform(F.slice("t", 1, F.size("t") - 1), lambda c, i: F.concat(c, F.get("t", i + 1))))
-    return x.select(row_id, F.coalesce(grams, F.array().cast("array<string>")).alias("grams"))
+def bigram_codes(text: str | None) -> np.ndarray:
+    """The character bigrams of a text without white space, as numbers of two code points."""
+    code = np.frombuffer(re.sub(r"\s", "", text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return code[:-1] << 21 | code[1:]
 
 
-def gram_counts(texts: DataFrame, row_id: str) -> DataFrame:
-    """row_id, len (bigrams of the text) and counts (array of g, n for its different ones), counted inside the row: in sorted
-    order equal bigrams stand together."""
-    x = bigrams(texts, row_id).select(row_id, F.size("grams").alias("len"), F.explode(F.array(F.array_sort("grams"))).alias("s"))
-    places = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.size("s") - 1)).otherwise(F.array().cast("array<int>"))
-    x = x.select("*", F.explode(F.array(F.filter(places, lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1))))).alias("heads"))
-    one = lambda h, j: F.struct(F.get("s", h).alias("g"), (F.coalesce(F.get("heads", j + 1), F.size("s")) - h).alias("n"))
-    return x.select(row_id, "len", F.transform("heads", one).alias("counts"))
+def _query_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        grams = [np.unique(bigram_codes(t)) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.list_(pa.int64()))], ["qid", "grams"])
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, most: int = 2000) -> DataFrame:
-    """qid, pid, score of the ``k`` best texts of each query that share a bigram with it, ties by pid. queries: qid, text;
-    corpus: pid, text. A query's bigrams are a set.
+def _document_counts(known: np.ndarray):
+    """n, the bigrams of all texts, and how many texts hold each of the ``known`` ones: one row a partition."""
 
-    The queries' bigrams with their weights are a matrix, sent in blocks of at most ``most`` queries; each batch of texts is
-    multiplied with it and gives its own best rows only, so pairs of query and text never become rows, however common a
-    bigram is. ``pid`` is a long.
-    """
-    tf = gram_counts(corpus, "pid")
-    stats = tf.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
-    if not stats["n"]:
-        return queries.where("false").select("qid", F.lit(0).cast("long").alias("pid"), F.lit(0.0).alias("score"))
-    df = tf.select(F.explode("counts.g").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
-    idf = F.log(1.0 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    grams = bigrams(queries, "qid").select("qid", F.explode(F.array_distinct("grams")).alias("g")).join(df, "g").select("qid", "g", idf.alias("idf"))
-    kind = dict(queries.dtypes)["qid"]
-    blocks = -(-queries.count() // most)
-    out = None
-    for i in range(blocks):
-        # bounded by the block: its queries' different bigrams
-        rows = grams.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).collect()
-        qids, names = sorted({r["qid"] for r in rows}), sorted({r["g"] for r in rows})
-        at_q, at_g = {q: j for j, q in enumerate(qids)}, {g: j for j, g in enumerate(names)}
-        weights = np.zeros((len(names) + 1, len(qids)))
-        for r in rows:
-            weights[at_g[r["g"]], at_q[r["qid"]]] = r["idf"]
-        one = tf.select(F.col("pid").cast("long").alias("pid"), "len", F.col("counts.g").alias("g"), F.col("counts.n").alias("n"))
-        one = one.mapInArrow(_best_of(weights, at_g, pa.array(qids, to_arrow_type(queries.schema["qid"].dataType)), stats["avg"], k, k1, b), f"qid {kind}, pid long, score double")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return queries.where("false").select("qid", F.lit(0).cast("long").alias("pid"), F.lit(0.0).alias("score"))
-    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "pid"))
-    return out.withColumn("best", best).where(F.col("best") <= k).drop("best")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, length, df = 0, 0, np.zeros(len(known), np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                g = bigram_codes(t)
+                n, length, g = n + 1, length + len(g), np.unique(g)
+                at = np.minimum(np.searchsorted(known, g), max(len(known) - 1, 0))
+                if len(known):
+                    df[at[known[at] == g]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([length]), pa.array([df], pa.list_(pa.int64()))], ["n", "length", "df"])
 
+    return count
+
+
+def _best_texts(weights: np.ndarray, known: np.ndarray, qids: pa.Array, avg: float, k: int, k1: float, b: float):
+    """Each query's ``k`` best texts of a partition: texts by bigrams times bigrams by queries, some hundred texts at a time."""
 
-def _best_of(weights: np.ndarray, at_g: dict[str, int], qids: pa.Array, avg: float, k: int, k1: float, b: float):
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = len(at_g)
+        step = max(1, min(512, 4_000_000 // (len(known) + 1)))
+        top, who = np.zeros((len(qids), k)), np.full((len(qids), k), np.iinfo(np.int64).max)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                part = whole.slice(at, 512)
-                pid, length = part.column(0).to_numpy(), part.column(1).to_numpy()
-                sizes = np.diff(part.column(2).offsets.to_numpy())
-                gram = np.array([at_g.get(g, none) for g in part.column(2).flatten().to_pylist()], np.int64)
-                n = part.column(3).flatten().to_numpy().astype(float)
-                row = np.repeat(np.arange(len(pid)), sizes)
-                value = n * (k1 + 1) / (n + k1 * (1 - b + b * length[row] / avg))
-                dense = np.zeros((len(pid), none + 1))
-                dense[row, gram] = value  # bigrams of no query share a column of zero weight
-                score = np.round(dense @ weights, 9)
-                rows, cols = [], []
-                for q in range(len(qids)):
-                    order = np.lexsort((pid, -score[:, q]))[:k]
-                    order = order[score[order, q] > 0]
-                    rows.append(order)
-                    cols.append(np.full(len(order), q))
-                r, c = np.concatenate(rows or [[]]).astype(int), np.concatenate(cols or [[]]).astype(int)
-                yield pa.RecordBatch.from_arrays([qids.take(pa.array(c)), pa.array(pid[r]), pa.array(score[r, c])], ["qid", "pid", "score"])
+            for begin in range(0, whole.num_rows, step):
+                part = whole.slice(begin, step)
+                tf = np.zeros((part.num_rows, len(known)))
+                for i, t in enumerate(part.column(1).to_pylist()):
+                    g = bigram_codes(t)
+                    length = len(g)
+                    g, n = np.unique(g, return_counts=True)
+                    at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+                    on = known[at] == g
+                    tf[i, at[on]] = n[on] * (k1 + 1) / (n[on] + k1 * (1 - b + b * length / avg))
+                score = np.hstack([top, np.round(tf @ weights, 9).T])
+                pid = np.hstack([who, np.broadcast_to(part.column(0).to_numpy(), (len(qids), part.num_rows))])
+                order = np.lexsort((pid, -score), axis=1)[:, :k]
+                top, who = np.take_along_axis(score, order, 1), np.take_along_axis(pid, order, 1)
+        q, at = np.nonzero(top > 0)
+        yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), pa.array(who[q, at]), pa.array(top[q, at])], ["qid", "pid", "score"])
 
     return best
 
 
+def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, most: int = 200) -> DataFrame:
+    """qid, pid, score of the ``k`` best texts of each query that share a character bigram with it, ties by pid. queries: qid,
+    text; corpus: pid (a long), text. A query's bigrams are a set.
+
+    Queries go in blocks of about ``most``. A block takes two passes over the corpus: one counts the texts that hold its
+    bigrams, one number a bigram and partition; the other multiplies texts with the queries' weights and keeps each
+    partition's best. So neither bigrams nor pairs of query and text become rows, however common a bigram is.
+    """
+    empty = queries.where("false").select("qid", F.lit(0).cast("long").alias("pid"), F.lit(0.0).alias("score"))
+    kind = queries.schema["qid"]
+    blocks, out = -(-queries.count() // most), empty
+    texts = corpus.select(F.col("pid").cast("long").alias("pid"), "text")
+    for i in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).select("qid", "text")
+        rows = own.mapInArrow(_query_grams, f"qid {kind.dataType.simpleString()}, grams array<bigint>").collect()  # bounded by the block
+        known = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.array(r["grams"], np.int64) for r in rows)]))
+        counts = texts.select("text").mapInArrow(_document_counts(known), "n long, length long, df array<bigint>").collect()  # a row a partition
+        n, df = sum(r["n"] for r in counts), sum((np.array(r["df"], np.int64) for r in counts), np.zeros(len(known), np.int64))
+        if not n or not len(known):
+            continue
+        weights = np.zeros((len(known), len(rows)))
+        for j, r in enumerate(rows):
+            at = np.searchsorted(known, r["grams"])
+            weights[at, j] = np.log(1 + (n - df[at] + 0.5) / (df[at] + 0.5))
+        qids = pa.array([r["qid"] for r in rows], to_arrow_type(kind.dataType))
+        found = texts.mapInArrow(_best_texts(weights, known, qids, sum(r["length"] for r in counts) / n, k, k1, b), f"qid {kind.dataType.simpleString()}, pid long, score double")
+        out = out.unionByName(found)
+    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "pid"))
+    return out.withColumn("best", best).where(F.col("best") <= k).drop("best")
+
+
 def linear_arm(rows: DataFrame, key: str, c: float = 1.0, most: int = 4000) -> DataFrame:
     """key, gold and said of the rows that aren't ``train``: a logistic regression on the vectors ``x``, learned from about
     ``most`` of the train rows by a hash of the key. Every other row is judged. rows: key, x, gold (int), train."""
