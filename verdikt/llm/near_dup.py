@@ -141,7 +141,8 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataF
     near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
     near = cut(near.mapInArrow(_near, "a long, b long"), "near-pairs")
     ids = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    some = texts.join(ids, F.col("doc_id") == F.col("node"), "left_semi").distinct()
+    # the same shuffle at every size: a broadcast of the ids would only help small tables
+    some = texts.join(ids.hint("merge"), F.col("doc_id") == F.col("node"), "left_semi").distinct()
     some = cut(some, "near-texts")
     side = lambda c, s: some.select(F.col("doc_id").alias(c), F.col("text").alias(s))
     out = near.join(side("b", "tb"), "b").join(side("a", "ta"), "a").select("a", "b", "ta", "tb")
