@@ -13,13 +13,14 @@ from pyspark.sql import types as T
 #: Pattern of a word, number or single CJK character.
 TOKEN = r"[A-Za-z][A-Za-z0-9'\-]*|\p{Nd}+(?:\.\p{Nd}+)?|[㐀-鿿]"
 CJK = r"[一-鿿]"
+#: Patterns of a named answer and of a letter that stands alone.
+NAMED, ALONE = r'(?U)"answer"\s*:\s*"\s*([A-J])', r"(?U)\b([A-J])\b"
 
 
 def parse_letter(text: Column, letters: list[str]) -> Column:
     """The letter A to J that a JSON-like answer begins with, if it is an option; else the first such letter that stands as a
     word, null if that is no option. Words and white space are those of Unicode."""
-    named = F.regexp_extract(text, r'(?U)"answer"\s*:\s*"\s*([A-J])', 1)
-    alone = F.regexp_extract(text, r"(?U)\b([A-J])\b", 1)
+    named, alone = F.regexp_extract(text, NAMED, 1), F.regexp_extract(text, ALONE, 1)
     return F.when(named.isin(letters), named).when(alone.isin(letters), alone)
 
 

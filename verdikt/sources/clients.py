@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import time
 import urllib.request
 from collections.abc import Iterable
 
 from .readers import register
 
-#: Fixed value: the least probability whose logarithm is taken.
+#: The least probability whose logarithm is taken; patterns of a named answer and of a letter that stands alone.
 LEAST = 1e-12
+NAMED, ALONE = re.compile(r'"answer"\s*:\s*"\s*([A-J])'), re.compile(r"\b([A-J])\b")
 
 
 def best_letters(candidates: Iterable[tuple[str | None, float]], letters: list[str]) -> dict[str, float]:
@@ -88,14 +90,11 @@ class ChatReader(JsonClient):
     no letters."""
 
     def read(self, prompts):
-        import re
-
         out = []
         for row_id, prompt in prompts:
             got, ms = self.post("/v1/chat/completions", {"messages": [{"role": "user", "content": prompt}], "max_tokens": 64, "temperature": 0, "cache_prompt": True})
             said = got["choices"][0]["message"].get("content") or ""
-            named, alone = re.search(r'"answer"\s*:\s*"\s*([A-J])', said), re.search(r"\b([A-J])\b", said)
-            letter = next((m.group(1) for m in (named, alone) if m and m.group(1) in self.letters), None)
+            letter = next((m.group(1) for m in (NAMED.search(said), ALONE.search(said)) if m and m.group(1) in self.letters), None)
             out.append((row_id, {letter: 0.0} if letter else {}, ms, None))
         return out
 
@@ -104,7 +103,7 @@ class SchemaReader(JsonClient):
     """A joint-schema endpoint: a prompt is the JSON text of state and question; probabilities come by option id, or as one
     number for yes-or-no questions, and ``letters`` are taken in the options' order."""
 
-    def __init__(self, url: str, letters: list[str], model: str = "default", path: str = "/v1/systemone", timeout: float = 600.0) -> None:
+    def __init__(self, url: str, letters: list[str], model: str = "default", path: str = "/v1/answers", timeout: float = 600.0) -> None:
         super().__init__(url, letters, timeout)
         self.model, self.path = model, path
 
