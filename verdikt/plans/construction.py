@@ -50,7 +50,7 @@ def _rendered(spark, d):
     total, over = F.floor("o_totalprice").cast("string"), (F.col("o_totalprice") > 150000).cast("string")
     values = {"order": F.col("o_orderkey").cast("string"), "customer": F.col("o_custkey").cast("string"), "total": total}
     text = F.concat(F.lit("Order "), values["order"], F.lit(" of customer "), values["customer"], F.lit(" totals "), total, F.lit("."))
-    said = F.concat(F.lit("Over the limit: "), K.yes_no(F.col("o_totalprice") > 150000), F.lit(", change "), K.signed(F.col("o_totalprice") / 1000 - 150), F.lit("."))
+    said = F.concat(F.lit("Over the limit: "), K.yes_no(F.col("o_totalprice") > 150000), F.lit(", change "), K.signed(F.floor(F.col("o_totalprice") / 1000) - 150, 0), F.lit("."))
     noise = K.noise_fields(F.col("o_orderkey").cast("string"))
     made = K.renderings(values, {"over": over}, text, said, noise)
     return o.select("o_orderkey", "o_orderpriority", *(c.alias(r) for r, c in made.items()), F.size(noise).alias("noise")), values
@@ -67,7 +67,7 @@ nz as (select o_orderkey, 6 + cast(floor(u * 5 + 0.5) as bigint) n, list_sort(li
 nf as (select o_orderkey, n, list_transform(ks[1 : n], lambda x: '"' || x.key || '":"' || substr(x.h, 1, 8) || '"') f from nz),
 t as (select o.o_orderkey, n, '"order":' || o.o_orderkey || ',"customer":' || o_custkey || ',"total":' || tot pub, f,
  'Order ' || o.o_orderkey || ' of customer ' || o_custkey || ' totals ' || tot || '.' t0, case when o_totalprice > 150000 then 'true' else 'false' end ov,
- 'Over the limit: ' || case when o_totalprice > 150000 then 'yes' else 'no' end || ', change ' || printf('%+.1f', o_totalprice / 1000 - 150) || '.' said from o join nf using (o_orderkey))
+ 'Over the limit: ' || case when o_totalprice > 150000 then 'yes' else 'no' end || ', change ' || printf('%+.0f', floor(o_totalprice / 1000) - 150) || '.' said from o join nf using (o_orderkey))
 select o_orderkey, t0 "T0", t0 || ' ' || said "T1", '{{' || pub || '}}' "J0", '{{' || pub || ',"over":' || ov || '}}' "J1",
  '{{' || array_to_string(f[1 : n // 2], ',') || ',' || pub || ',' || array_to_string(f[n // 2 + 1 :], ',') || '}}' "JN", n noise from t"""
 
@@ -78,7 +78,7 @@ def rendering_checks(spark, d):
     x = x.join(T.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey")
     damaged = E.hash_unit(F.col("o_orderkey").cast("string"), F.lit("dmg"), buckets=100) < 0.01
     x = x.withColumn("T0", F.when(damaged, F.lit("Order lost.")).otherwise(F.col("T0"))).withColumn("J1", F.when(damaged, F.concat("J1", F.lit(" answer"))).otherwise(F.col("J1")))
-    bad = K.rendering_violations(x, "o_orderkey", {r: r for r in ("T0", "T1", "J0", "J1", "JN")}, {k: v for k, v in values.items()}, {"change": K.signed(F.col("o_totalprice") / 1000 - 150)}, ["answer"])
+    bad = K.rendering_violations(x, "o_orderkey", {r: r for r in ("T0", "T1", "J0", "J1", "JN")}, {k: v for k, v in values.items()}, {"change": K.signed(F.floor(F.col("o_totalprice") / 1000) - 150, 0)}, ["answer"])
     return tidy(bad.groupBy("rule").agg(F.count("*").alias("n")))
 
 
