@@ -59,3 +59,80 @@ def test_mixed_text_and_scripts(spark, data):
 def test_nothing_learned(spark):
     model = langid.fit(spark.createDataFrame([(None, "en"), ("x", None)], "text string, lang string"))
     assert langid.predict(frame(spark, [(1, "word")]), model).first()["lang_pred"] == "und"
+
+
+M64 = (1 << 64) - 1
+
+
+def mixed(x):
+    x ^= x >> 33
+    x = x * 0xFF51AFD7ED558CCD & M64
+    x ^= x >> 33
+    x = x * 0xC4CEB9FE1A85EC53 & M64
+    return x ^ (x >> 33)
+
+
+def plain_words(text):
+    """Runs of letters and marks, lower-cased: each one's trigram bins, script and number of letters."""
+    import unicodedata
+
+    names, out, run = list(dict.fromkeys(s[0] for s in langid.SCRIPTS)), [], ""
+    for c in (text or "").lower() + "\n":
+        if unicodedata.category(c)[0] in "LM":
+            run += c
+            continue
+        if run:
+            code = [0, *map(ord, run), 0]
+            bins = [mixed(code[i - 1] | code[i] << 21 | code[i + 1] << 42) >> 48 for i in range(1, len(code) - 1)]
+            script = next((names.index(n) + 1 for n, a, z in reversed(langid.SCRIPTS) if a <= ord(run[0]) <= z), 0)
+            out.append((bins, script, sum(unicodedata.category(c)[0] == "L" for c in run)))
+        run = ""
+    return out
+
+
+def plain_model(rows):
+    langs = sorted({lang for _, lang in rows})
+    n, seen = {x: np.zeros(langid.BINS) for x in langs}, {x: np.zeros(256) for x in langs}
+    for text, lang in set(rows):
+        for bins, script, letters in plain_words(text):
+            for b in bins:
+                n[lang][b] += 1
+            seen[lang][script] += letters
+    scores = {x: np.log((n[x] + 0.1) / (n[x].sum() + 0.1 * langid.BINS)) for x in langs}
+    return langs, scores, {x: seen[x] >= 0.01 * max(seen[x].sum(), 1) for x in langs}
+
+
+def test_model_and_predictions_equal_plain_python(spark, data):
+    docs = [(r["text"], r["lang"]) for r in spark.read.parquet(f"{data}/documents.parquet").where("text is not null and lang is not null").limit(60).collect()]
+    docs += [("привет мир, 你好 été", "ru"), ("привет мир, 你好 été", "ru"), ("спасибо", "ru")]
+    model = langid.fit(spark.createDataFrame(docs, "text string, lang string"))
+    langs, scores, scripts = plain_model(docs)
+    assert model.languages == langs
+    for k, x in enumerate(langs):
+        assert model.scores[:, k] == pytest.approx(scores[x].astype(np.float32)) and (model.scripts[:, k] == scripts[x]).all()
+    texts = [*(t[:3000] for t, _ in docs[:20]), "Привет the мир! 你好", "x1y2 áb", "12 -", None, docs[0][0][:400] + " спасибо " * 30]
+    for r in langid.predict(frame(spark, list(enumerate(texts))), model).collect():
+        words = plain_words(texts[r["doc_id"]])
+        if not words:
+            assert (r["lang_pred"], r["score"], r["spans"]) == ("und", 0.0, [])
+            continue
+        table = []
+        for bins, script, _ in words:
+            allowed = [scripts[x][script] for x in langs]
+            s = [float(sum(model.scores[b, k].astype(float) for b in bins)) for k in range(len(langs))]
+            table.append([(v if ok else -1e6) if any(allowed) else 0.0 for v, ok in zip(s, allowed, strict=True)])
+        path = loop(np.array(table), langid.SWITCH)
+        letters = [sum(w[2] for w, p in zip(words, path, strict=True) if p == k) for k in range(len(langs))]
+        best = int(np.argmax(letters))
+        assert (r["lang_pred"], r["score"]) == (langs[best], pytest.approx(letters[best] / sum(letters)))
+        cuts = [i for i in range(len(path)) if not i or path[i] != path[i - 1]]
+        assert [(s["lang"], s["word"], s["words"]) for s in r["spans"]] == [(langs[path[a]], a, z - a) for a, z in zip(cuts, [*cuts[1:], len(path)], strict=True)]
+
+
+def test_copies_teach_once_and_languages_are_bounded(spark, monkeypatch):
+    rows = [("ab ab", "xx")] * 300 + [("cd cd", "xx"), ("ef", "yy"), ("gh", "zz")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = langid.fit(df)
+    assert (model.scores == langid.fit(df.distinct()).scores).all() and model.languages == ["xx", "yy", "zz"]
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    assert langid.fit(df).languages == ["xx", "yy"]
