@@ -12,7 +12,7 @@ One pass without a shuffle: a partition needs its own documents only, a lost one
 pool, a block of texts and the ids of one document. Ids come from ``tokens.Ids``.
 
 Defined results: a null or empty text has its end id alone; rows that repeat a doc_id are packed as documents of their
-own; null doc_ids are kept; an empty table gives no rows; only doc_id and text are read. ``sequence_id`` holds the
+own; null doc_ids are kept; an empty table gives no rows; only doc_id (as a long) and text are read. ``sequence_id`` holds the
 partition's number in its high bits.
 """
 

@@ -11,8 +11,8 @@ fitted on a sample of about ``FIT_ROWS`` labelled rows by a hash, twice as many
 
 Defined results: null and empty texts are scored like any text, from zero counts. Without labels every score is 0.5, with
 one class only it is that class. Labels with a null quality or of documents that don't exist are ignored; a document with
-several labels counts for each; rows that repeat a doc_id each get their row; an empty table gives no rows; only doc_id,
-text and the given label column are read.
+several labels counts for each; rows that repeat a doc_id each get their row; an empty table gives no rows; only doc_id (as
+a long), text and the given label column are read.
 """
 
 from __future__ import annotations

@@ -25,7 +25,7 @@ and spans are found once for each text. Joins of texts by digest can be split at
 
 Defined results: a null text is empty; texts under 400 bytes lose nothing; rows that repeat a doc_id are documents of
 their own, so a text that stands twice goes from both; null doc_ids are kept; an empty table gives no rows; only doc_id
-and text are read. Matches never cross documents. What is kept is bytes, as a removal may cut a character.
+(as a long) and text are read. Matches never cross documents. What is kept is bytes, as a removal may cut a character.
 """
 
 from __future__ import annotations
