@@ -405,3 +405,28 @@ def test_noise_sits_around_the_public_fields(spark):
         plain, noisy = json.loads(r["J0"]), json.loads(r["JN"])
         assert list(noisy)[r["noise"] // 2 : r["noise"] // 2 + 3] == list(plain) and len(noisy) == r["noise"] + 3 and 6 <= r["noise"] <= 10
         assert set(noisy) - set(plain) <= set(construction.K.NOISE_KEYS) and json.loads(r["J1"])["over"] in (True, False)
+
+
+def test_tfidf_arm(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(160):
+        gold = rng.randrange(3)
+        rows.append((i, " ".join("".join(rng.choice(["abcde", "cdefg", "fghab"][gold]) for _ in range(4)) for _ in range(5)) if i % 40 else None, gold, i % 2 == 0))
+    out = {r["id"]: r["said"] for r in text.tfidf_arm(spark.createDataFrame(rows, "id long, text string, gold int, train boolean"), "id", terms=10_000).collect()}
+
+    def grams(t):
+        return [f" {w} "[i : i + n] for w in (t or "").split() for n in (1, 2, 3) for i in range(len(w) + 3 - n)]
+
+    train = [r for r in rows if r[3]]
+    names = sorted({g for r in train for g in grams(r[1])})
+    df = {g: sum(g in grams(r[1]) for r in train) for g in names}
+
+    def vector(t):
+        own = grams(t)
+        v = np.array([(1 + math.log(own.count(g))) * (math.log((1 + len(train)) / (1 + df[g])) + 1) if g in own else 0.0 for g in names])
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    classes, w, b = C.logistic(np.array([vector(r[1]) for r in train]), np.array([r[2] for r in train]), 10.0)
+    want = {r[0]: int(classes[(w @ vector(r[1]) + b).argmax()]) for r in rows if not r[3]}
+    assert sum(out[i] == want[i] for i in want) >= len(want) - 1 and out.keys() == want.keys()

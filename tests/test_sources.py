@@ -131,3 +131,16 @@ def test_budget_batches():
 
     assert budget_batches([5, 1, 3, 2, 9], 6) == [[1, 3], [2], [0], [4]]
     assert budget_batches([1] * 5, 100, 2) == [[0, 1], [2, 3], [4]] and budget_batches([], 5) == []
+
+
+def test_transcript_segments_give_windows(spark, tmp_path):
+    from verdikt.operators import series, text
+
+    run = {"seg": "T1", "cond": "M0", "transcript": "a b", "segments": [{"start": 0.0, "end": 5.0, "text": "one two", "logprob": {"mean": -0.1, "min": -1.0, "n": 2, "n_low": 0}}, {"start": 5.0, "end": None, "text": "three"}, {"start": 9.0, "end": 10.0, "text": None}]}
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "T1__M0.json").write_text(json.dumps(run, indent=1))
+    (tmp_path / "r" / "T2__M0.json").write_text(json.dumps({**run, "seg": "T2", "segments": []}))
+    x = files.transcript_segments(spark, str(tmp_path / "r"))
+    assert [(r["at"], r["start"], r["end"], r["text"], r["logp_mean"]) for r in x.orderBy("at").collect()] == [(0, 0.0, 5.0, "one two", -0.1), (1, 5.0, 5.0, "three", None), (2, 9.0, 10.0, "", None)]
+    w = series.greedy_windows(x.withColumn("n", F.size(text.tokens(F.col("text")))), ["seg", "cond"], ["at"], "start", "end", "n").orderBy("t0").collect()
+    assert [(r["t0"], r["t1"], r["n_seg"]) for r in w] == [(0.0, 10.0, 3)]

@@ -86,9 +86,12 @@ def tournament(df: DataFrame, by: list[str], group: int = 10, read: Callable[[Co
     return last.groupBy(*by).agg(top.alias("winner"), (F.max("reads") + 1).alias("reads"), gold.alias("gold_in_final"))
 
 
-def dealt_groups(df: DataFrame, by: list[str], groups: int) -> DataFrame:
-    """Candidates by rank, dealt round-robin: adds g; and the winner of each group."""
-    r = ranked(df, by).withColumn("g", (F.col("rank") - 1) % groups)
+def dealt_groups(df: DataFrame, by: list[str], groups: int, k: int | None = None, fillers: int = 0, filler_from: int = 50) -> DataFrame:
+    """The ``k`` best candidates (all without ``k``) by rank, dealt round-robin, and ``fillers`` more for each group dealt alike
+    from the rank after ``filler_from``: adds g and whether the candidate wins its group."""
+    r = ranked(df, by)
+    kept = F.lit(True) if k is None else (F.col("rank") <= k) | ((F.col("rank") > filler_from) & (F.col("rank") <= filler_from + groups * fillers))
+    r = r.where(kept).withColumn("g", (F.when(F.col("rank") > filler_from, F.col("rank") - filler_from).otherwise(F.col("rank")) - 1) % groups if k is not None else (F.col("rank") - 1) % groups)
     return r.withColumn("wins", F.row_number().over(Window.partitionBy(*by, "g").orderBy(F.desc("score"), "cand")) == 1)
 
 

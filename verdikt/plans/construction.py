@@ -276,6 +276,13 @@ def embedding_arms(spark, d):
     return tidy(near.unionByName(said).groupBy("arm").agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy")))
 
 
+def text_arm(spark, d):
+    """Logistic regression on character n-grams of the turns: who speaks, judged on every second conversation."""
+    c = T.table(spark, d, "conversations").where("text is not null").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text", F.when(F.col("role") == "user", 1).otherwise(0).alias("gold"), (F.col("conv_id") % 2 == 0).alias("train"))
+    said = X.tfidf_arm(c, "id")
+    return tidy(said.groupBy("gold").agg(F.count("*").alias("n"), F.avg((F.col("said") == F.col("gold")).cast("double")).alias("recall")))
+
+
 def report_mismatches(spark, d):
     """Cells of a stored accuracy report, one of them wrong and one stale, against the recomputed ones."""
     now = M.accuracy(rows(spark, d), ["task", "hard_type"]).select("task", "hard_type", "accuracy")
@@ -306,5 +313,6 @@ QUERIES: dict[str, Query] = {
     "p24_judged_scores": (judged_scores, None),
     "x24_glossary_arms": (glossary_arms, GLOSSARY),
     "x16_embedding_arms": (embedding_arms, None),
+    "c29_text_arm": (text_arm, None),
     "g10_report_mismatches": (report_mismatches, REPORT),
 }

@@ -201,9 +201,11 @@ def bootstrap(spark, d):
 
 
 def slice_means(spark, d):
-    """Per-cell accuracies, their mean over tasks, and the mean weighted by rows."""
+    """Per-cell accuracies, their mean over tasks, the mean weighted by rows, the least, and the worst change from arm A."""
     x = M.accuracy(rows(spark, d, "AB"), ["arm", "hard_type", "task"])
-    return tidy(x.groupBy("arm", "hard_type").agg(F.avg("accuracy").alias("macro"), (F.sum(F.col("accuracy") * F.col("n")) / F.sum("n")).alias("pooled"), F.min("accuracy").alias("worst"), F.count("*").alias("tasks")))
+    base = x.where("arm = 'A'").select("hard_type", "task", F.col("accuracy").alias("base"))
+    x = x.join(F.broadcast(base), ["hard_type", "task"])
+    return tidy(x.groupBy("arm", "hard_type").agg(F.avg("accuracy").alias("macro"), (F.sum(F.col("accuracy") * F.col("n")) / F.sum("n")).alias("pooled"), F.min("accuracy").alias("worst"), F.min(F.col("accuracy") - F.col("base")).alias("worst_change"), F.count("*").alias("tasks")))
 
 
 #: The measure of best calibration AUROC for each task, and the risk cut on it.
@@ -243,5 +245,5 @@ QUERIES: dict[str, Query] = {
     "c17_two_stage": (two_stage, TWO_STAGE),
     "c16_rank_fusion": (rank_fusion, FUSION),
     "a19_bootstrap": (bootstrap, None),
-    "a33_slice_means": (slice_means, f"{T.SQL}, c as (select arm, hard_type, task, count(*) n, avg((chosen = gold)::int) a from p group by arm, hard_type, task) select arm, hard_type, round(avg(a), 6) macro, round(sum(a * n) / sum(n), 6) pooled, round(min(a), 6) worst, count(*) tasks from c group by arm, hard_type"),
+    "a33_slice_means": (slice_means, f"{T.SQL}, c as (select arm, hard_type, task, count(*) n, avg((chosen = gold)::int) a from p group by arm, hard_type, task) select c.arm, c.hard_type, round(avg(c.a), 6) macro, round(sum(c.a * c.n) / sum(c.n), 6) pooled, round(min(c.a), 6) worst, round(min(c.a - b.a), 6) + 0::double worst_change, count(*) tasks from c join c b on b.arm = 'A' and b.hard_type = c.hard_type and b.task = c.task group by c.arm, c.hard_type"),
 }

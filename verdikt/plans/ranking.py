@@ -141,6 +141,18 @@ CENTRED = """with x as (select vec_id, label, unnest(range(1, len(embedding) + 1
 m as (select label, i, avg(v) m from y group by label, i), v as (select y.label, vec_id, sqrt(sum(pow(y.v - m.m, 2))) len, sum(abs(y.v - m.m)) l1 from y join m on y.label = m.label and y.i = m.i group by y.label, vec_id)
 select label, count(*) n, round(avg(len), 6) mean_length, round(avg(l1 / len), 6) unit_l1 from v group by label"""
 
+def dealt_with_fillers(spark, d):
+    """The best four candidates dealt to two groups, with one filler each from the ranks after six: sizes of the groups, and
+    how often their winners, the likeliest of each, hold the gold one."""
+    x = T.emb_decisions(spark, d)
+    g = R.dealt_groups(x, ["vec_id"], 2, k=4, fillers=1, filler_from=6)
+    one = g.groupBy("vec_id", "g").agg(F.count("*").alias("size"), F.max(F.when(F.col("rank") > 6, F.col("rank"))).alias("filler"), F.max((F.col("wins") & (F.col("cand") == F.col("gold"))).cast("int")).alias("gold_wins"))
+    return tidy(one.groupBy("g").agg(F.count("*").alias("n"), F.avg("size").alias("size"), F.avg("filler").alias("filler"), F.avg(F.col("gold_wins").cast("double")).alias("gold_wins")))
+
+
+FILLED = f"""{EMB}, g as (select *, (case when r > 6 then r - 6 else r end - 1) % 2 g from rk where r <= 4 or (r > 6 and r <= 8)), w as (select *, row_number() over (partition by vec_id, g order by score desc, cand) = 1 wins from g),
+o as (select vec_id, g, count(*) size, max(case when r > 6 then r end) filler, max((wins and cand = gold)::int) gw from w group by vec_id, g) select g::bigint g, count(*) n, round(avg(size), 6) size, round(avg(filler), 6) filler, round(avg(gw), 6) gold_wins from o group by g"""
+
 QUERIES: dict[str, Query] = {
     "a39_centroids": (centroid_norms, """with x as (select label, unnest(range(1, 65)) i, embedding from embeddings where label is not null and embedding is not null), m as (select label, i, avg(embedding[i]::double) v from x group by label, i),
  n as (select label, sqrt(sum(v * v)) nrm from m group by label) select label::bigint label, round(max(case when i = 1 then v / nrm end), 6) "first", round(max(case when i = 64 then v / nrm end), 6) "last", round(sqrt(sum(v / nrm * v / nrm)), 6) length from m join n using (label) group by label"""),
@@ -149,6 +161,7 @@ QUERIES: dict[str, Query] = {
     "t02_shortlist": (shortlists, f"{EMB} select vec_id, string_agg(cast(cand as varchar), ',' order by cand) shortlist from rk where r <= 3 group by vec_id"),
     "r01_tournament": (tournaments, TOURNAMENTS),
     "r05_loss_diagnosis": (dealt, DEALT),
+    "r04_dealt_fillers": (dealt_with_fillers, FILLED),
     "c31_bm25": (bm25_benchmark, BM25),
     "a25_spearman": (rank_correlation, SPEARMAN),
     "a40_centred": (centred, CENTRED),

@@ -201,10 +201,12 @@ select task, round(avg(greatest(abs(p0 - q0), abs(p1 - q1), abs(p2 - q2))), 6) m
 
 
 def coherence(spark, d):
-    """Gap between an option's probability and one minus the others', from arm B's readout."""
-    p = P.pair(rows(spark, d, "AB"), "A", "B", ["task", "id", "hard_type"], ["p"])
+    """Gap between an option's probability and one minus the others' from arm B's readout, how often both arms choose alike,
+    and how far the options' probabilities move between them."""
+    p = P.pair(rows(spark, d, "AB"), "A", "B", ["task", "id", "hard_type"], ["p", "chosen"])
     gap = F.abs(F.get("p_a", F.lit(0)) + F.get("p_b", F.lit(1)) + F.get("p_b", F.lit(2)) - 1.0)
-    return tidy(p.groupBy("task").agg(F.avg(gap).alias("gap"), F.avg((gap > 0.1).cast("double")).alias("over")))
+    same = (F.col("chosen_a") == F.col("chosen_b")).cast("double")
+    return tidy(p.groupBy("task").agg(F.avg(gap).alias("gap"), F.avg((gap > 0.1).cast("double")).alias("over"), F.avg(same).alias("agreement"), F.avg(E.max_abs_difference("p_a", "p_b")).alias("order_effect")))
 
 
 def validation(spark, d):
@@ -242,7 +244,7 @@ QUERIES: dict[str, Query] = {
     "p30_tool_gate": (tool_gate, "select case when c_custkey is null then 'unknown' when o_orderstatus <> 'F' then 'scope' when c_acctbal < 0 then 'role' when o_totalprice > 200000 then 'confirm' else 'allow' end gate, count(*) n from orders left join customer on o_custkey = c_custkey group by 1"),
     "p18_rotations": (rotations, ROTATED),
     "p19_permutations": (permutations, PERMUTED),
-    "p23_coherence": (coherence, f"{T.SQL}, x as (select a.task, abs(a.p0 + b.p1 + b.p2 - 1) g from p a join p b on a.task = b.task and a.id = b.id and a.hard_type = b.hard_type where a.arm = 'A' and b.arm = 'B') select task, round(avg(g), 6) gap, round(avg((g > 0.1::double)::int), 6) \"over\" from x group by task"),
+    "p23_coherence": (coherence, f"{T.SQL}, x as (select a.task, abs(a.p0 + b.p1 + b.p2 - 1) g, a.chosen = b.chosen same, greatest(abs(a.p0 - b.p0), abs(a.p1 - b.p1), abs(a.p2 - b.p2)) m from p a join p b on a.task = b.task and a.id = b.id and a.hard_type = b.hard_type where a.arm = 'A' and b.arm = 'B') select task, round(avg(g), 6) gap, round(avg((g > 0.1::double)::int), 6) \"over\", round(avg(same::int), 6) agreement, round(avg(m), 6) order_effect from x group by task"),
     "g08_validation": (validation, f"{T.SQL}, x as (select id, task, gold, group_id from dec where arm = 'A'), pr as (select group_id, count(*) n, min(gold) a, max(gold) b from x group by group_id), sh as (select task, max(c) m, sum(c) n from (select task, gold, count(*) c from x group by task, gold) group by task) select * from (select 'gold_not_an_option' rule, count(*) n from x where gold = 2 union all select 'id_repeats', count(*) from (select id from x group by id having count(*) > 1) union all select 'pair_size', count(*) from pr where n <> 2 union all select 'pair_same_gold', count(*) from pr where n = 2 and a = b union all select 'warning_unbalanced', count(*) from sh where m > 0.5::double * n) where n > 0"),
     "g10_stored_check": (stored_check, f"{_A} select task, count(*) n from a where {T.sql_unit('id || ' + chr(39) + ':s' + chr(39), 1000)} < 0.001::double group by task"),
 }

@@ -113,3 +113,16 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
     show = lambda v: "—" if v is None or v != v else f"{v:.3f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join(map(show, r)) + " |" for r in rows)])
+
+
+RUN = "seg string, cond string, transcript string, segments array<struct<start:double,end:double,text:string,logprob:struct<mean:double,min:double,n:int,n_low:int>>>"
+
+
+def transcript_segments(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each segment of stored recogniser runs, one run a JSON file: seg, cond, at (its place), start, end, text, and the
+    log-probability's mean, min, n and n_low. A segment without an end ends where it starts; one without a start begins at 0."""
+    runs = spark.read.schema(RUN).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
+    x = runs.select("seg", "cond", F.posexplode("segments").alias("at", "s"))
+    start = F.coalesce("s.start", F.lit(0.0))
+    logp = [F.col(f"s.logprob.{c}").alias(f"logp_{c}") for c in ("mean", "min", "n", "n_low")]
+    return x.select("seg", "cond", "at", start.alias("start"), F.coalesce("s.end", start).alias("end"), F.coalesce("s.text", F.lit("")).alias("text"), *logp)
