@@ -388,11 +388,11 @@ def test_affine_transfer(spark):
 def test_orders():
     from itertools import permutations
 
-    from verdikt.operators.compare import orders_for
+    from verdikt.operators.compare import option_orders
 
-    assert orders_for(3) == list(permutations(range(3))) == orders_for(3, 6)
-    some = orders_for(5, 8, "key")
-    assert len(set(some)) == 8 and some[0] == (0, 1, 2, 3, 4) and some == orders_for(5, 8, "key") != orders_for(5, 8, "other")
+    assert option_orders(3) == list(permutations(range(3))) == option_orders(3, 6)
+    some = option_orders(5, 8, "key")
+    assert len(set(some)) == 8 and some[0] == (0, 1, 2, 3, 4) and some == option_orders(5, 8, "key") != option_orders(5, 8, "other")
 
 
 def test_noise_sits_around_the_public_fields(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
@@ -68,19 +70,16 @@ def speed_table(rows: DataFrame, by: list[str], latency: str, tokens: str, activ
     return out.withColumn("gflop", 2.0 * active_billions * F.col("tokens"))
 
 
-def orders_for(k: int, most: int | None = None, key: str = "") -> list[tuple[int, ...]]:
-    """All orders of k options; or the identity and other distinct ones, seeded by a key, up to ``most``."""
-    import math
-    import random
-
+def option_orders(k: int, most: int | None = None, key: str = "") -> list[tuple[int, ...]]:
+    """All orders of k options where they are no more than ``most``; else the given order and others, each drawn once by a
+    generator that the key seeds."""
+    given = tuple(range(k))
     if most is None or most >= math.factorial(k):
-        return list(permutations(range(k)))
-    found, rng = {tuple(range(k)): None}, random.Random(key)
-    while len(found) < most:
-        order = list(range(k))
-        rng.shuffle(order)
-        found.setdefault(tuple(order), None)
-    return list(found)
+        return list(permutations(given))
+    drawn, rng = dict.fromkeys([given]), random.Random(key)
+    while len(drawn) < most:
+        drawn[tuple(sorted(given, key=lambda _: rng.random()))] = None
+    return list(drawn)
 
 
 def back_map(option_ids: Column, probs: Column, letters: dict[str, str]) -> Column:
@@ -89,7 +88,7 @@ def back_map(option_ids: Column, probs: Column, letters: dict[str, str]) -> Colu
     return F.map_from_entries(F.zip_with(option_ids, probs, lambda o, p: F.struct(names[o].alias("letter"), p.alias("p"))))
 
 
-def option_lines(labels: list[str], criteria: dict[str, str], kind: str, order: tuple[int, ...]) -> list[str]:
+def listed_options(labels: list[str], criteria: dict[str, str], kind: str, order: tuple[int, ...]) -> list[str]:
     """The lines that list a question's options in an order: a letter, the label (a level for scores), and its criterion."""
     out = []
     for i, j in enumerate(order):

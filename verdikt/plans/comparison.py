@@ -177,7 +177,7 @@ def all_orders(spark, d):
     """Readouts over all six orders of the options, with a leaning to the first place: one order against the mean of all, the
     paired test, and how many rows' answers depend on the order."""
     x = T.decisions(spark, d)
-    orders = K.orders_for(3)
+    orders = K.option_orders(3)
     x = x.withColumn("o", F.explode(F.array(*(F.struct(F.lit(i).alias("n"), F.array(*map(F.lit, o)).alias("order")) for i, o in enumerate(orders)))))
     seen = E.softmax(F.transform("o.order", lambda j, i: F.get("logits", j) + F.when(i == 0, 1.0).otherwise(0.0)))
     x = x.withColumn("aligned", E.unpermute(seen, "o.order"))
@@ -193,7 +193,7 @@ def all_orders(spark, d):
     return tidy(s.withColumn("p_value", mcnemar_p(F.col("only_a"), F.col("only_b"))))
 
 
-_ORDERS = ", ".join(f"({i}, {o[0]}, {o[1]}, {o[2]})" for i, o in enumerate(K.orders_for(3)))
+_ORDERS = ", ".join(f"({i}, {o[0]}, {o[1]}, {o[2]})" for i, o in enumerate(K.option_orders(3)))
 ORDERS = f"""{T.SQL}, o as (select * from (values {_ORDERS}) v(n, a, b, c)), x as (select task, id, group_id, hard_type, gold, n, z0 + (a = 0)::int z0, z1 + (a = 1)::int z1, z2 + (a = 2)::int z2 from dec, o where arm = 'A'),
 ex as (select *, exp(z0 - greatest(z0, z1, z2)) e0, exp(z1 - greatest(z0, z1, z2)) e1, exp(z2 - greatest(z0, z1, z2)) e2 from x), q as (select *, e0 / (e0 + e1 + e2) p0, e1 / (e0 + e1 + e2) p1, e2 / (e0 + e1 + e2) p2 from ex),
 h as (select *, case when p0 >= p1 and p0 >= p2 then 0 when p1 >= p2 then 1 else 2 end ch from q), y as (select task, id, group_id, hard_type, gold, round(avg(p0), 9) m0, round(avg(p1), 9) m1, round(avg(p2), 9) m2, max(case when n = 0 then ch end) single, count(distinct ch) k from h group by all),
@@ -218,7 +218,7 @@ def option_lines(spark, d):
     for kind, labels in (("noul", ["yes", "no"]), ("score", ["0", "1", "2"]), ("choice", ["AIR", "SHIP"])):
         for rev in (False, True):
             order = tuple(reversed(range(len(labels)))) if rev else tuple(range(len(labels)))
-            made.append((kind, rev, "\n".join(K.option_lines(labels, crit, kind, order))))
+            made.append((kind, rev, "\n".join(K.listed_options(labels, crit, kind, order))))
     lines = spark.createDataFrame(made, "kind string, reversed boolean, lines string")
     x = T.table(spark, d, "region").select("r_name").join(F.broadcast(lines))
     return x.select("r_name", "kind", "reversed", F.concat("r_name", F.lit("\n"), "lines").alias("prompt"))
