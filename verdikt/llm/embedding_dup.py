@@ -277,3 +277,13 @@ def embedding_duplicates(vectors: DataFrame, least: float = LEAST, passes: int |
     comp = F.when(F.col("class").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     out = rows.select("vec_id", "class").join(of, "class", "left")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(False)).alias("kept"))
+
+
+#: All pairs of a label; for small tables only.
+SQL = """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings),
+ok as (select * from v where label is not null and e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as (select a.vec_id a, b.vec_id b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
+n as (select a, count(*) n from l group by a), r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a), c as (select a, least(a, min(b)) c from r group by a)
+select vec_id, coalesce(n, 0) n_links, coalesce(c, vec_id) component_id, coalesce(c, vec_id) = vec_id kept from v left join n on n.a = vec_id left join c on c.a = vec_id
+"""

@@ -214,3 +214,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = sig.select("doc_id", "n_shingles", "set_hash").join(of, "set_hash", "left")
     comp = F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"))
+
+
+#: All pairs of documents that share a shingle; for small tables only.
+SQL = """
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i : i + 4], chr(10)) s from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) i from d where len(ws) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, least(a, min(b)) c from r group by a)
+select d.doc_id, coalesce(n, 0) n_shingles, coalesce(c, d.doc_id) component_id, coalesce(c, d.doc_id) = d.doc_id kept from d left join n using (doc_id) left join c on c.a = d.doc_id
+"""

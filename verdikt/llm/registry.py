@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.SQL, "op6_line_windows": line_windows.SQL, "op7_warc": warc.SQL}
+    return {"op2_decontamination": decontam.SQL, "op3_repeated_spans": repeated_spans.SQL, "op5_minhash_near_dup": near_dup.SQL, "op10_embedding_near_dup": embedding_dup.SQL, "op6_line_windows": line_windows.SQL, "op7_warc": warc.SQL}

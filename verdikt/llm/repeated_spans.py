@@ -362,3 +362,15 @@ def digest(out: DataFrame) -> DataFrame:
     """The contract's columns of ``remove_repeated``'s result."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: A digest of every string of 400 bytes; for small tables only.
+SQL = """
+with d as (select row_number() over () rid, doc_id, hex(coalesce(text, '')) h from documents),
+w as (select rid, i, hash(substr(h, 2 * i + 1, 800)) k from (select rid, h, unnest(range(0, greatest(length(h) // 2 - 399, 0))) i from d)),
+st as (select rid, i from w semi join (select k from w group by k having count(*) > 1) using (k)),
+g as (select rid, i, sum(n) over (partition by rid order by i) g from (select rid, i, case when i <= lag(i) over (partition by rid order by i) + 400 then 0 else 1 end n from st)),
+sp as (select rid, a, z, coalesce(lag(z) over (partition by rid order by a), 0) pz from (select rid, g, min(i) a, max(i) + 400 z from g group by rid, g)),
+k as (select rid, count(*) n_spans, sum(z - a)::bigint n_removed, max(z) mz, string_agg(substr(h, 2 * pz + 1, 2 * (a - pz)), '' order by a) kept from sp join d using (rid) group by rid)
+select doc_id, length(h) // 2 n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(from_hex(coalesce(kept || substr(h, 2 * mz + 1), h))) kept_sha256 from d left join k using (rid)
+"""
