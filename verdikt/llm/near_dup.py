@@ -185,13 +185,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Second round: pairs of different components in buckets that hold several of them.
     held = members.where("n > 2").join(comps, "node", "left").select("key", "node", "pivot", "n", F.coalesce("component", "node").alias("comp"))
     seen = held = cut(held, "bucket-components")
-    open_ = held.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key")
-    held = held.join(open_, "key")
+    # small tables are written, so that the joins with them can be split at a bucket of many members
+    open_ = cut(held.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key"), "open-buckets")
+    opened = held = cut(held.join(open_, "key"), "open-members")
     few = held.where(f"n <= {SMALL}")
     a, b = (few.select("key", "pivot", F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
     pairs = a.join(b.drop("pivot"), "key").where("a < b and comp_a <> comp_b and a <> pivot").select("a", "b")
     many = held.where(f"n > {SMALL}")
     sizes = many.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("m"), F.sum("m").alias("n"))
+    sizes = cut(sizes, "bucket-sizes")
     many = many.drop("n").join(sizes, "key").withColumn("gm", F.ceil(F.col("m") / BLOCK)).withColumn("go", F.ceil((F.col("n") - F.col("m")) / BLOCK))
     blk = lambda g: F.pmod(F.xxhash64("node"), F.col(g))
     upto = lambda g: F.explode(F.sequence(F.lit(0).cast("long"), F.col(g) - 1))
@@ -207,7 +209,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = pairs.union(tasks.mapInArrow(_blocks_of_bucket, "a long, b long"))
     more = _confirmed(pairs, sketches, texts)
     comps = cut(connected_components(links.union(more)), "components")
-    for x in (reps, buckets, members, seen, links, more):
+    for x in (reps, buckets, members, seen, open_, opened, sizes, links, more):
         drop_cut(x)
 
     of = classes.join(comps, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
