@@ -140,8 +140,9 @@ def _contaminations(docs: DataFrame, items: DataFrame, widths: list[int], put) -
     places = reduce(DataFrame.unionByName, places)
     found = places.groupBy("digest", "m", "n").agg(F.array_sort(F.collect_set("i")).alias("at"))
     starts = cut(found.select("digest", "n", F.explode(_starts(F.col("n"), F.col("m"))).alias("word")), "starts")
-    per_text = starts.groupBy("digest").agg(F.collect_list(F.struct("n", "word")).alias("starts"))
-    # always by shuffle: a text with many copies or windows is then no broadcast, and growth stays in proportion
+    per_text = cut(starts.groupBy("digest").agg(F.collect_list(F.struct("n", "word")).alias("starts")), "starts-of-texts")
+    # always by shuffle: growth stays in proportion, and with both sides shuffled for it the join can be split at a text with
+    # many copies
     texts = computed_once(text.join(per_text.hint("merge"), "digest"), words(F.col("text")), "ws").select("digest", "doc_id", "ws", F.explode("starts").alias("start"))
     windows = texts.select("digest", "doc_id", "start.word", "start.n", F.slice("ws", F.col("start.word") + 1, F.col("start.n")).alias("ws"))
     # equal windows are one: a passage of many documents is looked up and verified once
