@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embedding_dup, langid, licenses, line_windows, near_dup, packing, quality, repeated_spans, warc
+from . import decontam, embedding_dup, langid, licenses, line_windows, near_dup, negatives, packing, quality, repeated_spans, resampling, urls, warc
 from .common import crc_mod, cut
 
 
@@ -64,6 +64,19 @@ def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dup.embedding_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return urls.digest(urls.judge(pages, urls.repeated(pages)))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.relabelled(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,9 +84,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_decontamination, op3_repeated_spans, op4_license_scan, op5_minhash_near_dup, op6_line_windows, op7_warc, op8_quality, op9_packing, op10_embedding_near_dup, pipeline)
+    found = (op1_language_id, op2_decontamination, op3_repeated_spans, op4_license_scan, op5_minhash_near_dup, op6_line_windows, op7_warc, op8_quality, op9_packing, op10_embedding_near_dup, op11_url_filter, op12_hard_negatives, op13_importance_resampling, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.SQL, "op3_repeated_spans": repeated_spans.SQL, "op5_minhash_near_dup": near_dup.SQL, "op10_embedding_near_dup": embedding_dup.SQL, "op6_line_windows": line_windows.SQL, "op7_warc": warc.SQL}
+    return {"op2_decontamination": decontam.SQL, "op3_repeated_spans": repeated_spans.SQL, "op5_minhash_near_dup": near_dup.SQL, "op10_embedding_near_dup": embedding_dup.SQL, "op6_line_windows": line_windows.SQL, "op7_warc": warc.SQL, "op11_url_filter": urls.SQL, "op12_hard_negatives": negatives.SQL, "op13_importance_resampling": resampling.SQL}
