@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
 BUCKETS = 1024
 
 
@@ -94,3 +96,15 @@ def ordinal_ranks(df: DataFrame, by: list[str], value: str, key: str, name: str,
     inner = F.row_number().over(Window.partitionBy(*by, value, "_slot").orderBy("_digest", key))
     x = x.withColumn("_inner", inner).join(slots, [*by, value, "_slot"])
     return x.select(*df.columns, (F.col("_smaller") + F.col("_before") + F.col("_inner")).alias(name))
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with the place of each row (from 1) in a total order over the whole table. Rows are dealt by ranges and sorted
+    in them once, and the sizes of the ranges before, a row each, are added to the places inside."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    x = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    x = settled(x.withColumns({"_part": F.spark_partition_id(), "_within": within}), "numbered")
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = x.groupBy("_part").agg(F.count("*").alias("_size")).select("_part", F.coalesce(F.sum("_size").over(w), F.lit(0)).alias("_before"))
+    return x.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_within") + 1).alias(name))

@@ -20,25 +20,51 @@ from .util import Query, tidy
 
 
 def _pairs(spark, d):
-    """Two generators over orders: totals about a limit, and dates about a year's end; some pairs repeat, some share a gold."""
-    o = T.table(spark, d, "orders")
-    limit = F.concat(F.lit("total "), F.floor(F.col("o_totalprice") / 1000).cast("string"))
+    """Two generators over orders: totals about a limit, and dates about a year's end. States come back in other pairs, alone
+    or together; some pairs share a gold. One customer in five writes in the second language."""
+    o = T.table(spark, d, "orders").withColumn("lang", F.when(F.col("o_custkey") % 5 == 0, "en").otherwise("zh"))
+    total = F.floor(F.col("o_totalprice") / 1000)
+    limit = lambda x: F.concat(F.lit("total "), x.cast("string"))
     year = F.year("o_orderdate").cast("string")
-    a = o.select(F.lit("limit").alias("generator"), F.col("o_orderkey").alias("draw"), F.concat(limit, F.lit(" under limit")).alias("state_a"), F.lit("A").alias("gold_a"), F.concat(limit, F.lit(" over limit")).alias("state_b"), F.lit("B").alias("gold_b"))
+    a = o.select("lang", F.lit("limit").alias("generator"), F.col("o_orderkey").alias("draw"), F.concat(limit(total), F.lit(" under limit")).alias("state_a"), F.lit("A").alias("gold_a"), F.concat(limit(total + F.col("o_custkey") % 3), F.lit(" over limit")).alias("state_b"), F.lit("B").alias("gold_b"))
     gold = F.when(F.col("o_orderstatus") == "F", "B").otherwise("A")
-    b = o.select(F.lit("year").alias("generator"), F.col("o_orderkey").alias("draw"), F.concat(F.lit("in "), year, F.lit(" "), F.col("o_custkey").cast("string")).alias("state_a"), F.lit("A").alias("gold_a"), F.concat(F.lit("after "), year, F.lit(" "), F.col("o_custkey").cast("string")).alias("state_b"), gold.alias("gold_b"))
+    b = o.select("lang", F.lit("year").alias("generator"), F.col("o_orderkey").alias("draw"), F.concat(F.lit("in "), year, F.lit(" "), F.col("o_custkey").cast("string")).alias("state_a"), F.lit("A").alias("gold_a"), F.concat(F.lit("after "), year, F.lit(" "), F.col("o_custkey").cast("string")).alias("state_b"), gold.alias("gold_b"))
     return a.unionByName(b)
 
 
 def twins(spark, d):
+    """Twins of all pairs, in one order."""
     return K.expand_twins(_pairs(spark, d), "orders")
 
 
-_TW = """with p as (select 'limit' generator, o_orderkey draw, 'total ' || cast(floor(o_totalprice / 1000) as bigint) || ' under limit' state_a, 'A' gold_a, 'total ' || cast(floor(o_totalprice / 1000) as bigint) || ' over limit' state_b, 'B' gold_b from orders
- union all select 'year', o_orderkey, 'in ' || year(o_orderdate) || ' ' || o_custkey, 'A', 'after ' || year(o_orderdate) || ' ' || o_custkey, case when o_orderstatus = 'F' then 'B' else 'A' end from orders)"""
-TWINS = f"""{_TW}, q as (select * from p where state_a <> state_b and gold_a <> gold_b), s as (select draw, generator, state_a s from q union all select draw, generator, state_b from q), f as (select s, min((draw, generator)) f from s group by s),
-k as (select q.* from q join f x on x.s = state_a join f y on y.s = state_b where x.f = (draw, generator) and y.f = (draw, generator))
-select 'orders-' || draw || '-' || generator || '-' || side id, 'orders-' || draw || '-' || generator pair_id, case side when 'a' then state_a else state_b end state, case side when 'a' then gold_a else gold_b end gold, generator from k, (select unnest(['a', 'b']) side)"""
+def twin_quotas(spark, d):
+    """Twins up to quotas of rows by language, a third and a tenth of the orders, with two tries for each row wanted."""
+    n = T.table(spark, d, "orders").count()
+    return K.expand_twins(_pairs(spark, d), "orders", {"zh": n // 3, "en": n // 10}, tries=2)
+
+
+_TW = """p as (select case when o_custkey % 5 = 0 then 'en' else 'zh' end lang, 'limit' generator, o_orderkey draw, 'total ' || cast(floor(o_totalprice / 1000) as bigint) || ' under limit' state_a, 'A' gold_a, 'total ' || cast(floor(o_totalprice / 1000) + o_custkey % 3 as bigint) || ' over limit' state_b, 'B' gold_b from orders
+ union all select case when o_custkey % 5 = 0 then 'en' else 'zh' end, 'year', o_orderkey, 'in ' || year(o_orderdate) || ' ' || o_custkey, 'A', 'after ' || year(o_orderdate) || ' ' || o_custkey, case when o_orderstatus = 'F' then 'B' else 'A' end from orders)"""
+
+
+def _sql_matching(name: str, source: str) -> str:
+    """Rounds: rows accepted in the last round close those that share a state; of the open ones the earliest of both states go in."""
+    return f"""{name}(seq, a, b, yes) as (select seq, state_a, state_b, false from {source} union all
+ (with o as (select seq, a, b from {name} where not yes and a not in (select unnest([a, b]) from {name} where yes) and b not in (select unnest([a, b]) from {name} where yes)),
+  e as (select v, min(seq) first from (select seq, unnest([a, b]) v from o) group by v)
+  select o.seq, o.a, o.b, x.first = o.seq and y.first = o.seq from o join e x on x.v = o.a join e y on y.v = o.b))"""
+
+
+_NUMBERED = """select 'orders-e' || lpad(r::varchar, greatest(4, length(r::varchar))::int, '0') id, 'orders-ep' || lpad(pair::varchar, greatest(3, length(pair::varchar))::int, '0') pair_id, state, gold, generator, lang
+ from (select *, unnest([0, 1]) side, 2 * pair + unnest([0, 1]) r, unnest([state_a, state_b]) state, unnest([gold_a, gold_b]) gold from k)"""
+TWINS = f"""with recursive {_TW}, q as (select *, row_number() over (order by draw, generator) seq from p), u as (select * from q where state_a <> state_b and gold_a <> gold_b), {_sql_matching("f", "u")},
+k as (select u.*, row_number() over (order by seq) - 1 pair from u where seq in (select seq from f where yes)) {_NUMBERED}"""
+_QUOTA = lambda lang, part, seen, before: f"""select *, {before} + row_number() over (order by seq) - 1 pair from {seen} where seq in (select seq from f_{lang} where yes) qualify row_number() over (order by seq) <= ((select count(*) // {part} from orders) + 1) // 2"""
+TWIN_QUOTAS = f"""with recursive {_TW}, q as (select *, row_number() over (partition by lang order by draw, generator) seq from p),
+u_zh as (select * from q where lang = 'zh' and seq <= 2 * (select count(*) // 3 from orders) and state_a <> state_b and gold_a <> gold_b), {_sql_matching("f_zh", "u_zh")}, k_zh as ({_QUOTA("zh", 3, "u_zh", "0")}),
+s as (select unnest([state_a, state_b]) v from k_zh),
+u_en as (select * from q where lang = 'en' and seq <= 2 * (select count(*) // 10 from orders) and state_a <> state_b and gold_a <> gold_b and state_a not in (select v from s) and state_b not in (select v from s)), {_sql_matching("f_en", "u_en")},
+k_en as ({_QUOTA("en", 10, "u_en", "(select count(*) from k_zh)")}), k as (select * from k_zh union all select * from k_en) {_NUMBERED}"""
 
 
 def equal_golds(spark, d):
@@ -86,23 +112,27 @@ DAMAGED = f"""with x as (select count(*) n from orders where {T.sql_unit("o_orde
 
 
 def ablations(spark, d):
-    """Rows less the balance or the segment of the customer: how many then can't be judged, and which derived values are left."""
+    """Rows less the balance, the segment, or both: how many then can't be judged, how many don't need the fields, and which
+    derived values are left."""
     c = T.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_acctbal").cast("double").alias("balance"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
-    gold = lambda r: F.when(r["balance"] < 0, "B").when(r["segment"] == "BUILDING", "C").otherwise("A")
-    derived = {"debt": lambda r: (r["balance"] < 0).cast("string"), "home": lambda r: (r["nation"] < 5).cast("string")}
+    gold = lambda r: F.when((r["balance"] < 0) & (r["nation"] < 20), "B").when((r["segment"] == "BUILDING") & (r["nation"] > 2), "C").otherwise("A")
+    derived = {"debt": lambda r: (r["balance"] < 0).cast("string"), "home": lambda r: (r["nation"] < 5).cast("string"), "rich": lambda r: (r["balance"] > 1e9).cast("string")}
     out = None
-    for drop, others in (("balance", ["segment", "nation"]), ("segment", ["balance", "nation"])):
-        one = K.ablate(c, "id", drop, others, gold, derived).groupBy("valid").agg(F.count("*").alias("n"), F.count("debt").alias("debt"), F.count("home").alias("home")).withColumn("dropped", F.lit(drop))
+    for drop, others in ((["balance"], ["segment", "nation"]), (["segment"], ["balance", "nation"]), (["balance", "segment"], ["nation"])):
+        one = K.ablate(c, "id", drop, others, gold, derived, {"balance": ["rich"]})
+        one = one.groupBy("valid", "irrelevant").agg(F.count("*").alias("n"), F.count("debt").alias("debt"), F.count("home").alias("home"), F.count("rich").alias("rich")).withColumn("dropped", F.lit("+".join(drop)))
         out = one if out is None else out.unionByName(one)
     return tidy(out)
 
 
-_WN = "window w as (partition by substr(md5(id), 1, 3) order by md5(id || ':ablate'), id rows between 1 following and 8 following)"
-_GOLD = "case when {b} < 0 then 'B' when {s} = 'BUILDING' then 'C' else 'A' end"
-ABLATED = f"""with c as (select c_custkey::varchar id, c_acctbal::double balance, c_mktsegment segment, c_nationkey nation from customer), s as (select *, list(balance) over w bs, list(segment) over w ss from c {_WN}),
-v as (select 'balance' dropped, len(list_filter(bs, lambda v: {_GOLD.format(b='v', s='segment')} <> {_GOLD.format(b='balance', s='segment')})) > 0 valid, len(list_filter(bs, lambda v: (v < 0) <> (balance < 0))) > 0 debt from s
- union all select 'segment', len(list_filter(ss, lambda v: {_GOLD.format(b='balance', s='v')} <> {_GOLD.format(b='balance', s='segment')})) > 0, false from s)
-select dropped, coalesce(valid, false) "valid", count(*) n, sum((not coalesce(debt, false))::int)::bigint debt, count(*) home from v group by 1, 2"""
+_GOLD = "case when {b} < 0 and nation < 20 then 'B' when {s} = 'BUILDING' and nation > 2 then 'C' else 'A' end"
+#: Every value of the table is tried on every row.
+ABLATED = f"""with c as (select c_custkey::varchar id, c_acctbal::double balance, c_mktsegment segment, c_nationkey nation from customer), bs as (select distinct balance b from c), ss as (select distinct segment s from c),
+t as (select 'balance' dropped, id, balance, {_GOLD.format(b="balance", s="segment")} own, {_GOLD.format(b="b", s="segment")} g, (b < 0) <> (balance < 0) debt from c, bs
+ union all select 'segment', id, balance, {_GOLD.format(b="balance", s="segment")}, {_GOLD.format(b="balance", s="s")}, false from c, ss
+ union all select 'balance+segment', id, balance, {_GOLD.format(b="balance", s="segment")}, {_GOLD.format(b="b", s="s")}, (b < 0) <> (balance < 0) from c, (select distinct balance b, segment s from c)),
+r as (select dropped, id, count(distinct g) > 1 v, bool_and(g = own) i, bool_or(debt) debt from t group by dropped, id)
+select dropped, v "valid", i irrelevant, count(*) n, sum((not debt)::int)::bigint debt, count(*) home, case when dropped = 'segment' then count(*) else 0 end rich from r group by dropped, v, i"""
 
 
 def graded(spark, d):
@@ -296,7 +326,8 @@ select task, case hard_type when 'N' then 'gone' else hard_type end hard_type, r
 
 QUERIES: dict[str, Query] = {
     "g01_twins": (twins, TWINS),
-    "g01_equal_golds": (equal_golds, f"{_TW} select generator, count(*) n, min(draw) \"first\" from p where state_a <> state_b and gold_a = gold_b group by generator"),
+    "g01_twin_quotas": (twin_quotas, TWIN_QUOTAS),
+    "g01_equal_golds": (equal_golds, f"with {_TW} select generator, count(*) n, min(draw) \"first\" from p where state_a <> state_b and gold_a = gold_b group by generator"),
     "g03_renderings": (event_renderings, REND5),
     "g03_rendering_checks": (rendering_checks, DAMAGED),
     "g05_ablations": (ablations, ABLATED),
