@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import metrics as M
 from . import paired as P
 from . import policy as Y
-from .calibrate import apply_method, fit_method, fit_temperature
+from .calibrate import apply_method, fit_affine, fit_temperature
 
 
 def arm_metrics(rows: DataFrame, eps: float, k: int | None = None) -> DataFrame:
@@ -99,27 +99,15 @@ def listed_options(labels: list[str], criteria: dict[str, str], kind: str, order
     return out
 
 
-def affine_transfer(rows: DataFrame, source: Column, target: Column, half: Column, most: int = 4000) -> DataFrame:
-    """task, variant (raw, transfer, refit), id, gold and p of the target rows: as they are; by an affine map fitted on the
-    source rows; and, for the second half, by one fitted on the target's first half. A fit takes about ``most`` rows of a
-    task by a hash; every target row is judged. Rows: task, id, gold, logits."""
-    import json
-
+def affine_transfer(rows: DataFrame, source: Column, target: Column, half: Column) -> DataFrame:
+    """task, variant (raw, transfer, refit), id, gold and p of the target rows: as they are; by an affine map fitted on all
+    source rows; and, for the second half, by one fitted on the target's first half. Rows: task, id, gold, logits."""
     import numpy as np
     import pandas as pd
 
     role = F.when(source, "transfer").when(target & half, "refit")
-    x = rows.withColumn("_role", role)
-    n = x.where("_role is not null").groupBy("task", "_role").agg(F.count("*").alias("_n"))
-    some = x.join(F.broadcast(n), ["task", "_role"]).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30) < most / F.col("_n"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        fitted = fit_method("affine", np.stack(pdf["logits"].to_numpy()), pdf["gold"].to_numpy(), pdf["id"].to_numpy())
-        return pd.DataFrame({"task": pdf["task"].iloc[:1], "role": pdf["_role"].iloc[:1], "fitted": [json.dumps(fitted)]})
-
-    found = some.select("task", "_role", "id", "gold", "logits").groupBy("task", "_role").applyInPandas(fit, "task string, role string, fitted string").collect()
-    models = {(r["task"], r["role"]): json.loads(r["fitted"]) for r in found}
+    fitted = fit_affine(rows.withColumn("_role", role).where("_role is not null").select(F.concat_ws("/", "_role", "task").alias("key"), "gold", "logits"), "key")
+    models = {(name.split("/", 1)[1], name.split("/", 1)[0]): v for name, v in fitted.items()}
 
     def judge(batches):
         for pdf in batches:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import expr as E
+from ..sources.shared import settled
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
@@ -187,17 +188,23 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: floa
     return out.withColumn("best", best).where(F.col("best") <= k).drop("best")
 
 
-def linear_arm(rows: DataFrame, key: str, c: float = 1.0, most: int = 4000) -> DataFrame:
-    """key, gold and said of the rows that aren't ``train``: a logistic regression on the vectors ``x``, learned from about
-    ``most`` of the train rows by a hash of the key. Every other row is judged. rows: key, x, gold (int), train."""
-    from .calibrate import logistic
+def linear_arm(rows: DataFrame, key: str, c: float = 1.0) -> DataFrame:
+    """key, gold and said of the rows that aren't ``train``: a logistic regression on the vectors ``x``, learned from all train
+    rows. rows: key, x, gold (int), train."""
+    from .calibrate import logistic_problem
+    from .fit import fit_linear
 
-    n = rows.where("train").count()
-    some = rows.where("train").where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30) < min(1.0, most / max(n, 1))).orderBy(key).select("x", "gold").collect()
+    train = rows.where("train and gold is not null and x is not null").select(F.lit("all").alias("task"), "gold", F.col("x").cast("array<double>").alias("x"))
     test = rows.where("not train").select(key, "gold", "x")
-    if not some:
+    seen = [tuple(r) for r in train.select("gold", F.size("x")).distinct().collect()]  # a row a class
+    if not seen:
         return test.select(key, "gold", F.lit(None).cast("int").alias("said"))
-    classes, w, b = logistic(np.array([r["x"] for r in some], float), np.array([r["gold"] for r in some]), c)
+    classes, d = np.array(sorted({g for g, _ in seen}), np.int32), seen[0][1]
+    w, b = np.zeros((1, d)), np.zeros(1)
+    if len(classes) > 1:
+        problem = logistic_problem("all", classes.tolist(), d, c)
+        (v,) = fit_linear(settled(train, "train"), [problem])
+        w, b = v[: problem.k * d].reshape(problem.k, d), v[problem.k * d :]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import settled
+
 #: Pattern of a word, number or single CJK character.
 TOKEN = r"[A-Za-z][A-Za-z0-9'\-]*|\p{Nd}+(?:\.\p{Nd}+)?|[㐀-鿿]"
 CJK = r"[一-鿿]"
@@ -132,64 +134,10 @@ def blocks_in_window(ops: Column, lo: Column, hi: Column) -> Column:
 
 
 def tfidf(docs: DataFrame, row_id: str, text: str, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """row, gram and weight: n-grams inside words padded by spaces; 1 + ln tf, smoothed idf, unit length."""
-    w = docs.select(F.col(row_id).alias("row"), F.explode(F.split(F.trim(F.lower(text)), r"\s+")).alias("w")).where("w <> ''").withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
-    gram = lambda n: F.when(F.length("w") >= n, F.transform(F.sequence(F.lit(1), F.length("w") - (n - 1)), lambda i: F.substring(F.col("w"), i, n))).otherwise(F.array().cast("array<string>"))
-    tf = w.select("row", F.explode(F.concat(*map(gram, sizes))).alias("gram")).groupBy("row", "gram").agg(F.count("*").alias("tf"))
-    n = docs.agg(F.count("*").alias("n"))
-    df = tf.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("gram", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    x = tf.join(df, "gram").select("row", "gram", ((1.0 + F.log("tf")) * F.col("idf")).alias("v"))
-    length = x.groupBy("row").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("len"))
-    return x.join(length, "row").select("row", "gram", (F.col("v") / F.col("len")).alias("weight"))
-
-
-def char_grams(text: str | None, sizes: tuple[int, ...] = (1, 2, 3)) -> list[str]:
-    """The n-grams inside the lower-case words of a text, each word padded by spaces, as ``tfidf`` counts them."""
-    out = []
-    for w in (text or "").lower().split():
-        w = f" {w} "
-        for n in sizes:
-            out += [w[i : i + n] for i in range(len(w) - n + 1)]
-    return out
-
+    """row, gram and weight: n-grams inside words padded by spaces; 1 + ln tf, smoothed idf over ``docs``, unit length."""
+    from .sparse import gram_counts, vocabulary, weights
 
-def tfidf_arm(rows: DataFrame, key: str, c: float = 10.0, most: int = 1500, terms: int = 4000) -> DataFrame:
-    """key, gold and said of the rows that aren't ``train``: a logistic regression on TF-IDF weights of character n-grams, learned
-    from about ``most`` of the train rows by a hash of the key, and of their ``terms`` commonest n-grams. Every other row is
-    judged. rows: key, text, gold (int), train."""
-    from collections import Counter
-
-    import numpy as np
-
-    from .calibrate import logistic
-
-    n = rows.where("train").count()
-    share = min(1.0, most / max(n, 1))
-    some = rows.where("train").where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30) < share).orderBy(key).select("text", "gold").collect()
-    test = rows.where("not train").select(key, F.col("gold").cast("int").alias("gold"), "text")
-    if not some:
-        return test.select(key, "gold", F.lit(None).cast("int").alias("said"))
-    counts = [Counter(char_grams(r["text"])) for r in some]
-    df = Counter(g for k in counts for g in k)
-    names = [g for g, _ in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:terms]]
-    at, idf = {g: i for i, g in enumerate(names)}, np.array([np.log((1 + len(some)) / (1 + df[g])) + 1 for g in names])
-
-    def weights(own: list[Counter]) -> np.ndarray:
-        x = np.zeros((len(own), len(names)))
-        for i, k in enumerate(own):
-            for g, tf in k.items():
-                if g in at:
-                    x[i, at[g]] = (1 + np.log(tf)) * idf[at[g]]
-        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
-
-    classes, w, b = logistic(weights(counts), np.array([r["gold"] for r in some]), c)
-    kind = dict(rows.dtypes)[key]
-
-    def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for i in range(0, len(pdf), 256):
-                part = pdf.iloc[i : i + 256]
-                x = weights([Counter(char_grams(t)) for t in part["text"]])
-                yield pd.DataFrame({key: part[key], "gold": part["gold"], "said": classes[(x @ w.T + b).argmax(1)]})
-
-    return test.mapInPandas(judge, f"{key} {kind}, gold int, said int")
+    counts = settled(gram_counts(docs, row_id, text, sizes), "grams")
+    words = settled(vocabulary(counts, docs.count()), "words")
+    x = weights(counts, words).select("row", F.explode("entries").alias("e"))
+    return x.join(words, F.col("e.at") == F.col("at")).select("row", "gram", F.col("e.v").alias("weight"))

@@ -11,6 +11,7 @@ from ..operators import policy as Y
 from ..operators import quality as Q
 from ..operators import speech as S
 from ..operators import text as X
+from ..operators.sparse import tfidf_arm
 from ..sources.shared import settled
 from . import tables as T
 from .policies import _AUC
@@ -87,10 +88,14 @@ def event_renderings(spark, d):
     return tidy(_rendered(spark, d)[0].drop("o_orderpriority"))
 
 
-_NK = ", ".join(f"'{k}'" for k in K.NOISE_KEYS)
-REND5 = f"""with o as (select o_orderkey, o_custkey, cast(floor(o_totalprice) as bigint) tot, o_totalprice, {T.sql_unit("o_orderkey || ':noise'", 5)} u from orders),
-nz as (select o_orderkey, 6 + cast(floor(u * 5 + 0.5) as bigint) n, list_sort(list_transform([{_NK}], lambda k: {{'h': md5(o_orderkey || ':' || k), 'key': k}})) ks from o),
-nf as (select o_orderkey, n, list_transform(ks[1 : n], lambda x: '"' || x.key || '":"' || substr(x.h, 1, 8) || '"') f from nz),
+_NK = ", ".join(f"{{'k': '{k}', 't': '{t}'}}" for k, t in K.NOISE_KEYS.items())
+_MOST = len(K.NOISE_KEYS) - 6
+_HEX = lambda at, n: f"cast('0x' || substr(x.h, {at}, {n}) as bigint)"
+_NOISE = f"""case x.t when 'hex' then '"' || substr(x.h, 1, 8) || '"' when 'number' then {_HEX(1, 7)}::varchar when 'truth' then case when {_HEX(1, 7)} % 2 = 0 then 'true' else 'false' end
+ when 'time' then '"' || printf('%02d:%02d:%02d', {_HEX(1, 7)} % 86400 // 3600, {_HEX(1, 7)} % 3600 // 60, {_HEX(1, 7)} % 60) || '"' else '"10.' || {_HEX(1, 2)} || '.' || {_HEX(3, 2)} || '.' || {_HEX(5, 2)} || '"' end"""
+REND5 = f"""with o as (select o_orderkey, o_custkey, cast(floor(o_totalprice) as bigint) tot, o_totalprice, {T.sql_unit("o_orderkey || ':noise'", _MOST + 1)} u from orders),
+nz as (select o_orderkey, 6 + cast(floor(u * {_MOST + 1} + 0.5) as bigint) n, list_sort(list_transform([{_NK}], lambda k: {{'h': md5(o_orderkey || ':' || k.k), 'key': k.k, 't': k.t}})) ks from o),
+nf as (select o_orderkey, least(n, {_MOST + 6}) n, list_transform(ks[1 : n], lambda x: '"' || x.key || '":' || {_NOISE}) f from nz),
 t as (select o.o_orderkey, n, '"order":' || o.o_orderkey || ',"customer":' || o_custkey || ',"total":' || tot pub, f,
  'Order ' || o.o_orderkey || ' of customer ' || o_custkey || ' totals ' || tot || '.' t0, case when o_totalprice > 150000 then 'true' else 'false' end ov,
  'Over the limit: ' || case when o_totalprice > 150000 then 'yes' else 'no' end || ', change ' || printf('%+.0f', floor(o_totalprice / 1000) - 150) || '.' said from o join nf using (o_orderkey))
@@ -309,7 +314,7 @@ def embedding_arms(spark, d):
 def text_arm(spark, d):
     """Logistic regression on character n-grams of the turns: who speaks, judged on every second conversation."""
     c = T.table(spark, d, "conversations").where("text is not null").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text", F.when(F.col("role") == "user", 1).otherwise(0).alias("gold"), (F.col("conv_id") % 2 == 0).alias("train"))
-    said = X.tfidf_arm(c, "id")
+    said = tfidf_arm(c, "id")
     return tidy(said.groupBy("gold").agg(F.count("*").alias("n"), F.avg((F.col("said") == F.col("gold")).cast("double")).alias("recall")))
 
 

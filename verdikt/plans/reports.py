@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
@@ -124,24 +122,10 @@ def cosine_temperature(spark, d):
 
 def segment_fusion(spark, d):
     """Logistic fusion of both arms' scores for option 2, fitted without each flag in turn: AUROC on all rows of the flag. A
-    fit standardises and learns from about ``C.FIT_ROWS`` rows of the other flags; three numbers a flag go out again."""
+    fit standardises and learns from all rows of the other flags; three numbers a flag go out again."""
     x = _arms(spark, d, ("p",)).select("hard_type", "id", (F.col("gold") == 2).cast("int").alias("y"), F.get("p_a", F.lit(2)).alias("a"), F.get("p_b", F.lit(2)).alias("b"))
-    x = settled(x, "arms")
-    n = x.count()
-    some = x.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30) < min(1.0, C.FIT_ROWS / max(n, 1)))
-    jobs = some.withColumn("held", F.explode(F.array(*map(F.lit, ["A", "N", "R"])))).where("hard_type <> held")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = pdf.sort_values("id")[["a", "b"]].to_numpy()
-        mean, sd = f.mean(0), np.maximum(f.std(0), 1e-9)
-        _, w, b = C.logistic((f - mean) / sd, pdf.sort_values("id")["y"].to_numpy())
-        w, b = w[-1] - w[0], b[-1] - b[0]
-        return pd.DataFrame({"held": pdf["held"].iloc[:1], "wa": w[0] / sd[0], "wb": w[1] / sd[1], "w0": b - (w * mean / sd).sum()})
-
-    fitted = jobs.groupBy("held").applyInPandas(fit, "held string, wa double, wb double, w0 double")
-    out = x.join(F.broadcast(fitted), x["hard_type"] == fitted["held"])
-    score = 1.0 / (1.0 + F.exp(-(F.col("wa") * F.col("a") + F.col("wb") * F.col("b") + F.col("w0"))))
-    return M.auroc(out.withColumn("score", F.round(score, 12)), ["held"], "score", F.col("y") == 1)
+    out = C.left_out_fusion(settled(x, "arms"), "hard_type", ["a", "b"], "y")
+    return M.auroc(out.select(F.col("hard_type").alias("held"), F.round("fused", 12).alias("score"), "y"), ["held"], "score", F.col("y") == 1)
 
 
 def reconcile(spark, d):
