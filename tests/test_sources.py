@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from verdikt.sources import files, readers
@@ -80,15 +81,15 @@ def answer(path, body):
     if path == "/completion":
         if body["prompt"] == "old":
             return {"completion_probabilities": [{"probs": [{"tok_str": "A", "prob": 0.0}, {"tok_str": "B", "prob": 0.5}]}]}
-        return {"completion_probabilities": [{"top_logprobs": [{"token": t, "logprob": p} for t, p, _ in listed]}]}
+        return {"completion_probabilities": [{"top_logprobs": [{"token": t, "logprob": p} for t, p, _ in listed]}], "tokens_evaluated": 7}
     if path == "/generate":
         ids = body.get("token_ids_logprob")
         one = lambda i: {"meta_info": {"output_top_logprobs": [[[p, n, t] for t, p, n in listed]], **({"output_token_ids_logprobs": [[[-float(n), n] for n in ids[i]]]} if ids else {})}}
         return [one(i) for i in range(len(body.get("text") or body["input_ids"]))]
     if path == "/v1/chat/completions":
-        return {"choices": [{"message": {"content": {"json": '{"answer": "B"}', "other": '{"answer": "Z"} so C'}.get(body["messages"][0]["content"], "I cannot say")}}]}
+        return {"choices": [{"message": {"content": {"json": '{"answer": "B"}', "other": '{"answer": "Z"} so C'}.get(body["messages"][0]["content"], "I cannot say")}, "finish_reason": "stop"}], "usage": {"prompt_tokens": 3}}
     q = body["questions"]["q"]
-    return {"answers": {"q": {"noul": 0.25} if q["type"] == "noul" else {"probabilities": {"o1": 0.0, "o2": 1.0}}}}
+    return {"answers": {"q": {"noul": 0.25} if q["type"] == "noul" else {"probabilities": {"o2": 0.9, "o1": 0.1} if "criteria" in q else {"1": 1.0, "0": 0.0}}}}
 
 
 def test_clients_read_what_servers_say(spark):
@@ -96,7 +97,15 @@ def test_clients_read_what_servers_say(spark):
     import threading
     from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+    met = []
+
     class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def setup(self):
+            met.append(self.client_address)
+            super().setup()
+
         def do_POST(self):  # noqa: N802
             raw = json.dumps(answer(self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"]))))).encode()
             self.send_response(200)
@@ -117,8 +126,21 @@ def test_clients_read_what_servers_say(spark):
         assert got(readers.acquire(rows("p", "q", "r"), "generate", options, batch=2)) == [{"A": -2.5, "B": -0.1}] * 3
         assert got(readers.acquire(rows("p", "q"), "generate", {**options, "token_ids": {"A": 5, "B": 6, "C": 7}})) == [{"A": -5.0, "B": -6.0, "C": -7.0}] * 2
         assert got(readers.acquire(rows("json", "other", "none"), "chat", options)) == [{"B": 0.0}, {"C": 0.0}, {}]
-        asked = [json.dumps({"state": "s", "question": {"type": t}}) for t in ("noul", "choice")]
-        assert got(readers.acquire(rows(*asked), "schema", options)) == [{"A": math.log(0.25), "B": math.log(0.75)}, {"A": math.log(1e-12), "B": 0.0}]
+        ask = lambda **q: json.dumps({"state": "s", "question": q})
+        asked = [ask(type="noul"), ask(type="choice", criteria={"o1": "x", "o2": "y"}), ask(type="score", options=["low", "high"])]
+        log = lambda **p: {k: math.log(max(v, 1e-12)) for k, v in p.items()}
+        assert got(readers.acquire(rows(*asked), "schema", options)) == [log(A=0.25, B=0.75), log(A=0.1, B=0.9), log(A=0.0, B=1.0)]
+        back = json.dumps({"state": "s", "question": {"type": "choice", "criteria": {"o1": "x", "o2": "y"}}, "letters": {"o1": "C", "o2": "A"}})
+        assert got(readers.acquire(rows(back), "schema", options)) == [log(C=0.1, A=0.9)]
+        bad = readers.acquire(rows(ask(type="choice", criteria={"o1": "x", "o3": "y"}), ask(type="choice", criteria=dict.fromkeys("abcd", "x"))), "schema", options, attempts=2, wait=0.0).orderBy("id").collect()
+        assert [r["raw_logprobs"] for r in bad] == [None, None] and "o3" in bad[0]["error"] and all(r["error"] for r in bad)
+        one = readers.acquire(rows("p"), "completion", options).first()
+        assert one["first_token"] == " B" and one["top_tokens"] == [" B", "A", "B", "x"] and one["option_mass"] == pytest.approx(math.exp(-0.1) + math.exp(-2.5)) and one["prompt_tokens"] == 7
+        said = readers.acquire(rows("other", json.dumps([{"role": "system", "content": "s"}, {"role": "user", "content": "json"}])), "chat", options).orderBy("id").collect()
+        assert said[0]["content"].endswith("so C") and said[0]["finish_reason"] == "stop" and said[0]["prompt_tokens"] == 3 and said[1]["raw_logprobs"] == {}
+        before = len(met)
+        assert got(readers.acquire(rows(*"abcdefgh").coalesce(1), "completion", {**options, "workers": 1})) == [{"A": -2.5, "B": -0.1}] * 8
+        assert len(met) == before + 1  # one connection for eight requests
         assert readers.acquire(rows("a", "bbb", "cc"), "uniform", {"letters": ["A"]}, budget=6).count() == 3
     finally:
         server.shutdown()
@@ -144,3 +166,97 @@ def test_transcript_segments_give_windows(spark, tmp_path):
     assert [(r["at"], r["start"], r["end"], r["text"], r["logp_mean"]) for r in x.orderBy("at").collect()] == [(0, 0.0, 5.0, "one two", -0.1), (1, 5.0, 5.0, "three", None), (2, 9.0, 10.0, "", None)]
     w = series.greedy_windows(x.withColumn("n", F.size(text.tokens(F.col("text")))), ["seg", "cond"], ["at"], "start", "end", "n").orderBy("t0").collect()
     assert [(r["t0"], r["t1"], r["n_seg"]) for r in w] == [(0.0, 10.0, 3)]
+
+
+MATRICES = {"z": np.arange(600, dtype=np.float32).reshape(200, 3) / 7, "one": np.arange(50), "deep": np.arange(48).reshape(4, 3, 4), "f": np.asfortranarray(np.arange(40.0).reshape(10, 4)), "ids": np.array(["a", "bé", "東"] * 5), "none": np.zeros((0, 3)), "flag": np.array([True, False])}
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_matrices_are_read_by_ranges(spark, tmp_path, packed):
+    from verdikt.sources.matrices import read_matrix
+
+    path = str(tmp_path / "m.npz")
+    (np.savez_compressed if packed else np.savez)(path, **MATRICES)
+    for name, want in MATRICES.items():
+        df = read_matrix(spark, path, name, task_bytes=240)
+        got = {r["row"]: r["text"] if name == "ids" else r["vector"] for r in df.collect()}
+        assert len(got) == len(want)
+        assert all(got[i] == (str(x) if name == "ids" else np.asarray(x, float).ravel().tolist()) for i, x in enumerate(want))
+    assert read_matrix(spark, path, "z", task_bytes=240).rdd.getNumPartitions() == (1 if packed else 10)
+    assert files.matrix_rows(spark, path, "z").count() == 200
+    with pytest.raises(Exception, match="no array"):
+        read_matrix(spark, path, "missing")
+
+
+def test_plain_arrays_and_objects(spark, tmp_path):
+    from verdikt.sources.matrices import read_matrix
+
+    np.save(tmp_path / "a.npy", MATRICES["z"])
+    np.save(tmp_path / "b.npy", MATRICES["z"][:5])
+    got = read_matrix(spark, [str(tmp_path / "a.npy"), str(tmp_path / "b.npy")], task_bytes=1000).groupBy("file").count().collect()
+    assert {tuple(r) for r in got} == {("a.npy", 200), ("b.npy", 5)}
+    np.savez(tmp_path / "o.npz", o=np.array([{}], object))
+    with pytest.raises(Exception, match="aren't read"):
+        read_matrix(spark, str(tmp_path / "o.npz"), "o")
+
+
+ROW = "id string, x long"
+
+
+def test_appends_are_committed_once_and_the_last_row_counts(spark, tmp_path):
+    from verdikt.sources import appends as A
+
+    path = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame(list(r), ROW)
+    assert A.read_appended(spark, path, ROW).count() == 0
+    assert A.append(rows(("a", 1), ("b", 1)), path, "one") and not A.append(rows(("a", 9)), path, "one")
+    assert A.append(rows(("a", 2), ("c", None), (None, 5)), path, "two")
+    got = A.read_appended(spark, path, ROW)
+    assert sorted((r["id"] or "", r["x"], r["commit"]) for r in got.where("x is not null").collect()) == [("", 5, 1), ("a", 1, 0), ("a", 2, 1), ("b", 1, 0)]
+    assert {(r["id"], r["x"]) for r in A.last_committed(got).collect()} == {("a", 2), ("b", 1), ("c", None)}
+
+
+def test_a_failed_job_shows_nothing_and_a_repeated_one_once(spark, tmp_path):
+    from verdikt.sources import appends as A
+
+    path, fails = str(tmp_path / "t"), F.udf(lambda x: 1 // (x - 3), "long")
+    df = spark.range(8).select(F.col("id").cast("string").alias("id"), fails("id").alias("x"))
+    with pytest.raises(Exception):
+        A.append(df, path, "b")
+    assert A.read_appended(spark, path, ROW).count() == 0
+    assert A.append(df.where("id <> 3"), path, "b") and not A.append(df.where("id <> 3"), path, "b")
+    assert A.read_appended(spark, path, ROW).count() == 7
+    # two writers of one batch that raced: the first number counts, and numbers are never given twice
+    log = A.Log(spark, path)
+    df.where("id = 1").write.json(f"{path}/data/{'0' * 32}")
+    assert log.add("b", "0" * 32) == 1 and log.add("c", "0" * 32) == 2
+    assert [c["commit"] for c in log.commits()] == [0, 2] and A.read_appended(spark, path, ROW).count() == 8
+
+
+def test_parts_go_on_where_a_job_stopped(spark, tmp_path):
+    from verdikt.sources import appends as A
+
+    path = str(tmp_path / "t")
+    rows, made = spark.range(40).select(F.col("id").cast("string").alias("id")), []
+
+    def make(df):
+        made.append(1)
+        if len(made) == 3:
+            raise RuntimeError("stopped")
+        return df.withColumn("x", F.lit(len(made)).cast("long"))
+
+    with pytest.raises(RuntimeError):
+        A.append_in_parts(rows, make, path, "job", 5)
+    assert A.append_in_parts(rows, make, path, "job", 5) == 3 and A.append_in_parts(rows, make, path, "job", 5) == 0
+    got = A.read_appended(spark, path, ROW)
+    assert got.count() == 40 and got.select("commit").distinct().count() == 5
+
+
+def test_stream_batches_are_appended_once(spark, tmp_path):
+    from verdikt.sources import appends as A
+
+    spark.range(6).select(F.col("id").cast("string").alias("id"), F.col("id").alias("x")).write.json(str(tmp_path / "in"))
+    for again in range(2):  # the second run has lost its checkpoint and repeats batch 0
+        q = spark.readStream.schema(ROW).json(str(tmp_path / "in")).writeStream.foreachBatch(A.append_batches(str(tmp_path / "t"), "s")).option("checkpointLocation", str(tmp_path / f"c{again}")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert A.read_appended(spark, str(tmp_path / "t"), ROW).count() == 6

@@ -69,18 +69,14 @@ def catalog_options(tasks: DataFrame, column: str = "options") -> DataFrame:
 
 
 def matrix_rows(spark: SparkSession, path: str, array: str) -> DataFrame:
-    """row and vector of a dense matrix in an .npz archive: a driver-side file format for small matrices; store large ones
-    as Parquet arrays."""
-    import io
+    """row and vector of a dense matrix in an .npz archive, read by ranges of rows."""
+    from .matrices import read_matrix
 
-    import numpy as np
-
-    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    m = np.load(io.BytesIO(bytes(raw)))[array]
-    return spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "row long, vector array<double>")
+    return read_matrix(spark, path, array).select("row", "vector")
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
+    """A bare append, which a repeated job repeats; ``appends.append`` commits batches by name."""
     df.write.mode("append").json(path)
 
 

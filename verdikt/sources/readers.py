@@ -6,6 +6,7 @@ and gets its rows in batches of the partition, sorted or batched by length if as
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -13,12 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-READOUT = "id string, raw_logprobs map<string,double>, latency_ms double, error string"
+READOUT = "id string, raw_logprobs map<string,double>, latency_ms double, error string, option_mass double, first_token string, top_tokens array<string>, prompt_tokens long, cached_tokens long, content string, finish_reason string"
+#: What a reader may tell of a row besides its letters, time and error.
+DETAILS = ("option_mass", "first_token", "top_tokens", "prompt_tokens", "cached_tokens", "content", "finish_reason")
 
 
 class Reader(Protocol):
-    def read(self, prompts: list[tuple[str, str]]) -> list[tuple[str, dict[str, float] | None, float, str | None]]:
-        """(id, prompt) pairs to (id, log-probabilities, milliseconds, error)."""
+    def read(self, prompts: list[tuple[str, str]]) -> list[tuple]:
+        """(id, prompt) pairs to (id, log-probabilities, milliseconds, error) and, where known, a dictionary of ``DETAILS``."""
 
 
 REGISTRY: dict[str, Callable[..., Reader]] = {}
@@ -43,8 +46,9 @@ class UniformReader:
 register("uniform", UniformReader)
 
 
-def acquire(rows: DataFrame, backend: str, options: dict | None = None, batch: int = 32, attempts: int = 3, sort_by: str | None = None, budget: int | None = None) -> DataFrame:
-    """Readouts for rows of id and prompt. A batch that fails is tried again, then its rows carry the error. With ``budget``
+def acquire(rows: DataFrame, backend: str, options: dict | None = None, batch: int = 32, attempts: int = 3, sort_by: str | None = None, budget: int | None = None, wait: float = 0.5) -> DataFrame:
+    """Readouts for rows of id and prompt. A batch that fails is tried again, after ``wait`` seconds and twice as many each
+    time, then its rows carry the error. With ``budget``
     rows are batched by length, so that a batch padded to its longest prompt holds at most so many characters."""
     options = options or {}
     if backend not in REGISTRY:
@@ -63,7 +67,9 @@ def acquire(rows: DataFrame, backend: str, options: dict | None = None, batch: i
                 groups = [[pairs[i] for i in g] for g in budget_batches([len(p) for _, p in pairs], budget, batch)]
             for one in groups:
                 error = "no attempt"
-                for _ in range(attempts):
+                for attempt in range(attempts):
+                    if attempt:
+                        time.sleep(wait * 2 ** (attempt - 1))
                     try:
                         out = reader.read(one)
                         break
@@ -71,7 +77,12 @@ def acquire(rows: DataFrame, backend: str, options: dict | None = None, batch: i
                         error = str(e)
                 else:
                     out = [(i, None, float("nan"), error) for i, _ in one]
-                yield pd.DataFrame(out, columns=["id", "raw_logprobs", "latency_ms", "error"])
+                known = [x[4] if len(x) > 4 else {} for x in out]
+                table = pd.DataFrame([x[:4] for x in out], columns=["id", "raw_logprobs", "latency_ms", "error"])
+                for c in DETAILS:
+                    kind = "Int64" if c.endswith("_tokens") and c != "top_tokens" else "float64" if c == "option_mass" else object
+                    table[c] = pd.Series([k.get(c) for k in known], dtype=kind)
+                yield table
 
     rows = rows.select("id", "prompt") if sort_by is None else rows.sortWithinPartitions(sort_by).select("id", "prompt")
     return rows.mapInPandas(run, READOUT)
