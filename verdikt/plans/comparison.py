@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from ..operators import arms as R
 from ..operators import calibrate as C
 from ..operators import compare as K
 from ..operators import metrics as M
 from ..sources.shared import settled
 from . import tables as T
-from .scoring import _RAW, _bin, rows, settled_rows
+from .scoring import _RAW, _bin, rows, settled_rows, split_rows
 from .util import Query, tidy
 
 #: Renderings of one event, the scale of the error that each one's reader makes, milliseconds and active billions of parameters.
@@ -283,7 +284,36 @@ t as (select y.*, cut, rank() over (partition by cell order by s) + (count(*) ov
 select cell, count(*) n, round(avg((c >= cut)::int), 6) coverage, round(sum((c >= cut and not ok)::int) / nullif(sum((c >= cut)::int), 0), 6) error, round(avg(ok::int), 6) accuracy,
  round((sum(case when gold = 2 then rk end) - sum((gold = 2)::int) * (sum((gold = 2)::int) + 1) / 2::double) / (sum((gold = 2)::int)::double * sum((gold <> 2)::int)), 6) auroc, round(max(temp), 6) "temp" from t group by cell"""
 
+def backend_guardrail(spark, d):
+    """Arm B as another backend of arm A, with arm C beside them, on the test half."""
+    x = split_rows(spark, d, "ABC").where("not cal").select("arm", "task", "id", "chosen", "correct", "conf")
+    return tidy(R.guardrail(x, ["task"], "A", "B", ["C"]))
+
+
+_AREA = lambda arm: f"""(select task, (sum(r * y) - max(n1) * (max(n1) + 1) / 2) / nullif(max(n1) * (max(n) - max(n1)), 0) v from (select task, correct::int y, rank() over w + (count(*) over (partition by task, round(conf, 12)) - 1) / 2 r,
+ sum(correct::int) over (partition by task) n1, count(*) over (partition by task) n from spl where arm = '{arm}' and not cal window w as (partition by task order by round(conf, 12))) group by task)"""
+GUARDRAIL = f"""{T.SQL_C}, j as (select a.task, a.correct ca, b.correct cb, c.correct cc from spl a join spl b on a.task = b.task and a.id = b.id join spl c on a.task = c.task and a.id = c.id where a.arm = 'A' and b.arm = 'B' and c.arm = 'C' and not a.cal),
+s as (select task, count(*) n, avg(ca::int) aa, avg(cb::int) ab, avg(cc::int) ac, sum((ca and not cb)::int)::bigint oa, sum((cb and not ca)::int)::bigint ob from j group by task),
+t as (select task, oa + ob m, unnest(range(0, least(oa, ob) + 1)) i from s), u as (select task, sum(exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2::double))) tail from t group by task),
+x as (select s.*, case when oa + ob = 0 then 1 else least(1, 2 * tail) end p, fa.v va, fb.v vb from s join u using (task) join {_AREA("A")} fa using (task) join {_AREA("B")} fb using (task))
+select task, n, round(aa, 6) "accuracy_A", round(ab, 6) "accuracy_B", round(ac, 6) "accuracy_C", round(va, 6) "auroc_A", round(vb, 6) "auroc_B", round(p, 6) p_value, round(ab - aa, 6) gap,
+ round(abs(ab - aa), 12) <= 0.02::double and p >= 0.05::double and coalesce(vb >= va - 0.05::double, true) ok from x"""
+
+
+def rerun_stability(spark, d):
+    """Every pair of the three arms as reruns of one another."""
+    x = rows(spark, d, "ABC").select("arm", "task", "id", "chosen", "correct", "conf")
+    return tidy(R.stability(R.item_vectors(x, ["task"], ["A", "B", "C"]), "task", ["A", "B", "C"]))
+
+
+STABILITY = f"""{T.SQL_C}, j as (select x.task, x.arm a, y.arm b, x.chosen = y.chosen same, x.chosen <> y.chosen and x.conf > 0.9::double sure from p x join p y on x.task = y.task and x.id = y.id and x.arm < y.arm),
+gr as (select task, a, b, count(*) n, sum(same::int) s, sum(sure::int) f from j group by grouping sets ((task, a, b), (a, b)))
+select task, a, b, n, round(s / n, 6) agreement, (n - s)::bigint flips, f::bigint sure_flips, s / n >= 0.995::double and f = 0 stable from gr"""
+
+
 QUERIES: dict[str, Query] = {
+    "x04b_backend_guardrail": (backend_guardrail, GUARDRAIL),
+    "x06b_rerun_stability": (rerun_stability, STABILITY),
     "x25_rendering_pairs": (rendering_pairs, RENDERING_PAIRS),
     "x25_rendering_table": (rendering_table, RENDERING_TABLE),
     "x05_prompt_variants": (prompt_variants, PROMPTS),

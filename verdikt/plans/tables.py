@@ -2,7 +2,7 @@
 
 ``decisions``: a row of option scores for each line item and arm. The true logits are a line's quantity, discount and tax;
 the gold option is drawn from their softmax by a hash of the row's id, and the published logits are three times the true
-ones, so a fitted temperature must come back near three. Arm B adds hashed noise to arm A.
+ones, so a fitted temperature must come back near three. Arms B and C add hashed noise to arm A.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.expr import hash_unit
 
 LETTERS = ["A", "B", "C"]
+#: How widely an arm's logits are moved; arm C reruns arm A nearly alike.
+NOISE = {"B": 4.0, "C": 0.05}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +37,7 @@ def decisions(spark: SparkSession, sf_dir: str, arms: str = "A") -> DataFrame:
     rows = rows.select(*keep, gold.alias("gold"), *(f"a{j}" for j in range(3)))
     out = []
     for arm in arms:
-        noise = lambda j, arm=arm: (hash_unit("id", F.lit(f"b{j}"), buckets=1000) - 0.5) * 4.0 if arm == "B" else F.lit(0.0)
+        noise = lambda j, arm=arm: (hash_unit("id", F.lit(f"{arm.lower()}{j}"), buckets=1000) - 0.5) * NOISE[arm] if arm in NOISE else F.lit(0.0)
         z = [F.col(f"a{j}") * 3.0 + noise(j) for j in range(3)]
         out.append(rows.select(F.lit(arm).alias("arm"), *keep, "gold", *(x.alias(f"z{j}") for j, x in enumerate(z))))
     df = out[0]
@@ -86,3 +88,7 @@ p as (select *, greatest(p0, p1, p2) conf, case when p0 >= p1 and p0 >= p2 then
 grp as (select task, group_id, row_number() over (partition by task order by md5(group_id || ':0'), group_id) rk, count(*) over (partition by task) n from (select distinct task, group_id from dec)),
 spl as (select p.*, chosen = gold correct, rk <= n // 2 cal from p join grp using (task, group_id))
 """
+
+_C = " , ".join(f"3 * a{j} + ({sql_unit(f"id || ':c{j}' ", 1000)} - 0.5::double) * 0.05::double z{j}" for j in range(3))
+#: The same with arm C.
+SQL_C = SQL.replace("lang, latency_ms, gold, " + _B + " from golds)", "lang, latency_ms, gold, " + _B + " from golds union all select 'C', task, id, group_id, hard_type, lang, latency_ms, gold, " + _C + " from golds)")
