@@ -117,3 +117,20 @@ def test_cover_reaches_both_ends_of_every_field(spark):
     assert len(cover) <= 40 and {0.0, 2999.0} <= {b for b, _ in cover} and {"w000", "w399"} <= {s for _, s in cover}
     assert all(s == f"w{int(b) % 400:03d}" for b, s in cover)
     assert K.value_cover(df.limit(0), ["b"]) == [] and len(K.value_cover(df, ["n"], 65)) == 65
+
+
+def test_percentiles_interpolate_between_neighbours(spark):
+    import numpy as np
+
+    from verdikt.operators.running import percentiles, unit_bucket
+
+    rng = random.Random(8)
+    rows = [("a", rng.random()) for _ in range(101)] + [("b", rng.choice([0.25, 0.5])) for _ in range(40)] + [("c", 0.75), ("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    for bucket in (None, unit_bucket("_v")):
+        got = {r["g"]: r for r in percentiles(df, ["g"], "v", {"lo": 0.05, "mid": 0.5, "hi": 0.99, "all": 1.0}, bucket).collect()}
+        assert set(got) == {"a", "b", "c"}
+        for g, r in got.items():
+            own = [v for k, v in rows if k == g and v is not None]
+            assert [r["lo"], r["mid"], r["hi"], r["all"]] == pytest.approx(np.quantile(own, [0.05, 0.5, 0.99, 1.0]))
+    assert percentiles(df, [], F.col("v") * -1000, {"x": 0.3}).first()["x"] == pytest.approx(np.quantile([-1000 * v for _, v in rows if v is not None], 0.3))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from . import metrics as M
 from . import paired as P
 from . import policy as Y
+from .running import percentiles
 from .calibrate import apply_method, fit_affine, fit_temperature
 
 
@@ -66,7 +67,8 @@ def gain_gate(accuracies: DataFrame, base: str, weak: Column, gain: float = 0.02
 
 def speed_table(rows: DataFrame, by: list[str], latency: str, tokens: str, active_billions: Column) -> DataFrame:
     """by, n, p50, p95, items a second, and operations an item: two for each active parameter and token, in units of 1e9."""
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(latency, F.lit(0.5)).alias("p50"), F.percentile(latency, F.lit(0.95)).alias("p95"), (F.count("*") / F.sum(latency) * 1000.0).alias("per_second"), F.avg(tokens).alias("tokens"))
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), (F.count("*") / F.sum(latency) * 1000.0).alias("per_second"), F.avg(tokens).alias("tokens"))
+    out = out.join(percentiles(rows, by, latency, {"p50": 0.5, "p95": 0.95}), by)
     return out.withColumn("gflop", 2.0 * active_billions * F.col("tokens"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from . import running
 from .running import log_bucket, order_statistics, running_totals, unit_bucket
 
 
@@ -96,8 +97,8 @@ def selective(rows: DataFrame, by: list[str], cuts: list[float]) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, by: list[str], value: str, qs: list[float]) -> DataFrame:
-    """Linear percentiles."""
-    return rows.groupBy(*by).agg(*(F.percentile(value, F.lit(q)).alias(f"p{round(q * 100)}") for q in qs))
+    """Linear percentiles, as columns p50, p95 and so on."""
+    return running.percentiles(rows, by, value, {f"p{round(q * 100)}": q for q in qs})
 
 
 def upper_elements(rows: DataFrame, by: list[str], value: str, bucket: Column | None = None) -> DataFrame:

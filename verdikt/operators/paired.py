@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from .running import percentiles, unit_bucket
 
 
 def pair(rows: DataFrame, a: str, b: str, keys: list[str], values: list[str]) -> DataFrame:
@@ -58,7 +59,8 @@ def flips(pairs: DataFrame, by: list[str]) -> DataFrame:
 def equivalence(pairs: DataFrame, by: list[str]) -> DataFrame:
     """How far the two arms' probabilities lie apart at most, by row: greatest, mean, median and 99th percentile."""
     d = pairs.withColumn("d", E.max_abs_difference("p_a", "p_b"))
-    return d.groupBy(*by).agg(F.max("d").alias("max_diff"), F.avg("d").alias("mean_diff"), F.percentile("d", F.lit(0.5)).alias("median_diff"), F.percentile("d", F.lit(0.99)).alias("p99_diff"))
+    out = d.groupBy(*by).agg(F.max("d").alias("max_diff"), F.avg("d").alias("mean_diff"))
+    return out.join(percentiles(d, by, "d", {"median_diff": 0.5, "p99_diff": 0.99}, unit_bucket("_v")), by)
 
 
 def mean_gap(rows: DataFrame, by: list[str], gap: Column) -> DataFrame:

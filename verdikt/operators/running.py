@@ -72,6 +72,26 @@ def order_statistics(df: DataFrame, by: list[str], value: str, places: dict[str,
     return run.groupBy(*by).agg(*(F.min(F.when(F.col("_upto") >= place, F.col(value))).alias(name) for name, place in places.items()))
 
 
+def percentiles(df: DataFrame, by: list[str], value: str | Column, places: dict[str, float], bucket: Column | None = None) -> DataFrame:
+    """by and, for each name, the linear percentile at its place (0 to 1) of the values that aren't null: between the two
+    neighbouring order statistics, so no group's values are held by one task. The result, a row a group, is written once. ``bucket`` as in ``running_totals``, over the
+    column ``_v``; without one values may be of any size."""
+    v = F.col(value) if isinstance(value, str) else value
+    x = df.select(*by, F.lit(0).alias("_all"), v.cast("double").alias("_v")).where("_v is not null")
+    group = ["_all", *by]
+    at = lambda q, side: (F.floor if side == "lo" else F.ceil)(F.round((F.col("n") - 1) * F.lit(float(q)), 9)) + 1
+    both = {f"_{side}_{name}": at(q, side) for name, q in places.items() for side in ("lo", "hi")}
+    counts = x.groupBy(*group).agg(F.count("*").alias("_n"))
+    y = order_statistics(x, group, "_v", both, log_bucket("_v") if bucket is None else bucket).join(counts, group)
+
+    def between(name: str, q: float) -> Column:
+        place = F.round((F.col("_n") - 1) * F.lit(float(q)), 9)
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        return (lo + (hi - lo) * (place - F.floor(place))).alias(name)
+
+    return settled(y.select(*by, *(between(name, q) for name, q in places.items())), "percentiles")
+
+
 def hash_ranks(df: DataFrame, by: list[str], key: str, digest: Column) -> DataFrame:
     """by, key and rank (from 1) of the distinct keys of each group in the order of ``digest`` (hex text), then key. Keys are
     ranked inside buckets of a digest's first three digits, and small totals give what lies before a bucket."""

@@ -43,6 +43,28 @@ def window_labels(blocks: Column, ref: Column, hyp: Column) -> Column:
     return F.struct(F.exists(blocks, latin).alias("e"), replaced(2).alias("c"), replaced(3).alias("c_strong"), (F.size(blocks) == 0).alias("n"), kinds.alias("kinds"))
 
 
+def window_class(labels: Column) -> Column:
+    """The class of a window's labels: A nothing wrong, B a Latin word, C other characters, D both."""
+    e, c = labels["e"], labels["c"]
+    return F.when(e & c, "D").when(c, "C").when(e, "B").otherwise("A")
+
+
+def edited_share(blocks: Column, size: Column) -> Column:
+    """Tokens in the edit blocks of another transcript that touch a window, the greater side of each, over the window's tokens."""
+    edited = F.aggregate(blocks, F.lit(0), lambda s, o: s + F.greatest(o["j2"] - o["j1"], o["i2"] - o["i1"]))
+    return edited / size
+
+
+def window_confidence(segments: Column) -> Column:
+    """Struct of mean (weighted by tokens), min and low (the share of tokens of low probability) of a window's segments, structs
+    of mean, min, n and n_low; null where a segment has no log-probabilities. Segments without tokens count as one together."""
+    add = lambda f: F.aggregate(segments, F.lit(0.0), lambda s, x: s + f(x))
+    n = F.greatest(add(lambda x: x["n"].cast("double")), F.lit(1.0))
+    whole = (F.size(segments) > 0) & F.forall(segments, lambda x: x.isNotNull() & x["mean"].isNotNull())
+    least = F.array_min(F.transform(segments, lambda x: x["min"]))
+    return F.when(whole, F.struct((add(lambda x: x["mean"] * x["n"]) / n).alias("mean"), least.alias("min"), (add(lambda x: x["n_low"].cast("double")) / n).alias("low")))
+
+
 def instances(tokens: Column, words: Column) -> Column:
     """Starts at which the words stand consecutively among the tokens."""
     n = F.size(words)

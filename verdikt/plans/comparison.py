@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..operators import arms as R
 from ..operators import calibrate as C
 from ..operators import compare as K
+from ..operators import gate as G
 from ..operators import metrics as M
+from ..operators.running import percentiles
 from ..sources.shared import settled
 from . import tables as T
 from .scoring import _RAW, _bin, rows, settled_rows, split_rows
@@ -162,7 +165,7 @@ def speed_rules(spark, d):
     """Each rendering against T1: within five points of accuracy and ten times as fast, or within a point and not slower than
     three times."""
     x = settled(renderings(spark, d).withColumn("ms_", F.col("ms") + F.col("latency_ms") / 100.0), "renderings")
-    s = x.groupBy("arm", "task").agg(F.avg(F.col("correct").cast("double")).alias("acc"), F.percentile("ms_", F.lit(0.5)).alias("p50"))
+    s = x.groupBy("arm", "task").agg(F.avg(F.col("correct").cast("double")).alias("acc")).join(percentiles(x, ["arm", "task"], "ms_", {"p50": 0.5}), ["arm", "task"])
     base = s.where("arm = 'T1'").select("task", F.col("acc").alias("acc0"), F.col("p50").alias("p0"))
     y = s.join(base, "task").withColumn("speed", F.col("p0") / F.col("p50"))
     gap = F.round(F.col("acc") - F.col("acc0"), 12)
@@ -311,7 +314,67 @@ gr as (select task, a, b, count(*) n, sum(same::int) s, sum(sure::int) f from j
 select task, a, b, n, round(s / n, 6) agreement, (n - s)::bigint flips, f::bigint sure_flips, s / n >= 0.995::double and f = 0 stable from gr"""
 
 
+def _gate_rows(spark, d):
+    """Windows as decision rows: detectors are arm A's doubt (plain) and the arms' probabilities of option 2; labels the options."""
+    x = rows(spark, d, "ABC")
+    at = lambda arm, c: F.max(F.when(F.col("arm") == arm, c))
+    p2 = F.round(F.get("p", F.lit(2)), 12)
+    x = x.groupBy("task", "id", "hard_type", "gold", "latency_ms").agg(at("A", F.round(1.0 - F.col("conf"), 12)).alias("plain"), at("B", p2).alias("judge"), at("A", p2).alias("other"), at("C", p2).alias("large"))
+    strong = (F.col("gold") == 1) & (F.col("latency_ms") > 400)
+    return settled(x.withColumns({"first": F.col("gold") == 2, "second": F.col("gold") == 1, "second_strong": strong}), "gate")
+
+
+DETECTORS, LABELS = ["plain", "judge", "other", "large"], ["first", "second", "second_strong"]
+
+
+def gate_areas(spark, d):
+    """Areas of four detectors for three labels, over all rows and by flag."""
+    return tidy(G.areas(_gate_rows(spark, d), ["task"], DETECTORS, LABELS, "hard_type"))
+
+
+def gate_verdicts(spark, d):
+    """The gates of each task; the noise floor is the share of the second label under a flag."""
+    x = _gate_rows(spark, d)
+    precision = M.precision_at_recall(x, ["task"], "judge", F.col("first")).select("task", "precision")
+    noise = x.groupBy("task").agg(F.avg((F.col("second") & (F.col("hard_type") == "N")).cast("double")).alias("noise"))
+    return tidy(G.verdicts(G.areas(x, ["task"], DETECTORS, LABELS, "hard_type"), ["task"], "first", "second", "plain", "judge", "other", "large", precision, noise))
+
+
+_GATE = f"""{T.SQL_C}, gt as (select task, id, hard_type, gold, latency_ms, max(case when arm = 'A' then round(1 - conf, 12) end) plain, max(case when arm = 'B' then round(p2, 12) end) judge, max(case when arm = 'A' then round(p2, 12) end) other, max(case when arm = 'C' then round(p2, 12) end) large
+  from p group by task, id, hard_type, gold, latency_ms),
+gd as (select task, id, hard_type, gold, latency_ms, unnest(['plain', 'judge', 'other', 'large']) detector, unnest([plain, judge, other, large]) score from gt),
+gl as (select *, unnest(['first', 'second', 'second_strong']) as label, unnest([gold = 2, gold = 1, gold = 1 and latency_ms > 400]) y from gd),
+gw as (select *, true whole, null::varchar as condition from gl union all select *, false, hard_type from gl),
+gr as (select *, rank() over (partition by task, detector, whole, condition, label order by score) + (count(*) over (partition by task, detector, whole, condition, label, score) - 1) / 2::double r from gw),
+ga as (select task, detector, whole, condition, label, count(*) n, sum(y::int)::bigint positives, (sum(case when y then r else 0 end) - sum(y::int) * (sum(y::int) + 1) / 2::double) / nullif(sum(y::int)::double * sum((not y)::int), 0) auroc from gr group by task, detector, whole, condition, label)"""
+GATE_AREAS = f"{_GATE} select task, detector, whole, condition, label, n, positives, round(auroc, 6) auroc from ga"
+_A = lambda det, label: f"max(case when whole and detector = '{det}' and label = '{label}' then round(auroc, 12) end)"
+GATE_VERDICTS = f"""{_GATE}, run as (select task, judge, sum((gold = 2)::int) over w tp, count(*) over w k, sum((gold = 2)::int) over (partition by task) pos from gt window w as (partition by task order by judge desc range between unbounded preceding and current row)),
+pr as (select task, min_by(tp / k, k) prec from run where tp >= ceil(pos * 0.8::double) group by task), no as (select task, avg((gold = 1 and hard_type = 'N')::int) noise from gt group by task),
+v as (select task, {_A("plain", "first")} p1, {_A("plain", "second")} p2, {_A("judge", "first")} j1, {_A("judge", "second")} j2, {_A("other", "first")} o1, {_A("other", "second")} o2, {_A("large", "first")} l1 from ga group by task)
+select task, j1 >= 0.85::double and prec >= 0.6::double first_ok, noise <= 0.2::double second_judged, case when noise <= 0.2::double then j2 >= 0.75::double end second_ok, p1 >= 0.75::double plain_ok, round(j1 - p1, 6) gain_first, round(j2 - p2, 6) gain_second,
+ round(j1 - p1, 12) >= 0.05::double worth_adding, round(o1 - j1, 12) >= 0.05::double and round(o2 - j2, 12) >= 0.05::double other_ok, j1 < 0.7::double and l1 < 0.7::double hopeless from v join pr using (task) join no using (task)"""
+
+
+def window_overlaps(spark, d):
+    """Windows of a user's events in two segmentations, of three and of five events, joined where their times overlap."""
+    e = T.table(spark, d, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = settled(e.select("user_id", (F.row_number().over(w) - 1).alias("i"), F.col("ts").cast("timestamp").cast("double").alias("t")), "events")
+    cut = lambda n: e.groupBy("user_id", F.floor(F.col("i") / n).alias("w")).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    x = G.overlaps(cut(3), cut(5), ["user_id"], "t0", "t1", 3600.0 * 24)
+    return tidy(x.select("user_id", "w", "w_r", "overlap"))
+
+
+OVERLAPS = """with e as (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 i, epoch(ts) t from events),
+a as (select user_id, i // 3 w, min(t) t0, max(t) t1 from e group by 1, 2), b as (select user_id, i // 5 w, min(t) t0, max(t) t1 from e group by 1, 2)
+select a.user_id, a.w::bigint w, b.w::bigint w_r, round(least(a.t1, b.t1) - greatest(a.t0, b.t0), 6) overlap from a join b on a.user_id = b.user_id and least(a.t1, b.t1) > greatest(a.t0, b.t0)"""
+
+
 QUERIES: dict[str, Query] = {
+    "x22_gate_areas": (gate_areas, GATE_AREAS),
+    "x22_gate_verdicts": (gate_verdicts, GATE_VERDICTS),
+    "x22_window_overlaps": (window_overlaps, OVERLAPS),
     "x04b_backend_guardrail": (backend_guardrail, GUARDRAIL),
     "x06b_rerun_stability": (rerun_stability, STABILITY),
     "x25_rendering_pairs": (rendering_pairs, RENDERING_PAIRS),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
@@ -11,6 +12,7 @@ from ..operators import policy as Y
 from ..operators import quality as Q
 from ..operators import speech as S
 from ..operators import text as X
+from ..operators.running import percentiles, unit_bucket
 from ..operators.sparse import tfidf_arm
 from ..sources.shared import settled
 from . import tables as T
@@ -241,15 +243,32 @@ select removed::bigint removed, count(*) n, round(avg(quality), 6) good from x j
 
 
 def windows(spark, d):
-    """Labels of each conversation's last user turn as a transcript of its first, in windows of ten tokens."""
+    """Labels of each conversation's last user turn as a transcript of its first, in windows of ten tokens; and how far a third
+    transcript, the second user turn, differs from it there."""
     c = T.table(spark, d, "conversations").where("role = 'user' and text is not null")
-    x = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("a"), F.max_by("text", "turn").alias("b"))
-    x = x.select("conv_id", X.tokens(F.col("a")).alias("ref"), X.tokens(F.col("b")).alias("hyp")).withColumn("ops", X.opcodes("ref", "hyp"))
+    x = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("a"), F.max_by("text", "turn").alias("b"), F.get(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), F.lit(1)).alias("o"))
+    x = x.select("conv_id", X.tokens(F.col("a")).alias("ref"), X.tokens(F.col("b")).alias("hyp"), X.tokens(F.coalesce("o", "b")).alias("other"))
+    x = x.withColumn("ops", X.opcodes("ref", "hyp")).withColumn("more", X.opcodes("other", "hyp"))
     x = x.select("*", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.size("hyp") - 1, F.lit(0)) / 10).cast("int"))).alias("w"))
-    at = F.col("w") * 10
-    label = S.window_labels(X.blocks_in_window(F.col("ops"), at, at + 10), F.col("ref"), F.col("hyp"))
-    x = x.withColumn("l", label)
-    return tidy(x.select("conv_id", "w", "l.e", "l.c", "l.c_strong", "l.n", F.array_join("l.kinds", ",").alias("kinds")))
+    at, n = F.col("w") * 10, F.size("hyp")
+    hi = F.when(at + 10 >= n, n + 1).otherwise(at + 10)  # the last window takes what is lost at the end
+    label = S.window_labels(X.blocks_in_window(F.col("ops"), at, hi), F.col("ref"), F.col("hyp"))
+    x = x.withColumns({"l": label, "d5": S.edited_share(X.blocks_in_window(F.col("more"), at, hi), F.greatest(F.least(n - at, F.lit(10)), F.lit(1)))})
+    return tidy(x.select("conv_id", "w", "l.e", "l.c", "l.c_strong", "l.n", S.window_class(F.col("l")).alias("q3"), "d5", F.array_join("l.kinds", ",").alias("kinds")))
+
+
+def window_confidences(spark, d):
+    """Token-weighted confidence of windows of four events of a user, events as segments; one event in fifty has none."""
+    e = T.table(spark, d, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = e.select("user_id", (F.row_number().over(w) - 1).alias("i"), F.when(F.col("event_id") % 50 != 0, F.struct((-F.col("value") / 300).alias("mean"), (-F.col("value") / 70).alias("min"), (F.col("event_id") % 9).alias("n"), ((F.col("event_id") % 3) * 0.71234567891).alias("n_low"))).alias("p"))
+    x = e.groupBy("user_id", F.floor(F.col("i") / 4).alias("w")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda s: s["p"]).alias("segments"))
+    x = x.withColumn("c", S.window_confidence(F.col("segments")))
+    return tidy(x.select("user_id", "w", *(F.round(f"c.{k}", 10).alias(n) for k, n in (("mean", "mean"), ("min", "least"), ("low", "low")))))
+
+
+CONFIDENCES = """with e as (select user_id, (row_number() over (partition by user_id order by ts, event_id) - 1) // 4 w, event_id % 50 <> 0 has, value, event_id % 9 n, event_id % 3 lo from events)
+select user_id, w::bigint w, case when bool_and(has) then round(round(sum(-value / 300 * n) / greatest(sum(n), 1), 10), 6) end mean, case when bool_and(has) then round(round(min(-value / 70), 10), 6) end least, case when bool_and(has) then round(sum(lo * 0.71234567891::double) / greatest(sum(n), 1), 6) end low from e group by user_id, w"""
 
 
 def term_recall(spark, d):
@@ -271,6 +290,14 @@ def judged_scores(spark, d):
     return tidy(x.groupBy("task").agg(F.count("*").alias("n"), F.sum(F.isnan(mass).cast("long")).alias("unjudged"), F.avg(F.when(~F.isnan(mass), mass)).alias("mass"), F.avg(score).alias("score"), F.max(score).alias("most")))
 
 
+JUDGED = f"""{T.SQL}, js as (select *, ln(exp(z0) + exp(z1) + exp(z2)) l from dec where arm = 'A'),
+jr as (select task, case when {T.sql_unit("id || ':m0'", 1000)} < 0.04::double then null else exp(z0 - l) end a, case when {T.sql_unit("id || ':m1'", 1000)} < 0.04::double then null else exp(z1 - l) end b, case when {T.sql_unit("id || ':m2'", 1000)} < 0.04::double then null else exp(z2 - l) end c from js),
+jk as (select *, (a is not null)::int + (b is not null)::int + (c is not null)::int n, coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0) t from jr),
+jp as (select task, n > 1 has, a / t a, b / t b, c / t c from jk),
+jv as (select task, has, coalesce(b, 0) + coalesce(c, 0) mass, case when not has then 0 when task = 'O' then 1 - coalesce(a, 0) else coalesce(b, 0) end score from jp)
+select task, count(*) n, sum((not has)::int)::bigint unjudged, round(avg(case when has then mass end), 6) mass, round(avg(score), 6) score, round(max(score), 6) most from jv group by task"""
+
+
 def glossary_arms(spark, d):
     """Arm B's error score of each row, alone, added to the ranks of arm A's, and only for the 40 % that A holds likeliest
     wrong: AUROC for wrong answers of A."""
@@ -278,12 +305,14 @@ def glossary_arms(spark, d):
     side = lambda arm, n: x.where(F.col("arm") == arm).select("task", "id", "hard_type", F.col("s").alias(n), *(["correct"] if arm == "A" else []))
     r = side("A", "sa").join(side("B", "sb"), ["task", "id", "hard_type"])
     r = settled(Y.rank_fraction(Y.rank_fraction(r, ["task"], "sa", "ra"), ["task"], "sb", "rb"), "ranks")
-    cut = r.groupBy("task").agg(F.percentile("ra", F.lit(0.6)).alias("cut"))
+    cut = percentiles(r, ["task"], "ra", {"cut": 0.6}, unit_bucket("_v"))
     r = r.join(F.broadcast(cut), "task").withColumn("low", F.round("ra", 12) >= F.round("cut", 12))
+    r = settled(r, "ranks")
     low = r.where("low").select("task", "id", "ra", "rb")
     low = Y.rank_fraction(Y.rank_fraction(low, ["task"], "ra", "la"), ["task"], "rb", "lb").select("task", "id", "la", "lb")
     r = r.join(low, ["task", "id"], "left")
     r = r.withColumns({"plus": F.round((F.col("ra") + F.col("rb")) / 2.0, 12), "casc": F.round(F.when(F.col("low"), F.col("cut") + (1 - F.col("cut")) * (F.col("la") + F.col("lb")) / 2).otherwise(F.col("ra")), 12)})
+    r = settled(r.select("task", "correct", "sa", "sb", "plus", "casc"), "fused")
     out = None
     for name in ("sa", "sb", "plus", "casc"):
         one = M.auroc(r, ["task"], name, ~F.col("correct")).withColumnRenamed("auroc", f"auroc_{name}")
@@ -344,9 +373,10 @@ QUERIES: dict[str, Query] = {
     "t05_length_batches": (batches, BATCHES),
     "j10_candidate_join": (candidate_join, "with n as (select max(doc_id) + 1 n from documents), c as (select item_id, (item_id * 31 + i * 7) % n doc_id from benchmark, (select unnest(range(0, 5)) i), n) select item_id, count(*) n, count(distinct lang) langs, max(n_chars) longest from c join documents using (doc_id) group by item_id"),
     "a35_removed_curve": (removed_curve, CURVE),
+    "p32_window_confidences": (window_confidences, CONFIDENCES),
     "p32_window_labels": (windows, None),
     "a41_term_recall": (term_recall, None),
-    "p24_judged_scores": (judged_scores, None),
+    "p24_judged_scores": (judged_scores, JUDGED),
     "x24_glossary_arms": (glossary_arms, GLOSSARY),
     "x16_embedding_arms": (embedding_arms, None),
     "c29_text_arm": (text_arm, None),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import paired as P
 from ..operators import policy as Y
-from ..operators.running import ordinal_ranks, unit_bucket
+from ..operators.running import ordinal_ranks, percentiles, unit_bucket
 from ..sources.shared import settled
 from . import tables as T
 from .scoring import TEMPS, rows, settled_rows, split_rows
@@ -134,7 +134,7 @@ def cascades(spark, d):
     and by a fixed threshold."""
     x = settled_rows(spark, d, "AB").withColumn("conf", F.round("conf", 12))
     cal = x.where("cal and arm = 'A'")
-    tau = cal.agg(F.percentile("conf", F.lit(0.25)).alias("tau"))
+    tau = percentiles(cal, [], "conf", {"tau": 0.25}, unit_bucket("_v"))
     cut = Y.risk_cut(cal, [0.05], ["task"]).select("task", "cut")
     pairs = P.pair(x.where("not cal"), "A", "B", ["task", "id", "hard_type"], ["correct", "conf"]).join(F.broadcast(cut), "task").crossJoin(F.broadcast(tau))
     rules = {"quantile": F.col("conf_a") < F.col("tau"), "risk": F.col("conf_a") < F.col("cut"), "fixed": F.col("conf_a") < 0.9}
@@ -174,7 +174,7 @@ def rank_fusion(spark, d):
     x = settled(rows(spark, d, "AB").withColumn("s", F.round(F.get("p", F.lit(2)), 12)).select("arm", "task", "id", "gold", "s", "conf"), "scores")
     pairs = P.pair(x, "A", "B", ["task", "id", "gold"], ["s", "conf"])
     r = Y.rank_fraction(Y.rank_fraction(pairs, ["task"], "s_a", "ra"), ["task"], "s_b", "rb").withColumn("fused", F.round((F.col("ra") + F.col("rb")) / 2.0, 12))
-    cut = r.groupBy("task").agg(F.percentile("conf_a", F.lit(0.4)).alias("q"))
+    cut = percentiles(r, ["task"], "conf_a", {"q": 0.4}, unit_bucket("_v"))
     r = settled(r.join(F.broadcast(cut), "task").withColumn("low", F.round("conf_a", 12) <= F.round("q", 12)), "ranks")
     low = r.where("low").select("task", "id", "ra", "rb")
     slots = ordinal_ranks(low, ["task"], "ra", "id", "k", unit_bucket("ra")).select("task", "k", F.col("ra").alias("splice"))

@@ -10,6 +10,7 @@ from ..operators import metrics as M
 from ..operators import paired as P
 from ..operators import quality as Q
 from ..operators import split as S
+from ..operators.running import percentiles, unit_bucket
 from ..sources.shared import settled
 from . import tables as T
 from .policies import _PAIR
@@ -76,7 +77,7 @@ def insufficient(spark, d):
     less = M.with_probs(x.withColumns({f"z{j}": F.col(f"z{j}") / 4.0 for j in range(3)}), k=3).withColumn("variant", F.lit("M"))
     keep = ["task", "variant", "conf", "correct"]
     both = full.select(keep).unionByName(less.select(keep))
-    cut = full.groupBy("task").agg(F.percentile("conf", F.lit(0.05)).alias("cut"))
+    cut = percentiles(full, ["task"], "conf", {"cut": 0.05}, unit_bucket("_v"))
     both = both.join(F.broadcast(cut), "task")
     return tidy(both.groupBy("task", "variant").agg(F.avg((F.round("conf", 9) < F.round("cut", 9)).cast("double")).alias("flagged"), F.avg(F.when(F.round("conf", 9) >= F.round("cut", 9), F.col("correct").cast("double"))).alias("accuracy")))
 
@@ -92,7 +93,7 @@ def mass_report(spark, d):
     x = T.raw_readouts(spark, d)
     z = E.logits("raw_logprobs", T.LETTERS)
     x = x.withColumn("mass", F.round(F.least(E.option_mass("raw_logprobs"), F.lit(1.0)), 9)).withColumn("correct", E.argmax(z) == F.col("gold"))
-    a = x.groupBy("task").agg(F.avg(F.when(F.col("correct"), F.col("mass"))).alias("mass_correct"), F.avg(F.when(~F.col("correct"), F.col("mass"))).alias("mass_wrong"), F.percentile("mass", F.lit(0.05)).alias("p5"))
+    a = x.groupBy("task").agg(F.avg(F.when(F.col("correct"), F.col("mass"))).alias("mass_correct"), F.avg(F.when(~F.col("correct"), F.col("mass"))).alias("mass_wrong")).join(percentiles(x, ["task"], "mass", {"p5": 0.05}, unit_bucket("_v")), "task")
     return tidy(a.join(M.auroc(x, ["task"], "mass", F.col("correct")), "task"))
 
 

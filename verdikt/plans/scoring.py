@@ -9,6 +9,7 @@ from ..operators import calibrate as C
 from ..operators import metrics as M
 from ..operators import quality as Q
 from ..operators import split as S
+from ..operators.running import percentiles, unit_bucket
 from ..sources.shared import settled
 from . import tables as T
 from .util import Query, tidy
@@ -67,7 +68,7 @@ READOUT_MASS = f"""{_RAW} select id, task, letters::bigint letters, round(mass,
 def missing_rates(spark, d):
     x = T.raw_readouts(spark, d)
     gold = F.element_at(F.array(*map(F.lit, T.LETTERS)), F.col("gold") + 1)
-    return tidy(x.groupBy("task").agg(F.avg((F.size("raw_logprobs") < 3).cast("double")).alias("missing"), F.avg((~F.map_contains_key("raw_logprobs", gold)).cast("double")).alias("gold_missing"), F.min(E.option_mass("raw_logprobs")).alias("min_mass"), F.percentile(E.option_mass("raw_logprobs"), F.lit(0.5)).alias("median_mass")))
+    return tidy(x.groupBy("task").agg(F.avg((F.size("raw_logprobs") < 3).cast("double")).alias("missing"), F.avg((~F.map_contains_key("raw_logprobs", gold)).cast("double")).alias("gold_missing"), F.min(E.option_mass("raw_logprobs")).alias("min_mass")).join(percentiles(x, ["task"], E.option_mass("raw_logprobs"), {"median_mass": 0.5}, unit_bucket("_v")), "task"))
 
 
 MISSING = f"""{_RAW} select task, round(avg((letters < 3)::int), 6) missing, round(avg((case gold when 0 then r0 when 1 then r1 else r2 end is null)::int), 6) gold_missing, round(min(mass), 6) min_mass, round(quantile_cont(mass, 0.5), 6) median_mass from fl group by task"""
@@ -221,7 +222,7 @@ ORDINAL = f"""{T.SQL}, a as (select * from p where arm = 'A'), l as ({_LEVELS})
 def guard(spark, d):
     """Recall and false positives of option 2 at argmax and at a calibrated 95 % quantile, and precision at 80 % recall."""
     x = split_rows(spark, d).withColumn("s", F.round(F.get("p", F.lit(2)), 12))
-    cut = x.where("cal and gold <> 2").groupBy("task").agg(F.percentile("s", F.lit(0.95)).alias("q"))
+    cut = percentiles(x.where("cal and gold <> 2"), ["task"], "s", {"q": 0.95}, unit_bucket("_v"))
     t = x.where("not cal").join(F.broadcast(cut), "task")
     pos = F.col("gold") == 2
     a = M.recall_fpr(t, ["task"], F.col("chosen") == 2, pos)
