@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from ..sources.shared import settled
 from . import running
 from .running import log_bucket, order_statistics, running_totals, unit_bucket
 
@@ -109,14 +110,15 @@ def upper_elements(rows: DataFrame, by: list[str], value: str, bucket: Column |
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str, bx: Column | None = None, by_bucket: Column | None = None) -> DataFrame:
     """Correlation of average ranks. Rows with equal pairs are counted first, so frequent values are one row each in the joins
-    with their ranks, and the correlation is weighted by the counts."""
-    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("_n"))
+    with their ranks, and the correlation is weighted by the counts. Average ranks have the mean (n + 1) / 2, so one
+    aggregation gives all sums."""
+    pairs = settled(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("_n")), "pairs")
     rank = lambda c, bucket, name: _weighted_ranks(pairs, by, c, bucket).withColumnRenamed("rank", name)
     p = pairs.join(rank(x, bx, "_rx"), [*by, x]).join(rank(y, by_bucket, "_ry"), [*by, y])
-    s = lambda c: F.sum(F.col("_n") * c)
-    mean = p.groupBy(*by).agg(F.sum("_n").alias("_all"), s(F.col("_rx")).alias("_mx"), s(F.col("_ry")).alias("_my"))
-    p = p.join(mean, by).withColumn("_dx", F.col("_rx") - F.col("_mx") / F.col("_all")).withColumn("_dy", F.col("_ry") - F.col("_my") / F.col("_all"))
-    sums = p.groupBy(*by).agg(s(F.col("_dx") * F.col("_dy")).alias("_xy"), s(F.col("_dx") * F.col("_dx")).alias("_xx"), s(F.col("_dy") * F.col("_dy")).alias("_yy"))
+    s = lambda a, b: F.sum(F.col("_n") * F.col(a) * F.col(b))
+    sums = p.groupBy(*by).agg(F.sum("_n").alias("_all"), s("_rx", "_ry").alias("_sxy"), s("_rx", "_rx").alias("_sxx"), s("_ry", "_ry").alias("_syy"))
+    mean = (F.col("_all") + 1) / 2.0
+    sums = sums.select(*by, *((F.col(f"_s{c}") - F.col("_all") * mean * mean).alias(f"_{c}") for c in ("xy", "xx", "yy")))
     return sums.select(*by, F.when(F.col("_xx") * F.col("_yy") > 0, F.col("_xy") / F.sqrt(F.col("_xx") * F.col("_yy"))).alias("spearman"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from ..sources.shared import settled
 from . import metrics as M
 from .calibrate import GRID, fit_temperature
 from .running import order_statistics, ordinal_ranks, running_totals, unit_bucket
@@ -58,7 +59,7 @@ def threshold_run(rows: DataFrame, eps: list[float], measure: str = "top_prob",
     x = x.withColumn("conf", F.round("conf", 12))
     test = ~F.col("cal")
     lock = x.groupBy("task", "temp", "measure").agg(F.sum(F.col("cal").cast("long")).alias("n_cal"), F.sum(test.cast("long")).alias("n_test"), F.avg(F.when(test, F.col("correct").cast("double"))).alias("acc_test"))
-    return lock, apply_cut(x.where(test), risk_cut(x.where("cal"), eps, ["task"]), ["task"])
+    return lock, apply_cut(x.where(test), settled(risk_cut(x.where("cal"), eps, ["task"]), "cuts"), ["task"])
 
 
 def check_lock(rows: DataFrame, lock: DataFrame, lock_eps: DataFrame, k: int | None = None) -> DataFrame:

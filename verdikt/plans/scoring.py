@@ -30,8 +30,10 @@ def split_rows(spark, d, arms="A"):
 
 
 def settled_rows(spark, d, arms="A"):
-    """The split rows, written once: fits, cuts and evaluations all read them."""
-    return settled(split_rows(spark, d, arms), "split")
+    """The split rows, written once: fits, cuts and evaluations all read them. What follows from a row's logits is computed
+    where it is read."""
+    x = settled(S.group_split(T.decisions(spark, d, arms).drop("logits")), "split")
+    return M.with_probs(x.withColumn("logits", F.array("z0", "z1", "z2")), k=3)
 
 
 def row_scores(spark, d):

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+GROUP_BYTES = 4 << 20
+
+
 def folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a folder of our own in local mode where it is unset."""
     sc = spark.sparkContext
@@ -21,7 +24,8 @@ def folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read back, so that what follows neither computes it again nor depends on its lineage."""
+    """``df`` written as Parquet and read back, so that what follows neither computes it again nor depends on its lineage. Row
+    groups are small, so that several tasks can read what one has written."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
