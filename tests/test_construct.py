@@ -134,3 +134,32 @@ def test_percentiles_interpolate_between_neighbours(spark):
             own = [v for k, v in rows if k == g and v is not None]
             assert [r["lo"], r["mid"], r["hi"], r["all"]] == pytest.approx(np.quantile(own, [0.05, 0.5, 0.99, 1.0]))
     assert percentiles(df, [], F.col("v") * -1000, {"x": 0.3}).first()["x"] == pytest.approx(np.quantile([-1000 * v for _, v in rows if v is not None], 0.3))
+
+
+def test_reads_with_look_alikes(spark):
+    from verdikt.operators.rank import gold_reads, read_difficulty
+
+    rng = random.Random(6)
+    rows, right = [], {}
+    for q in range(40):
+        gold = rng.randrange(12)
+        ranks = rng.sample(range(1, 13), 12)
+        for g in range(3):
+            members = list(range(g * 4, g * 4 + 4))
+            best = rng.choice(members)
+            rows += [(q, c, gold, ranks[c], g, c == best) for c in members]
+        right[q] = rng.random() < 0.5 and any(r[0] == q and r[1] == gold and r[5] for r in rows)
+    dealt = spark.createDataFrame(rows, "q int, cand int, gold int, rank int, g int, wins boolean")
+    reads = gold_reads(dealt, ["q"], spark.createDataFrame(list(right.items()), "q int, correct boolean"), 5)
+    got = {(r["q"], r["n"]): (r["size"], r["look"], r["lost"]) for r in reads.collect()}
+    want = {}
+    for q, ok in right.items():
+        own = [r for r in rows if r[0] == q]
+        mine = next(r for r in own if r[1] == r[2])
+        sets = [[r for r in own if r[4] == mine[4]]] + ([[r for r in own if r[5]]] if mine[5] else [])
+        for n, members in enumerate(sets):
+            want[q, n] = (len(members), sum(r[3] <= 5 and r[1] != r[2] for r in members), not ok and n == len(sets) - 1)
+    assert got == want
+    r = read_difficulty(reads, [], F.lit(40)).first()
+    hard, easy = [v for v in want.values() if v[1]], [v for v in want.values() if not v[1]]
+    assert r["hard_reads"] == len(hard) / 40 and r["lost_hard"] == pytest.approx(sum(v[2] for v in hard) / len(hard)) and r["lost_easy"] == (pytest.approx(sum(v[2] for v in easy) / len(easy)) if easy else None)

@@ -101,6 +101,30 @@ def loss_diagnosis(gold_rank: Column, k: int, won_group: Column, correct: Column
     return F.when(correct, "correct").when(gold_rank > k, "not_shortlisted").when(~won_group, "lost_in_group").otherwise("lost_in_final")
 
 
+def gold_reads(dealt: DataFrame, by: list[str], correct: DataFrame, k: int = 10) -> DataFrame:
+    """by, n, size, look and lost of the reads in which a query's gold took part: its group (0) and, where it won that, the final
+    of the groups' winners (1). look: members among the ``k`` best of the whole ranking other than the gold; lost: the query
+    is wrong and this is the gold's last read. dealt: by, cand, gold, rank, g and wins; correct: by, correct."""
+    own = dealt.where("cand = gold").select(*by, F.col("g").alias("_g"), F.col("wins").alias("_won"))
+    x = dealt.join(own, by)
+    n = F.explode(F.filter(F.array(F.when(F.col("g") == F.col("_g"), 0), F.when(F.col("wins") & F.col("_won"), 1)), lambda v: v.isNotNull())).alias("n")
+    alike = ((F.col("rank") <= k) & (F.col("cand") != F.col("gold"))).cast("long")
+    x = x.select(*by, n, "_won", alike.alias("_alike")).groupBy(*by, "n").agg(F.count("*").alias("size"), F.sum("_alike").alias("look"), F.max("_won").alias("_won"))
+    last = F.col("n") == F.col("_won").cast("int")
+    return x.join(correct, by).select(*by, "n", "size", "look", (last & ~F.col("correct")).alias("lost"))
+
+
+def read_difficulty(reads: DataFrame, by: list[str], queries: Column) -> DataFrame:
+    """by, look-alikes in the gold's group and in its final, reads with a look-alike for each query, and the share of reads with,
+    and without, a look-alike in which the gold was lost; null where there is no such read. queries: how many there are."""
+    hard = F.col("look") > 0
+    lost = F.col("lost").cast("double")
+    return reads.groupBy(*by).agg(
+        F.avg(F.when(F.col("n") == 0, F.col("look"))).alias("look_in_group"), F.avg(F.when(F.col("n") == 1, F.col("look"))).alias("look_in_final"),
+        (F.sum(hard.cast("long")) / queries).alias("hard_reads"), F.avg(F.when(hard, lost)).alias("lost_hard"), F.avg(F.when(~hard, lost)).alias("lost_easy"),
+    )
+
+
 def bigram_codes(text: str | None) -> np.ndarray:
     """The character bigrams of a text without white space, as numbers of two code points."""
     code = np.frombuffer(re.sub(r"\s", "", text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)

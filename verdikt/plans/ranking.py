@@ -8,6 +8,7 @@ from ..functions import expr as E
 from ..operators import metrics as M
 from ..operators import rank as R
 from ..operators.running import average_ranks
+from ..sources.shared import settled
 from . import tables as T
 from .util import Query, tidy
 
@@ -96,6 +97,31 @@ o as (select rk.vec_id, rk.r gr, coalesce(w.wins, false) wins from rk left join
 select case when gr = 1 then 'correct' when gr > 8 then 'not_shortlisted' when not wins then 'lost_in_group' else 'lost_in_final' end "where", count(*) n from o group by 1"""
 
 
+def look_alikes(spark, d):
+    """Groups dealt from the best eight, in two and in four, with a final that is read with an error: how many of the three best
+    candidates stand beside the gold, and how often it is lost beside them."""
+    x = settled(T.emb_decisions(spark, d).withColumn("score", F.round("score", 9)), "scores")
+    n = x.select("vec_id").distinct().count()
+    out = None
+    for groups in (2, 4):
+        g = settled(R.dealt_groups(x, ["vec_id"], groups, 8), "dealt")
+        seen = F.round(F.col("score") + 6.0 * (E.hash_unit("vec_id", F.lit("final"), "cand", buckets=1000) - 0.5), 9)
+        won = g.where("wins").groupBy("vec_id").agg(F.max_by("cand", F.struct(seen, -F.col("cand"))).alias("said"), F.max("gold").alias("gold"))
+        reads = R.gold_reads(g, ["vec_id"], won.select("vec_id", (F.col("said") == F.col("gold")).alias("correct")), 3)
+        one = R.read_difficulty(reads.withColumn("groups", F.lit(groups)), ["groups"], F.lit(n))
+        out = one if out is None else out.unionByName(one)
+    return tidy(out)
+
+
+_LOOK = """select groups, vec_id, 0 n, sum((r <= 3 and cand <> gold)::int) look from gi where g = gg group by all union all select groups, vec_id, 1, sum((r <= 3 and cand <> gold)::int) from gi where wins and gw group by all"""
+LOOK_ALIKES = f"""{EMB}, kk as (select unnest([2, 4]) as groups), gd as (select groups, vec_id, cand, gold, r, round(score, 9) score, (r - 1) % groups g, row_number() over (partition by groups, vec_id, (r - 1) % groups order by round(score, 9) desc, cand) = 1 wins from rk, kk where r <= 8),
+gi as (select gd.*, o.g gg, o.wins gw from gd join (select groups, vec_id, g, wins from gd where cand = gold) o using (groups, vec_id)),
+fi as (select groups, vec_id, arg_max(cand, (round(score + 6 * ({T.sql_unit("vec_id || ':final:' || cand", 1000)} - 0.5::double), 9), -cand)) = max(gold) ok from gd where wins group by groups, vec_id),
+re as ({_LOOK}), ls as (select re.*, not ok and n = gw::int lost from re join fi using (groups, vec_id) join (select distinct groups, vec_id, gw from gi) using (groups, vec_id))
+select groups::bigint as groups, round(avg(case when n = 0 then look end), 6) look_in_group, round(avg(case when n = 1 then look end), 6) look_in_final, round(sum((look > 0)::int) / (select count(distinct vec_id) from rk), 6) hard_reads,
+ round(avg(case when look > 0 then lost::int end), 6) lost_hard, round(avg(case when look = 0 then lost::int end), 6) lost_easy from ls group by groups"""
+
+
 def bm25_benchmark(spark, d):
     """The five best documents for each benchmark item by character bigrams, of whole texts."""
     q = T.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.lower("text").alias("text"))
@@ -161,6 +187,7 @@ QUERIES: dict[str, Query] = {
     "t02_shortlist": (shortlists, f"{EMB} select vec_id, string_agg(cast(cand as varchar), ',' order by cand) shortlist from rk where r <= 3 group by vec_id"),
     "r01_tournament": (tournaments, TOURNAMENTS),
     "r05_loss_diagnosis": (dealt, DEALT),
+    "r05_look_alikes": (look_alikes, LOOK_ALIKES),
     "r04_dealt_fillers": (dealt_with_fillers, FILLED),
     "c31_bm25": (bm25_benchmark, BM25),
     "a25_spearman": (rank_correlation, SPEARMAN),

@@ -137,10 +137,18 @@ def reconcile(spark, d):
 
 
 def rule_file(spark, d):
-    """Violations in a rule table with a repeated pattern, an unknown label and too few rules."""
-    r = [("t1", i, f"w{i}", "A", "B") for i in range(12)] + [("t2", 0, "x", "A", "B"), ("t2", 1, "x", "Z", "B"), ("t2", 2, " ", "A", "Q")]
-    df = spark.createDataFrame(r, "task string, ord int, pattern string, label string, default_label string")
-    return tidy(Q.validate_rules(df, ["A", "B"]).groupBy("rule", "id").agg(F.count("*").alias("n")))
+    """Violations of rule tables made of the parts, a table a brand: repeated and empty patterns, unknown labels, sizes."""
+    p = T.table(spark, d, "part")
+    label = F.element_at(F.array(*map(F.lit, ["A", "B", "C", "Z"])), (F.col("p_size") % 4 + 1).cast("int"))
+    pattern = F.when(F.col("p_size") > 48, F.lit(" ")).otherwise(F.concat_ws(" ", "p_name", (F.col("p_partkey") % 7).cast("string")))
+    rules = p.select(F.col("p_brand").alias("task"), F.col("p_partkey").alias("ord"), pattern.alias("pattern"), label.alias("label"), F.when(F.col("p_partkey") % 40 == 0, "Q").otherwise("B").alias("default_label"))
+    return tidy(Q.validate_rules(rules, ["A", "B", "C"]).groupBy("rule", "id").agg(F.count("*").alias("n")))
+
+
+RULE_FILE = """with r as (select p_brand task, case when p_size > 48 then ' ' else p_name || ' ' || p_partkey % 7 end pattern, ['A', 'B', 'C', 'Z'][(p_size % 4 + 1)::int] as label, case when p_partkey % 40 = 0 then 'Q' else 'B' end dl from part),
+v as (select 'label_not_an_option' as "rule", task id from r where label = 'Z' union all select 'default_not_an_option', task from r where dl = 'Q' union all select 'empty_pattern', task from r where trim(pattern) = ''
+ union all select 'pattern_repeats', task from (select task, pattern from r group by task, pattern having count(*) > 1) union all select 'rule_count', task from (select task from r group by task having count(*) < 10 or count(*) > 25))
+select "rule", id, count(*) n from v group by 1, 2"""
 
 
 def probability_keys(spark, d):
@@ -162,10 +170,6 @@ def rendered(spark, d):
     return tidy(o.groupBy("o_orderpriority").agg(F.sum(F.length(j).cast("long")).alias("json_chars"), F.sum(F.length(t).cast("long")).alias("text_chars"), F.min(F.md5(j.cast("binary"))).alias("digest")))
 
 
-RULE_FILE = """with r as (select 't1' task, i ord, 'w' || i pattern, 'A' label, 'B' dl from (select unnest(range(0, 12)) i) union all select * from (values ('t2', 0, 'x', 'A', 'B'), ('t2', 1, 'x', 'Z', 'B'), ('t2', 2, ' ', 'A', 'Q'))),
-v as (select 'label_not_an_option' "rule", task id from r where label not in ('A', 'B') union all select 'default_not_an_option', task from r where dl not in ('A', 'B') union all select 'empty_pattern', task from r where trim(pattern) = ''
- union all select 'pattern_repeats', task from (select task, pattern from r group by all having count(*) > 1) union all select 'rule_count', task from (select task from r group by task having count(*) not between 10 and 25))
-select "rule", id, count(*) n from v group by all"""
 COSINE = f"""{EMB}, t as (select vec_id, gold, cand, score / 10 s from sc where {T.sql_unit("cast(vec_id as varchar) || ':t'")} < 0.5::double),
 g as (select i, exp(ln(1e-3::double) + i * (ln(5::double) - ln(1e-3::double)) / 299::double) temp from (select unnest(range(0, 300)) i)),
 x as (select vec_id, gold, s, cand, max(s) over (partition by vec_id) m, row_number() over (partition by vec_id order by cand) - 1 k from t),
