@@ -163,3 +163,34 @@ def test_reads_with_look_alikes(spark):
     r = read_difficulty(reads, [], F.lit(40)).first()
     hard, easy = [v for v in want.values() if v[1]], [v for v in want.values() if not v[1]]
     assert r["hard_reads"] == len(hard) / 40 and r["lost_hard"] == pytest.approx(sum(v[2] for v in hard) / len(hard)) and r["lost_easy"] == (pytest.approx(sum(v[2] for v in easy) / len(easy)) if easy else None)
+
+
+def test_perturbations_follow_their_rules(spark):
+    pairs = [("數值", "數植"), ("停線", "停現"), ("異常", "異長"), ("值異", "XX")]
+    texts = ["the machine stopped again because pressure dropped", "ab cd 停線數值異常停線", "", "short one", "Alarm 7: MACHINE Stopped, machine-stop", "數值異常數值"] * 8
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "id string, t string")
+    key = F.col("id")
+    cut = K.without_cues(F.col("t"), key, ["異常", "數值異常", "停線"], ["machine", "stopped"], ["狀況", "情形"])
+    rows = df.select("id", "t", K.typos(F.col("t"), key).alias("typo"), K.swapped_terms(F.col("t"), key, pairs).alias("swapped"), cut.alias("cut")).collect()
+    counts = set()
+    for r in rows:
+        before, after = r["t"].split(" "), r["typo"].split(" ")
+        changed = [(x, y) for x, y in zip(before, after, strict=True) if x != y]
+        long = [w for w in before if w.isascii() and w.isalpha() and len(w) >= 5]
+        assert len(changed) <= 2 and all(x in long and x[0] == y[0] and len(x) - len(y) in (0, 1) for x, y in changed)
+        counts.add((len(long) > 1, len(changed)))
+        for x, y in changed:
+            drops = {x[:k] + x[k + 1 :] for k in range(1, len(x) - 1)}
+            assert y in drops | {x[:k] + x[k + 1] + x[k] + x[k + 2 :] for k in range(1, len(x) - 1)}
+        held = [p for p in pairs if p[0] in r["t"]]
+        ways = {r["t"]} if not held else {r["t"].replace(*p, 1) for p in held} | {r["t"].replace(*p, 1).replace(*q, 1) for p in held for q in held if p != q}
+        assert r["swapped"] in ways and (not held or r["swapped"] != r["t"])
+        removed, left = [], r["t"]
+        for term in ("數值異常", "停線", "異常"):
+            if term in left:
+                removed.append(term)
+                left = left.replace(term, "狀況")
+        words = [w for w in ("machine", "stopped") if w in r["t"].lower()]
+        assert r["cut"]["removed"] == removed + words
+        assert "異常" not in r["cut"]["text"] and "停線" not in r["cut"]["text"] and "machine" not in r["cut"]["text"].lower().replace("machine-", "x") and r["cut"]["text"].count("ISSUE") == sum(r["t"].lower().count(w) for w in words)
+    assert (True, 1) in counts and (True, 2) in counts

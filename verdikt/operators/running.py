@@ -43,7 +43,7 @@ def average_ranks(df: DataFrame, by: list[str], value: str, bucket: Column | Non
 def first_by_hash(df: DataFrame, by: list[str], key: str, digest: Column, share_num: int = 1, share_den: int = 2) -> DataFrame:
     """Of the distinct keys of each group the first n * num // den in the order of ``digest`` (hex text), then key.
 
-    Digests are counted by their first four digits; only the keys of the group's boundary bucket are ranked.
+    Digests are counted by their first three digits; only the keys of the group's boundary bucket are ranked.
     """
     keys = df.select(*by, key).distinct().withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, 3))
     counts = keys.groupBy(*by, "_bucket").agg(F.count("*").alias("n"))

@@ -178,19 +178,46 @@ al as (select * from ow union all select * from nr union all select * from ot an
 select qid, pid, rel::bigint rel, kind from r where k <= 20"""
 
 
-def perturbed(spark, d):
-    """Benchmark items with a typo, and mixed with the region's comment: lengths, and what stays."""
-    b = T.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    x = b.withColumns({"typo": K.typo(F.col("text"), F.col("id")), "mixed": K.mix_in(F.col("text"), F.lit("extra line"), F.col("id"))})
-    return tidy(x.select("id", "typo", "mixed", F.levenshtein("text", "typo").alias("edits")))
+SWAPS = [("tion", "toin"), ("the", "teh"), ("and", "adn")]
+CUES, CUE_WORDS, GENERIC = ["ing", "eringing", "onan"], ["the", "thing", "and"], ["matter", "case"]
 
 
-PERTURBED = f"""with b as (select item_id::varchar id, coalesce(text, '') t from benchmark), p as (select id, t, string_split(t, ' ') ws, {T.sql_unit("id || ':w'", 2)} u, {T.sql_unit("id || ':k'", 997)} uk, {T.sql_unit("id || ':s'", 2)} us, {T.sql_unit("id || ':m'", 2)} um from b),
-a as (select *, list_filter(range(1, len(ws) + 1), lambda i: regexp_full_match(ws[i], '[A-Za-z]{{5,}}')) ix from p),
-c as (select *, case when len(ix) > 0 then ix[least(cast(floor(u * 2 + 0.5) as int), len(ix) - 1) + 1] end i from a), e as (select *, ws[i] w, 1 + cast(floor(uk * (length(ws[i]) - 2)) as int) k from c),
-n as (select *, case when us < 0.5::double then substr(w, 1, k) || substr(w, k + 2, 1) || substr(w, k + 1, 1) || substr(w, k + 3) else substr(w, 1, k) || substr(w, k + 2) end nw from e),
-f as (select id, t, case when i is null then t else array_to_string(list_concat(ws[1 : i - 1], [nw], ws[i + 1 :]), ' ') end typo, case when um < 0.5::double then 'extra line；' || t else t || '；extra line' end mixed from n)
-select id, typo, mixed, levenshtein(t, typo)::bigint edits from f"""
+def perturbed(spark, d):
+    """Benchmark items with typos, with look-alike terms, without cues, and mixed with a line before or after."""
+    b = T.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    text, key = F.col("text"), F.col("id")
+    x = b.withColumns({"typo": K.typos(text, key), "swapped": K.swapped_terms(text, key, SWAPS), "cut": K.without_cues(text, key, CUES, CUE_WORDS, GENERIC), "mixed": K.mix_in(text, F.lit("extra line"), key)})
+    return tidy(x.select("id", "typo", "swapped", F.col("cut.text").alias("cued"), F.array_join("cut.removed", ",").alias("removed"), "mixed", F.levenshtein("text", "typo").alias("edits")))
+
+
+def _sql_cues() -> tuple[str, str]:
+    """CTEs t0, t1, ... of the text after each cue, and the last one's name."""
+    order = lambda x: sorted(x, key=lambda v: (-len(v), v))
+    ctes, last = ["t0 as (select id, t x, []::varchar[] r from b)"], "t0"
+    for k, g in enumerate(order(CUES), 1):
+        pick = f"['{GENERIC[0]}', '{GENERIC[1]}'][1 + cast(floor({T.sql_unit(f"id || ':cue:{g}'", 2)} * 2 + 0.5) as int)]"
+        ctes.append(f"t{k} as (select id, replace(x, '{g}', {pick}) x, case when contains(x, '{g}') then list_concat(r, ['{g}']) else r end r from {last})")
+        last = f"t{k}"
+    for k, w in enumerate(order(CUE_WORDS), len(CUES) + 1):
+        pattern = rf"'(?i)\b{w}\b'"
+        ctes.append(f"t{k} as (select id, regexp_replace(x, {pattern}, 'ISSUE', 'g') x, case when regexp_matches(x, {pattern}) then list_concat(r, ['{w}']) else r end r from {last})")
+        last = f"t{k}"
+    return ", ".join(ctes), last
+
+
+_CUES, _LAST = _sql_cues()
+_U = lambda x, n: T.sql_unit(f"id || ':{x}:' || (i - 1)", n)
+_KAT = f"(1 + cast(floor({_U('k', 997)} * (length(ws[i]) - 2)) as int))"
+_EDIT = f"case when {_U('s', 2)} < 0.5::double then substr(ws[i], 1, {_KAT}) || substr(ws[i], {_KAT} + 2, 1) || substr(ws[i], {_KAT} + 1, 1) || substr(ws[i], {_KAT} + 3) else substr(ws[i], 1, {_KAT}) || substr(ws[i], {_KAT} + 2) end"
+_SOME = f"least(2, 1 + cast(floor({T.sql_unit("id || ':some'", 2)} * 2 + 0.5) as int))"
+_ONCE = lambda t, c: f"case when {c} is not null and instr({t}, {c}.a) > 0 then substr({t}, 1, instr({t}, {c}.a) - 1) || {c}.b || substr({t}, instr({t}, {c}.a) + length({c}.a)) else {t} end"
+_PAIRS = ", ".join(f"{{'a': '{a}', 'b': '{b}'}}" for a, b in SWAPS)
+PERTURBED = f"""with b as (select item_id::varchar id, coalesce(text, '') t from benchmark), {_CUES},
+p as (select id, t, string_split(t, ' ') ws, {T.sql_unit("id || ':m'", 2)} um, {_SOME} n from b),
+a as (select *, list_transform(list_sort(list_transform(list_filter(range(1, len(ws) + 1), lambda i: regexp_full_match(ws[i], '[A-Za-z]{{5,}}')), lambda i: {{'h': md5(id || ':w' || (i - 1)), 'i': i}})), lambda x: x.i)[1 : n] ix,
+ list_transform(list_sort(list_transform(list_filter([{_PAIRS}], lambda q: contains(t, q.a)), lambda q: {{'h': md5(id || ':' || q.a), 'q': q}})), lambda x: x.q)[1 : n] sw from p),
+e as (select *, array_to_string(list_transform(range(1, len(ws) + 1), lambda i: case when list_contains(ix, i) then {_EDIT} else ws[i] end), ' ') typo, {_ONCE("t", "sw[1]")} s1 from a)
+select e.id, typo, {_ONCE("s1", "sw[2]")} swapped, c.x cued, array_to_string(c.r, ',') removed, case when um < 0.5::double then 'extra line；' || t else t || '；extra line' end mixed, levenshtein(t, typo)::bigint edits from e join {_LAST} c on c.id = e.id"""
 
 
 def terms(spark, d):
@@ -222,7 +249,7 @@ select cast(floor(b / 20000) as bigint) "batch", count(*) n, min(c) least, max(c
 
 
 def candidate_join(spark, d):
-    """Rerank candidates, five documents for each item by number, with their texts: gold length and overlap of first letters."""
+    """Rerank candidates, five documents for each item by number, joined with the corpus: their number, languages and longest text."""
     docs = T.table(spark, d, "documents").select("doc_id", "lang", "n_chars")
     n = docs.agg(F.max("doc_id")).first()[0] + 1
     c = T.table(spark, d, "benchmark").select("item_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).withColumn("doc_id", (F.col("item_id") * 31 + F.col("i") * 7) % n)
