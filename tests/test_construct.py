@@ -194,3 +194,32 @@ def test_perturbations_follow_their_rules(spark):
         assert r["cut"]["removed"] == removed + words
         assert "異常" not in r["cut"]["text"] and "停線" not in r["cut"]["text"] and "machine" not in r["cut"]["text"].lower().replace("machine-", "x") and r["cut"]["text"].count("ISSUE") == sum(r["t"].lower().count(w) for w in words)
     assert (True, 1) in counts and (True, 2) in counts
+
+
+def test_graded_answers_follow_the_procedures(spark):
+    import hashlib
+
+    rows = [
+        ("p1", ["a", "b", "c", "d", "e"], ["key", "key", "minor", "key", "minor"], 1, "X", [2, 3], "p2"),
+        ("p2", ["f", "g"], ["key", "key"], 0, "Y", None, "p9"),
+        ("p3", ["h"], ["key"], 0, "Z", [], "p1"),
+        ("p4", [], [], 0, "W", [], "p3"),
+    ]
+    df = spark.createDataFrame(rows, "pid string, steps array<string>, kinds array<string>, danger_at int, danger_text string, danger_removes array<int>, off_pid string")
+    got = {(r["pid"], r["level"]): (r["fault"], r["difficulty"], r["steps"]) for r in K.graded_answers(df).collect()}
+    want = {}
+    for pid, steps, kinds, at, text, removes, off in rows:
+        first = lambda places, pid=pid: min(places, key=lambda i: hashlib.md5(f"{pid}:{i}".encode()).hexdigest(), default=None)
+        minor = first([i for i, k in enumerate(kinds) if k == "minor"])
+        keys = [i for i, k in enumerate(kinds) if k == "key"]
+        key = first([i for i in keys if i != at] or keys)
+        want[pid, 5] = (None, "easy", steps)
+        if minor is not None:
+            want[pid, 4] = ("minor_missing", "hard", steps[:minor] + steps[minor + 1 :])
+        if key is not None:
+            want[pid, 3] = ("key_missing", "hard", steps[:key] + steps[key + 1 :])
+        want[pid, 2] = ("danger", "easy", [text if i == at else s for i, s in enumerate(steps) if i not in (removes or [])])
+        other = {r[0]: r[1] for r in rows}.get(off)
+        if other is not None:
+            want[pid, 1] = ("offtopic", "easy", other)
+    assert got == want

@@ -143,19 +143,21 @@ select dropped, v "valid", i irrelevant, count(*) n, sum((not debt)::int)::bigin
 
 
 def graded(spark, d):
-    """Five graded answers to a procedure for each part: its steps are the words of its name and type."""
+    """Five graded answers to a procedure for each part: its steps are the words of its name, type and brand; the dangerous step
+    takes the one after it along for every second part, and the other procedure is the next part's."""
     p = T.table(spark, d, "part")
-    steps = F.split(F.concat_ws(" ", "p_name", "p_type"), " ")
-    x = p.select(F.col("p_partkey").alias("pid"), steps.alias("steps"), F.reverse(steps).alias("off_steps"), F.lit(1).alias("danger_at"), F.lit("skip the lock").alias("danger_text"))
+    steps = F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand"), " ")
+    x = p.select(F.col("p_partkey").alias("pid"), steps.alias("steps"), (F.col("p_partkey") + 1).alias("off_pid"), F.lit(1).alias("danger_at"), F.lit("skip the lock").alias("danger_text"), F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit(2))).alias("danger_removes"))
     x = x.withColumn("kinds", F.transform("steps", lambda _, i: F.when(i % 3 == 2, "minor").otherwise("key")))
-    return tidy(K.graded_answers(x).select("pid", "level", F.array_join("steps", "|").alias("answer")))
+    return tidy(K.graded_answers(x).select("pid", "level", "fault", "difficulty", F.array_join("steps", "|").alias("answer")))
 
 
-GRADED = """with p as (select p_partkey pid, string_split(p_name || ' ' || p_type, ' ') steps from part), a as (select *, range(0, len(steps)) r from p),
-k as (select pid, steps, list_min(list_transform(list_filter(r, lambda i: i % 3 = 2), lambda i: {'h': md5(pid || ':' || i), 'i': i})).i mi,
+GRADED = """with p as (select p_partkey pid, string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ') steps from part), a as (select p.*, range(0, len(p.steps)) r, o.steps off from p left join p o on o.pid = p.pid + 1),
+k as (select pid, steps, off, list_min(list_transform(list_filter(r, lambda i: i % 3 = 2), lambda i: {'h': md5(pid || ':' || i), 'i': i})).i mi,
  coalesce(list_min(list_transform(list_filter(r, lambda i: i % 3 <> 2 and i <> 1), lambda i: {'h': md5(pid || ':' || i), 'i': i})).i, list_min(list_transform(list_filter(r, lambda i: i % 3 <> 2), lambda i: {'h': md5(pid || ':' || i), 'i': i})).i) ki from a),
-v as (select pid, unnest([5, 4, 3, 2, 1]) "level", unnest([array_to_string(steps, '|'), case when mi is not null then array_to_string(list_concat(steps[1 : mi], steps[mi + 2 :]), '|') end, case when ki is not null then array_to_string(list_concat(steps[1 : ki], steps[ki + 2 :]), '|') end,
- array_to_string(list_concat(steps[1 : 1], ['skip the lock'], steps[3 :]), '|'), array_to_string(list_reverse(steps), '|')]) answer from k) select pid, "level"::bigint "level", answer from v where answer is not null"""
+v as (select pid, unnest([5, 4, 3, 2, 1]) "level", unnest([null, 'minor_missing', 'key_missing', 'danger', 'offtopic']) fault, unnest(['easy', 'hard', 'hard', 'easy', 'easy']) difficulty,
+ unnest([array_to_string(steps, '|'), case when mi is not null then array_to_string(list_concat(steps[1 : mi], steps[mi + 2 :]), '|') end, case when ki is not null then array_to_string(list_concat(steps[1 : ki], steps[ki + 2 :]), '|') end,
+ array_to_string(list_concat(steps[1 : 1], ['skip the lock'], steps[case when pid % 2 = 0 then 4 else 3 end :]), '|'), case when off is not null then array_to_string(off, '|') end]) answer from k) select pid, "level"::bigint "level", fault, difficulty, answer from v where answer is not null"""
 
 
 def candidates(spark, d):
