@@ -151,3 +151,49 @@ def test_left_out_fusion_equals_standardised_regressions(spark):
                 assert got[r[0]] == pytest.approx(1 / (1 + np.exp(-v)), abs=2e-3)
     one = spark.createDataFrame([(1, "a", 1.0, 1.0, 1), (2, "b", 1.0, 2.0, 0)], df.schema)
     assert {r["fused"] for r in C.left_out_fusion(one, "flag", ["a", "b"], "y").collect()} == {None}
+
+
+def test_learning_curve_and_crossover_equal_plain_fits(spark):
+    import hashlib
+
+    rows = made(11, 160) + made(12, 120, "b")
+    curve = C.learning_curve(spark.createDataFrame(rows, ROWS), [10, 40], 2, hold=12, methods=("temperature", "affine"))
+    got = {(r["task"], r["method"], r["size"], r["rep"]): r for r in curve.collect()}
+    assert len(got) == 2 * 2 * 2 * 2
+    mean: dict = {}
+    for task in "ab":
+        own = sorted((r for r in rows if r[0] == task), key=lambda r: r[1])
+        for rep in range(2):
+            order = sorted({r[2] for r in own}, key=lambda g: (hashlib.md5(f"{g}:{rep}".encode()).hexdigest(), g))  # noqa: B023
+            test, rest = set(order[:12]), order[12:]
+            for size in (10, 40):
+                taken: list = []
+                for g in rest:
+                    if sum(r[2] in taken for r in own) >= size:
+                        break
+                    taken.append(g)
+                part = lambda groups: [np.array(v) for v in zip(*((r[4], r[3]) for r in own if r[2] in groups), strict=True)]  # noqa: B023,E731
+                (z, y), (new, gold) = part(taken), part(test)
+                for m in ("temperature", "affine"):
+                    p = C.calibrated(m, z, y, np.arange(len(y)), new)
+                    r = got[task, m, size, rep]
+                    bins = [[i for i, c in enumerate(p.max(1)) if (c > b / 10 or b == 0) and c <= (b + 1) / 10] for b in range(10)]
+                    ece = sum(abs(p.max(1)[b].mean() - (p.argmax(1) == gold)[b].mean()) * len(b) for b in bins if b) / len(gold)
+                    assert r["accuracy"] == pytest.approx((p.argmax(1) == gold).mean(), abs=1e-9) and r["loss"] == pytest.approx(loss(p, gold), abs=1e-3) and r["ece"] == pytest.approx(ece, abs=1e-3)
+                    mean.setdefault((m, size), {}).setdefault(task, []).append(r["ece"])
+    level = {k: np.mean([np.mean(v) for v in by.values()]) for k, by in mean.items()}
+    want = min((s for s in (10, 40) if level["affine", s] < level["temperature", s]), default=None)
+    assert [tuple(r) for r in C.crossover(curve).collect()] == [("affine", want)]
+
+
+def test_fixed_split_fits_on_the_calibration_rows(spark):
+    rows = made(13, 200)
+    df = spark.createDataFrame(rows, ROWS).withColumn("cal", F.col("fold") < 1).drop("fold")
+    got = {(r["method"], r["id"]): r for r in C.fixed_split(df).collect()}
+    assert len(got) == 200 * len(C.METHODS) and all(r["cal"] == (rows[int(i[1:])][5] < 1) for (_, i), r in got.items())
+    cal = [r for r in rows if r[5] < 1]
+    z, y, g = np.array([r[4] for r in cal]), np.array([r[3] for r in cal]), np.array([r[2] for r in cal])
+    inner = np.array([zlib.crc32(v.encode()) % 3 for v in g])
+    for m in C.METHODS:
+        p = C.apply_method(C.fit_method(m, z, y, g, inner), np.array([r[4] for r in rows]))
+        assert np.abs(np.array([got[m, r[1]]["p"] for r in rows]) - p).max() < 3e-3

@@ -251,7 +251,22 @@ def method_cv(spark, d):
 def learning_curve(spark, d):
     """Twenty repetitions of four methods on growing numbers of rows, each judged on 25 groups held out."""
     x = C.learning_curve(T.decisions(spark, d), [10, 20, 50, 100], 20)
-    return x.groupBy("task", "method", "size").agg(F.count("*").alias("reps"), F.avg("accuracy").alias("accuracy"), F.avg("loss").alias("loss"))
+    return x.groupBy("task", "method", "size").agg(F.count("*").alias("reps"), F.avg("accuracy").alias("accuracy"), F.avg("loss").alias("loss"), F.avg("ece").alias("ece"))
+
+
+def curve_crossover(spark, d):
+    """The training size from which on each method is calibrated better than the temperature."""
+    return C.crossover(settled(C.learning_curve(T.decisions(spark, d), [10, 20, 50, 100], 20), "curve"))
+
+
+def fixed_split(spark, d):
+    """Calibration methods fitted on all calibration rows, judged on the test half, with the coverage and error of the 5 % cut."""
+    from ..operators import policy as Y
+
+    x = settled(C.fixed_split(S.group_split(T.decisions(spark, d))), "predicted").withColumns({"conf": F.round(E.top_prob("p"), 12), "chosen": E.argmax("p")}).withColumn("correct", E.correct("chosen", "gold"))
+    by, test = ["task", "method"], x.where("not cal")
+    cut = Y.apply_cut(test, settled(Y.risk_cut(x.where("cal"), [0.05], by), "cuts"), by).select(*by, "coverage", "error", "held")
+    return M.accuracy(test, by).join(M.ece(test, by), by).join(M.losses(test, by), by).join(cut, by)
 
 
 def data_gates(spark, d):
@@ -291,4 +306,6 @@ QUERIES: dict[str, Query] = {
     "a14_data_gates": (data_gates, DATA_GATES),
     "x27_method_cv": (method_cv, None),
     "c23_learning_curve": (learning_curve, None),
+    "x27_crossover": (curve_crossover, None),
+    "x27_fixed_split": (fixed_split, None),
 }
