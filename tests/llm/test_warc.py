@@ -108,3 +108,15 @@ def test_overwrite_and_two_commits(spark, tmp_path):
     assert warc.read(spark, path).where("record_type = 'response'").count() == 2
     named = {f.name for f in (tmp_path / "w").iterdir()}
     assert sum(n.startswith("_manifest") for n in named) == 1
+
+
+def test_paths_without_a_scheme_are_those_of_the_default_file_system(spark, tmp_path):
+    conf = spark._jsc.hadoopConfiguration()
+    held = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "hdfs://127.0.0.1:8020")
+        assert warc.qualified(spark, "/shared/x") == "hdfs://127.0.0.1:8020/shared/x"
+        assert warc.qualified(spark, f"file:{tmp_path}/x") == f"file://{tmp_path}/x" == warc.qualified(spark, f"file://{tmp_path}/x")
+    finally:
+        conf.set("fs.defaultFS", held)
+    assert warc.qualified(spark, f"{tmp_path}/a b") == f"file://{tmp_path}/a b"

@@ -44,6 +44,14 @@ HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_ur
 SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, refers_to string, payload_digest string, payload_length long, content_length long, payload binary, file string, position long"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and host that Spark takes where it has none (``fs.defaultFS``), so that executors open the same
+    files as Spark does."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    return f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def filesystem(path: str):
     from pyarrow import fs
 
@@ -333,12 +341,12 @@ def register(spark: SparkSession) -> None:
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).load(qualified(spark, path))
 
 
 def write(rows: DataFrame, path: str) -> None:
     register(rows.sparkSession)
-    rows.write.format("warc").mode("append").option("path", path).save()
+    rows.write.format("warc").mode("append").option("path", qualified(rows.sparkSession, path)).save()
 
 
 def page_records(pages: DataFrame) -> DataFrame:
